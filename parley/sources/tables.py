@@ -1,0 +1,76 @@
+"""Tables that are replaced as a whole: versioned parquet directories under one commit marker.
+
+The tables of a set change together: a version holds all of them and becomes current when its
+marker is created, so a reader never sees half a commit. Readers of an older version keep its
+files. There is one writer per set. All file work goes through the Hadoop file system of the root.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from parley import schemas
+
+
+class TableSet:
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, str], partition_by: str = "platform"):
+        """``tables``: name to DDL schema."""
+        self.spark, self.root, self.schemas, self.partition_by = spark, root.rstrip("/"), tables, partition_by
+
+    def _path(self, name: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def _fs(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _commits(self) -> list[tuple[int, str]]:
+        fs = self._fs()
+        if not fs.exists(self._path()):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(self._path())]
+        parts = [n.split(".", 2) for n in names if n.startswith("_commit.")]
+        return sorted((int(number), token) for _, number, token in parts)
+
+    def version(self) -> int:
+        """The committed version, 0 before the first commit."""
+        return max((n for n, _ in self._commits()), default=0)
+
+    def read(self, name: str) -> DataFrame:
+        at, empty = self.version(), self.spark.createDataFrame([], self.schemas[name])
+        if not at:
+            return empty
+        return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/v{at}/{name}").select(*empty.columns)
+
+    def write(self, frames: dict[str, DataFrame], token: str = "-") -> int:
+        """Write the next version of every table and commit it.
+
+        A ``token`` other than `-` names the change: when the last commit bears it, the change is
+        in already (a retried micro-batch) and nothing is written.
+        """
+        if set(frames) != set(self.schemas):
+            raise ValueError(f"a version holds {sorted(self.schemas)}")
+        commits = self._commits()
+        if token != "-" and commits and commits[-1][1] == token:
+            return commits[-1][0]
+        at = (commits[-1][0] if commits else 0) + 1
+        for name, frame in frames.items():
+            columns = self.spark.createDataFrame([], self.schemas[name]).columns
+            frame.select(*columns).write.mode("overwrite").partitionBy(self.partition_by).parquet(f"{self.root}/v{at}/{name}")
+        self._fs().create(self._path(f"_commit.{at}.{token}"), True).close()
+        return at
+
+    def drop_before(self, version: int) -> None:
+        """Remove versions below ``version``, once no reader uses them."""
+        fs = self._fs()
+        for number, token in self._commits():
+            if number < version:
+                fs.delete(self._path(f"_commit.{number}.{token}"), True)
+                fs.delete(self._path(f"v{number}"), True)
+
+
+def archive_tables(spark: SparkSession, root: str) -> TableSet:
+    """The two archive tables, created empty where they do not exist."""
+    made = TableSet(spark, root, {"conversations": schemas.CONVERSATIONS, "revisions": schemas.REVISIONS})
+    if not made.version():
+        made.write({name: made.read(name) for name in made.schemas})
+    return made
