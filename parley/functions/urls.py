@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parley.functions.text import blank_to_null
+from parley.functions.text import blank_to_null, js_trim
 
 PLATFORMS = ("chatgpt", "gemini", "aistudio", "deepseek")
 MARKER_PARAMS = ("archive_worker", "archive_discovery")
@@ -31,13 +31,21 @@ IMAGE_URL = r"(?i)\.(?:png|jpe?g|webp|gif|bmp|svg)(?:\?|#|\z)"
 DOCUMENT_URL = r"(?i)\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|tsv|md)(?:\?|#|\z)"
 
 
+def percent_encode(part: Column) -> Column:
+    """Characters an address may not hold (blanks, quotes, braces, non-ASCII) as percent escapes."""
+    chars = F.regexp_extract_all(part, F.lit("(?s)."), F.lit(0))
+    bad = r'[^\x21-\x7e]|["<>`{}]'
+    return F.when(part.rlike(bad), F.array_join(F.transform(chars, lambda ch: F.when(ch == " ", "%20").when(
+        ch.rlike(bad), F.url_encode(ch)).otherwise(ch)), "")).otherwise(part)
+
+
 def canonical_url(url: Column, drop: Sequence[str] = MARKER_PARAMS) -> Column:
     """The address without the marker parameters, its query written in form encoding."""
     origin = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1))
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    path = F.when(path == "", "/").otherwise(path)
+    path = F.when(path == "", "/").otherwise(percent_encode(path))
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    fragment = F.regexp_extract(url, r"(?s)(#.+)\z", 1)
+    fragment = percent_encode(F.regexp_extract(url, r"(?s)(#.+)\z", 1))
 
     def recode(part: Column) -> Column:
         return F.url_encode(F.coalesce(F.try_url_decode(part), part))
@@ -111,6 +119,5 @@ def append_url_attachments(markdown: Column) -> Column:
     documents = F.transform(found["documents"], lambda u: F.concat(
         F.lit("> [attachment] ["), url_file_title(u, "attachment"), F.lit("]("), u, F.lit(")")))
     blocks = F.concat(images, documents)
-    from parley.functions.text import js_trim
     return F.when(F.size(blocks) == 0, markdown).otherwise(
         js_trim(F.concat(markdown, F.lit("\n\n"), F.array_join(blocks, "\n\n"))))

@@ -288,7 +288,8 @@ def append_url_attachments(v):
     return v.messages_v.select(*KEY, "pos", ur.append_url_attachments(c("markdown")).alias("markdown"))
 
 
-@query("meta_fields")
+@query("meta_fields", """
+    SELECT pos, trim(worker_id) AS model, CAST(NULL AS VARCHAR) AS count, concat_ws(', ', 'search', title) AS tools FROM {queue_v}""")
 def meta_fields(v):
     meta = F.to_json(F.struct(F.concat(F.lit(" "), "model").alias("model"), c("pos").alias("count"),
                               F.array(F.lit("search"), F.lit(" "), c("title")).alias("tools")))
@@ -307,7 +308,12 @@ def safe_fence(v):
     return v.messages_v.select(*KEY, "pos", md.safe_fence(body, "text").alias("fenced"))
 
 
-@query("normalize_prompt_text")
+_API = d.jtrim(d.gsub(d.gsub(d.gsub("markdown", r"(?m)[ \t]+$", "''"), r"(?m)^[ \t]+", "''"), r"\n{3,}", "chr(10) || chr(10)"))
+
+
+@query("normalize_prompt_text", f"""
+    SELECT platform, source_id, pos, {_API} AS api_text, {d.gsub(_API, "[ " + chr(92) + "t]{2,}", "' '")} AS page_text
+    FROM {{messages_v}}""")
 def normalize_prompt_text(v):
     return v.messages_v.select(*KEY, "pos", md.normalize_prompt_text(c("markdown")).alias("api_text"),
                                md.normalize_prompt_text(c("markdown"), dom=True).alias("page_text"))
@@ -324,7 +330,11 @@ def format_thinking(v):
                                md.format_thinking(c("markdown"), "aistudio").alias("bare_quoted"))
 
 
-@query("replace_interactive_blocks")
+@query("replace_interactive_blocks", r"""
+    SELECT platform, source_id, pos, regexp_replace(markdown || chr(10) || '```json' || chr(10) || '{{"miniApp": 1, "id": "im_'
+             || replace(source_id, '-', '') || '"}}' || chr(10) || '```', '(?is)```(json)?\s*.*?"id"\s*:\s*"(im_[a-z0-9]+)".*?```',
+             '> [interactive] [Open Gemini visualization demo (\2)](https://gemini.google.com/app/x)', 'g') AS markdown
+    FROM {messages_v}""")
 def replace_interactive_blocks(v):
     demo = F.concat("markdown", F.lit('\n```json\n{"miniApp": 1, "id": "im_'), F.regexp_replace("source_id", "-", ""),
                     F.lit('"}\n```'))
