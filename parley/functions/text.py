@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,7 +43,13 @@ def collapse(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    """NULL for the empty text. Unlike a comparison, this reads its argument once, also inside a lambda."""
+    return F.get(F.array_remove(F.array(c), F.lit("")), 0)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` computed once: inside a lambda nothing else shares repeated expressions."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def is_opaque_id(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parley.functions.text import blank_to_null, js_trim
+from parley.functions.text import blank_to_null, js_trim, let
 
 PLATFORMS = ("chatgpt", "gemini", "aistudio", "deepseek")
 MARKER_PARAMS = ("archive_worker", "archive_discovery")
@@ -100,10 +100,12 @@ def host_of(url: Column) -> Column:
 
 def classify_urls(text: Column) -> Column:
     """struct<images, documents>: linked files by suffix, distinct, in first-seen order."""
-    found = F.regexp_extract_all(text, F.lit(r"https?://[^\s\x{a0})]+"), F.lit(0))
-    images = F.filter(found, lambda u: u.rlike(IMAGE_URL))
-    documents = F.filter(found, lambda u: ~u.rlike(IMAGE_URL) & u.rlike(DOCUMENT_URL))
-    return F.struct(F.array_distinct(images).alias("images"), F.array_distinct(documents).alias("documents"))
+    def sorted_out(found: Column) -> Column:
+        images = F.filter(found, lambda u: u.rlike(IMAGE_URL))
+        documents = F.filter(found, lambda u: ~u.rlike(IMAGE_URL) & u.rlike(DOCUMENT_URL))
+        return F.struct(F.array_distinct(images).alias("images"), F.array_distinct(documents).alias("documents"))
+
+    return let(F.regexp_extract_all(text, F.lit(r"https?://[^\s\x{a0})]+"), F.lit(0)), sorted_out)
 
 
 def url_file_title(url: Column, default: str) -> Column:
@@ -113,11 +115,15 @@ def url_file_title(url: Column, default: str) -> Column:
 
 def append_url_attachments(markdown: Column) -> Column:
     """Image and document blocks for the linked files found in the text, after the text."""
-    found = classify_urls(markdown)
-    images = F.transform(found["images"], lambda u: F.concat(
-        F.lit("!["), url_file_title(u, "image"), F.lit("]("), u, F.lit(")")))
-    documents = F.transform(found["documents"], lambda u: F.concat(
-        F.lit("> [attachment] ["), url_file_title(u, "attachment"), F.lit("]("), u, F.lit(")")))
-    blocks = F.concat(images, documents)
-    return F.when(F.size(blocks) == 0, markdown).otherwise(
-        js_trim(F.concat(markdown, F.lit("\n\n"), F.array_join(blocks, "\n\n"))))
+    def blocks(found: Column) -> Column:
+        images = F.transform(found["images"], lambda u: F.concat(
+            F.lit("!["), url_file_title(u, "image"), F.lit("]("), u, F.lit(")")))
+        documents = F.transform(found["documents"], lambda u: F.concat(
+            F.lit("> [attachment] ["), url_file_title(u, "attachment"), F.lit("]("), u, F.lit(")")))
+        return F.concat(images, documents)
+
+    def appended(text: Column) -> Column:
+        joined = let(classify_urls(text), lambda found: F.array_join(blocks(found), "\n\n"))
+        return let(joined, lambda more: F.when(more == "", text).otherwise(js_trim(F.concat(text, F.lit("\n\n"), more))))
+
+    return let(markdown, appended)

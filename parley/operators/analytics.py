@@ -153,21 +153,14 @@ def log_facets(logs: DataFrame) -> DataFrame:
 def related_logs(logs: DataFrame, target: DataFrame) -> DataFrame:
     """Logs that share the target's source, else its trace, else its worker, else the target alone.
 
-    ``target`` holds one row of ``logs``; it is cut to one, so the broadcast is one row.
+    ``target`` holds one row of ``logs``. Its context is read first, so the selection is a plain filter.
     """
-    def key() -> Column:
-        return (F.when(F.col("source_id").isNotNull(), F.struct(F.lit("s").alias("kind"), F.col("source_id").alias("value")))
-                .when(F.col("trace_id").isNotNull(), F.struct(F.lit("t").alias("kind"), F.col("trace_id").alias("value")))
-                .when(F.col("worker_id").isNotNull(), F.struct(F.lit("w").alias("kind"), F.col("worker_id").alias("value")))
-                .otherwise(F.struct(F.lit("i").alias("kind"), F.col("id").alias("value"))))
-
-    wanted = F.broadcast(log_context(target).limit(1).select(key().alias("_want")))
-    same = ((F.col("_want.kind") == "s") & (F.col("source_id") == F.col("_want.value"))
-            | (F.col("_want.kind") == "t") & (F.col("trace_id") == F.col("_want.value"))
-            | (F.col("_want.kind") == "w") & (F.col("worker_id") == F.col("_want.value"))
-            | (F.col("_want.kind") == "i") & (F.col("id") == F.col("_want.value")))
-    widened = log_context(logs.withColumn("_row", F.struct(*logs.columns)))
-    return widened.join(wanted, same, "left_semi").select("_row.*").orderBy("timestamp", "id")
+    one = log_context(target).select("id", "source_id", "trace_id", "worker_id").first()
+    if one is None:
+        return logs.limit(0)
+    shared = next((n for n in ("source_id", "trace_id", "worker_id") if one[n]), "id")
+    rows = log_context(logs.withColumn("_row", F.struct(*logs.columns)))
+    return rows.where(F.col(shared) == one[shared]).select("_row.*").orderBy("timestamp", "id")
 
 
 def index_map(index: DataFrame, platform: str) -> DataFrame:

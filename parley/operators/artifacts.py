@@ -20,6 +20,7 @@ from parley.functions.urls import PLATFORMS
 from parley.operators import KEY
 from parley.operators.conversations import with_titles
 from parley.operators.discovery import dedupe_coalesce, upsert_index
+from parley.session import cut_lineage
 
 REV = [*KEY, "revision"]
 DAY_MS = 86_400_000
@@ -297,12 +298,13 @@ def import_bundles(disk: DataFrame, artifacts: DataFrame, index: DataFrame, file
         *REV, F.lit(None).cast("bigint").alias("markdown_download_id"), F.lit(None).cast("bigint").alias("bundle_download_id"),
         "markdown_filename", c("file_path").alias("bundle_filename"), c("extracted_at").alias("exported_at"),
         F.when(c("md_present"), "present").otherwise("missing").alias("local_status"), F.lit(True).alias("is_latest"))
-    known = artifacts.select(*REV, "pos", F.lit(True).alias("_known"))
-    placed = fresh.join(known, REV, "left").withColumn("imported", c("_known").isNull())
-    # Unknown captures go before the table, known ones keep their place.
-    placed = placed.withColumn("pos", F.coalesce(c("pos"), -F.abs(F.xxhash64(*REV)) - 1)).drop("_known")
-    kept = artifacts.join(fresh.select(*REV), REV, "left_anti").withColumn("imported", F.lit(False))
-    table = kept.unionByName(placed.select(*kept.columns))
+    # One grouping replaces the known and finds the unknown captures; those go before the table.
+    both = artifacts.withColumn("_disk", F.lit(False)).unionByName(
+        fresh.withColumns({"pos": F.lit(None).cast("bigint"), "_disk": F.lit(True)}).select(*artifacts.columns, "_disk"))
+    rest = [x for x in artifacts.columns if x not in REV and x != "pos"]
+    table = both.groupBy(*REV).agg(F.max_by(F.struct(*rest), "_disk").alias("_row"), F.min("pos").alias("_pos"),
+                                   F.bool_and("_disk").alias("imported")).select(
+        *REV, "_row.*", F.coalesce("_pos", -F.abs(F.xxhash64(*REV)) - 1).alias("pos"), "imported")
 
     per_key = [x for x in rows.columns if x not in KEY]
     last = rows.groupBy(*KEY).agg(F.max_by(F.struct(*per_key), "file_path").alias("_row")).select(*KEY, "_row.*")
@@ -348,11 +350,13 @@ def reconcile(artifacts: DataFrame, index: DataFrame, disk: DataFrame, files: Da
     """artifacts, index, requeue and a one-row summary (verified, missing, imported)."""
     c = F.col
     scope = c("platform").isin(*platforms)
-    checked = verify_presence(artifacts.where(scope), files)
+    # Both tables feed several results; each is written once and read back.
+    checked = cut_lineage(verify_presence(artifacts.where(scope), files))
     verified = checked.where(c("present").isNotNull())
     pending, requeue = missing_latest(verified, index)
     table = checked.select(*artifacts.columns).unionByName(artifacts.where(~scope))
     made = import_bundles(disk, table, pending, files, platforms)
+    made["artifacts"] = cut_lineage(made["artifacts"])
     # A bundle on disk decides for its conversation, after the check of the table.
     on_disk = made["requeue"].select(*KEY).unionByName(made["found"])
     events = requeue.join(on_disk, KEY, "left_anti").unionByName(made["requeue"].select(*requeue.columns))

@@ -30,12 +30,13 @@ def active_branch(nodes: DataFrame, heads: DataFrame, max_rounds: int = 40) -> D
         if size == known:
             break
         known = size
-        # Only conversations that still grow need the longer jumps.
+        # Only conversations that still grow need the longer jumps; without any the branches are whole.
         growing = branch.where(F.col("depth") >= (1 << k)).select("conv").distinct()
-        far = jump.join(growing, "conv", "left_semi")
-        far = far.join(jump.select("conv", F.col("node").alias("up"), F.col("up").alias("up2")), ["conv", "up"]).select(
-            "conv", "node", F.col("up2").alias("up"))
-        jump = cut_lineage(far)
+        above = jump.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"))
+        jump = cut_lineage(jump.join(growing, "conv", "left_semi").join(above, ["conv", "up"]).select(
+            "conv", "node", F.col("up2").alias("up")))
+        if jump.isEmpty():
+            break
     else:
         raise RuntimeError("reply trees deeper than 2^%d" % max_rounds)
     length = branch.groupBy("conv").agg(F.max("depth").alias("_last"))

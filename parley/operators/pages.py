@@ -14,7 +14,7 @@ from parley.functions.markdown import normalize_prompt_text
 from parley.functions.text import blank_to_null, collapse, js_trim, normalize_title
 from parley.functions.times import extract_time_label
 from parley.functions.urls import canonical_url, resolve_url
-from parley.operators import KEY
+from parley.operators import KEY, settled
 from parley.operators.discovery import dedupe_coalesce, dedupe_last
 from parley.operators.ordered import ordered_texts
 
@@ -52,7 +52,7 @@ def page_links(pages: DataFrame, id_pattern: str, origin: str | None = None, coa
         *[x.alias(n) for x, n in zip(found, ("tag", "inner", "after"))])).alias("seq", "a"))
     base = F.lit(origin) if origin else F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     href = attribute(c("a.tag"), "href")
-    rows = rows.where(href.isNotNull()).withColumn("link", canonical_url(resolve_url(href, base)))
+    rows = settled(rows.where(href.isNotNull()), "link", canonical_url(resolve_url(href, base)))
     near = [attribute(c("a.tag"), "aria-label"), attribute(c("a.tag"), "title"), text_of(c("a.after"))]
     rows = rows.select(
         "page_id", blank_to_null(F.regexp_extract("link", id_pattern, 1)).alias("source_id"), c("link").alias("url"),
@@ -97,9 +97,14 @@ def pages_to_blocks(pages: DataFrame) -> DataFrame:
     """Ordered markdown blocks of every page; `turn` numbers the chat turns, -1 outside any."""
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for page_id, html in zip(batch["page_id"], batch["html"]):
-                rows = PageBlocks().blocks(html or "")
-                yield pd.DataFrame(rows, columns=COLUMNS).assign(page_id=page_id)[["page_id", *COLUMNS]]
+                rows.extend((page_id, *row) for row in PageBlocks().blocks(html or ""))
+                if len(rows) >= 5_000:
+                    yield pd.DataFrame(rows, columns=["page_id", *COLUMNS])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["page_id", *COLUMNS])
 
     return pages.select("page_id", "html").mapInPandas(convert, BLOCKS)
 
@@ -130,7 +135,7 @@ def attachment_cards(cards: DataFrame, keys: list[str]) -> DataFrame:
 
 def drop_adjacent_duplicates(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Normalised blocks without blank ones and without repeats of the one just before. A group is one page's turn."""
-    rows = blocks.withColumn("markdown", normalize_prompt_text(c("markdown"), dom=True)).where("markdown <> ''")
+    rows = settled(blocks, "markdown", normalize_prompt_text(c("markdown"), dom=True)).where("markdown <> ''")
     before = F.lag("markdown").over(W.partitionBy(*keys).orderBy("pos"))
     return rows.withColumn("_before", before).where(~c("_before").eqNullSafe(c("markdown"))).drop("_before")
 

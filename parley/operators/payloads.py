@@ -15,10 +15,10 @@ from parley.functions import nested
 from parley.functions.markdown import (
     decode_inline_text, format_thinking, normalize_prompt_text, replace_interactive_blocks,
 )
-from parley.functions.text import blank_to_null, format_file_size, js_trim, normalize_role
+from parley.functions.text import blank_to_null, format_file_size, js_trim, let, normalize_role
 from parley.functions.times import iso_from_ms, iso_from_pair, normalize_timestamp
 from parley.functions.urls import append_url_attachments, source_id_from_url
-from parley.operators import KEY
+from parley.operators import KEY, settled
 from parley.operators.conversations import assistant_name
 from parley.operators.discovery import dedupe_coalesce, dedupe_last
 
@@ -36,8 +36,7 @@ def v_type(v: Column) -> Column:
 
 def v_text(v: Column, path: str = "$") -> Column:
     """The member when it is a JSON string, else NULL."""
-    at = v_get(v, path)
-    return F.when(v_type(at) == "STRING", at.cast("string"))
+    return let(v_get(v, path), lambda at: F.when(v_type(at) == "STRING", at.cast("string")))
 
 
 def v_is_number(v: Column) -> Column:
@@ -50,8 +49,9 @@ def v_array(v: Column, path: str) -> Column:
 
 
 def v_time(v: Column, dialect: str) -> Column:
-    return normalize_timestamp(F.when(v_type(v).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"), v.cast("string")),
-                               dialect, v_is_number(v))
+    given = F.struct(F.when(v_type(v).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"), v.cast("string")).alias("text"),
+                     v_is_number(v).alias("number"))
+    return let(given, lambda x: normalize_timestamp(x["text"], dialect, x["number"]))
 
 
 def _joined(parts: Column) -> Column:
@@ -69,6 +69,7 @@ def people_of(messages: Column, platform: Column) -> Column:
 
 def _bundle(rows: DataFrame, title: Column, updated: Column, meta: Column) -> DataFrame:
     """Bundle columns from rows with `messages`."""
+    rows = settled(rows, "messages", c("messages"))
     extracted = c("extracted_at") if "extracted_at" in rows.columns else F.lit(None).cast("string")
     return rows.select(*KEY, "url", title.alias("title"), extracted.alias("extracted_at"),
                        updated.alias("source_updated_at"), people_of(c("messages"), c("platform")).alias("participants"),
@@ -259,12 +260,14 @@ def parse_gemini(payloads: DataFrame, rpc_id: str = "hNvQHb") -> DataFrame:
         return F.concat(F.lit("> [attachment] ["), title, F.lit("]("), a["url"], F.lit(")"))
 
     def speak(t: Column, i: Column) -> Column:
-        at = iso_from_ms(stamp(t))
+        return let(F.struct(iso_from_ms(stamp(t)).alias("at"), v_get(t, "$[3][0][0]").alias("answer")),
+                   lambda x: voices(t, i, x["at"], x["answer"]))
+
+    def voices(t: Column, i: Column, at: Column, answer: Column) -> Column:
         new_images = fresh_attachments(F.get(c("images"), i), F.get(c("images"), i - 1))
         new_documents = fresh_attachments(F.get(c("documents"), i), F.get(c("documents"), i - 1))
         asked = _joined(F.concat(F.transform(new_images, image), F.transform(new_documents, document),
                                  F.array(js_trim(v_text(t, "$[2][0][0]")))))
-        answer = v_get(t, "$[3][0][0]")
         plain = replace_interactive_blocks(blank_to_null(js_trim(v_text(answer, "$[1][0]"))), c("url"))
         thoughts = F.transform(v_array(answer, "$[37]"), lambda e: js_trim(F.coalesce(v_text(e, "$[0]"), v_text(e, "$[0][0]"))))
         said = _joined(F.array(format_thinking(blank_to_null(js_trim(_joined(thoughts)))), plain))

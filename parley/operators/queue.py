@@ -194,9 +194,12 @@ def summarize_queue(queue: DataFrame) -> DataFrame:
 
 def recover_orphans(queue: DataFrame, leases: DataFrame, now: str) -> DataFrame:
     """Processing rows without a live lease on their platform, at least 30 s old, go back to pending."""
-    live = leases.select("platform", "worker_id").distinct().withColumn("_live", F.lit(True))
+    live = leases.select("platform", F.col("worker_id").alias("_worker")).distinct().withColumn("_live", F.lit(True))
     age = epoch_ms(F.lit(now)) - epoch_ms(F.col("updated_at"))
-    rows = queue.join(live, ["platform", "worker_id"], "left")
+    # Rows no worker holds get a key of their own, so they do not meet in one task.
+    worker = F.coalesce(F.when(F.col("status") == "processing", F.col("worker_id")),
+                        F.concat(F.lit("\u0000"), F.xxhash64("key").cast("string")))
+    rows = queue.withColumn("_worker", worker).join(live, ["platform", "_worker"], "left")
     orphan = (F.col("status") == "processing") & F.col("_live").isNull() & F.coalesce(age >= ORPHAN_MS, F.lit(True))
     changes = {"status": F.lit("pending"), "priority": F.lit("retry"), "worker_id": _null(), "last_error": _null(),
                "error_code": _null()}

@@ -10,7 +10,7 @@ from parley.functions import text as tx
 from parley.functions.markdown import code_blocks as blocks_of
 from parley.functions.markdown import message_body
 from parley.functions.times import format_message_timestamp
-from parley.operators import KEY
+from parley.operators import KEY, settled
 from parley.operators.ordered import HOT_ROWS, ROWS_PER_PART, hot_keys, ordered_texts, without
 
 EMPTY = "_(empty conversation)_"
@@ -32,7 +32,7 @@ def render_messages(messages: DataFrame, fmt: str = "full", preset: str = "compl
     body = message_body(c("role"), c("markdown"), fmt, preset, **overrides)
     time = F.concat(F.lit("> "), format_message_timestamp(tx.blank_to_null(c("created_at")), zone))
     parts = [F.concat(F.lit("## "), tx.role_label(c("role"), names)), *([time] if timestamps else []), c("body")]
-    return (messages.withColumn("body", body).where(c("body").isNotNull())
+    return (settled(messages, "body", body).where(c("body").isNotNull())
             .select(*KEY, "pos", F.concat_ws("\n\n", *parts).alias("section")))
 
 

@@ -12,13 +12,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, views: dict[str, str] | None = None):
-    """Register ``fn(v: Views) -> DataFrame`` under ``name``; ``sql`` uses `{view}` names."""
+def query(name: str, sql: str | None = None, views: dict[str, str] | None = None, heavy: bool = False):
+    """Register ``fn(v: Views) -> DataFrame`` under ``name``; ``sql`` uses `{view}` names.
+
+    ``heavy`` marks work that costs much per row (see `Views`).
+    """
 
     def register(fn: Callable[[Views], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Views(spark, sf_dir, heavy))
         if sql is not None:
             ORACLES[name] = with_views(sql, views)
         return fn

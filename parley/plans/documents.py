@@ -58,7 +58,7 @@ _STANDARD = f"regexp_replace(markdown, {d.rx(r'^> \[thinking\]\n(>[^\n]*\n|\s*\n
     SELECT platform, source_id, pos, markdown AS complete, {_STANDARD} AS standard,
            {d.gsub(f"regexp_replace({_STANDARD}, '(?im)^>{chr(92)}s*{chr(92)}[attachment{chr(92)}].*$', '', 'g')", d.IMAGE, "''")} AS share,
            {d.gsub('markdown', d.IMAGE, "''")} AS no_images
-    FROM {{messages_v}}""")
+    FROM {{messages_v}}""", heavy=True)
 def apply_preset(v):
     m = c("markdown")
     return v.messages_v.select(
@@ -72,7 +72,7 @@ def strip_thinking(v):
 
 
 @query("thinking_to_details", f"""
-    SELECT platform, source_id, pos, {_BODY} AS markdown FROM {{messages_v}}""")
+    SELECT platform, source_id, pos, {_BODY} AS markdown FROM {{messages_v}}""", heavy=True)
 def thinking_to_details(v):
     return v.messages_v.select(*KEY, "pos", md.normalize_spacing(md.thinking_to_details(c("markdown"))).alias("markdown"))
 
@@ -80,7 +80,7 @@ def thinking_to_details(v):
 @query("wrap_bare_urls", r"""
     SELECT platform, source_id, pos, replace(regexp_replace(markdown, 'See (https://[^\s]+) for', '见<\1>好', 'g'), chr(1), '')
              AS markdown
-    FROM {messages_v}""")
+    FROM {messages_v}""", heavy=True)
 def wrap_bare_urls(v):
     cjk = F.regexp_replace("markdown", r"See (https://\S+) for", "见$1好")
     return v.messages_v.select(*KEY, "pos", md.wrap_bare_urls(cjk).alias("markdown"))
@@ -97,12 +97,12 @@ def code_blocks(v):
 @query("compact_code", rf"""
     SELECT platform, source_id, pos,
            {d.jtrim(r"regexp_replace(regexp_replace(regexp_replace(markdown, '```python\n# turn \d+\n\nx', '```python' || chr(10) || 'x', 'g'), '[ \t]+\n', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g')")} AS markdown
-    FROM {{messages_v}}""")
+    FROM {{messages_v}}""", heavy=True)
 def compact_code(v):
     return v.messages_v.select(*KEY, "pos", md.compact_code(c("markdown")).alias("markdown"))
 
 
-@query("render_messages", "SELECT platform, source_id, pos, section FROM {sections_v}", EXTRA)
+@query("render_messages", "SELECT platform, source_id, pos, section FROM {sections_v}", EXTRA, heavy=True)
 def render_messages(v):
     return rendering.render_messages(v.messages_v)
 
@@ -156,7 +156,7 @@ def frontmatter(v):
     return rows.select(*KEY, rendering.frontmatter(F.coalesce("n", F.lit(0)), "full", "2026-04-18.1", "archive").alias("front"))
 
 
-@query("conversation_header", "SELECT platform, source_id, header FROM {docs_v}", DOCS)
+@query("conversation_header", "SELECT platform, source_id, header FROM {docs_v}", DOCS, heavy=True)
 def conversation_header(v):
     docs = rendering.serialize_conversations(_prepared(v), v.messages_v, include_frontmatter=False)
     return docs.select(*KEY, F.regexp_extract("markdown", r"(?s)^(# .*? \| Compatibility: \S+)", 1).alias("header"))
@@ -164,7 +164,7 @@ def conversation_header(v):
 
 @query("serialize_conversations", f"""
     SELECT platform, source_id, 0 AS part, 1 AS parts, doc AS markdown, n AS message_count, {d.tokens('doc')} AS estimated_tokens
-    FROM (SELECT *, front || {NL} || {NL} || header || {NL} || {NL} || body || {NL} AS doc FROM {{docs_v}}) AS x""", DOCS)
+    FROM (SELECT *, front || {NL} || {NL} || header || {NL} || {NL} || body || {NL} AS doc FROM {{docs_v}}) AS x""", DOCS, heavy=True)
 def serialize_conversations(v):
     return rendering.serialize_conversations(_prepared(v), v.messages_v)
 

@@ -56,7 +56,7 @@ def chatgpt_payloads(v):
 @query("parse_chatgpt", f"""
     SELECT {_SID} AS source_id, 0 AS pos, 'n1' AS id, 'user' AS role, 'Question' AS markdown, {_AT.format(250000)} AS created_at FROM {{conversations}}
     UNION ALL SELECT {_SID}, 1, 'n2', 'assistant', array_to_string(list_filter([{d.jtrim('text')}, 'end'], lambda x: x <> ''), {NL2}),
-      {_AT.format(250000)} FROM {{conversations}}""")
+      {_AT.format(250000)} FROM {{conversations}}""", heavy=True)
 def parse_chatgpt(v):
     return payloads.explode_messages(payloads.parse_chatgpt(chatgpt_payloads(v))).select(
         "source_id", "pos", "id", "role", "markdown", "created_at")
@@ -64,7 +64,7 @@ def parse_chatgpt(v):
 
 @query("flatten_parts", f"""
     SELECT {_SID} AS source_id, concat_ws({NL2}, nullif({d.jtrim('text')}, ''), 'linked', 'https://u/' || turn, '{{{{"k":' || turn || '}}}}') AS markdown
-    FROM {{conversations}}""")
+    FROM {{conversations}}""", heavy=True)
 def flatten_parts(v):
     content = F.concat(F.lit('{"parts":['), quoted(c("text")), F.lit(',{"title":"linked","url":"x"},{"url":"https://u/'),
                        c("turn").cast("string"), F.lit('"}, "  ", 7, null, {"k":'), c("turn").cast("string"), F.lit("}]}"))
@@ -86,7 +86,7 @@ def deepseek_payloads(v):
         ELSE printf('%.2fKB', ((turn * 1000 * 200 + 1024) // 2048) / 100.0::DOUBLE) END || ')' || {NL2} || 'see https://h/' || turn || '.pdf' || {NL2}
         || '> [attachment] [' || turn || '.pdf](https://h/' || turn || '.pdf)' AS markdown, {_AT.format(500000)} AS created_at FROM {{conversations}}
     UNION ALL SELECT {_SID}, 1, '10', 'assistant', concat_ws({NL2}, '> [thinking]' || chr(10) || '> a' || chr(10) || '> b', nullif({d.jtrim('text')}, '')),
-      {_AT.format(0)} FROM {{conversations}}""")
+      {_AT.format(0)} FROM {{conversations}}""", heavy=True)
 def parse_deepseek(v):
     return payloads.explode_messages(payloads.parse_deepseek(deepseek_payloads(v))).select(
         "source_id", "pos", "id", "role", "markdown", "created_at")
@@ -126,7 +126,7 @@ _PHOTO = "'![p' || (turn % 2) || '.jpg](https://lh3.googleusercontent.com/gg/' |
       {_AT.format(7000)} AS created_at FROM {{conversations}}
     UNION ALL SELECT {_SID}, 1, 'r1', 'assistant', 'A', {_AT.format(7000)} FROM {{conversations}}
     UNION ALL SELECT {_SID}, 2, 'user-2', 'user', '![n.png](https://lh3.googleusercontent.com/gg/n)' || {NL2} || 'again', {_AT.format(10007000)} FROM {{conversations}}
-    UNION ALL SELECT {_SID}, 3, 'r2', 'assistant', 'B', {_AT.format(10007000)} FROM {{conversations}}""")
+    UNION ALL SELECT {_SID}, 3, 'r2', 'assistant', 'B', {_AT.format(10007000)} FROM {{conversations}}""", heavy=True)
 def parse_gemini(v):
     return payloads.explode_messages(payloads.parse_gemini(gemini_payloads(v))).select(
         "source_id", "pos", "id", "role", "markdown", "created_at")
@@ -140,7 +140,7 @@ def decode_rpc_envelope(v):
 
 @query("collect_nested", """
     SELECT id, 'photo-' || id || '.png' AS name, 'https://lh3.googleusercontent.com/gg/' || id AS url, 'image/png' AS mime, 'image' AS kind FROM {urls_v}
-    UNION ALL SELECT id, 'r' || id || '.pdf', 'https://f/' || id, NULL, 'document' FROM {urls_v}""")
+    UNION ALL SELECT id, 'r' || id || '.pdf', 'https://f/' || id, NULL, 'document' FROM {urls_v}""", heavy=True)
 def collect_nested(v):
     sid = c("id").cast("string")
     text = F.concat(F.lit('[["x",[1,[["photo-'), sid, F.lit('.png","https://lh3.googleusercontent.com/gg/'), sid, F.lit('","image/png",["deep.pdf","https://no"]]]],'
@@ -174,14 +174,14 @@ _TIDY = d.jtrim(d.gsub(d.gsub(d.gsub("text", r"(?m)[ \t]+$", "''"), r"(?m)^[ \t]
       CAST(NULL AS VARCHAR) AS created_at FROM {{conversations}}
     UNION ALL SELECT {_SID}, 1, 'assistant-2', 'assistant', {_DRIVE} || {NL2} || '> [thinking]' || chr(10) || '> Plan' || chr(10) || '>' || chr(10)
       || '> more', NULL FROM {{conversations}}
-    UNION ALL SELECT {_SID}, 2, 'assistant-3', 'assistant', 'Done', {_AT.format(5000)} FROM {{conversations}}""")
+    UNION ALL SELECT {_SID}, 2, 'assistant-3', 'assistant', 'Done', {_AT.format(5000)} FROM {{conversations}}""", heavy=True)
 def parse_aistudio(v):
     return payloads.explode_messages(payloads.parse_aistudio(aistudio_payloads(v))).select(
         "source_id", "pos", "id", "role", "markdown", "created_at")
 
 
 @query("turn_timestamp", """
-    SELECT id, (1700000000 + id) * 1000 + 5 AS at FROM {times_v}""")
+    SELECT id, (1700000000 + id) * 1000 + 5 AS at FROM {times_v}""", heavy=True)
 def turn_timestamp(v):
     text = F.concat(F.lit('["t",[[1600000000,1],["'), c("pair_s"), F.lit('",5000000],[99999999999,1]],{"x":[1900000000,0]}]'))
     return v.times_v.select("id", F.get(nested.turn_timestamp_ms(F.array(text)), 0).alias("at"))
@@ -189,7 +189,7 @@ def turn_timestamp(v):
 
 @query("parse_with_adapters", """
     SELECT 'chatgpt' AS platform, count(*) * 2 AS messages FROM {conversations} UNION ALL SELECT 'deepseek', count(*) * 2 FROM {conversations}
-    UNION ALL SELECT 'gemini', count(*) * 4 FROM {conversations} UNION ALL SELECT 'aistudio', count(*) * 3 FROM {conversations}""")
+    UNION ALL SELECT 'gemini', count(*) * 4 FROM {conversations} UNION ALL SELECT 'aistudio', count(*) * 3 FROM {conversations}""", heavy=True)
 def parse_with_adapters(v):
     hosts = {"chatgpt": "https://chatgpt.com/c/1", "deepseek": "https://chat.deepseek.com/a/chat/s/1",
              "gemini": "https://gemini.google.com/app/1", "aistudio": "https://aistudio.google.com/prompts/1"}
@@ -208,7 +208,7 @@ def parse_with_adapters(v):
     UNION ALL SELECT 'aistudio', seq, source_id, 'https://aistudio.google.com/prompts/' || source_id, coalesce(title, 'untold'),
       '2023-11-14T22:13:20.005Z' FROM {discovery_v}
     UNION ALL SELECT 'gemini', seq, source_id, 'https://gemini.google.com/app/' || source_id, coalesce(title, 'untold'), '2023-11-14T22:13:20.005Z'
-      FROM {discovery_v}""")
+      FROM {discovery_v}""", heavy=True)
 def parse_discovery(v):
     named = F.coalesce("title", F.lit("untold"))
     item = F.to_json(F.struct(c("source_id").alias("id"), "title", c("source_updated_at").alias("updated_at")))
@@ -238,7 +238,7 @@ def read_history_pages(v):
 _BAD = "CASE CAST(seq % 6 AS INT) WHEN 1 THEN 'bundle.platform' WHEN 2 THEN 'bundle.participants' WHEN 3 THEN 'bundle.extractedAt' WHEN 4 THEN 'client' END"
 
 
-@query("read_ingest", f"SELECT seq, {_BAD} AS reason FROM {{ingest_v}}")
+@query("read_ingest", f"SELECT seq, {_BAD} AS reason FROM {{ingest_v}}", heavy=True)
 def read_ingest(v):
     bad = c("seq") % 6
     people = F.when(bad == 2, F.array().cast("array<struct<id:string,role:string,name:string>>")).otherwise(
@@ -292,7 +292,7 @@ _ENC = "replace(replace(replace(replace(replace(url_encode(h), '%2F', '/'), '%2C
           FROM (SELECT page_id, url, n, regexp_extract(tags[n], 'href="([^"]*)"', 1) AS h, inners[n] AS inner_html
                 FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS n FROM (SELECT page_id, url,
                   regexp_extract_all(html, {d.rx(_A)}, 1) AS tags, regexp_extract_all(html, {d.rx(_A)}, 2) AS inners FROM {{pages}}) AS p) AS q) AS r
-          WHERE h <> '') AS s WHERE source_id <> '' GROUP BY page_id, source_id""")
+          WHERE h <> '') AS s WHERE source_id <> '' GROUP BY page_id, source_id""", heavy=True)
 def page_links(v):
     return pages.page_links(v.pages, r"/([^/?#]+)\z").select("page_id", "source_id", "url", "title", "seq")
 
@@ -303,7 +303,7 @@ _TITLE = d.collapse(_unescape("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</
 
 @query("page_title", f"""
     SELECT page_id, coalesce(nullif({_H1}, ''), nullif({_TITLE}, '')) AS title, coalesce({d.norm_title(_TITLE, "''")}) AS named
-    FROM {{pages}}""")
+    FROM {{pages}}""", heavy=True)
 def page_title(v):
     named = pages.page_title(v.pages, "Google Gemini", heading=r"(?is)<h9>(.*?)</h9>").withColumnRenamed("title", "named")
     return pages.page_title(v.pages, "ChatGPT", strict=False).join(named, "page_id")
@@ -315,12 +315,12 @@ def _chrome(x: str) -> str:
     return f"regexp_replace({x}, '(?is)<input\\b[^>]*>', '', 'g')"
 
 
-@query("strip_page_chrome", f"SELECT page_id, {_chrome('html')} AS html FROM {{pages}}")
+@query("strip_page_chrome", f"SELECT page_id, {_chrome('html')} AS html FROM {{pages}}", heavy=True)
 def strip_page_chrome(v):
     return v.pages.select("page_id", pages.strip_page_chrome(c("html")).alias("html"))
 
 
-@query("pages_to_blocks")
+@query("pages_to_blocks", heavy=True)
 def pages_to_blocks(v):
     return pages.pages_to_blocks(v.pages)
 
@@ -333,7 +333,7 @@ _FLAT = r"trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))"
            CASE n WHEN 0 THEN 'user' ELSE 'assistant' END AS role,
            CASE n WHEN 0 THEN {_FLAT} ELSE '## Answer' || {NL2} || '-   **' || role || '**' || {NL2} || '```sql' || chr(10) || 'SELECT ' || turn
              || chr(10) || '```' END AS markdown
-    FROM {{conversations}}, (VALUES (0), (1)) AS t(n) WHERE n = 1 OR {_FLAT} <> ''""")
+    FROM {{conversations}}, (VALUES (0), (1)) AS t(n) WHERE n = 1 OR {_FLAT} <> ''""", heavy=True)
 def blocks_to_turns(v):
     text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     turn = c("turn").cast("string")
@@ -366,7 +366,7 @@ _NORM = d.jtrim(d.gsub(d.gsub("line", r"^[ \t]+|[ \t]+$", "''"), r"[ \t]{2,}", "
 
 @query("drop_adjacent_duplicates", f"""
     SELECT doc_id, pos, t AS markdown FROM (SELECT *, lag(t) OVER (PARTITION BY doc_id ORDER BY pos) AS before
-      FROM (SELECT doc_id, pos, {_NORM} AS t FROM {{lines_v}}) AS x WHERE t <> '') AS y WHERE before IS DISTINCT FROM t""", {"lines_v": _LINES})
+      FROM (SELECT doc_id, pos, {_NORM} AS t FROM {{lines_v}}) AS x WHERE t <> '') AS y WHERE before IS DISTINCT FROM t""", {"lines_v": _LINES}, heavy=True)
 def drop_adjacent_duplicates(v):
     return pages.drop_adjacent_duplicates(_line_blocks(v), ["doc_id"])
 
@@ -379,7 +379,7 @@ def distinct_blocks(v):
 
 
 @query("page_settings", f"""
-    SELECT page_id, 'Temperature ' || {_H1} AS temperature, 'm' || page_id AS model, 'Search' AS tool FROM {{pages}}""")
+    SELECT page_id, 'Temperature ' || {_H1} AS temperature, 'm' || page_id AS model, 'Search' AS tool FROM {{pages}}""", heavy=True)
 def page_settings(v):
     panel = F.concat(F.lit('<div data-test-id="model-name"> m'), c("page_id").cast("string"),
                      F.lit('</div><div class="settings-item"><h3> Temperature </h3><b>'), F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1),
@@ -418,7 +418,7 @@ _REWRITTEN = """
     LEFT JOIN {paths_of_v} AS f ON m.platform = f.platform AND m.source_id = f.source_id AND f.phase = 1 AND contains(m.markdown, '](' || f.target || ')')"""
 
 
-@query("rewrite_asset_links", "SELECT platform, source_id, pos, markdown FROM {rewritten_v}", {**ASSETS, "rewritten_v": _REWRITTEN})
+@query("rewrite_asset_links", "SELECT platform, source_id, pos, markdown FROM {rewritten_v}", {**ASSETS, "rewritten_v": _REWRITTEN}, heavy=True)
 def rewrite_asset_links(v):
     made = assets.embedded_assets(v.messages_v)
     return assets.rewrite_asset_links(v.messages_v, made).select(*KEY, "pos", "markdown")
@@ -438,7 +438,7 @@ def linked_attachments(v):
 @query("restore_failed_assets", """
     SELECT r.platform, r.source_id, r.pos, CASE WHEN a.path IS NULL THEN r.markdown ELSE replace(r.markdown, '](' || a.path || ')', '](' || a.target || ')') END AS markdown
     FROM {rewritten_v} AS r LEFT JOIN {paths_of_v} AS a ON a.platform = r.platform AND a.source_id = r.source_id AND a.phase = 1""",
-       {**ASSETS, "rewritten_v": _REWRITTEN})
+       {**ASSETS, "rewritten_v": _REWRITTEN}, heavy=True)
 def restore_failed_assets(v):
     made = assets.embedded_assets(v.messages_v)
     failed = made.where("mime_type = 'application/octet-stream'").select(*KEY, "path", "source_url")
@@ -454,7 +454,7 @@ def restore_failed_assets(v):
     LEFT JOIN (SELECT platform, source_id, count(*) AS n, arg_min(path, asset_no) AS first_path FROM {{paths_of_v}} GROUP BY 1, 2) AS a
       ON b.platform = a.platform AND b.source_id = a.source_id
     LEFT JOIN (SELECT platform, source_id, count(*) AS files FROM {{links_v}} WHERE phase = 1 AND target <> '' GROUP BY 1, 2) AS l
-      ON b.platform = l.platform AND b.source_id = l.source_id""", {**ASSETS, "rewritten_v": _REWRITTEN})
+      ON b.platform = l.platform AND b.source_id = l.source_id""", {**ASSETS, "rewritten_v": _REWRITTEN}, heavy=True)
 def prepare_bundles(v):
     rows = v.bundles_v.withColumn("revision", F.concat(F.lit("r-"), "source_id")).withColumn("meta", F.to_json(F.struct("model")))
     out = assets.prepare_bundles(rows, v.messages_v, "1.0")["bundles"]

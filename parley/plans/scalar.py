@@ -23,7 +23,7 @@ c = F.col
              || '::' || coalesce(source_updated_at, '') || '::' || coalesce(lines, '')) AS revision
     FROM {bundles_v} AS b LEFT JOIN (
       SELECT platform, source_id, string_agg(id || ':' || role || ':' || markdown, chr(10) ORDER BY pos) AS lines
-      FROM {messages_v} GROUP BY 1, 2) AS m ON b.platform = m.platform AND b.source_id = m.source_id""")
+      FROM {messages_v} GROUP BY 1, 2) AS m ON b.platform = m.platform AND b.source_id = m.source_id""", heavy=True)
 def bundle_revision(v):
     return conversations.revise(v.bundles_v, v.messages_v)
 
@@ -64,7 +64,7 @@ def generic_titles(v):
         tx.is_opaque_id(c("source_id")).alias("is_opaque_source"))
 
 
-@query("strip_markdown", f"SELECT platform, source_id, pos, {d.strip_md('markdown')} AS flat FROM {{messages_v}}")
+@query("strip_markdown", f"SELECT platform, source_id, pos, {d.strip_md('markdown')} AS flat FROM {{messages_v}}", heavy=True)
 def strip_markdown(v):
     return v.messages_v.select(*KEY, "pos", tx.strip_markdown(c("markdown")).alias("flat"))
 
@@ -158,7 +158,7 @@ def show_timestamp(v):
 
 @query("estimate_tokens", f"""
     SELECT doc_id, n AS tokens, {d.token_label('n')} AS label
-    FROM (SELECT doc_id, {d.tokens('text')} AS n FROM {{documents}}) AS x""")
+    FROM (SELECT doc_id, {d.tokens('text')} AS n FROM {{documents}}) AS x""", heavy=True)
 def estimate_tokens(v):
     n = tx.estimate_tokens(c("text"))
     return v.documents.select("doc_id", n.alias("tokens"), tx.format_token_count(n).alias("label"))
@@ -175,7 +175,7 @@ def format_file_size(v):
 
 
 @query("path_segment", f"""
-    SELECT platform, source_id, pos, {d.segment('left(markdown, 90)')} AS segment FROM {{messages_v}}""")
+    SELECT platform, source_id, pos, {d.segment('left(markdown, 90)')} AS segment FROM {{messages_v}}""", heavy=True)
 def path_segment(v):
     return v.messages_v.select(*KEY, "pos", tx.path_segment(F.substring("markdown", 1, 90)).alias("segment"))
 
@@ -283,7 +283,7 @@ def classify_urls(v):
           lambda u: '![' || regexp_extract(u, '([^/?]*)(\?.*)?$', 1) || '](' || u || ')'),
         list_transform(list_filter({_URLS}, lambda u: NOT regexp_matches(u, {_IMG}) AND regexp_matches(u, {_DOC})),
           lambda u: '> [attachment] [' || regexp_extract(u, '([^/?]*)(\?.*)?$', 1) || '](' || u || ')')) AS blocks
-      FROM {{messages_v}}) AS m""")
+      FROM {{messages_v}}) AS m""", heavy=True)
 def append_url_attachments(v):
     return v.messages_v.select(*KEY, "pos", ur.append_url_attachments(c("markdown")).alias("markdown"))
 
@@ -313,7 +313,7 @@ _API = d.jtrim(d.gsub(d.gsub(d.gsub("markdown", r"(?m)[ \t]+$", "''"), r"(?m)^[
 
 @query("normalize_prompt_text", f"""
     SELECT platform, source_id, pos, {_API} AS api_text, {d.gsub(_API, "[ " + chr(92) + "t]{2,}", "' '")} AS page_text
-    FROM {{messages_v}}""")
+    FROM {{messages_v}}""", heavy=True)
 def normalize_prompt_text(v):
     return v.messages_v.select(*KEY, "pos", md.normalize_prompt_text(c("markdown")).alias("api_text"),
                                md.normalize_prompt_text(c("markdown"), dom=True).alias("page_text"))

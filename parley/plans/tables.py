@@ -215,7 +215,7 @@ MERGE = {**LAST, "plan_v": """
           FROM {{queue_v}} AS q LEFT JOIN {{plan_v}} AS p ON q.key = p.target) AS q
     UNION ALL
     SELECT e_key, platform, source_id, url, title, source_updated_at, source_updated_label, revision_fingerprint, 'retry', NULL,
-           'pending', 0, NULL, '{NOW}', '{NOW}' FROM {{plan_v}} WHERE target IS NULL""", MERGE)
+           'pending', 0, NULL, '{NOW}', '{NOW}' FROM {{plan_v}} WHERE target IS NULL""", MERGE, heavy=True)
 def merge_queue(v):
     events = discovery.dedupe_last(v.discovery_v)
     out = queue.merge_queue(v.queue_v, events, NOW, priority="retry", force=True)
@@ -223,7 +223,7 @@ def merge_queue(v):
         "pos", "kind", "error_code", "skip_reason", "result_revision")])
 
 
-@query("fold_queue")
+@query("fold_queue", heavy=True)
 def fold_queue(v):
     return queue.fold_queue(v.queue_v, v.discovery_v, NOW, priority="backfill", force=True)
 
@@ -605,7 +605,7 @@ def prune_archive(v):
 @query("verify_presence", """
     SELECT platform, source_id, revision, CASE WHEN live THEN here END AS present,
            CASE WHEN NOT live THEN local_status WHEN NOT here THEN 'missing' WHEN local_status = 'skipped_existing' THEN 'skipped_existing'
-             ELSE 'present' END AS local_status, is_latest AND (NOT live OR here) AS is_latest FROM {present_v}""", ART)
+             ELSE 'present' END AS local_status, is_latest AND (NOT live OR here) AS is_latest FROM {present_v}""", ART, heavy=True)
 def verify_presence(v):
     return artifacts.verify_presence(v.artifacts_v, v.files_v).select(*KEY, "revision", "present", "local_status", "is_latest")
 
@@ -631,7 +631,7 @@ _MISSING = """
     SELECT i.platform, i.source_id, CASE WHEN m.source_id IS NOT NULL THEN 'pending' ELSE i.export_state END AS export_state,
            CASE WHEN m.source_id IS NOT NULL THEN i.latest_discovery_fingerprint END AS requeued
     FROM {artifact_index_v} AS i LEFT JOIN {missing_v} AS m ON i.platform = m.platform AND i.source_id = m.source_id""",
-       {**ART, "missing_v": _MISSING})
+       {**ART, "missing_v": _MISSING}, heavy=True)
 def missing_latest(v):
     index, events = artifacts.missing_latest(artifacts.verify_presence(v.artifacts_v, v.files_v), v.artifact_index_v)
     requeued = events.select(*KEY, c("revision_fingerprint").alias("requeued"))
@@ -654,7 +654,7 @@ DISK = {**ART,
 
 @query("import_bundles", """
     SELECT platform, source_id, revision, exported_at,
-           coalesce(local_status, 'present') AS local_status, imported FROM {merged_v}""", DISK)
+           coalesce(local_status, 'present') AS local_status, imported FROM {merged_v}""", DISK, heavy=True)
 def import_bundles(v):
     checked = artifacts.verify_presence(v.artifacts_v, v.files_v).select(*v.artifacts_v.columns)
     made = artifacts.import_bundles(v.disk_v, checked, v.artifact_index_v, v.files_v)
@@ -680,7 +680,7 @@ def final_requeue(v):
     SELECT (SELECT count(*) FROM {present_v} WHERE live) AS verified,
            (SELECT count(*) FROM (SELECT platform, source_id, revision FROM {present_v} WHERE live AND NOT here
               UNION SELECT platform, source_id, revision FROM {disk_seen_v} WHERE NOT md) AS m) AS missing,
-           (SELECT count(*) FROM {merged_v} WHERE imported) AS imported""", DISK)
+           (SELECT count(*) FROM {merged_v} WHERE imported) AS imported""", DISK, heavy=True)
 def reconcile_summary(v):
     return artifacts.reconcile(v.artifacts_v, v.artifact_index_v, v.disk_v, v.files_v)["summary"]
 
@@ -689,7 +689,7 @@ def reconcile_summary(v):
     SELECT a.platform, a.source_id, a.revision, a.local_status, coalesce(b.revision = a.revision, false) AS is_latest
     FROM {merged_v} AS a LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform, source_id
         ORDER BY exported_at DESC, imported, apos, revision) AS rk FROM {merged_v} WHERE coalesce(local_status, '') NOT IN ('deleted', 'archived'))
-      AS x WHERE rk = 1) AS b ON a.platform = b.platform AND a.source_id = b.source_id""", DISK)
+      AS x WHERE rk = 1) AS b ON a.platform = b.platform AND a.source_id = b.source_id""", DISK, heavy=True)
 def reconcile(v):
     out = artifacts.reconcile(v.artifacts_v, v.artifact_index_v, v.disk_v, v.files_v)
     return out["artifacts"].select(*KEY, "revision", "local_status", "is_latest")
@@ -713,7 +713,7 @@ _RES_TITLE = ("CASE WHEN r.title <> 'ChatGPT' THEN r.title WHEN i.title IS NOT N
            CASE WHEN r.export_state = 'exported' THEN r.revision ELSE i.latest_export_revision END AS latest_export_revision,
            coalesce(r.export_state, i.export_state) AS export_state,
            CASE WHEN r.url IS NULL THEN i.last_seen_at ELSE '{NOW}' END AS last_seen_at
-    FROM {{artifact_index_v}} AS i LEFT JOIN {{res_v}} AS r ON i.platform = r.platform AND i.source_id = r.source_id""", RESULTS)
+    FROM {{artifact_index_v}} AS i LEFT JOIN {{res_v}} AS r ON i.platform = r.platform AND i.source_id = r.source_id""", RESULTS, heavy=True)
 def mark_export_result(v):
     out = artifacts.mark_export_result(v.artifact_index_v, _results(v), NOW)
     return out.select(*KEY, "title", "url", "latest_source_updated_at", "latest_export_revision", "export_state", "last_seen_at")
@@ -797,7 +797,7 @@ _WEB = ("coalesce(epoch_ms(latest_source_updated_at::TIMESTAMP), CASE WHEN lates
 
 @query("sort_queue", f"""
     SELECT pos, key FROM (SELECT q.*, {_WEB} AS w FROM {{queue_v}} AS q LEFT JOIN {{index_v}} AS i ON q.platform = i.platform
-      AND q.source_id = i.source_id) AS s ORDER BY w DESC, updated_at DESC, pos""")
+      AND q.source_id = i.source_id) AS s ORDER BY w DESC, updated_at DESC, pos""", heavy=True)
 def sort_queue(v):
     return analytics.sort_queue(v.queue_v, v.index_v, v.artifacts_v, "website_time", "desc", F.lit(NOW)).select("pos", "key")
 

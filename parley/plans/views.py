@@ -279,18 +279,26 @@ def duck_sql(sql: str) -> str:
 class Views:
     """The base tables and derived views of one scale directory, as lazy DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, heavy: bool = False):
         # The texts are compared with a UTC oracle.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.heavy = spark, sf_dir, heavy
         self._made: dict[str, DataFrame] = {}
 
+    def _spread(self, table: DataFrame) -> DataFrame:
+        """For heavy work per row: a table of fewer files than cores is read by too few tasks, so it is dealt out.
+
+        Only the file list is looked at. A table of many files keeps its partitions and is not shuffled.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if self.heavy and len(table.inputFiles()) < cores else table
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in VIEWS and name not in TABLES):
             raise AttributeError(name)
         if name not in self._made:
             if name in TABLES:
-                made = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                made = self._spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
             else:
                 sql = VIEWS[name]
                 made = self.spark.sql(spark_sql(sql), **{n: getattr(self, n) for n in _names(sql)})

@@ -11,7 +11,7 @@ from parley import schemas
 from parley.functions import text as tx
 from parley.functions.identity import HASH_VERSION
 from parley.functions.urls import PLATFORMS
-from parley.operators import KEY, analytics
+from parley.operators import KEY, analytics, settled
 from parley.operators.archive import archive_paths
 from parley.operators.payloads import _first_present, parse_discovery, v_array, v_get
 
@@ -144,7 +144,7 @@ DATETIME = r"^\d{4}-\d\d-\d\dT\d\d:\d\d(?::\d\d(?:\.\d+)?)?Z\z"
 
 def read_ingest(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejects) of request bodies (seq, body). Rejects name the first rule that fails."""
-    rows = bodies.withColumn("r", F.from_json("body", schemas.INGEST)).withColumn("b", c("r.bundle"))
+    rows = settled(bodies, "r", F.from_json("body", schemas.INGEST)).withColumn("b", c("r.bundle"))
     b = c("b")
 
     def blank(x: Column) -> Column:
