@@ -28,7 +28,7 @@ class PageBlocks(HTMLParser):
         self.skip = 0
         self.lists: list[int | None] = []
         self.turns, self.turn = 0, None
-        self.pre, self.table, self.latex = None, None, None
+        self.pre, self.table, self.latex, self.thought = None, None, None, None
 
     def flush(self) -> None:
         body = re.sub(r"[ \t\r\n]+", " ", "".join(self.text)).replace(" \0 ", "  \n").replace("\0", "  \n").strip()
@@ -39,6 +39,7 @@ class PageBlocks(HTMLParser):
 
     def emit(self, kind: str, markdown: str) -> None:
         quote = "> " if any(t == "blockquote" for t, _ in self.open) else ""
+        kind = "thought" if self.thought is not None else kind
         self.rows.append((len(self.rows), kind, "\n".join(quote + x for x in markdown.split("\n")), self.turn))
 
     def handle_starttag(self, tag: str, attributes: list) -> None:
@@ -71,6 +72,9 @@ class PageBlocks(HTMLParser):
             self.turn[2] = role
         if tag == "time" and self.turn and at.get("datetime"):
             self.turn[3] = self.turn[3] or at["datetime"]
+        if tag == "ms-thought-chunk" and self.thought is None:
+            self.flush()
+            self.thought = len(self.open)
         closing = None
         if self.pre is not None:
             found = re.search(r"language-([\w-]+)", at.get("class", ""))
@@ -164,6 +168,9 @@ class PageBlocks(HTMLParser):
             self.lists = self.lists[:-1]
         elif tag in BREAKING or tag == "li" or re.fullmatch("h[1-6]", tag):
             self.flush()
+        if self.thought is not None and len(self.open) - 1 == self.thought:
+            self.flush()
+            self.thought = None
         if ends_turn:
             self.flush()
             self.turn = None

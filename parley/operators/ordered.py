@@ -35,9 +35,10 @@ def without(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
     return rows if keys is None else rows.join(keys, KEY, "left_anti")
 
 
-def ordered_texts(order: Column, text: Column) -> Column:
+def ordered_texts(order: Column, text: Column, where: Column | None = None) -> Column:
     """Texts of a group in ``order`` (collect_list alone has no order after a shuffle)."""
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
+    row = F.struct(order.alias("o"), text.alias("t"))
+    rows = F.array_sort(F.collect_list(row if where is None else F.when(where, row)))
     return F.transform(rows, lambda r: r["t"])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions.html import COLUMNS, PageBlocks
-from parley.functions.markdown import normalize_prompt_text
+from parley.functions.markdown import format_thinking, normalize_prompt_text
 from parley.functions.text import blank_to_null, collapse, js_trim, normalize_title
 from parley.functions.times import extract_time_label
 from parley.functions.urls import canonical_url, resolve_url
@@ -115,11 +115,18 @@ def infer_role(attribute_value: Column) -> Column:
 
 
 def blocks_to_turns(blocks: DataFrame) -> DataFrame:
-    """(page_id, turn, id, role, markdown, created_at): turns with ink, in page order."""
-    body = F.array_join(ordered_texts(c("pos"), c("markdown")), "\n\n")
+    """(page_id, turn, id, role, markdown, created_at): turns with ink, in page order.
+
+    A turn's thoughts come first, quoted as thinking. A group is one turn of one page row.
+    """
+    thought = c("kind") == "thought"
+    thoughts = F.array_join(ordered_texts(c("pos"), c("markdown"), thought), "\n\n")
+    said = F.array_join(ordered_texts(c("pos"), c("markdown"), ~thought), "\n\n")
     rows = blocks.where("turn >= 0").groupBy("page_id", "turn").agg(
         F.max("turn_id").alias("turn_id"), F.max("role").alias("role"), F.max("created_at").alias("created_at"),
-        body.alias("markdown")).where(js_trim(c("markdown")) != "")
+        thoughts.alias("thoughts"), said.alias("said"))
+    quoted = format_thinking(blank_to_null(c("thoughts")), "aistudio")
+    rows = rows.withColumn("markdown", F.concat_ws("\n\n", quoted, blank_to_null(c("said")))).where(js_trim(c("markdown")) != "")
     role = infer_role(c("role"))
     made = F.concat(role, F.lit("-"), (c("turn") + 1).cast("string"))
     return rows.select("page_id", "turn", F.coalesce("turn_id", made).alias("id"), role.alias("role"), "markdown", "created_at")

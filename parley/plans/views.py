@@ -208,13 +208,12 @@ VIEWS: dict[str, str] = {
                '{{{{"platform":"' || {_PLATFORM.format("user_id % 7")} || '","sourceId":"user-' || user_id
                  || '","k":' || regexp_extract(props, '([0-9]+)', 1) || '}}}}' AS details
         FROM {{events}}""",
-    # A reply tree per customer: each order answers the previous one; every fifth is a side branch.
-    # lag() takes a constant offset, so the tree picks between two lags.
+    # Reply trees of 64 events: each event answers the one before it; every fifth skips one, which leaves a side branch.
     "tree_v": """
-        SELECT o_custkey AS conv, o_orderkey AS node,
-               CASE WHEN o_orderkey % 5 = 0 THEN lag(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)
-                 ELSE lag(o_orderkey, 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS parent
-        FROM {orders}""",
+        SELECT CAST(floor(event_id / 64) AS BIGINT) AS conv, event_id AS node,
+               CASE WHEN event_id % 64 = 0 THEN NULL WHEN event_id % 5 = 0 AND event_id % 64 > 1 THEN event_id - 2
+                 ELSE event_id - 1 END AS parent
+        FROM {events}""",
     # Addresses of every kind the URL helpers tell apart.
     "urls_v": """
         SELECT event_id AS id, CASE CAST(event_id % 9 AS INT)
