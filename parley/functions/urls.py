@@ -42,6 +42,8 @@ def percent_encode(part: Column) -> Column:
 def canonical_url(url: Column, drop: Sequence[str] = MARKER_PARAMS) -> Column:
     """The address without the marker parameters, its query written in form encoding."""
     origin = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1))
+    # A port that is the scheme's own is not written.
+    origin = F.regexp_replace(origin, r"^(http://.*):80\z|^(https://.*):443\z", "$1$2")
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     path = F.when(path == "", "/").otherwise(percent_encode(path))
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)

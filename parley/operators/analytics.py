@@ -17,7 +17,9 @@ SORT_KEYS = ("title", "source_id", "status", "priority", "attempts", "discovered
 
 
 def _detail(name: str) -> Column:
-    return F.get_json_object("details", f"$.{name}")
+    """A member of the details that is a text."""
+    value = F.try_variant_get(F.try_parse_json("details"), f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
 
 
 def log_context(logs: DataFrame) -> DataFrame:

@@ -325,7 +325,7 @@ def import_bundles(disk: DataFrame, artifacts: DataFrame, index: DataFrame, file
     requeue = dedupe_coalesce(requeue).drop("seq", "first_seq")
     return {"artifacts": table, "index": settled, "requeue": requeue,
             "found": verdict.where("md_present").select(*KEY),
-            "missing": by_rev.where(~c("md_present")).select(*REV)}
+            "missing": rows.where(~c("md_present")).select(*REV)}
 
 
 def recompute_latest(artifacts: DataFrame, platforms: Sequence[str] = PLATFORMS) -> DataFrame:

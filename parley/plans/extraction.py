@@ -13,6 +13,7 @@ from parley.plans import duck as d
 from parley.plans.catalog import query
 from parley.plans.views import NOW
 from parley.sources import files
+from parley.streaming import buffers
 from parley.streaming import tables as streams
 
 c = F.col
@@ -325,6 +326,12 @@ def pages_to_blocks(v):
     return pages.pages_to_blocks(v.pages)
 
 
+@query("page_headings", f"""
+    SELECT page_id, '# ' || {_H1} AS markdown FROM {{pages}}""", heavy=True)
+def page_headings(v):
+    return pages.pages_to_blocks(v.pages).where("kind = 'heading'").select("page_id", "markdown")
+
+
 _FLAT = r"trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))"
 
 
@@ -471,6 +478,16 @@ def platform_windows(v):
     return streams.platform_windows(rows, "1 day").select("platform", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "status", "n")
 
 
+@query("discovery_sessions", """
+    SELECT platform, source_id, max(seq) AS seq, arg_max(revision, seq) AS revision FROM (
+      SELECT *, sum(CASE WHEN before IS NULL OR t - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY platform, source_id ORDER BY t, seq) AS nth
+      FROM (SELECT *, lag(t) OVER (PARTITION BY platform, source_id ORDER BY t, seq) AS before
+            FROM (SELECT *, extracted_at::TIMESTAMP AS t FROM {ingest_v}) AS x) AS y) AS z GROUP BY platform, source_id, nth""")
+def discovery_sessions(v):
+    events = v.ingest_v.select(*KEY, "seq", "revision", c("extracted_at").try_cast("timestamp").alias("at"))
+    return buffers.discovery_sessions(events, "6 hours").select(*KEY, "seq", "revision")
+
+
 @query("url_hosts", "SELECT id, regexp_extract(url, '://([^:/?#]*)', 1) AS host FROM {urls_v}")
 def url_hosts(v):
     return v.urls_v.select("id", ur.host_of(c("url")).alias("host"))

@@ -70,7 +70,7 @@ def strip_markdown(v):
 
 
 @query("canonical_url", r"""
-    SELECT id, lower(origin) || CASE WHEN path = '' THEN '/' ELSE path END
+    SELECT id, regexp_replace(lower(origin), '^(http://.*):80$', '\1') || CASE WHEN path = '' THEN '/' ELSE path END
            || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END || fragment AS url
     FROM (SELECT id, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*') AS origin,
                  regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path,
