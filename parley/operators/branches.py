@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.session import cut_lineage
+from parley.session import cut_lineage, release
 
 
 def active_branch(nodes: DataFrame, heads: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -25,7 +25,9 @@ def active_branch(nodes: DataFrame, heads: DataFrame, max_rounds: int = 40) -> D
         step = branch.join(jump, ["conv", "node"]).select(
             "conv", F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth"))
         # A node reached twice closes a cycle: the first visit counts.
-        branch = cut_lineage(branch.unionByName(step).groupBy("conv", "node").agg(F.min("depth").alias("depth")))
+        before, branch = branch, cut_lineage(
+            branch.unionByName(step).groupBy("conv", "node").agg(F.min("depth").alias("depth")))
+        release(before)
         size = branch.count()
         if size == known:
             break
@@ -33,8 +35,9 @@ def active_branch(nodes: DataFrame, heads: DataFrame, max_rounds: int = 40) -> D
         # Only conversations that still grow need the longer jumps; without any the branches are whole.
         growing = branch.where(F.col("depth") >= (1 << k)).select("conv").distinct()
         above = jump.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"))
-        jump = cut_lineage(jump.join(growing, "conv", "left_semi").join(above, ["conv", "up"]).select(
+        before, jump = jump, cut_lineage(jump.join(growing, "conv", "left_semi").join(above, ["conv", "up"]).select(
             "conv", "node", F.col("up2").alias("up")))
+        release(before)
         if jump.isEmpty():
             break
     else:

@@ -44,8 +44,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder and read back.
 
     A written table outlives the executors that made it, and its size is known to the joins above.
-    Its folder may be removed when the job that reads it is done.
+    `release` removes it when nothing reads it any more.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._cut_path = path
+    return made
+
+
+def release(df: DataFrame) -> None:
+    """Remove the folder behind a frame that `cut_lineage` returned; other frames are left alone."""
+    path = getattr(df, "_cut_path", None)
+    if path is not None:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
