@@ -120,7 +120,9 @@ def rewrite_asset_links(messages: DataFrame, assets: DataFrame) -> DataFrame:
 def restore_failed_assets(messages: DataFrame, assets: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages, assets): links to failed assets (KEY, path, source_url) lead to their source again; their rows go."""
     known = failed.where(c("source_url").isNotNull())
-    mapping = known.select(*KEY, F.sha2("path", 256).alias("target_hash"), c("source_url").alias("to"))
+    # Two files of one title share a path; the later one's source is taken.
+    order = c("asset_no") if "asset_no" in failed.columns else c("source_url")
+    mapping = known.groupBy(*KEY, F.sha2("path", 256).alias("target_hash")).agg(F.max_by("source_url", order).alias("to"))
     target = r"\]\(([^)]*)\)"
     links = messages.select(*KEY, "pos", F.explode(F.regexp_extract_all("markdown", F.lit(target), F.lit(1))).alias("t")).select(
         *KEY, "pos", F.sha2("t", 256).alias("target_hash"))
@@ -128,7 +130,8 @@ def restore_failed_assets(messages: DataFrame, assets: DataFrame, failed: DataFr
     step = _rewrite(c("markdown"), target, lambda p: F.regexp_extract(p, target, 1),
                     lambda p, to: F.concat(F.lit("]("), to, F.lit(")")))
     restored = rows.withColumn("markdown", F.when(c("_map").isNull(), c("markdown")).otherwise(step)).select(*messages.columns)
-    return restored, assets.join(known.select(*KEY, "path"), [*KEY, "path"], "left_anti").select(*assets.columns)
+    gone = known.select(*KEY, "path").distinct()
+    return restored, assets.join(gone, [*KEY, "path"], "left_anti").select(*assets.columns)
 
 
 ATTACHMENT_COLUMNS = ["message_id", "kind", "title", "mime_type", "source_url", "resource_id"]

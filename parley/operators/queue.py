@@ -270,5 +270,11 @@ def apply_failures(queue: DataFrame, classified: DataFrame, now: str) -> DataFra
     return _edit(rows, p.isNotNull(), {**changes, "worker_id": _null()}, now).select(*queue.columns)
 
 
+def mark_failure_states(index: DataFrame, classified: DataFrame) -> DataFrame:
+    """The index after failures: retried conversations are pending, the others failed."""
+    states = classified.groupBy(*KEY).agg(F.max("index_state").alias("_state"))
+    return index.join(states, KEY, "left").withColumn("export_state", F.coalesce("_state", "export_state")).select(*index.columns)
+
+
 def reset_in_flight(queue: DataFrame, now: str) -> DataFrame:
     return _edit(queue, F.col("status") == "processing", {"status": F.lit("pending"), "worker_id": _null()}, now)

@@ -346,6 +346,37 @@ def classify_failures(v):
         "pos", "status", "next_priority", "last_error", "kept_code", "cooldown_until")
 
 
+_RUNNING = """
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform, source_id, worker_id ORDER BY pos) AS r FROM {queue_v}
+      WHERE status = 'processing') AS x WHERE r = 1"""
+
+
+@query("apply_failures", """
+    SELECT q.pos, q.key, CASE WHEN r.key IS NULL THEN q.status WHEN r.attempts + 1 < 4 THEN 'pending' ELSE 'failed' END AS status,
+           CASE WHEN r.key IS NULL THEN q.priority WHEN r.attempts + 1 < 4 THEN 'retry' ELSE r.priority END AS priority,
+           CASE WHEN r.key IS NULL THEN q.worker_id END AS worker_id,
+           CASE WHEN r.key IS NULL THEN q.last_error WHEN r.attempts + 1 >= 4 THEN 'No tab with id 7' END AS last_error,
+           CASE WHEN r.key IS NULL THEN q.error_code WHEN r.attempts + 1 >= 4 THEN 'worker.receiver_unavailable' END AS error_code
+    FROM {queue_v} AS q LEFT JOIN {running_v} AS r ON q.key = r.key OR (q.status = 'processing' AND q.platform = r.platform
+      AND q.source_id = r.source_id AND q.worker_id = r.worker_id)""", {"running_v": _RUNNING})
+def apply_failures(v):
+    fields = ["key", "attempts", "priority"]
+    running = v.queue_v.where("status = 'processing'").groupBy(*KEY, "worker_id").agg(
+        F.min_by(F.struct(*fields), "pos").alias("r")).select(*KEY, "worker_id", "r.*")
+    failures = running.withColumns({"error": F.lit("No tab with id 7"), "error_code": F.lit(None).cast("string")})
+    out = queue.apply_failures(v.queue_v, queue.classify_failures(failures, NOW, retry_limit=2), NOW)
+    return out.select("pos", "key", "status", "priority", "worker_id", "last_error", "error_code")
+
+
+@query("mark_failure_states", """
+    SELECT i.platform, i.source_id, CASE WHEN f.source_id IS NOT NULL THEN 'failed' ELSE i.export_state END AS export_state
+    FROM {index_v} AS i LEFT JOIN (SELECT DISTINCT platform, source_id FROM {queue_v} WHERE status = 'failed' AND error_code IS NOT NULL) AS f
+      ON i.platform = f.platform AND i.source_id = f.source_id""")
+def mark_failure_states(v):
+    failed = v.queue_v.where("status = 'failed' AND error_code IS NOT NULL").withColumn("error", F.lit("parse failure"))
+    return queue.mark_failure_states(v.index_v, queue.classify_failures(failed, NOW)).select(*KEY, "export_state")
+
+
 @query("reset_in_flight", _changed("status = 'processing'", status="'pending'", worker_id="NULL"))
 def reset_in_flight(v):
     return queue.reset_in_flight(v.queue_v, NOW)

@@ -99,6 +99,10 @@ def test_assets_rewrite_restore(spark):
     back, left = assets.restore_failed_assets(assets.rewrite_asset_links(m, made), made, failed)
     assert back.orderBy("pos").collect()[1].markdown == "again ![dia](assets/01-dia.png) ![z](https://h/z.jpg)"
     assert left.count() == 3
+    twins = m.limit(1).withColumn("markdown", F.lit("> [attachment] [a](https://f/1)\n> [attachment] [a](https://f/2)"))
+    pair = assets.embedded_assets(twins)
+    back, left = assets.restore_failed_assets(assets.rewrite_asset_links(twins, pair), pair, pair)
+    assert back.first().markdown == "> [attachment] [a](https://f/2)\n> [attachment] [a](https://f/2)" and left.count() == 0
 
 
 def test_linked_attachments_and_prepare(spark):
