@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parley.functions.text import IMAGE, INLINE_SPACE, SPACE, SPACE_CHARS, blank_to_null, js_trim
+from parley.functions.text import IMAGE, INLINE_SPACE, SPACE, SPACE_CHARS, blank_to_null, js_trim, let
 
 OPEN, CLOSE, SPLIT = "\ufdd0", "\ufdd1", "\ufdd2"
 CJK = r"\x{3400}-\x{9fff}"
@@ -33,15 +33,23 @@ def wrap_bare_urls(md: Column) -> Column:
 
     First every address is marked whole, so a rule can never start inside one.
     """
-    marked = F.regexp_replace(md, rf"https?://[^<>(){CJK}{SPACE_CHARS}]++", OPEN + "$0" + CLOSE)
-    body = f"{OPEN}([^{CLOSE}]*+){CLOSE}"
-    out = F.regexp_replace(marked, rf"(?<=[A-Za-z0-9{CJK}]){body}(?!>)", "<$1>")
-    out = F.regexp_replace(out, rf"(?<!\]\()(?<!<){body}(?=[{CJK}])", "<$1>")
-    return F.regexp_replace(out, f"[{OPEN}{CLOSE}]", "")
+    def wrapped(text: Column) -> Column:
+        marked = F.regexp_replace(text, rf"https?://[^<>(){CJK}{SPACE_CHARS}]++", OPEN + "$0" + CLOSE)
+        body = f"([^{CLOSE}]*+){CLOSE}"
+        out = F.regexp_replace(marked, rf"{OPEN}(?<=[A-Za-z0-9{CJK}]{OPEN}){body}(?!>)", "<$1>")
+        out = F.regexp_replace(out, rf"{OPEN}(?<!\]\({OPEN})(?<!<{OPEN}){body}(?=[{CJK}])", "<$1>")
+        return F.when(text.contains("://"), F.replace(F.replace(out, F.lit(OPEN)), F.lit(CLOSE))).otherwise(text)
+
+    return let(md, wrapped)
 
 
 def _lines(md: Column) -> Column:
-    return F.regexp_replace(md, "\r\n", "\n")
+    return F.replace(md, F.lit("\r\n"), F.lit("\n"))
+
+
+def _has_thinking(md: Column) -> Column:
+    """A cheap look before the block rules."""
+    return F.lower(md).contains("[thinking]")
 
 
 def _details(block: Column) -> Column:
@@ -53,13 +61,19 @@ def _details(block: Column) -> Column:
 
 def thinking_to_details(md: Column) -> Column:
     marker = rf"(?i)^{SPACE}*>{SPACE}*\[thinking\]{SPACE}*"
-    pieces = F.split(F.regexp_replace(_lines(md), "(?m)" + THINKING_BLOCK, OPEN + "$0" + CLOSE), f"[{OPEN}{CLOSE}]")
-    return F.array_join(F.transform(pieces, lambda piece, i: F.when(
-        i % 2 == 1, _details(F.regexp_replace(piece, marker, ""))).otherwise(piece)), "")
+
+    def folded(text: Column) -> Column:
+        pieces = F.split(F.regexp_replace(text, "(?m)" + THINKING_BLOCK, OPEN + "$0" + CLOSE), f"[{OPEN}{CLOSE}]")
+        out = F.array_join(F.transform(pieces, lambda piece, i: F.when(
+            i % 2 == 1, _details(F.regexp_replace(piece, marker, ""))).otherwise(piece)), "")
+        return F.when(_has_thinking(text), out).otherwise(text)
+
+    return let(_lines(md), folded)
 
 
 def strip_thinking(md: Column) -> Column:
-    return F.regexp_replace(_lines(md), rf"(?m)\n{THINKING_BLOCK}\z|{THINKING_BLOCK}(?:\n|\z)", "")
+    block = rf"(?m)\n{THINKING_BLOCK}\z|{THINKING_BLOCK}(?:\n|\z)"
+    return let(_lines(md), lambda text: F.when(_has_thinking(text), F.regexp_replace(text, block, "")).otherwise(text))
 
 
 def strip_attachments(md: Column) -> Column:
@@ -81,9 +95,12 @@ def apply_preset(md: Column, preset: str = "complete", **overrides: bool) -> Col
 
 
 def normalize_spacing(md: Column) -> Column:
-    out = F.regexp_replace(md, r"\n{4,}", "\n\n\n")
-    out = F.regexp_replace(out, r"(</details>)\n(?!\n)", "$1\n\n")
-    return js_trim(F.regexp_replace(out, r"(?<!\n)\n(<details>)", "\n\n$1"))
+    def spaced(text: Column) -> Column:
+        apart = F.regexp_replace(text, r"(</details>)\n(?!\n)", "$1\n\n")
+        apart = F.regexp_replace(apart, r"\n(?<!\n\n)(<details>)", "\n\n$1")
+        return F.when(text.contains("details>"), apart).otherwise(text)
+
+    return js_trim(let(F.regexp_replace(md, r"\n{4,}", "\n\n\n"), spaced))
 
 
 def code_blocks(md: Column) -> Column:

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 # The characters ECMAScript counts as white space.
 SPACE_CHARS = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-SPACE = f"[{SPACE_CHARS}]"
-# The same class without the line feed, for rules that work within one line.
-INLINE_SPACE = r"[\t\x0b-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+SPACES = ("\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000\ufeff")
+# The same as classes: an ASCII letter fails the first two tests, the gaps between the rare ones come after.
+_RARE = (r"\x{a0}-\x{feff}&&[^\x{a1}-\x{167f}\x{1681}-\x{1fff}\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}"
+         r"\x{2060}-\x{2fff}\x{3001}-\x{fefe}]")
+SPACE = r"[\t\n\x0b\f\r " + _RARE + "]"
+# Without the line feed, for rules that work within one line.
+INLINE_SPACE = r"[\t\x0b\f\r " + _RARE + "]"
 IMAGE = r"!\[[^\]]*\]\([^)]+\)"
 
 # Titles that say nothing about a conversation (exact), and one such prefix.
@@ -30,7 +35,7 @@ IMAGE_TYPES = {
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
