@@ -13,7 +13,7 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
     """Let Arrow batches end at ``most`` bytes as well as by rows, unless the job has set a smaller bound."""
-    if int(spark.conf.get(BATCH_BYTES)) > most:
+    if int(spark.conf.get(BATCH_BYTES).rstrip("bB")) > most:
         spark.conf.set(BATCH_BYTES, str(most))
 
 
