@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import packing, pieces, token_files
+from parley.llm import packing, pieces, secret_scan, token_files
 from parley.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1, capacity=2048)
     return packed.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids"), F.col("width")).alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; the vocabulary's ids are those of its tiktoken ranks."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), BYTE_BPE)
+    spans, base = F.col("spans"), F.filter("spans", lambda x: x["kind"] != "random")
+    return found.select("doc_id", *(secret_scan.count_of(k, spans).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+                        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+                        secret_scan.listed(spans).alias("spans"), secret_scan.count_of("random", spans).alias("n_random"))
