@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import packing, pieces, secret_scan, token_files
+from parley.llm import packing, pieces, secret_scan, token_files, toxicity
 from parley.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(secret_scan.count_of(k, spans).alias(f"n_{k}") for k in ("assign", "access", "hex")),
                         F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
                         secret_scan.listed(spans).alias("spans"), secret_scan.count_of("random", spans).alias("n_random"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine).select(
+        "doc_id", (~toxicity.in_training(F.col("doc_id"))).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -18,6 +18,8 @@ SHINGLE = 5
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BREAK = _SPACE.copy()
+_BREAK[[b for b in range(0x21, 0x80) if not chr(b).isalnum()]] = True
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
@@ -84,16 +86,14 @@ def windows(data: np.ndarray, offsets: np.ndarray, most: int = WINDOW) -> Iterat
         first = last
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, hash) of every word of every text, in order."""
+def _hashed_words(texts: pa.Array, gaps: np.ndarray, prefixes: tuple[int, ...]):
     data, offsets = text_bytes(texts)
-    docs, hashes = [], []
     for first, offs in windows(data, offsets):
         lo, hi = int(offs[0]), int(offs[-1])
         if hi == lo:
             continue
         part = data[lo:hi]
-        word = ~_SPACE[part]
+        word = ~gaps[part]
         edge = np.zeros(hi - lo + 1, dtype=bool)
         edge[offs - lo] = True
         begin = word.copy()
@@ -105,12 +105,27 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             continue
         total = np.zeros(hi - lo + 1, dtype=np.uint64)
         np.cumsum(_BYTE[part] * _power(_BASE, hi - lo), out=total[1:])
-        value = (total[ends] - total[starts]) * _power(_BACK, hi - lo)[starts]
-        hashes.append(mixed(value + (ends - starts).astype(np.uint64)))
-        docs.append(first + np.searchsorted(offs - lo, starts, "right") - 1)
-    if not hashes:
+        from_start = total[starts]
+        scale = _power(_BACK, hi - lo)[starts]
+        made = [mixed((total[ends] - from_start) * scale + (ends - starts).astype(np.uint64))]
+        for k in prefixes:
+            cut = np.minimum(starts + k, ends)
+            made.append(mixed((total[cut] - from_start) * scale + np.uint64(1_000_003 * k)))
+        yield first + np.searchsorted(offs - lo, starts, "right") - 1, made
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of every word of every text, in order."""
+    done = list(_hashed_words(texts, _SPACE, ()))
+    if not done:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    return np.concatenate(docs), np.concatenate(hashes)
+    return np.concatenate([d for d, _ in done]), np.concatenate([h[0] for _, h in done])
+
+
+def term_hashes(texts: pa.Array, prefixes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Window by window: text indexes, and the hashes of the bare words (ASCII punctuation parts words) and of their
+    first bytes, one array for each length in ``prefixes``."""
+    yield from _hashed_words(texts, _BREAK, prefixes)
 
 
 def bounds(docs: np.ndarray, n: int) -> np.ndarray:
