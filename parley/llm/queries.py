@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import packing, pieces, secret_scan, token_files, toxicity
+from parley.llm import near_dup, packing, pieces, secret_scan, token_files, toxicity
 from parley.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select(
         "doc_id", (~toxicity.in_training(F.col("doc_id"))).alias("held_out"), "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query("op9_near_dup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return near_dup.classes(table(spark, sf_dir, "documents"))
