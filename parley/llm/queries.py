@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import near_dup, packing, pieces, secret_scan, token_files, toxicity
+from parley.llm import near_dup, packing, pieces, resample, secret_scan, token_files, toxicity
 from parley.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_resample")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents and the draw."""
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

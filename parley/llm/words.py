@@ -122,10 +122,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([d for d, _ in done]), np.concatenate([h[0] for _, h in done])
 
 
-def term_hashes(texts: pa.Array, prefixes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Window by window: text indexes, and the hashes of the bare words (ASCII punctuation parts words) and of their
-    first bytes, one array for each length in ``prefixes``."""
-    yield from _hashed_words(texts, _BREAK, prefixes)
+def term_hashes(texts: pa.Array, prefixes: tuple[int, ...] = (), bare: bool = True,
+                ) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Window by window: text indexes, and the hashes of the words and of their first bytes, one array for each length
+    in ``prefixes``. ``bare``: ASCII punctuation parts words as white space does."""
+    yield from _hashed_words(texts, _BREAK if bare else _SPACE, prefixes)
 
 
 def bounds(docs: np.ndarray, n: int) -> np.ndarray:
