@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact_topk, near_dup, packing, pieces, resample, secret_scan, token_files, toxicity
+from parley.llm import exact_topk, graph_ann, near_dup, packing, pieces, resample, secret_scan, token_files, toxicity
 from parley.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 greatest inner products of every twentieth vector, against all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     return exact_topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64.0)
+
+
+@query("op8_graph_ann")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth vector, against all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
