@@ -192,9 +192,10 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
     asked = asked.where(usable(F.col("q")) & F.exists("q", lambda x: x != 0) & F.col("query_id").isNotNull())
     asked = cut_lineage(asked.groupBy("query_id", F.size("q").alias("dim")).agg(F.min("q").alias("q")))
     blocks = blocks_of(asked.count(), QUERY_BLOCK)
-    places = index.select("dim", "shard").distinct()
+    places = index.groupBy(F.col("dim").alias("index_dim"), F.col("shard").alias("index_shard")).count()
     block = F.pmod(F.xxhash64("query_id", F.lit(9)), F.lit(blocks)).cast("int")
-    left = asked.withColumn("block", block).join(places, "dim")
+    left = asked.withColumn("block", block).join(places, F.col("dim") == F.col("index_dim")).select(
+        "query_id", "q", "dim", F.col("index_shard").alias("shard"), "block")
     right = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
