@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import exact_topk, graph_ann, near_dup, packing, pieces, resample, secret_scan, token_files, toxicity
+from parley.llm import chat, exact_topk, graph_ann, near_dup, packing, pieces, resample, secret_scan, token_files, toxicity
 from parley.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,7 +55,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    packed = packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1, capacity=2048)
+    return packed_pieces(packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1, capacity=2048))
+
+
+def packed_pieces(packed: DataFrame) -> DataFrame:
     return packed.select("doc_id", "start", "length", packing.ids_crc32(F.col("ids"), F.col("width")).alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
 
@@ -113,3 +116,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors found for every hundredth vector, against all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     return graph_ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query("op1_chat_format", """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+             count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+s AS (SELECT conv_id, pos, n, string_agg(md5(role || chr(31) || text), '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix
+      FROM p),
+k AS (SELECT min(conv_id) AS conv_id, prefix FROM s WHERE pos = n GROUP BY prefix),
+m AS (SELECT conv_id FROM k ANTI JOIN (SELECT DISTINCT prefix FROM s WHERE pos < n) AS b USING (prefix))
+SELECT p.conv_id, CAST(floor((pos - 1) / 256) AS BIGINT) AS part, CAST(max(n) AS BIGINT) AS n_turns,
+       string_agg('<|im_start|>' || role || chr(10)
+                  || replace(replace(text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')
+                  || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM p JOIN m ON p.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY ALL
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maximal conversations, rendered."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import words
@@ -102,7 +102,7 @@ def fit_weights(docs: np.ndarray, index: np.ndarray, labels: np.ndarray, terms:
     return Machine(terms, weights, vectors, bias)
 
 
-def in_training(doc_id) -> F.Column:
+def in_training(doc_id: Column) -> Column:
     """Whether an id's labels may be learnt from: crc32 of its decimal text modulo 5 is not 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
@@ -125,7 +125,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
             labels = np.asarray(batch.column("label").to_numpy(zero_copy_only=False), dtype=np.int64)
             pairs = [(d, h) for docs, made in words.term_hashes(batch.column("text"), PREFIXES) for h in made for d in [docs]]
             if not pairs:
@@ -139,7 +138,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
             texts, hits = np.diff(np.append(first, len(term))), np.add.reduceat(label, first)
             yield pa.RecordBatch.from_arrays([pa.array(term[first].view(np.int64)), pa.array(texts), pa.array(hits)],
                                              ["term", "texts", "hits"])
-            del n
 
     per_task = rows.select("text", "label").mapInArrow(counted, "term long, texts long, hits long")
     by_term = per_task.groupBy("term").agg(F.sum("texts").alias("texts"), F.sum("hits").alias("hits")).where("texts >= 3")
@@ -189,3 +187,15 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             [batch.column("doc_id"), pa.array(held.value.score(docs, index, batch.num_rows))], ["doc_id", "score"])
 
     return map_batches(ids_and_texts(docs), run, "doc_id long, score double")
+
+
+def probability(text: Column, machine: Machine, spark: SparkSession) -> Column:
+    """The score as a column of a table that is filtered by it."""
+    held = spark.sparkContext.broadcast(machine)
+
+    @F.pandas_udf("double")
+    def run(texts):
+        docs, index = kept_terms(pa.array(texts, type=pa.string(), from_pandas=True), held.value.terms)
+        return type(texts)(held.value.score(docs, index, len(texts)))
+
+    return run(text.cast("string"))
