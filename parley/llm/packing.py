@@ -29,6 +29,7 @@ from parley.session import cut_lineage
 
 CAPACITY = 2048
 GRID = 2
+SALTS = 16
 PIECES = "part long, doc_id long, start long, length int, doc_tokens long, turn long, width int, ids binary"
 
 
@@ -284,7 +285,11 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = CAPA
         at = np.searchsorted(keys, length.to_numpy().astype(np.int64) * (1 << 44) + rank, "right") - 1
         return pd.DataFrame({"sequence_id": sequence[at] + rank - lo[at], "offset": offset[at]})
 
-    placed = pieces.join(offsets, ["part", "length"]).withColumn("at", place("length", F.col("before") + F.col("turn")))
+    # Most pieces of a part have the whole capacity: their key is dealt over `SALTS`, the narrow side once for each.
+    full, salts = F.col("length") == capacity, F.sequence(F.lit(0), F.lit(SALTS - 1))
+    offsets = offsets.withColumn("salt", F.explode(F.when(full, salts).otherwise(F.array(F.lit(0)))))
+    pieces = pieces.withColumn("salt", F.when(full, F.pmod("turn", F.lit(SALTS))).otherwise(0).cast("int"))
+    placed = pieces.join(offsets, ["part", "length", "salt"]).withColumn("at", place("length", F.col("before") + F.col("turn")))
     return placed.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens",
                          "at.sequence_id", "at.offset", "width", "ids")
 
