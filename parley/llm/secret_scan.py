@@ -81,11 +81,8 @@ def scan(docs: DataFrame, vocabulary: str) -> DataFrame:
                        "doc_id long, spans array<struct<kind string, start long, end long, text string>>")
 
 
-def redact(docs: DataFrame, vocabulary: str, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span (overlapping ones as one) replaced by ``mark``; other rows and columns as they are.
-
-    A null text stays null.
-    """
+def redacted(text: Column, vocabulary: str, mark: str = "[SECRET]") -> Column:
+    """``text`` with every span (overlapping ones as one) replaced by ``mark``; null stays null."""
 
     @F.pandas_udf("string")
     def clean(texts):
@@ -99,7 +96,7 @@ def redact(docs: DataFrame, vocabulary: str, mark: str = "[SECRET]") -> DataFram
             at = max(at, end)
         return "".join([*out, text[at:]]) if out else text
 
-    return docs.withColumn("text", clean(F.col("text").cast("string")))
+    return clean(text.cast("string"))
 
 
 def count_of(kind: str, spans: Column) -> Column:

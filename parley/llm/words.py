@@ -76,7 +76,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, most: int = WINDOW) -> Iterat
             while at < end:
                 cut = min(at + most, end)
                 while cut < end:
-                    gaps = np.flatnonzero(_SPACE[data[cut:cut + 4096]])
+                    gaps = np.flatnonzero(_SPACE[data[cut:min(cut + 4096, end)]])
                     if len(gaps):
                         cut += int(gaps[0])
                         break
