@@ -38,10 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark; n_chars follows the text."""
-    clean = secret_scan.redact(docs.withColumn("was", F.col("text")), queries.BYTE_BPE)
-    changed = ~F.col("text").eqNullSafe(F.col("was"))
-    count = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", count).select(*docs.columns)
+    clean = secret_scan.redacted(F.col("text"), queries.BYTE_BPE)
+    count = F.when(clean.eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(clean).cast("long"))
+    return docs.withColumns({"text": clean, "n_chars": count})
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
