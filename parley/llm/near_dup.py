@@ -2,10 +2,10 @@
 
 A document's set is its distinct word shingles. Documents of equal sets are one node from the start. Every node gets
 
-* `BANDS` band keys of `ROWS` MinHash values each: two sets of similarity 0.75 share none with a chance of 2e-8;
+* `BANDS` band keys of `ROWS` MinHash values each: two sets of similarity 0.75 share none with a chance of 2e-6;
 * an odd sketch: its one-permutation MinHash sample (the least value in each of `BINS` bins), folded into `BITS` parity
   bits. The ones of two sketches' exclusive or estimate how many sampled values differ, to about 0.02 in similarity at
-  0.75; pairs estimated below `SURE` (five deviations lower) are not looked at further.
+  0.75; pairs estimated below `SURE` (four deviations lower) are not looked at further.
 
 Pairs that pass are confirmed on the full sets, read again from the texts. Candidates come in two kinds, so that no
 bucket lists all its pairs: first every member with its bucket's first document, which is linear and joins most copies;
@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 
 from parley.llm import words
 from parley.llm.frames import bounded_batches, ids_and_texts, map_batches
-from parley.session import cut_lineage
+from parley.session import cut_lineage, release
 
-BANDS, ROWS = 32, 3
+BANDS, ROWS = 24, 3
 BINS, BITS = 1024, 2048
-LEAST, SURE = 0.75, 0.65
+#: Estimates are off by 0.018 (one deviation) from similarity 0.75, of small sets sometimes by more.
+SURE, SURE_SMALL, SMALL = 0.68, 0.5, 64
 #: Members of a bucket compared in one task; larger buckets are compared block by block.
 BLOCK = 1024
-PARTNERS = 8
+PARTNERS = 64
 _CHUNK = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(75))
 _FACTOR = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -119,9 +120,9 @@ def features(docs: DataFrame) -> DataFrame:
 
 # ---- what an odd sketch says of a pair --------------------------------------------------------------------------
 
-def _needed(size_a, size_b, exp):
-    """Common sampled values that a pair of similarity `SURE` has: that share of the bins either set fills."""
-    return SURE * BINS * (1 - exp(-(size_a + size_b) / ((1 + SURE) * BINS)))
+def _needed(size_a, size_b, exp, sure: float):
+    """Common sampled values that a pair of similarity ``sure`` has: that share of the bins either set fills."""
+    return sure * BINS * (1 - exp(-(size_a + size_b) / ((1 + sure) * BINS)))
 
 
 def passes(a: str, b: str) -> Column:
@@ -131,7 +132,9 @@ def passes(a: str, b: str) -> Column:
                        lambda s, v: s + v)
     differ = -BITS / 2 * F.log(1 - 2 * F.least(ones, F.lit(BITS // 2 - 1)) / BITS)
     sizes = (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * 75)
-    return sizes & ((x["filled"] + y["filled"] - differ) / 2 >= _needed(x["n"], y["n"], F.exp))
+    needed = F.when(F.greatest(x["n"], y["n"]) <= SMALL, _needed(x["n"], y["n"], F.exp, SURE_SMALL)).otherwise(
+        _needed(x["n"], y["n"], F.exp, SURE))
+    return sizes & ((x["filled"] + y["filled"] - differ) / 2 >= needed)
 
 
 def _common(sketch: np.ndarray, filled: np.ndarray, others: np.ndarray, other_filled: np.ndarray) -> np.ndarray:
@@ -170,7 +173,8 @@ def _partners(group: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.n
         if not allowed.any():
             continue
         common = _common(group["sketch"][rows], group["filled"][rows], group["sketch"][right], group["filled"][right])
-        allowed &= common >= _needed(n_a, n_b, np.exp)
+        allowed &= common >= np.where(np.maximum(n_a, n_b) <= SMALL, _needed(n_a, n_b, np.exp, SURE_SMALL),
+                                      _needed(n_a, n_b, np.exp, SURE))
         i, j = np.nonzero(allowed)
         if len(i):
             a, b = rows[i], right[j]
@@ -251,8 +255,9 @@ def partner_pairs(nodes: DataFrame, buckets: DataFrame, comps: DataFrame, most:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= 75 * union; the sets are made again from the texts."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    """The pairs whose full sets have 100 * intersection >= 75 * union, as a written table; the sets are made again from
+    the texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         edges, hashes = shingle_sets(batch.column("text"))
@@ -264,9 +269,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = (pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a"))
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return (both.withColumn("common", common)
-            .where(100 * F.col("common") >= 75 * (F.size("set_a") + F.size("set_b") - F.col("common")))
-            .select("a", "b").distinct())
+    found = cut_lineage(both.withColumn("common", common).where(
+        100 * F.col("common") >= 75 * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b"))
+    release(sets)
+    return found
+
+
+def hooked(links: DataFrame) -> DataFrame:
+    """(node, comp): every linked node with the least node one or two links away. Not yet its component, but enough to
+    tell most pairs that are joined already."""
+    hook = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("first"))
+    jump = hook.select(F.col("node").alias("first"), F.col("first").alias("second"))
+    return hook.join(jump, "first", "left").select("node", F.coalesce("second", "first").alias("comp"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,33 +309,30 @@ def classes(docs: DataFrame) -> DataFrame:
     the id. Repeated rows give repeated rows; other columns are ignored; an empty table gives an empty one.
     """
     rows = cut_lineage(features(docs))
-    known = rows.where("doc_id is not null and n > 0")
+    known = rows.select("doc_id", "key1", "key2", "n").where("doc_id is not null and n > 0")
     same = known.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("node"))
-    of = known.select("doc_id", "key1", "key2", "n").join(same, ["key1", "key2", "n"]).select("doc_id", "node")
-    nodes = known.join(same, ["key1", "key2", "n"]).where("doc_id = node").dropDuplicates(["node", "key1", "key2"])
-    nodes = cut_lineage(nodes.select("node", "n", "bands", "sketch", "filled"))
+    of = cut_lineage(known.join(same, ["key1", "key2", "n"]).select("doc_id", "node", "key1"))
+    # The first document of every set stands for its copies.
+    first = of.where("doc_id = node").select("doc_id", "key1").distinct()
+    nodes = cut_lineage(rows.join(first, ["doc_id", "key1"], "left_semi").select(
+        F.col("doc_id").alias("node"), "n", "bands", "sketch", "filled"))
+    sizes = cut_lineage(rows.select("doc_id", F.col("n").alias("n_shingles")))
+    release(rows)
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    # Rows of one id but different texts are joined by their id.
-    by_id = of.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     tried = cut_lineage(star_pairs(nodes, buckets))
-    links = cut_lineage(confirmed(tried, docs))
-    comps = components(links)
+    links = confirmed(tried, docs)
     most = PARTNERS
     while True:
-        offered = cut_lineage(partner_pairs(nodes, buckets, comps, most))
+        offered = cut_lineage(partner_pairs(nodes, buckets, hooked(links), most))
         new = cut_lineage(offered.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        if new.isEmpty() and not offered.where("more").limit(1).count():
-            break
-        found = cut_lineage(confirmed(new, docs))
-        links, tried = links.union(found), tried.union(new)
-        comps = components(links)
+        links, tried = links.union(confirmed(new, docs)), tried.union(new)
         if offered.where("more").isEmpty():
             break
         most *= 8
-    # Copies join at the end: their links are to their own node.
-    comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(by_id))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(
-        comps.select(F.col("node").alias("doc_id"), F.col("comp")), "doc_id", "left")
+    # Copies are linked with their first document; so are rows of one id but different texts.
+    copies = of.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    comps = components(links.union(copies))
+    out = sizes.join(comps.select(F.col("node").alias("doc_id"), F.col("comp")), "doc_id", "left")
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
