@@ -39,14 +39,14 @@ FILES = T.ArrayType(T.StructType([T.StructField("drive_ids", TEXTS), T.StructFie
 def _load(text: str | None) -> Any:
     try:
         return json.loads(text) if text is not None else None
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested deeper than the parser goes: no payload
         return None
 
 
 def _arrays(node: Any, stop: Callable[[list], bool] = lambda _: False, through_objects: bool = False) -> Iterator[list]:
     """Arrays of a document in reading order; below one that ``stop`` accepts the search ends.
 
-    An explicit stack: the nesting depth of a payload is not ours to limit.
+    An explicit stack. A payload nested deeper than the JSON parser goes counts as none (see `_load`).
     """
     stack = [node]
     while stack:
@@ -128,7 +128,7 @@ def _latest_pair(turn: Any) -> float | None:
     for arr in _arrays(turn):
         if len(arr) >= 2 and SECONDS_RANGE[0] < _number(arr[0]) < SECONDS_RANGE[1]:
             nanos = _number(arr[1])
-            stamps.append(math.floor(_number(arr[0]) * 1000) + (0 if math.isnan(nanos) else math.floor(nanos / 1e6)))
+            stamps.append(math.floor(_number(arr[0]) * 1000) + (math.floor(nanos / 1e6) if math.isfinite(nanos) else 0))
     return max(stamps, default=None)
 
 
@@ -148,11 +148,11 @@ def _turn_files(turn: Any) -> tuple:
     turn = turn if isinstance(turn, list) else []
     slots = {i: turn[i] for i in (1, 3, 12, 23) if i < len(turn)}
     ids = [x for i in (1, 3) for arr in _text_arrays(slots.get(i)) for x in arr if x.strip()]
-    inline: dict[str, tuple] = {}
+    inline: dict[tuple, tuple] = {}
     for node in (slots.get(12), slots.get(23), turn):
         for arr in _text_arrays(node):
             if len(arr) > 1 and re.match(r"(image|text)/", arr[0], re.I):
-                inline[f"{arr[0]}:{arr[1][:32]}"] = (arr[0], arr[1])
+                inline[(arr[0], arr[1])] = (arr[0], arr[1])
     return list(dict.fromkeys(ids)), list(inline.values())
 
 

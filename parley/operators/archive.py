@@ -108,9 +108,10 @@ def list_conversations(conversations: DataFrame, platform: str | None = None, q:
 
 def next_cursor(page: DataFrame, limit: int) -> DataFrame:
     """One row: the cursor after a full page, NULL after a short one. A page has at most 100 rows."""
-    last = F.max_by(F.struct("updated_at", "platform", "source_id"),
-                    F.struct(-F.unix_millis(F.col("updated_at").try_cast("timestamp")), "platform", "source_id"))
-    got = page.agg(F.count(F.lit(1)).alias("n"), last.alias("l"))
+    # The page's own order, which compares the times as texts: the last row has the least one, then the greatest key.
+    key = F.struct("platform", "source_id")
+    ends = page.groupBy("updated_at").agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("k"))
+    got = ends.agg(F.sum("n").alias("n"), F.min_by(F.struct("updated_at", "k.platform", "k.source_id"), "updated_at").alias("l"))
     return got.select(F.when(F.col("n") == limit, encode_cursor(
         F.col("l.updated_at"), F.col("l.platform"), F.col("l.source_id"))).alias("next_cursor"))
 

@@ -16,7 +16,7 @@ from parley.functions.text import (
 )
 from parley.operators import KEY
 from parley.operators.conversations import resolve_titles
-from parley.operators.ordered import HOT_ROWS, hot_keys, index_in_order, ordered_texts, without
+from parley.operators.ordered import index_in_order, ordered_texts
 
 c = F.col
 IMAGE = rf'!\[([^\]]*)\]\(((?:(?!{SPACE})[^)])+(?:{SPACE}+"[^"]*")?)\)'
@@ -137,10 +137,21 @@ def restore_failed_assets(messages: DataFrame, assets: DataFrame, failed: DataFr
 ATTACHMENT_COLUMNS = ["message_id", "kind", "title", "mime_type", "source_url", "resource_id"]
 
 
+def stored_attachments(bundles: DataFrame) -> DataFrame:
+    """(KEY, n, message_id, kind, …): the `linkedAttachments` that bundles carry in their meta, in their order."""
+    kind = ("array<struct<messageId: string, kind: string, title: string, mimeType: string, sourceUrl: string, "
+            "resourceId: string>>")
+    listed = F.try_variant_get(F.try_parse_json("meta"), "$.linkedAttachments", kind)
+    return bundles.select(*KEY, F.posexplode(listed).alias("n", "a")).where(c("a").isNotNull()).select(
+        *KEY, "n", c("a.messageId").alias("message_id"), "a.kind", "a.title", c("a.mimeType").alias("mime_type"),
+        c("a.sourceUrl").alias("source_url"), c("a.resourceId").alias("resource_id"))
+
+
 def linked_attachments(messages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(KEY, seq, message_id, kind, title, mime_type, source_url, resource_id): attachment lines of all messages.
 
-    Equal ones of a message count once, the last wins; ``existing`` rows are kept beside them.
+    Equal ones of a message count once. ``existing`` rows (`stored_attachments`) come before them; of those with one
+    message, kind, url, resource and title the last wins, at the first's place. ``seq`` is a (pos, n) pair to sort by.
     """
     none = F.lit(None).cast("string")
 
@@ -155,30 +166,32 @@ def linked_attachments(messages: DataFrame, existing: DataFrame | None = None) -
     plain = F.filter(shaped(PLAIN, "document", "mime_type"), lambda a: a["title"].isNotNull()
                      & ~a["title"].contains("](") & ~a["title"].contains(": "))
     found = F.concat(shaped(LINK, "document", "source_url"), shaped(RESOURCE, "resource", "resource_id"), plain)
-    rows = messages.select(*KEY, (c("pos") * 1000000).alias("_base"), c("id").alias("message_id"),
-                           F.posexplode(found).alias("_n", "a")).select(
-        *KEY, (c("_base") + c("_n")).alias("seq"), "message_id", "a.*")
+    rows = messages.select(*KEY, "pos", c("id").alias("message_id"), F.posexplode(found).alias("n", "a")).select(
+        *KEY, F.struct(c("pos").cast("bigint").alias("pos"), "n").alias("seq"), "message_id", "a.*")
     rows = rows.groupBy(*KEY, *ATTACHMENT_COLUMNS).agg(F.min("seq").alias("seq")).select(*KEY, "seq", *ATTACHMENT_COLUMNS)
     if existing is None:
         return rows
-    return existing.select(*KEY, F.lit(-1).cast("bigint").alias("seq"), *ATTACHMENT_COLUMNS).distinct().unionByName(rows)
+    same = ["message_id", "kind", *[F.coalesce(n, F.lit("")).alias(f"_{n}") for n in ("source_url", "resource_id", "title")]]
+    kept = existing.groupBy(*KEY, *same).agg(F.max_by(F.struct(*ATTACHMENT_COLUMNS), "n").alias("a"), F.min("n").alias("n"))
+    # Stored ones have no position: they come before the first message.
+    before = F.struct(F.lit(None).cast("bigint").alias("pos"), "n").alias("seq")
+    return kept.select(*KEY, before, "a.*").unionByName(rows)
 
 
 def prepare_bundles(bundles: DataFrame, messages: DataFrame, exporter_version: str, preferred: DataFrame | None = None,
-                    path_prefix: str = "assets", version: str = ids.HASH_VERSION, hot_rows: int = HOT_ROWS) -> dict[str, DataFrame]:
+                    path_prefix: str = "assets", version: str = ids.HASH_VERSION) -> dict[str, DataFrame]:
     """bundles (final title, enriched meta), messages (asset paths), embedded_assets, linked_attachments.
 
-    ``bundles`` carries `revision` and `meta`. The meta lists a conversation's files too, unless it has
-    more than ``hot_rows`` of them; the child tables always hold all.
+    ``bundles`` carries `revision` and `meta`. The meta lists all of a conversation's files, as the child tables do;
+    attachments it lists already are kept.
     """
     assets = embedded_assets(messages, path_prefix)
     rewritten = rewrite_asset_links(messages, assets)
-    attachments = linked_attachments(rewritten)
+    attachments = linked_attachments(rewritten, stored_attachments(bundles))
     titled = resolve_titles(bundles, rewritten, preferred)
 
     def listed(table: DataFrame, order: str, body: Column, name: str) -> DataFrame:
-        few = without(table, hot_keys(table, hot_rows))
-        return few.groupBy(*KEY).agg(F.array_join(ordered_texts(c(order), F.to_json(body)), ",").alias(name))
+        return table.groupBy(*KEY).agg(F.array_join(ordered_texts(c(order), F.to_json(body)), ",").alias(name))
 
     asset = F.struct(c("path"), c("mime_type").alias("mimeType"), c("source_url").alias("sourceUrl"))
     link = F.struct(c("message_id").alias("messageId"), "kind", "title", c("mime_type").alias("mimeType"),

@@ -9,7 +9,7 @@ from parley.functions import identity as ids
 from parley.functions import text as tx
 from parley.functions.text import IMAGE, js_trim
 from parley.operators import KEY
-from parley.operators.ordered import HOT_ROWS, hot_keys, ordered_texts, running_sha256, without
+from parley.operators.ordered import running_sha256
 
 # Display name of the assistant on each platform.
 ASSISTANT_NAMES = {"chatgpt": "ChatGPT", "deepseek": "DeepSeek", "gemini": "Gemini", "aistudio": "Google AI Studio"}
@@ -19,27 +19,19 @@ NOTICE = ("AI Studio conversation content was not fully accessible from the curr
           "Run settings metadata was exported for this prompt.")
 
 
-def revise(bundles: DataFrame, messages: DataFrame, version: str = ids.HASH_VERSION,
-           hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Revision hash of every bundle from the messages table: (KEY, revision)."""
+def revise(bundles: DataFrame, messages: DataFrame, version: str = ids.HASH_VERSION) -> DataFrame:
+    """Revision hash of every bundle from the messages table: (KEY, revision).
+
+    A digest over the lines in order, which one task runs for each conversation in constant memory, whatever its size.
+    """
     c = F.col
-    head = bundles.select(*KEY, ids.revision_header(
-        c("platform"), c("source_id"), c("url"), c("title"), c("source_updated_at"), version).alias("head"))
-    lines = messages.select(*KEY, "pos", ids.message_line(c("id"), c("role"), c("markdown")).alias("line"))
-    hot = hot_keys(messages, hot_rows)
-    joined = without(lines, hot).groupBy(*KEY).agg(
-        F.array_join(ordered_texts(c("pos"), c("line")), "\n").alias("lines"))
-    out = without(head, hot).join(joined, KEY, "left").select(
-        *KEY, F.sha2(F.concat("head", F.coalesce("lines", F.lit(""))), 256).alias("revision"))
-    if hot is None:
-        return out
-    heads = head.join(hot, KEY, "left_semi").select(*KEY, F.lit(-1).cast("bigint").alias("ord"), c("head").alias("text"))
-    # Every line ends with a separator except the last, so each one but the first brings its own.
-    first = lines.groupBy(*KEY).agg(F.min("pos").alias("first"))
-    rest = lines.join(hot, KEY, "left_semi").join(first, KEY).select(
-        *KEY, c("pos").cast("bigint").alias("ord"),
-        F.when(c("pos") == c("first"), c("line")).otherwise(F.concat(F.lit("\n"), c("line"))).alias("text"))
-    return out.unionByName(running_sha256(heads.unionByName(rest)))
+    head = bundles.select(*KEY, F.struct(F.lit(-1).cast("bigint").alias("pos"), F.lit(0).alias("more")).alias("ord"),
+                          ids.revision_header(c("platform"), c("source_id"), c("url"), c("title"), c("source_updated_at"),
+                                              version).alias("text"))
+    at = F.struct(c("pos").cast("bigint").alias("pos"), F.lit(1).alias("more"))
+    lines = messages.join(bundles.select(*KEY), KEY, "left_semi").select(
+        *KEY, at.alias("ord"), ids.message_line(c("id"), c("role"), c("markdown")).alias("text")).where(c("text").isNotNull())
+    return running_sha256(head.unionByName(lines), separator="\n")
 
 
 def assistant_name(platform: Column) -> Column:

@@ -45,19 +45,28 @@ def dedupe_coalesce(events: DataFrame, keys: Sequence[str] = KEY, seq: str = "se
 
 
 def union_by_priority(buffered: DataFrame, sidebar: DataFrame, api: DataFrame, buffered_only: bool = False) -> DataFrame:
-    """Union where a later source replaces an earlier one whole; `source` names how the result came about."""
+    """Union where a later source replaces an earlier one whole; `source` names how the result came about.
+
+    ``first_seq`` is a (rank, seq) pair to sort by. Which sources have rows at all is one row of three flags, joined to
+    the result, so nothing runs while the plan is made.
+    """
     ranked = [d.withColumn("rank", F.lit(i)) for i, d in enumerate((buffered, sidebar, api))]
     rows = ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
-    have = rows.groupBy().agg(*[F.max(F.col("rank") == i).alias(n) for i, n in enumerate(("b", "s", "a"))]).first()
-    b, s, a = (bool(x) for x in have)
-    if b and (buffered_only or not (a or s)):
-        return buffered.withColumn("first_seq", F.col("seq")).withColumn("source", F.lit("buffered"))
-    label = "merged" if a and s else "api" if a else "sidebar" if s else "empty"
-    order = F.struct("rank", "seq")
+    have = rows.groupBy().agg(*[F.coalesce(F.bool_or(F.col("rank") == i), F.lit(False)).alias(n)
+                                for i, n in enumerate(("_b", "_s", "_a"))])
+    b, s, a = (F.col(n) for n in ("_b", "_s", "_a"))
+    alone = b & (F.lit(buffered_only) | ~(a | s))
+    label = (F.when(alone, "buffered").when(a & s, "merged").when(a, "api").when(s, "sidebar").otherwise("empty"))
+    # One row, so the product adds no rows.
+    flagged = rows.join(F.broadcast(have.select(alone.alias("_alone"), label.alias("source"))))
+    flagged = flagged.where(~F.col("_alone") | (F.col("rank") == 0))
+    order = F.struct("rank", F.col("seq").cast("bigint").alias("seq"))
     rest = [x for x in buffered.columns if x not in KEY]
-    return (rows.groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("_row"), F.min(order).alias("_at"))
-            .select(*KEY, "_row.*", (F.col("_at.rank") * F.lit(1 << 40) + F.col("_at.seq")).alias("first_seq"),
-                    F.lit(label).alias("source")))
+    # Buffered rows alone stay as they came; otherwise one row a key.
+    own = F.when(F.col("_alone"), order)
+    made = flagged.groupBy(*KEY, own.alias("_own")).agg(
+        F.max_by(F.struct(*rest), order).alias("_row"), F.min(order).alias("first_seq"), F.first("source").alias("source"))
+    return made.select(*KEY, "_row.*", "first_seq", "source")
 
 
 def _upserted(rows: DataFrame, columns: list[str], complete: bool, now: Column) -> DataFrame:

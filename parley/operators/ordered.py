@@ -1,8 +1,7 @@
 """Order-dependent aggregation that holds up when one conversation has a third of all rows.
 
-A conversation of ordinary size is one group and is joined in one pass. Conversations above
-`HOT_ROWS` messages are found first, by counting the key columns alone, and take a second way
-that never brings their rows together: parts for documents, a running digest for hashes.
+There is one way for every size: texts are joined within stretches of positions, and a digest over a whole
+conversation runs through its sorted rows in constant memory.
 """
 
 from __future__ import annotations
@@ -17,24 +16,9 @@ from pyspark.sql import functions as F
 
 from parley.operators import KEY
 
-HOT_ROWS = 50_000
 ROWS_PER_PART = 10_000
 
 
-def hot_keys(rows: DataFrame, limit: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, None when there are none.
-
-    The count combines map-side and reads the key columns only; the answer is at most
-    rows / limit keys.
-    """
-    hot = rows.groupBy(*KEY).count().where(F.col("count") > limit).select(*KEY)
-    return None if hot.isEmpty() else hot
-
-
-def without(rows: DataFrame, keys: DataFrame | None) -> DataFrame:
-    return rows if keys is None else rows.join(keys, KEY, "left_anti")
-
-
 def ordered_texts(order: Column, text: Column, where: Column | None = None) -> Column:
     """Texts of a group in ``order`` (collect_list alone has no order after a shuffle)."""
     row = F.struct(order.alias("o"), text.alias("t"))
@@ -42,23 +26,27 @@ def ordered_texts(order: Column, text: Column, where: Column | None = None) -> C
     return F.transform(rows, lambda r: r["t"])
 
 
-def running_sha256(chunks: DataFrame) -> DataFrame:
-    """SHA-256 of each key's chunks (KEY, ord, text) in order, in constant memory.
+def running_sha256(chunks: DataFrame, separator: str = "") -> DataFrame:
+    """(KEY, revision): SHA-256 of each key's chunks (KEY, ord, text) in order.
 
-    The digest is sequential by definition, so one task reads one key; it streams the sorted
-    rows and keeps the digest state only.
+    The first chunk is a head; ``separator`` stands between the others. The digest is sequential by definition, so one
+    task reads one key; it streams the sorted rows and keeps the digest state only.
     """
+    between = separator.encode("utf-8")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        current, state, n = None, None, 0
         for batch in batches:
             done = []
             for platform, source_id, text in zip(batch["platform"], batch["source_id"], batch["text"]):
                 if (platform, source_id) != current:
                     if current is not None:
                         done.append((*current, state.hexdigest()))
-                    current, state = (platform, source_id), hashlib.sha256()
-                state.update(text.encode("utf-8"))
+                    current, state, n = (platform, source_id), hashlib.sha256(), 0
+                if n > 1:
+                    state.update(between)
+                state.update((text or "").encode("utf-8"))
+                n += 1
             if done:
                 yield pd.DataFrame(done, columns=[*KEY, "revision"])
         if current is not None:

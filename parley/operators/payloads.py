@@ -406,8 +406,8 @@ def _aistudio_list(v: Column) -> Column:
 
 # How a list row looks inside a batched answer, plain and escaped once more.
 GEMINI_ROWS = (
-    r'\["c_([^"]+)","((?:\\.|[^"\\])*)",null,null,null,\[(\d+)(?:,(\d+))?\]',
-    r'\\"c_([^\\"]+)\\",\\"((?:\\\\.|[^\\"])*)\\",null,null,null,\[(\d+)(?:,(\d+))?\]',
+    r'\["c_([^"]+)","((?:\\.|[^"\\])*+)",null,null,null,\[(\d+)(?:,(\d+))?\]',
+    r'\\"c_([^\\"]+)\\",\\"((?:\\\\.|[^\\"])*+)\\",null,null,null,\[(\d+)(?:,(\d+))?\]',
 )
 
 

@@ -218,10 +218,11 @@ def stale_leases(leases: DataFrame, now: str) -> DataFrame:
 def _owned(queue: DataFrame, targets: DataFrame, columns: list[str]) -> DataFrame:
     """Queue rows with the ``columns`` of the target that owns them (`_hit`): by key, else by KEY and worker.
 
-    The two ways are two equi joins; a target's own key wins.
+    The two ways are two equi joins; a target's own key wins. Of several targets of one key or worker the one with the
+    least fields, in the order of ``columns``, counts.
     """
-    by_key = targets.groupBy("key").agg(F.first(F.struct(*columns)).alias("_a"))
-    by_worker = targets.groupBy(*KEY, "worker_id").agg(F.first(F.struct(*columns)).alias("_b"))
+    by_key = targets.groupBy("key").agg(F.min(F.struct(*columns)).alias("_a"))
+    by_worker = targets.groupBy(*KEY, "worker_id").agg(F.min(F.struct(*columns)).alias("_b"))
     rows = queue.join(by_key, "key", "left").join(by_worker, [*KEY, "worker_id"], "left")
     owned = F.coalesce("_a", F.when(F.col("status") == "processing", F.col("_b")))
     return rows.withColumn("_p", owned).drop("_a", "_b")
@@ -271,8 +272,9 @@ def apply_failures(queue: DataFrame, classified: DataFrame, now: str) -> DataFra
 
 
 def mark_failure_states(index: DataFrame, classified: DataFrame) -> DataFrame:
-    """The index after failures: retried conversations are pending, the others failed."""
-    states = classified.groupBy(*KEY).agg(F.max("index_state").alias("_state"))
+    """The index after failures: conversations with a retried row are pending, the others failed."""
+    retried = F.bool_or(F.col("index_state") == "pending")
+    states = classified.groupBy(*KEY).agg(F.when(retried, "pending").otherwise("failed").alias("_state"))
     return index.join(states, KEY, "left").withColumn("export_state", F.coalesce("_state", "export_state")).select(*index.columns)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import identity as ids
@@ -11,7 +12,7 @@ from parley.functions.markdown import code_blocks as blocks_of
 from parley.functions.markdown import message_body
 from parley.functions.times import format_message_timestamp
 from parley.operators import KEY, settled
-from parley.operators.ordered import HOT_ROWS, ROWS_PER_PART, hot_keys, ordered_texts, without
+from parley.operators.ordered import ROWS_PER_PART, ordered_texts
 
 EMPTY = "_(empty conversation)_"
 
@@ -99,33 +100,26 @@ def _assistant() -> Column:
 def serialize_conversations(bundles: DataFrame, messages: DataFrame, fmt: str = "full", preset: str = "complete",
                             timestamps: bool = True, include_frontmatter: bool = True, include_header: bool = True,
                             render_version: str = ids.RENDER_VERSION, tool: str = "archive",
-                            hot_rows: int = HOT_ROWS, rows_per_part: int = ROWS_PER_PART, zone: str = "UTC",
-                            **overrides: bool) -> DataFrame:
-    """(KEY, part, parts, markdown, message_count, estimated_tokens), one row per conversation.
+                            rows_per_part: int = ROWS_PER_PART, zone: str = "UTC", **overrides: bool) -> DataFrame:
+    """(KEY, part, parts, markdown, message_count, estimated_tokens).
 
-    ``bundles`` carries `revision`, `participants` and `meta` (JSON text). A conversation above
-    ``hot_rows`` messages comes as several rows whose texts, in `part` order, are its document:
-    such a document has no single row, task or group to fill up.
+    ``bundles`` carries `revision`, `participants` and `meta` (JSON text). A document is the texts of its rows in `part`
+    order, one for each stretch of ``rows_per_part`` positions that has a section, so no row holds more than that. The
+    two counts are those of the whole document and stand in its first row; they are NULL in the others.
     """
-    sections = render_messages(messages, fmt, preset, timestamps, zone, **overrides)
-    size = F.sum(F.length(tx.collapse(F.col("section"))))
-    hot = hot_keys(messages, hot_rows)
-    whole = without(sections, hot).groupBy(*KEY).agg(
-        F.array_join(ordered_texts(F.col("pos"), F.col("section")), "\n\n").alias("body"),
-        F.count(F.lit(1)).alias("n"), size.alias("chars"))
-    rows = without(bundles, hot).join(whole, KEY, "left").withColumns({"part": F.lit(0), "parts": F.lit(1)})
-    if hot is not None:
-        number = F.floor(F.col("pos") / rows_per_part).cast("int")
-        heavy = sections.join(hot, KEY, "left_semi").withColumn("part", number)
-        texts = heavy.groupBy(*KEY, "part").agg(
-            F.array_join(ordered_texts(F.col("pos"), F.col("section")), "\n\n").alias("body"))
-        facts = heavy.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), size.alias("chars"),
-                                        F.min("part").alias("first"), F.max("part").alias("last"))
-        parted = (bundles.join(hot, KEY, "left_semi").join(facts, KEY, "left").join(texts, KEY, "left")
-                  .withColumns({"part": F.coalesce(F.col("part") - F.col("first"), F.lit(0)),
-                                "parts": F.coalesce(F.col("last") - F.col("first") + 1, F.lit(1))})
-                  .drop("first", "last"))
-        rows = rows.unionByName(parted)
+    sections = render_messages(messages, fmt, preset, timestamps, zone, **overrides).withColumn(
+        "at", F.floor(F.col("pos") / rows_per_part))
+    texts = sections.groupBy(*KEY, "at").agg(
+        F.array_join(ordered_texts(F.col("pos"), F.col("section")), "\n\n").alias("body"))
+    # One small row a part: the counts of the whole document, and the part's place in it.
+    sizes = sections.groupBy(*KEY, "at").agg(
+        F.count(F.lit(1)).alias("part_n"), F.sum(F.length(tx.collapse(F.col("section")))).alias("part_chars"))
+    document = W.partitionBy(*KEY)
+    facts = sizes.select(*KEY, "at", (F.row_number().over(document.orderBy("at")) - 1).alias("part"),
+                         F.count(F.lit(1)).over(document).cast("int").alias("parts"),
+                         F.sum("part_n").over(document).alias("n"), F.sum("part_chars").over(document).alias("chars"))
+    rows = bundles.join(facts, KEY, "left").join(texts, [*KEY, "at"], "left").withColumns(
+        {"part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))})
     count = F.coalesce("n", F.lit(0))
     body = F.coalesce("body", F.lit(EMPTY))
     # Sections begin and end in ink, so the collapsed body is the collapsed sections plus one blank between each two.
@@ -141,4 +135,5 @@ def serialize_conversations(bundles: DataFrame, messages: DataFrame, fmt: str =
     total = chars + F.when(top_chars > 0, top_chars + 1).otherwise(0)
     return rows.select(
         *KEY, "part", "parts", F.concat(lead, body, tail).alias("markdown"),
-        count.alias("message_count"), F.ceil(total / F.lit(4)).cast("bigint").alias("estimated_tokens"))
+        F.when(F.col("part") == 0, count).alias("message_count"),
+        F.when(F.col("part") == 0, F.ceil(total / F.lit(4)).cast("bigint")).alias("estimated_tokens"))

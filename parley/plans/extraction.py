@@ -141,6 +141,7 @@ def decode_rpc_envelope(v):
 
 @query("collect_nested", """
     SELECT id, 'photo-' || id || '.png' AS name, 'https://lh3.googleusercontent.com/gg/' || id AS url, 'image/png' AS mime, 'image' AS kind FROM {urls_v}
+    UNION ALL SELECT id, 'deep.pdf', 'https://no', NULL, 'document' FROM {urls_v}
     UNION ALL SELECT id, 'r' || id || '.pdf', 'https://f/' || id, NULL, 'document' FROM {urls_v}""", heavy=True)
 def collect_nested(v):
     sid = c("id").cast("string")
@@ -151,7 +152,7 @@ def collect_nested(v):
     for kind in ("image", "document"):
         part = rows.select("id", F.explode(F.get(nested.collect_nested(c("texts"), kind), 0)).alias("a"), F.lit(kind).alias("kind"))
         out = part if out is None else out.unionByName(part)
-    return out.where("a.name <> 'deep.pdf'").select("id", "a.name", "a.url", "a.mime", "kind")
+    return out.select("id", "a.name", "a.url", "a.mime", "kind")
 
 
 def aistudio_payloads(v):
@@ -454,21 +455,33 @@ def restore_failed_assets(v):
 
 @query("prepare_bundles", f"""
     SELECT b.platform, b.source_id, coalesce({d.norm_title('title', 'b.source_id')}, {d.prompt_title('prompt', 'b.source_id')}, b.source_id) AS title,
-           'r-' || b.source_id AS revision, model, coalesce(n, 0) AS assets, coalesce(files, 0) AS links, first_path
+           'r-' || b.source_id AS revision, model, coalesce(n, 0) AS assets, first_path, 'm0|resource|Kept|d-1,m0|resource|Last|d-2'
+             || coalesce(',' || files, '') AS links
     FROM {{bundles_v}} AS b
     LEFT JOIN (SELECT platform, source_id, arg_min(markdown, pos) AS prompt FROM {{rewritten_v}} WHERE role = 'user' GROUP BY 1, 2) AS p
       ON b.platform = p.platform AND b.source_id = p.source_id
     LEFT JOIN (SELECT platform, source_id, count(*) AS n, arg_min(path, asset_no) AS first_path FROM {{paths_of_v}} GROUP BY 1, 2) AS a
       ON b.platform = a.platform AND b.source_id = a.source_id
-    LEFT JOIN (SELECT platform, source_id, count(*) AS files FROM {{links_v}} WHERE phase = 1 AND target <> '' GROUP BY 1, 2) AS l
+    LEFT JOIN (SELECT platform, source_id, string_agg('m' || pos || '|document|report|' || path, ',' ORDER BY pos) AS files
+               FROM (SELECT l.platform, l.source_id, l.pos, a.path FROM {{links_v}} AS l JOIN {{paths_of_v}} AS a
+                       ON a.platform = l.platform AND a.source_id = l.source_id AND a.phase = 1 AND a.target = l.target
+                     WHERE l.phase = 1) AS f GROUP BY 1, 2) AS l
       ON b.platform = l.platform AND b.source_id = l.source_id""", {**ASSETS, "rewritten_v": _REWRITTEN}, heavy=True)
 def prepare_bundles(v):
-    rows = v.bundles_v.withColumn("revision", F.concat(F.lit("r-"), "source_id")).withColumn("meta", F.to_json(F.struct("model")))
+    # Three stored entries, of which one is given twice with different media types: the last wins, at the first's place.
+    def stored(title: str, resource: str, mime: str):
+        return F.struct(F.lit("m0").alias("messageId"), F.lit("resource").alias("kind"), F.lit(title).alias("title"),
+                        F.lit(mime).alias("mimeType"), F.lit(resource).alias("resourceId"))
+    kept = F.array(stored("Kept", "d-1", "a/b"), stored("Last", "d-2", "a/b"), stored("Kept", "d-1", "c/d")).alias("linkedAttachments")
+    rows = v.bundles_v.withColumn("revision", F.concat(F.lit("r-"), "source_id")).withColumn("meta", F.to_json(F.struct("model", kept)))
     out = assets.prepare_bundles(rows, v.messages_v, "1.0")["bundles"]
-    listed = F.from_json("meta", "embeddedAssets array<struct<path:string>>, linkedAttachments array<struct<kind:string>>, model string, revision string")
+    listed = F.from_json("meta", "embeddedAssets array<struct<path:string>>, "
+                         "linkedAttachments array<struct<messageId:string,kind:string,title:string,sourceUrl:string,resourceId:string>>, "
+                         "model string, revision string")
+    links = F.transform("m.linkedAttachments", lambda a: F.concat_ws("|", a["messageId"], a["kind"], a["title"], F.coalesce(a["sourceUrl"], a["resourceId"])))
     return out.withColumn("m", listed).select(
         *KEY, "title", c("m.revision").alias("revision"), c("m.model").alias("model"), F.size("m.embeddedAssets").cast("bigint").alias("assets"),
-        F.size("m.linkedAttachments").cast("bigint").alias("links"), F.get(c("m.embeddedAssets"), 0)["path"].alias("first_path"))
+        F.array_join(links, ",").alias("links"), F.get(c("m.embeddedAssets"), 0)["path"].alias("first_path"))
 
 
 @query("platform_windows", """

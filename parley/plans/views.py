@@ -285,12 +285,8 @@ class Views:
         self._made: dict[str, DataFrame] = {}
 
     def _spread(self, table: DataFrame) -> DataFrame:
-        """For heavy work per row: a table of fewer files than cores is read by too few tasks, so it is dealt out.
-
-        Only the file list is looked at. A table of many files keeps its partitions and is not shuffled.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return table.repartition(cores) if self.heavy and len(table.inputFiles()) < cores else table
+        """For heavy work per row: rows are dealt out evenly, by AQE in partitions of its advised size."""
+        return table.hint("rebalance") if self.heavy else table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in VIEWS and name not in TABLES):

@@ -31,10 +31,12 @@ def build_session(app: str = "parley", master: str | None = None, **conf: str) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where none is set."""
+    """The shared checkpoint folder the cluster names; a temporary one only in local mode, where every task sees it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not configured and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="parley-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()
     return configured or current

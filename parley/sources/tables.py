@@ -41,6 +41,11 @@ class TableSet:
             return empty
         return self.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/v{at}/{name}").select(*empty.columns)
 
+    def holds(self, token: str) -> bool:
+        """Whether the last commit bears ``token``, so that the change it names is in."""
+        commits = self._commits()
+        return bool(commits) and commits[-1][1] == token
+
     def write(self, frames: dict[str, DataFrame], token: str = "-") -> int:
         """Write the next version of every table and commit it.
 

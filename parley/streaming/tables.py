@@ -23,9 +23,12 @@ def stream_ingest(stream: DataFrame, tables: TableSet, now: str, checkpoint: str
     """Captures with `seq` into the archive, continuously. Redelivered captures come out as duplicates.
 
     Status, revisions and conversations come from the batch operators, so a hot conversation is as
-    spread as there. ``sink(rows, batch_id)`` receives the captures with their status.
+    spread as there. ``sink(rows, batch_id)`` receives the captures with their status, before the commit; a batch that
+    is retried after its commit does not reach it again.
     """
     def apply(batch: DataFrame, batch_id: int, token: str) -> None:
+        if tables.holds(token):
+            return
         known, history = tables.read("conversations"), tables.read("revisions")
         done = archive.ingest(batch, known, history)
         if sink is not None:
@@ -43,8 +46,13 @@ def stream_dedupe(events: DataFrame, within: str, time: str = "at", keys: list[s
 
 def stream_index(events: DataFrame, tables: TableSet, now: str, checkpoint: str, on_queueable=None,
                  version: str = HASH_VERSION, **trigger):
-    """The passive path per micro-batch: dedupe, change detection, the next version of table `index`."""
+    """The passive path per micro-batch: dedupe, change detection, the next version of table `index`.
+
+    ``on_queueable(rows, batch_id)`` is called before the commit, and not again for a batch that is in already.
+    """
     def apply(batch: DataFrame, batch_id: int, token: str) -> None:
+        if tables.holds(token):
+            return
         out = discovery.dedupe_then_apply(tables.read("index"), batch, now, version=version)
         if on_queueable is not None:
             on_queueable(out["queueable"], batch_id)
@@ -63,6 +71,8 @@ def platform_windows(rows: DataFrame, size: str, time: str = "at", watermark: st
 def stream_log_tail(logs: DataFrame, tables: TableSet, n: int, checkpoint: str, **trigger):
     """The newest ``n`` logs as table `logs`; each micro-batch is cut to n before it meets the tail."""
     def apply(batch: DataFrame, batch_id: int, token: str) -> None:
+        if tables.holds(token):
+            return
         newest = analytics.retain_logs(batch, n)
         tables.write({"logs": analytics.retain_logs(tables.read("logs").unionByName(newest), n)}, token)
 

@@ -1,10 +1,12 @@
 """Laws and brute-force twins on the driver's smallest tables and on skewed data."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
 from parley import schemas
+from parley.functions import identity as ids
 from parley.operators import KEY, archive, artifacts, branches, conversations, discovery, ordered, queue, rendering
 from parley.plans.views import NOW, Views
 
@@ -15,18 +17,37 @@ def rows(df):
     return sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
 
 
-def test_hot_conversations_take_the_second_way_with_the_same_result(spark):
+def test_documents_of_any_size_have_one_shape(spark):
     v = Views(spark, SF)
-    assert rows(conversations.revise(v.bundles_v, v.messages_v, hot_rows=3)) == rows(conversations.revise(v.bundles_v, v.messages_v))
     b = v.bundles_v.withColumns({"revision": F.lit("r"), "meta": F.lit("{}")}).join(
         conversations.participants(v.bundles_v, v.messages_v), KEY)
     whole = {(r.platform, r.source_id): r for r in rendering.serialize_conversations(b, v.messages_v).collect()}
-    parts = rendering.serialize_conversations(b, v.messages_v, hot_rows=3, rows_per_part=2)
-    assert parts.where("parts > 1").count() > 0
+    parts = rendering.serialize_conversations(b, v.messages_v, rows_per_part=2).collect()
+    assert any(r.parts > 1 for r in parts)
     for key, want in whole.items():
-        got = sorted((r for r in parts.where((F.col("platform") == key[0]) & (F.col("source_id") == key[1])).collect()), key=lambda r: r.part)
+        got = sorted((r for r in parts if (r.platform, r.source_id) == key), key=lambda r: r.part)
         assert "".join(r.markdown for r in got) == want.markdown
-        assert {(r.message_count, r.estimated_tokens, r.parts) for r in got} == {(want.message_count, want.estimated_tokens, len(got))}
+        assert [r.part for r in got] == list(range(len(got))) and {r.parts for r in got} == {len(got)}
+        assert [(r.message_count, r.estimated_tokens) for r in got] == [
+            (want.message_count, want.estimated_tokens)] + [(None, None)] * (len(got) - 1)
+
+
+def test_a_very_long_conversation_is_rendered_and_hashed_whole(spark):
+    n = 100_000
+    messages = spark.range(n).select(F.lit("gemini").alias("platform"), F.lit("long").alias("source_id"), F.col("id").alias("pos"),
+                                     F.concat(F.lit("m"), "id").alias("id"), F.lit("user").alias("role"),
+                                     F.concat(F.lit("text "), "id").alias("markdown"), F.lit("").alias("created_at"))
+    bundle = spark.createDataFrame([("gemini", "long", "u", "T", None, "2024-01-01T00:00:00.000Z")],
+                                   "platform string, source_id string, url string, title string, source_updated_at string, extracted_at string")
+    header = bundle.select(ids.revision_header(*[F.col(c) for c in ("platform", "source_id", "url", "title", "source_updated_at")],
+                                               ids.HASH_VERSION)).first()[0]
+    lines = [r[0] for r in messages.orderBy("pos").select(ids.message_line(F.col("id"), F.col("role"), F.col("markdown"))).collect()]
+    want = hashlib.sha256((header + "\n".join(lines)).encode()).hexdigest()
+    assert conversations.revise(bundle, messages).first().revision == want
+    rich = bundle.withColumns({"revision": F.lit("r"), "meta": F.lit("{}")}).join(conversations.participants(bundle, messages), KEY)
+    docs = rendering.serialize_conversations(rich, messages).orderBy("part").collect()
+    assert len(docs) == 10 and docs[0].message_count == n and sum(r.message_count or 0 for r in docs) == n
+    assert "".join(r.markdown for r in docs).count("text ") == n
 
 
 def test_index_in_order(spark):
