@@ -1,164 +1,207 @@
+"""Payload and list parsers on invented payloads; expected times are computed, not written down."""
+
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from parley.operators import payloads as pl
 
-ASKED = "2026-05-01T00:00:00.000Z"
-
-
-def parse(spark, parser, payload, url="https://x/app/abc123", title="Thread"):
-    text = payload if isinstance(payload, str) else json.dumps(payload, ensure_ascii=False)
-    rows = spark.createDataFrame([("p", "abc123", url, title, text, ASKED)],
-                                 "platform string, source_id string, url string, title string, payload string, extracted_at string")
-    return parser(rows).first()
-
-
-def test_chatgpt_branch_parts_and_roles(spark):
-    nodes = {
-        "node-1": {"id": "node-1", "parent": None, "message": None},
-        "node-2": {"id": "node-2", "parent": "node-1", "message": {
-            "id": "m1", "author": {"role": "user"}, "create_time": 1740334020.198, "content": {"parts": [" Hello "]}}},
-        "node-x": {"id": "node-x", "parent": "node-2", "message": {
-            "id": "mx", "author": {"role": "assistant"}, "content": {"parts": ["other branch"]}}},
-        "node-t": {"id": "node-t", "parent": "node-2", "message": {
-            "id": "mt", "author": {"role": "tool"}, "content": {"parts": ["tool"]}}},
-        "node-3": {"id": "node-3", "parent": "node-t", "message": {
-            "author": {"role": "assistant"}, "create_time": "2025-02-23T18:07:01.198Z",
-            "content": {"parts": ["Hi there", {"text": "How can I help?"}, "  ", 7, {"b": 1, "a": [2]}]}}},
-    }
-    got = parse(spark, pl.parse_chatgpt, {"title": "T", "current_node": "node-3", "mapping": nodes})
-    assert [(m.id, m.role) for m in got.messages] == [("m1", "user"), ("node-3", "assistant")]
-    assert got.messages[0].markdown == "Hello" and got.messages[0].created_at == "2025-02-23T18:07:00.198Z"
-    assert got.messages[1].markdown == 'Hi there\n\nHow can I help?\n\n{"b":1,"a":[2]}'
-    assert got.source_updated_at == "2025-02-23T18:07:01.198Z" and got.title == "T"
-    assert json.loads(got.meta)["rawNodeCount"] == 5
-
-
-def test_chatgpt_cycle_and_empty(spark):
-    loop = {"a": {"id": "a", "parent": "b", "message": {"id": "1", "author": {"role": "user"}, "content": {"parts": ["x"]}}},
-            "b": {"id": "b", "parent": "a", "message": {"id": "2", "author": {"role": "assistant"}, "content": {"parts": ["y"]}}}}
-    got = parse(spark, pl.parse_chatgpt, {"current_node": "a", "mapping": loop})
-    assert [m.id for m in got.messages] == ["2", "1"]
-    assert parse(spark, pl.parse_chatgpt, {"current_node": "q", "mapping": {}}).messages == []
-
-
-def test_deepseek_fragments_times_and_files(spark):
-    payload = {"data": {"biz_data": {"chat_session": {"title": "Fragments"}, "chat_messages": [
-        {"message_id": 2, "role": "ASSISTANT", "inserted_at": 1740334021.198, "fragments": [
-            {"type": "THINK", "content": "line 1\nline 2"}, {"type": "TEXT", "content": "Final answer"}]},
-        {"message_id": 1, "role": "USER", "inserted_at": 1740334020.198, "fragments": [{"type": "REQUEST", "content": "Question"}]},
-        {"message_id": 3, "role": "USER", "content": "请看 https://example.com/report.pdf 和 https://example.com/chart.png",
-         "inserted_at": "as written", "files": [{"file_name": "a.txt", "file_size": 2048}, {"file_name": "b", "status": "FAILED"},
-                                              {"file_name": "c.pdf", "download_url": "https://d/c.pdf"}]},
-        {"message_id": 4, "role": "tool", "content": "no"}]}}}
-    got = parse(spark, pl.parse_deepseek, payload)
-    assert [m.id for m in got.messages] == ["1", "2", "3"]
-    assert got.messages[0].markdown == "Question"
-    assert got.messages[1].markdown == "> [thinking]\n> line 1\n> line 2\n\nFinal answer"
-    assert got.messages[1].created_at == "2025-02-23T18:07:01.198Z"
-    third = got.messages[2].markdown
-    assert third.startswith("> [attachment] a.txt (2.00KB)\n\n> [attachment] [c.pdf](https://d/c.pdf)\n\n请看")
-    assert third.endswith("![chart.png](https://example.com/chart.png)\n\n> [attachment] [report.pdf](https://example.com/report.pdf)")
-    assert got.messages[2].created_at == "as written" and got.title == "Fragments"
+ASKED = "2031-07-15T06:00:00.000Z"
+SHAPE = "platform string, source_id string, url string, title string, payload string, extracted_at string"
+
+
+def iso(seconds, millis=0):
+    at = datetime.fromtimestamp(seconds, timezone.utc)
+    return f"{at:%Y-%m-%dT%H:%M:%S}.{millis:03d}Z"
+
+
+def text_of(payload):
+    return payload if isinstance(payload, str) else json.dumps(payload, ensure_ascii=False)
+
+
+def parse(spark, parser, payload, url="https://host.test/app/kite-77", title="Given title"):
+    return parser(spark.createDataFrame([("p", "kite-77", url, title, text_of(payload), ASKED)], SHAPE)).first()
+
+
+def node(name, parent, role=None, parts=None, **more):
+    message = None if role is None else {"author": {"role": role}, "content": {"parts": parts}, **more}
+    return name, {"id": name, "parent": parent, "message": message}
+
+
+def test_tree_payloads_follow_the_current_branch(spark):
+    mapping = dict([
+        node("root", None),
+        node("ask", "root", "user", ["  Which way to the harbour? "], id="ask-id", create_time=1900000100.25),
+        node("dropped", "ask", "assistant", ["an answer nobody kept"], id="d"),
+        node("lookup", "ask", "tool", ["map tiles"], id="t"),
+        node("reply", "lookup", "assistant", ["Downhill.", {"text": "Then left."}, " ", 31, {"z": [0], "k": "v"}],
+             create_time=iso(1900000160, 500)),
+    ])
+    got = parse(spark, pl.parse_chatgpt, {"title": "Harbour", "current_node": "reply", "mapping": mapping})
+    assert [(m.id, m.role, m.created_at) for m in got.messages] == [
+        ("ask-id", "user", iso(1900000100, 250)), ("reply", "assistant", iso(1900000160, 500))]
+    assert got.messages[0].markdown == "Which way to the harbour?"
+    assert got.messages[1].markdown == 'Downhill.\n\nThen left.\n\n{"z":[0],"k":"v"}'
+    assert got.source_updated_at == iso(1900000160, 500) and got.title == "Harbour"
+    assert json.loads(got.meta)["rawNodeCount"] == len(mapping)
+
+
+def test_tree_payloads_with_a_cycle_or_no_nodes(spark):
+    ring = dict([node("p", "q", "user", ["up"], id="P"), node("q", "p", "assistant", ["down"], id="Q")])
+    assert [m.id for m in parse(spark, pl.parse_chatgpt, {"current_node": "p", "mapping": ring}).messages] == ["Q", "P"]
+    assert parse(spark, pl.parse_chatgpt, {"current_node": "gone", "mapping": {}}).messages == []
+
+
+def test_fragment_payloads(spark):
+    second = {"message_id": 12, "role": "ASSISTANT", "inserted_at": 1900000300.75, "fragments": [
+        {"type": "THINK", "content": "compare tides\nthen wind"}, {"type": "TEXT", "content": "Sail at noon"}]}
+    first = {"message_id": 11, "role": "USER", "inserted_at": 1900000240.0, "fragments": [{"type": "REQUEST", "content": "When to sail?"}]}
+    third = {"message_id": 13, "role": "USER", "inserted_at": "some day",
+             "content": "Voir https://files.test/carte.pdf et https://files.test/baie.png",
+             "files": [{"file_name": "log.txt", "file_size": 3072}, {"file_name": "lost", "status": "FAILED"},
+                       {"file_name": "tides.pdf", "download_url": "https://dl.test/tides.pdf"}]}
+    other = {"message_id": 14, "role": "tool", "content": "skipped"}
+    got = parse(spark, pl.parse_deepseek, {"data": {"biz_data": {
+        "chat_session": {"title": "Sailing"}, "chat_messages": [second, first, third, other]}}})
+    assert [(m.id, m.created_at) for m in got.messages] == [
+        ("11", iso(1900000240)), ("12", iso(1900000300, 750)), ("13", "some day")]
+    assert got.title == "Sailing" and got.messages[0].markdown == "When to sail?"
+    assert got.messages[1].markdown == "> [thinking]\n> compare tides\n> then wind\n\nSail at noon"
+    assert got.messages[2].markdown.split("\n\n") == [
+        "> [attachment] log.txt (3.00KB)", "> [attachment] [tides.pdf](https://dl.test/tides.pdf)", third["content"],
+        "![baie.png](https://files.test/baie.png)", "> [attachment] [carte.pdf](https://files.test/carte.pdf)"]
 
 
 def envelope(turns):
-    return ")]}'\n\n123\n" + json.dumps([["wrb.fr", "hNvQHb", json.dumps([turns, None, None, []], ensure_ascii=False), None]],
-                                        ensure_ascii=False)
+    inner = json.dumps([turns, None, None, []], ensure_ascii=False)
+    return ")]}'\n\n7\n" + json.dumps([["wrb.fr", "hNvQHb", inner, None]], ensure_ascii=False)
 
 
-def photo(n):
-    return [None, 1, f"photo-{n}.jpg", f"https://lh3.googleusercontent.com/gg/example-photo-{n}", None, f"token-{n}", None, None, 6]
+def picture(name):
+    return [None, 1, f"{name}.jpg", f"https://lh3.googleusercontent.com/gg/{name}", None, f"key-{name}", None, None, 6]
 
 
-def test_gemini_thinking_and_order(spark):
-    def turn(n, asked, said, thought, at):
-        answer = [f"resp-{n}", [said]] + [None] * 35 + [[[thought]]]
-        return [["c", "r"], None, [[asked], 2], [[answer]], at]
-    turns = [turn(1, "第一问", "第一答复", "**One**", [1775700000, 111000000]),
-             turn(2, "第二问", "第二答复", "**Two**", [1775700100, 222000000])]
-    got = parse(spark, pl.parse_gemini, envelope(turns))
-    assert len(got.messages) == 4 and got.title == "Thread"
-    assert got.messages[0].markdown == "第一问" and got.messages[0].id == "user-1"
-    assert got.messages[1].markdown == "> [thinking]\n> **One**\n\n第一答复" and got.messages[1].id == "resp-1"
-    assert got.source_updated_at == "2026-04-09T02:01:40.222Z"
+def rpc_turn(asked, answer, at=None, pictures=None):
+    question = [asked] if pictures is None else [asked, None, None, None, [[None, None, None, pictures]]]
+    return [None, None, [question], [[answer]], at]
+
 
+def test_rpc_turns_carry_thoughts_ids_and_times(spark):
+    def answer(n):
+        return [f"out-{n}", [f"reply {n}"]] + [None] * 35 + [[[f"*idea {n}*"]]]
+    got = parse(spark, pl.parse_gemini, envelope([rpc_turn(f"Frage {n}", answer(n), [1900001000 + n, 40_000_000 * n]) for n in (1, 2)]))
+    assert [(m.id, m.markdown) for m in got.messages] == [
+        ("user-1", "Frage 1"), ("out-1", "> [thinking]\n> *idea 1*\n\nreply 1"),
+        ("user-2", "Frage 2"), ("out-2", "> [thinking]\n> *idea 2*\n\nreply 2")]
+    assert got.title == "Given title" and got.source_updated_at == iso(1900001002, 80)
 
-def test_gemini_inherited_images_and_missing_time_first(spark):
-    def turn(asked, photos, said, at):
-        return [None, None, [[asked, None, None, None, [[None, None, None, photos]]]], [[[said, [said]]]], at]
-    turns = [turn("第二问", [photo(1), photo(2)], "B", [1775700200, 0]), turn("第一问", [photo(1)], "A", [1775700100, 0]),
-             [None, None, [["undated"]], None]]
+
+def test_rpc_turns_are_sorted_and_lose_inherited_pictures(spark):
+    turns = [rpc_turn("later", ["Y", ["Y"]], [1900002050, 0], [picture("reef"), picture("buoy")]),
+             rpc_turn("earlier", ["X", ["X"]], [1900002000, 0], [picture("reef")]), [None, None, [["no date"]], None]]
     got = parse(spark, pl.parse_gemini, envelope(turns))
-    assert [m.id for m in got.messages] == ["user-1", "user-2", "A", "user-3", "B"]
-    assert got.messages[1].markdown == "![photo-1.jpg](https://lh3.googleusercontent.com/gg/example-photo-1)\n\n第一问"
-    assert got.messages[3].markdown == "![photo-2.jpg](https://lh3.googleusercontent.com/gg/example-photo-2)\n\n第二问"
-    assert got.source_updated_at == "2026-04-09T02:03:20.000Z"
-
-
-def test_gemini_interactive_block(spark):
-    said = '先看：\n\n```json\n{"miniApp":{"spec":"...","id":"im_demo123abc"}}\n```\n\n再继续。'
-    got = parse(spark, pl.parse_gemini, envelope([[None, None, [["q"]], [[["r", [said]]]], [1775700300, 0]]]), url="https://g/app/d")
-    assert got.messages[1].markdown == ("先看：\n\n> [interactive] [Open Gemini visualization demo (im_demo123abc)](https://g/app/d)"
-                                        "\n\n再继续。")
-
-
-def test_aistudio_turns_thoughts_files(spark):
-    def turn(text, role, **at):
-        row = [text] + [None] * 7 + [role] + [None] * 20
-        for k, x in at.items():
-            row[int(k[1:])] = x
-        return row
-    payload = [["prompts/x", None, None, [1, None, "models/m"], ["Prompt Title", None, None, None, [["1775640848", 973000000]],
-                None, None, None, None, None, [["promptType", "CHUNKED"], ["hasImages", "true"]]], {"deep": [
-                    turn("Question", "user", _18=[1775640000, 5000000]), turn("**Plan**\n\nBody.", "model", _25=-1),
-                    turn("Final", "model"), turn(None, "user", _3=["drive-1"], _23=["image/png", "aGVsbG8="]),
-                    turn("see", "user", _12=["text/plain", "bm90ZSB+fn4gaGVyZQ=="])]}]]
-    got = parse(spark, pl.parse_aistudio, payload)
+    assert [m.id for m in got.messages] == ["user-1", "user-2", "X", "user-3", "Y"]
+    assert got.messages[1].markdown == "![reef.jpg](https://lh3.googleusercontent.com/gg/reef)\n\nearlier"
+    assert got.messages[3].markdown == "![buoy.jpg](https://lh3.googleusercontent.com/gg/buoy)\n\nlater"
+    assert got.source_updated_at == iso(1900002050)
+
+
+def test_rpc_interactive_blocks_become_links(spark):
+    said = 'Look:\n\n```json\n{"miniApp":{"spec":"s","id":"im_tide42"}}\n```\n\nDone.'
+    got = parse(spark, pl.parse_gemini, envelope([rpc_turn("q", ["r", [said]], [1900003000, 0])]), url="https://host.test/t")
+    assert got.messages[1].markdown == "Look:\n\n> [interactive] [Open Gemini visualization demo (im_tide42)](https://host.test/t)\n\nDone."
+
+
+def role_turn(text, role, **slots):
+    row = [text] + [None] * 7 + [role] + [None] * 20
+    for name, value in slots.items():
+        row[int(name[1:])] = value
+    return row
+
+
+def prompt(*turns, changed=("1900004000", 250_000_000)):
+    about = ["Lighthouse", None, None, None, [list(changed)]] + [None] * 5 + [[["promptType", "PLAIN"], ["hasImages", "true"]]]
+    return [["prompts/beam", None, None, [1, None, "models/lamp"], about, {"nested": list(turns)}]]
+
+
+def test_prompt_turns_thoughts_and_files(spark):
+    got = parse(spark, pl.parse_aistudio, prompt(
+        role_turn("How bright?", "user", _18=[1900003900, 7_000_000]), role_turn("**Watts**\n\nAdd up.", "model", _25=-1),
+        role_turn("Very.", "model"), role_turn(None, "user", _3=["file-9"], _23=["image/png", "c2VhIHNlYQ=="]),
+        role_turn("read", "user", _12=["text/plain", "Zm9nIH5+fiBob3Ju"])))
     meta = json.loads(got.meta)
-    assert (got.title, meta["model"], meta["promptType"], meta["hasImages"]) == ("Prompt Title", "models/m", "CHUNKED", True)
-    assert got.source_updated_at == "2026-04-08T09:34:08.973Z"
+    assert (got.title, meta["model"], meta["promptType"], meta["hasImages"]) == ("Lighthouse", "models/lamp", "PLAIN", True)
+    assert got.source_updated_at == iso(1900004000, 250) and got.messages[0].created_at == iso(1900003900, 7)
     assert [m.id for m in got.messages] == ["user-1", "assistant-2", "assistant-3", "user-4", "user-5"]
-    assert got.messages[0].created_at == "2026-04-08T09:20:00.005Z"
-    assert got.messages[1].markdown == "> [thinking]\n> **Plan**\n>\n> Body."
-    assert got.messages[3].markdown == ("![user-4.png](data:image/png;base64,aGVsbG8=)\n\n> [attachment] [Google Drive resource "
-                                        "drive-1](https://drive.google.com/open?id=drive-1)")
-    assert got.messages[4].markdown == "> [attachment] text/plain\n\n~~~~text\nnote ~~~ here\n~~~~\n\nsee"
-    assert meta["linkedAttachments"][0]["resourceId"] == "drive-1"
+    assert got.messages[1].markdown == "> [thinking]\n> **Watts**\n>\n> Add up."
+    assert got.messages[3].markdown == ("![user-4.png](data:image/png;base64,c2VhIHNlYQ==)\n\n> [attachment] [Google Drive resource "
+                                        "file-9](https://drive.google.com/open?id=file-9)")
+    assert got.messages[4].markdown == "> [attachment] text/plain\n\n~~~~text\nfog ~~~ horn\n~~~~\n\nread"
+    assert meta["linkedAttachments"][0]["resourceId"] == "file-9"
+
+
+def test_two_pictures_of_one_header_are_two(spark):
+    header = "iVBORw0KGgoAAAANSUhEUgAAAAEAAAAB"
+    assert len(header) == 32
+    got = parse(spark, pl.parse_aistudio, prompt(role_turn(
+        "both", "user", _12=["image/png", header + "QUFB"], _23=["image/png", header + "QkJC"])))
+    assert got.messages[0].markdown.count("data:image/png") == 2
+
+
+def test_one_bad_row_does_not_fail_the_others(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    huge = json.dumps(prompt(role_turn("x", "user", _18=[1900003900, 0]))).replace("1900003900, 0", "1900003900, 1e999")
+    rows = spark.createDataFrame([("p", str(i), "u", "t", body, ASKED) for i, body in enumerate(
+        [deep, huge, "not json", json.dumps(prompt(role_turn("fine", "user")))])], SHAPE)
+    got = {r.source_id: r.messages for r in pl.parse_aistudio(rows).collect()}
+    assert [m.markdown for m in got["3"]] == ["fine"] and len(got) == 4
 
 
 def events(spark, platform, payload):
-    text = payload if isinstance(payload, str) else json.dumps(payload, ensure_ascii=False)
-    rows = spark.createDataFrame([(1, text)], "page int, payload string")
+    rows = spark.createDataFrame([(1, text_of(payload))], "page int, payload string")
     return [(r.source_id, r.url, r.title, r.source_updated_at)
             for r in pl.parse_discovery(rows, platform).orderBy("seq").collect()]
 
 
-def test_lists(spark):
+def listed(*rows):
+    inner = "[null,\"more\",[" + ",".join(f'["c_{i}","{t}",null,null,null,[{s},{n}],null]' for i, t, s, n in rows) + "]]"
+    return ")]}'\n\n9\n" + json.dumps([["wrb.fr", "MaZiqc", inner]], ensure_ascii=False)
+
+
+def test_prompt_lists(spark):
     assert events(spark, "aistudio", [[
-        ["prompts/prompt-1", None, None, None, ["Prompt One", None, None, None, [["1775658791", 874000000]]]],
-        ["prompts/new_chat", None, None, None, ["x"]]], "~!!~cursor-2"]) == [
-        ("prompt-1", "https://aistudio.google.com/prompts/prompt-1", "Prompt One", "2026-04-08T14:33:11.874Z")]
-    batched = (')]}\'\n\n1667\n[["wrb.fr","MaZiqc","[null,\\"token\\",[[\\"c_07374124195681dd\\",\\"导体 \\\\u0041\\",null,null,null,'
-               '[1775572077,285944000],null],[\\"c_02becacfd54705d0\\",\\"储能\\",null,null,null,[1775572004,569120000],null]]"]]')
-    assert events(spark, "gemini", batched) == [
-        ("07374124195681dd", "https://gemini.google.com/app/07374124195681dd", "导体 A", "2026-04-07T14:27:57.285Z"),
-        ("02becacfd54705d0", "https://gemini.google.com/app/02becacfd54705d0", "储能", "2026-04-07T14:26:44.569Z")]
-    assert events(spark, "chatgpt", {"items": [{"id": "a", "title": "A", "update_time": 1740334194.343}, {"title": "none"},
-                                               {"conversation_id": "b", "url": "https://u/b", "update_time": None,
-                                                "updated_at": "2025-01-01T00:00:00Z"}]}) == [
-        ("a", "https://chatgpt.com/c/a", "A", "2025-02-23T18:09:54.343Z"), ("b", "https://u/b", None, "2025-01-01T00:00:00.000Z")]
+        ["prompts/keel", None, None, None, ["Keel repair", None, None, None, [["1900005000", 125_000_000]]]],
+        ["prompts/new_chat", None, None, None, ["empty"]]], "next"]) == [
+        ("keel", "https://aistudio.google.com/prompts/keel", "Keel repair", iso(1900005000, 125))]
+
+
+def test_batched_lists(spark):
+    assert events(spark, "gemini", listed(("aa11", "Mast \\u0042", 1900006000, 500_000_000), ("bb22", "Segel", 1900006100, 0))) == [
+        ("aa11", "https://gemini.google.com/app/aa11", "Mast B", iso(1900006000, 500)),
+        ("bb22", "https://gemini.google.com/app/bb22", "Segel", iso(1900006100))]
+
+
+def test_batched_lists_with_very_long_titles(spark):
+    title = "sea " * 25_000
+    got = events(spark, "gemini", listed(("cc33", title, 1900006200, 0)))
+    assert [(i, t) for i, _, t, _ in got] == [("cc33", title.strip())]
+
+
+def test_plain_lists(spark):
+    assert events(spark, "chatgpt", {"items": [
+        {"id": "oar", "title": "Oars", "update_time": 1900007000.5}, {"title": "no id"},
+        {"conversation_id": "rope", "url": "https://elsewhere.test/rope", "update_time": None, "updated_at": "2031-01-02T03:04:05Z"}]}) == [
+        ("oar", "https://chatgpt.com/c/oar", "Oars", iso(1900007000, 500)),
+        ("rope", "https://elsewhere.test/rope", None, "2031-01-02T03:04:05.000Z")]
     assert events(spark, "deepseek", {"data": {"biz_data": {
-        "chat_session": {"id": "s1", "title": "Old"}, "chat_messages": [{"inserted_at": "1740334194.343"}],
-        "chat_sessions": [{"id": "s2", "title": "", "updated_at": 1740334294.343}, {"id": "s1", "title": "New"}]}}}) == [
-        ("s2", "https://chat.deepseek.com/a/chat/s/s2", None, "2025-02-23T18:11:34.343Z"),
-        ("s1", "https://chat.deepseek.com/a/chat/s/s1", "New", None)]
+        "chat_session": {"id": "net", "title": "Before"}, "chat_messages": [{"inserted_at": "1900008000.5"}],
+        "chat_sessions": [{"id": "hook", "title": "", "updated_at": 1900008100.25}, {"id": "net", "title": "After"}]}}}) == [
+        ("hook", "https://chat.deepseek.com/a/chat/s/hook", None, iso(1900008100, 250)),
+        ("net", "https://chat.deepseek.com/a/chat/s/net", "After", None)]
 
 
 def test_split_and_explode(spark):
-    rows = spark.createDataFrame([("chatgpt", "a", "u", "T", "{}", ASKED)],
-                                 "platform string, source_id string, url string, title string, payload string, extracted_at string")
-    kept, rejects = pl.split(pl.parse_chatgpt(rows))
+    kept, rejects = pl.split(pl.parse_chatgpt(spark.createDataFrame([("chatgpt", "a", "u", "T", "{}", ASKED)], SHAPE)))
     assert kept.count() == 0 and rejects.first().reason == "no usable messages"
     assert pl.explode_messages(kept).select(F.count("id")).first()[0] == 0
