@@ -7,6 +7,9 @@ from html.parser import HTMLParser
 
 # Elements that hold controls, not content, and the void elements.
 DROPPED = {"button", "svg", "script", "style", "select", "noscript", "template", "title"}
+# Names and classes of a turn's controls and captions.
+CHROME = {"actions-container", "author-label", "timestamp", "thought-collapsed-text-container", "mat-expansion-panel-header",
+          "ms-chat-turn-options", "material-symbols-outlined"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BREAKING = {"p", "div", "section", "article", "main", "ul", "ol", "table", "blockquote", "header", "footer", "nav", "figure"}
 MARKS = {"b": "**", "strong": "**", "i": "_", "em": "_", "code": "`", "del": "~", "s": "~"}
@@ -25,7 +28,7 @@ class PageBlocks(HTMLParser):
         self.open: list[tuple[str, str | None]] = []
         self.text: list[str] = []
         self.prefix, self.kind = "", "paragraph"
-        self.skip = 0
+        self.skip, self.skipped = 0, ""
         self.lists: list[int | None] = []
         self.turns, self.turn = 0, None
         self.pre, self.table, self.latex, self.thought = None, None, None, None
@@ -46,12 +49,13 @@ class PageBlocks(HTMLParser):
         at = {k: v or "" for k, v in attributes}
         classes = at.get("class", "").split()
         if self.skip:
-            self.skip += tag not in VOID
+            # Only elements of the skipped one's name nest: others may leave out their end tags.
+            self.skip += tag == self.skipped
             return
         if self.latex is None and {"katex", "katex-display"} & set(classes):
             self.latex = ["block" if "katex-display" in classes else "inline", [], len(self.open), False]
-        if tag in DROPPED or (at.get("aria-hidden") == "true" and self.latex is None):
-            self.skip = int(tag not in VOID)
+        if tag in DROPPED or CHROME & {tag, *classes} or (at.get("aria-hidden") == "true" and self.latex is None):
+            self.skip, self.skipped = int(tag not in VOID), tag
             return
         if self.latex is not None:
             self.latex[3] = self.latex[3] or (tag == "annotation" and at.get("encoding") == "application/x-tex")
@@ -62,6 +66,8 @@ class PageBlocks(HTMLParser):
             role = "user"
         elif tag == "structured-content-container":
             role = "assistant"
+        elif "chat-turn-container" in classes:
+            role = "user" if "user" in classes else "assistant"
         opens = self.turn is None and (role is not None or tag == "ms-chat-turn"
                                        or at.get("data-testid", "").startswith("conversation-turn-"))
         if opens:
@@ -126,7 +132,12 @@ class PageBlocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
-            self.skip -= tag not in VOID
+            if tag == self.skipped:
+                self.skip -= 1
+            elif any(t == tag for t, _ in self.open) and tag in BREAKING:
+                # An end tag of an element around the skipped one closes it too.
+                self.skip = 0
+                self.handle_endtag(tag)
             return
         if not any(t == tag for t, _ in self.open):
             return

@@ -41,18 +41,17 @@ def _argmax(rows: DataFrame, *rank: Column) -> DataFrame:
     return best.select(*KEY, "_row.*").select(*rows.columns)
 
 
-def front_of(table: DataFrame) -> int:
-    """A position before every row of the table."""
-    least = table.agg(F.min("pos")).first()[0]
-    return (least if least is not None else 0) - 1
+def front_of(table: DataFrame) -> Column:
+    """A position before every row of the table: a scalar subquery of the plan, so no job runs while it is made."""
+    return F.coalesce(table.agg(F.min("pos")).scalar(), F.lit(0)) - 1
 
 
 def upsert_artifacts(artifacts: DataFrame, new: DataFrame, front: int | None = None) -> DataFrame:
     """Replace by (KEY, revision); the new rows come first, the last of them foremost."""
-    front = front_of(artifacts) if front is None else front
+    front = front_of(artifacts) if front is None else F.lit(front)
     rest = [x for x in artifacts.columns if x not in REV]
     newest = new.groupBy(*REV).agg(F.max_by(F.struct(*rest), "pos").alias("_row")).select(*REV, "_row.*")
-    placed = newest.withColumn("pos", F.lit(front) - F.col("pos")).select(*artifacts.columns)
+    placed = newest.withColumn("pos", front - F.col("pos")).select(*artifacts.columns)
     return artifacts.join(new.select(*REV), REV, "left_anti").select(*artifacts.columns).unionByName(placed)
 
 

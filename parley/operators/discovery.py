@@ -47,19 +47,16 @@ def dedupe_coalesce(events: DataFrame, keys: Sequence[str] = KEY, seq: str = "se
 def union_by_priority(buffered: DataFrame, sidebar: DataFrame, api: DataFrame, buffered_only: bool = False) -> DataFrame:
     """Union where a later source replaces an earlier one whole; `source` names how the result came about.
 
-    ``first_seq`` is a (rank, seq) pair to sort by. Which sources have rows at all is one row of three flags, joined to
-    the result, so nothing runs while the plan is made.
+    ``first_seq`` is a (rank, seq) pair to sort by. Which sources have rows at all is asked by scalar subqueries, so
+    nothing runs while the plan is made.
     """
     ranked = [d.withColumn("rank", F.lit(i)) for i, d in enumerate((buffered, sidebar, api))]
     rows = ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
-    have = rows.groupBy().agg(*[F.coalesce(F.bool_or(F.col("rank") == i), F.lit(False)).alias(n)
-                                for i, n in enumerate(("_b", "_s", "_a"))])
-    b, s, a = (F.col(n) for n in ("_b", "_s", "_a"))
+    has = [F.coalesce(rows.agg(F.bool_or(F.col("rank") == i)).scalar(), F.lit(False)) for i in range(3)]
+    b, s, a = has
     alone = b & (F.lit(buffered_only) | ~(a | s))
-    label = (F.when(alone, "buffered").when(a & s, "merged").when(a, "api").when(s, "sidebar").otherwise("empty"))
-    # One row, so the product adds no rows.
-    flagged = rows.join(F.broadcast(have.select(alone.alias("_alone"), label.alias("source"))))
-    flagged = flagged.where(~F.col("_alone") | (F.col("rank") == 0))
+    label = F.when(alone, "buffered").when(a & s, "merged").when(a, "api").when(s, "sidebar").otherwise("empty")
+    flagged = rows.withColumns({"_alone": alone, "source": label}).where(~F.col("_alone") | (F.col("rank") == 0))
     order = F.struct("rank", F.col("seq").cast("bigint").alias("seq"))
     rest = [x for x in buffered.columns if x not in KEY]
     # Buffered rows alone stay as they came; otherwise one row a key.

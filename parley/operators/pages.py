@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,11 @@ from parley.operators.discovery import dedupe_coalesce, dedupe_last
 from parley.operators.ordered import ordered_texts
 
 c = F.col
-# The entities that occur in titles and link texts.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: Entity names to characters, from the standard library's table.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
 ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>((?:(?!<a\b|</li>).)*+)"
+# Fixed value: the entry of the history list that is open.
+ACTIVE = r'(?is)<a\b(?=[^>]*\baria-current="page")(?=[^>]*\bhref="[^"]*/app/)[^>]*>(.*?)</a>'
 # Elements of a page that are controls.
 CONTROLS = ("button", "svg", "script", "style", "textarea", "select")
 FILE_NAME = r"(?i)\.(?:pdf|png|jpe?g|gif|webp|bmp|svg|docx?|pptx?|xlsx?|csv|tsv|md|txt)\z"
@@ -29,11 +32,25 @@ FILE_NAME = r"(?i)\.(?:pdf|png|jpe?g|gif|webp|bmp|svg|docx?|pptx?|xlsx?|csv|tsv|
 PROMPT_CAPTION = r"(?i)^(?:你说|you said)\z"
 
 
+def _unescaped(part: Column) -> Column:
+    """What follows an ampersand, with the entity it begins with, if any, replaced by its character."""
+    name = F.regexp_extract(part, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,30});", 1)
+    number = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(
+        F.regexp_extract(name, "^#([0-9]+)$", 1)).try_cast("int")
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    known = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+    shown = F.coalesce(char, F.try_element_at(known, name))
+    return F.when((name != "") & shown.isNotNull(), F.concat(shown, F.substr(part, F.length(name) + 2))).otherwise(
+        F.concat(F.lit("&"), part))
+
+
 def text_of(html: Column) -> Column:
-    out = F.regexp_replace(html, r"(?s)<[^>]*>", "")
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """The text of a piece of HTML: tags go, entities become their characters, each once."""
+    flat = F.regexp_replace(html, r"(?s)<[^>]*>", "")
+    parts = F.split(flat, "&")
+    shown = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), _unescaped), ""))
+    return F.when(flat.contains("&"), shown).otherwise(flat)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -65,7 +82,8 @@ def page_links(pages: DataFrame, id_pattern: str, origin: str | None = None, coa
 
 
 def page_title(pages: DataFrame, suffix: str, heading: str = r"(?is)<h1\b[^>]*>(.*?)</h1>", strict: bool = True) -> DataFrame:
-    """(page_id, title): heading, then <title> without the site's name, then the first prompt line, then NULL.
+    """(page_id, title): heading, then the active entry of the history list, then <title> without the site's name, then
+    the first prompt line, then NULL.
 
     ``strict`` drops generic titles on the way.
     """
@@ -79,7 +97,7 @@ def page_title(pages: DataFrame, suffix: str, heading: str = r"(?is)<h1\b[^>]*>(
     lines = F.filter(F.transform(F.split(text_of(prompt), r"\r?\n"), js_trim),
                      lambda x: (x != "") & ~x.rlike(PROMPT_CAPTION))
     return pages.select("page_id", F.coalesce(
-        clean(F.regexp_extract("html", heading, 1)), clean(named), F.substring(F.get(lines, 0), 1, 80)).alias("title"))
+        clean(F.regexp_extract("html", heading, 1)), clean(F.regexp_extract("html", ACTIVE, 1)), clean(named), F.substring(F.get(lines, 0), 1, 80)).alias("title"))
 
 
 def strip_page_chrome(html: Column) -> Column:
@@ -161,9 +179,14 @@ SETTINGS = {"System instructions": "systemInstructions", "Temperature": "tempera
 CONTAINER = r'(?i)<[a-z][a-z0-9-]*\b[^>]*class="[^"]*\b(?:settings-item|selector-container|field-group|overlay-header)\b[^"]*"[^>]*>'
 
 
+# What follows the settings panel on a page.
+AFTER = r'(?is)<ms-chat-turn\b|<[a-z][a-z0-9-]*\b[^>]*class="[^"]*\b(?:settings-tool|group-title)\b|<main\b|</(?:aside|section)\s*>'
+
+
 def page_settings(pages: DataFrame) -> DataFrame:
-    """(page_id, meta): model, tools and the settings panel as JSON. A panel row ends where the next begins."""
-    panels = F.split("html", CONTAINER)
+    """(page_id, meta): model, tools and the settings panel as JSON. A panel row ends where the next one, the tools, the
+    chat or the panel's end begins."""
+    panels = F.transform(F.split("html", CONTAINER), lambda p: F.get(F.split(p, AFTER), 0))
 
     def value(label: str) -> Column:
         hits = F.filter(panels, lambda p: p.rlike(rf"(?is)>\s*{label}\s*</"))

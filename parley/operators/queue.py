@@ -33,9 +33,9 @@ def _edit(queue: DataFrame, hit: Column, changes: dict[str, Column], now: str |
     return queue.withColumns({n: F.when(hit, x).otherwise(F.col(n)) for n, x in changes.items() if n in queue.columns})
 
 
-def _inserted(events: DataFrame, columns: list[str], kind: str, priority: str, now: str, front: int) -> DataFrame:
+def _inserted(events: DataFrame, columns: list[str], kind: str, priority: str, now: str, front: Column) -> DataFrame:
     c = F.col
-    made = {"pos": F.lit(front) - c("seq"), "kind": F.lit(kind), "priority": F.lit(priority),
+    made = {"pos": front - c("seq"), "kind": F.lit(kind), "priority": F.lit(priority),
             "key": queue_key(c("platform"), c("source_id"), c("revision_fingerprint")),
             "status": F.lit("pending"), "attempts": F.lit(0), "discovered_at": F.lit(now), "updated_at": F.lit(now)}
     empty = {n: _null() for n in columns if n not in made and n not in events.columns}
@@ -49,7 +49,7 @@ def merge_queue(queue: DataFrame, events: DataFrame, now: str, kind: str = "expo
     An absent (NULL) field of an event leaves the row's value. ``events`` carry `seq`.
     """
     c = F.col
-    front = front_of(queue) if front is None else front
+    front = front_of(queue) if front is None else F.lit(front)
     ev = events.select(*KEY, *[c(f).alias(f"e_{f}") for f in (*EVENT, "revision_fingerprint")],
                        queue_key(c("platform"), c("source_id"), c("revision_fingerprint")).alias("e_key"))
     facts = queue.join(ev.select(*KEY, "e_key"), KEY).groupBy(*KEY).agg(
@@ -85,54 +85,59 @@ def fold_queue(queue: DataFrame, events: DataFrame, now: str, kind: str = "expor
 
     Re-keying makes the merges order-dependent, so a key's events are read in order. They stream
     through sorted partitions; the state is one row per distinct fingerprint the events name, plus
-    the key's first row. All other queue rows never leave Spark.
+    the key's first row, found by key. All other queue rows never leave Spark.
     """
     c = F.col
-    front = front_of(queue) if front is None else front
+    front = front_of(queue) if front is None else F.lit(front)
     named = events.select(*KEY, queue_key(c("platform"), c("source_id"), c("revision_fingerprint")).alias("key")).distinct()
     first = queue.join(events.select(*KEY).distinct(), KEY, "left_semi").groupBy(*KEY).agg(F.min_by("key", "pos").alias("key"))
     involved = named.unionByName(first).select("key").distinct()
     idle = queue.join(involved, "key", "left_anti")
     live = queue.join(involved, "key", "left_semi").withColumns({"seq": F.lit(-1).cast("bigint")})
     arriving = events.select(*[x for x in events.columns if x in queue.columns], "seq")
-    tape = live.unionByName(arriving, allowMissingColumns=True)
+    tape = live.unionByName(arriving, allowMissingColumns=True).withColumn("_front", front)
     columns, schema = queue.columns, queue.schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, rows = None, []
+        current, rows, head = None, {}, None
         for batch in batches:
             done = []
             for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-                seq = row.pop("seq")
+                seq, start = row.pop("seq"), row.pop("_front")
                 where = (row["platform"], row["source_id"])
                 if where != current:
-                    done.extend(rows)
-                    current, rows = where, []
+                    done.extend(rows.values())
+                    current, rows, head = where, {}, None
                 if seq < 0:
-                    rows.append(row)
+                    # Rows of the queue come by position, so the first is the head.
+                    rows[row["key"]] = row
+                    head = head or row
                 else:
-                    _apply(rows, row, int(seq))
+                    head = _apply(rows, head, row, int(start) - int(seq))
             if done:
                 yield shaped(done)
         if rows:
-            yield shaped(rows)
+            yield shaped(list(rows.values()))
 
-    def _apply(rows: list[dict], event: dict, seq: int) -> None:
+    def _apply(rows: dict[str, dict], head: dict | None, event: dict, pos: int) -> dict:
+        """Apply one event; returns the row now foremost. New rows come before all others."""
         key = ":".join((event["platform"], event["source_id"], event["revision_fingerprint"]))
-        target = next((r for r in rows if r["key"] == key), None)
-        if target is None and rows:
-            head = min(rows, key=lambda r: r["pos"])
-            if head["status"] != "completed" and not (head["source_updated_at"] and event["source_updated_at"]):
-                target = head
+        target = rows.get(key)
+        if target is None and head and head["status"] != "completed" and not (
+                head["source_updated_at"] and event["source_updated_at"]):
+            target = head
         if target is None:
-            rows.append({**dict.fromkeys(columns), **event, "key": key, "pos": front - seq, "kind": kind,
-                         "priority": priority, "status": "pending", "attempts": 0, "discovered_at": now, "updated_at": now})
-            return
+            rows[key] = {**dict.fromkeys(columns), **event, "key": key, "pos": pos, "kind": kind, "priority": priority,
+                         "status": "pending", "attempts": 0, "discovered_at": now, "updated_at": now}
+            return rows[key]
         if event["source_updated_at"] and not target["source_updated_at"]:
+            rows.pop(target["key"])
             target.update(revision_fingerprint=event["revision_fingerprint"], key=key)
+            rows[key] = target
         target.update({f: event[f] for f in EVENT if event[f] is not None}, kind=kind, updated_at=now)
         if target["status"] in RESETTABLE or (force and target["status"] != "processing"):
             target.update(priority=priority, status="pending", worker_id=None, last_error=None)
+        return head
 
     def shaped(rows: list[dict]) -> pd.DataFrame:
         return pd.DataFrame([{n: r.get(n) for n in columns} for r in rows], columns=columns, dtype=object)
