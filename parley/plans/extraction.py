@@ -504,3 +504,21 @@ def discovery_sessions(v):
 @query("url_hosts", "SELECT id, regexp_extract(url, '://([^:/?#]*)', 1) AS host FROM {urls_v}")
 def url_hosts(v):
     return v.urls_v.select("id", ur.host_of(c("url")).alias("host"))
+
+
+@query("bundle_files", """
+    SELECT platform, source_id, 'r-' || source_id AS revision, 'm' || pos AS id, role, markdown FROM {messages_v}""", heavy=True)
+def bundle_files(v):
+    """Bundles to the rows of their files and back: every message of every stored bundle."""
+    message = F.struct("id", "role", "markdown", F.lit(None).cast("string").alias("created_at"))
+    nested_rows = v.messages_v.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", message.alias("m")))).alias("l"))
+    stored = v.bundles_v.join(nested_rows, KEY).select(
+        *KEY, "url", "title", "extracted_at", "source_updated_at",
+        F.lit(None).cast("array<struct<id:string,role:string,name:string>>").alias("participants"),
+        F.transform("l", lambda x: x["m"]).alias("messages"),
+        F.to_json(F.struct(F.concat(F.lit("r-"), "source_id").alias("revision"))).alias("meta"))
+    written = files.bundle_files(stored).select(F.lit("x").alias("path"), files.pretty_json().alias("content"))
+    back = files.bundles_of(written)
+    revisions = files.disk_bundles(back).select(*KEY, "revision")
+    return back.join(revisions, KEY).select(*KEY, "revision", F.explode("messages").alias("m")).select(
+        *KEY, "revision", "m.id", "m.role", "m.markdown")

@@ -692,6 +692,31 @@ def import_bundles(v):
     return made["artifacts"].select(*KEY, "revision", "exported_at", "local_status", "imported")
 
 
+_LAST_ON_DISK = """
+    SELECT platform, source_id, arg_max(md, file_path) AS md, arg_max(revision, file_path) AS rev FROM {disk_seen_v} GROUP BY 1, 2"""
+
+
+def _imported(v):
+    checked = artifacts.verify_presence(v.artifacts_v, v.files_v).select(*v.artifacts_v.columns)
+    return artifacts.import_bundles(v.disk_v, checked, v.artifact_index_v, v.files_v)
+
+
+@query("import_index", """
+    SELECT coalesce(i.platform, l.platform) AS platform, coalesce(i.source_id, l.source_id) AS source_id,
+           CASE WHEN l.md IS NULL THEN i.export_state WHEN l.md THEN 'exported' ELSE 'pending' END AS export_state,
+           CASE WHEN l.md THEN l.rev ELSE i.latest_export_revision END AS latest_export_revision,
+           CASE WHEN l.md IS NULL THEN i.discovery_state ELSE 'complete' END AS discovery_state
+    FROM {artifact_index_v} AS i FULL JOIN {last_disk_v} AS l ON i.platform = l.platform AND i.source_id = l.source_id""",
+       {**DISK, "last_disk_v": _LAST_ON_DISK}, heavy=True)
+def import_index(v):
+    return _imported(v)["index"].select(*KEY, "export_state", "latest_export_revision", "discovery_state")
+
+
+@query("import_requeue", "SELECT platform, source_id FROM {last_disk_v} WHERE NOT md", {**DISK, "last_disk_v": _LAST_ON_DISK}, heavy=True)
+def import_requeue(v):
+    return _imported(v)["requeue"].select(*KEY)
+
+
 @query("recompute_latest", f"""
     SELECT a.platform, a.source_id, a.revision, coalesce(b.revision = a.revision, false) AS is_latest FROM {{artifacts_v}} AS a
     LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform, source_id ORDER BY exported_at DESC, pos) AS rk

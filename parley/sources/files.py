@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parley import schemas
 from parley.functions import text as tx
-from parley.functions.identity import HASH_VERSION
+from parley.functions.identity import HASH_VERSION, bundle_revision
 from parley.functions.urls import PLATFORMS
 from parley.operators import KEY, analytics, settled
 from parley.operators.archive import archive_paths
@@ -41,6 +41,30 @@ def read_bundles(spark: SparkSession, root: str, platforms: Sequence[str] = PLAT
     return bundle_rows(raw.where(c("platform").isin(*platforms) & whole))
 
 
+def bundles_of(rows: DataFrame, platforms: Sequence[str] = PLATFORMS) -> DataFrame:
+    """Bundles of (path, content) rows, as `write_bundle_json` and `export_selected` write them, with `file_path`."""
+    raw = rows.select(c("path").alias("file_path"), F.from_json("content", schemas.BUNDLE).alias("b")).select("b.*", "file_path")
+    whole = c("sourceId").isNotNull() & c("url").isNotNull() & c("messages").isNotNull()
+    return bundle_rows(raw.where(c("platform").isin(*platforms) & whole))
+
+
+def disk_bundles(bundles: DataFrame) -> DataFrame:
+    """Rows of `read_bundles` or `bundles_of` as the ``disk`` table of `artifacts.import_bundles` and `reconcile`.
+
+    A stored `meta.revision` counts, else the revision is computed from the bundle; the versions are the stored ones; the
+    prompt is the first text of the user.
+    """
+    meta = c("meta")
+    computed = bundle_revision(c("platform"), c("source_id"), c("url"), c("title"), c("source_updated_at"), c("messages"))
+    asked = F.filter("messages", lambda m: (m["role"] == "user") & (tx.js_trim(m["markdown"]) != ""))
+    return bundles.select(
+        *KEY, "file_path", F.coalesce(tx.meta_string(meta, "revision"), computed).alias("revision"), "url", "title",
+        F.get(asked, 0)["markdown"].alias("prompt"), "extracted_at", "source_updated_at",
+        tx.meta_string(meta, "sourceUpdatedLabel").alias("source_updated_label"),
+        F.coalesce(tx.meta_string(meta, "exportCompatibilityVersion"), tx.meta_string(meta, "exportSchemaVersion"))
+        .alias("export_version"))
+
+
 def pretty_json() -> Column:
     """The text of a bundle file, from the columns of `bundle_files`."""
     return F.to_json(F.struct(*[c(n) for n in ("platform", "sourceId", "url", "title", "extractedAt", "sourceUpdatedAt",
