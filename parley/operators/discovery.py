@@ -160,7 +160,7 @@ def mark_version_reexports(index: DataFrame, platform: str, version: str = ids.H
     return after, index.agg(F.count_if(stale).alias("marked"))
 
 
-def discovery_quality(sweeps: DataFrame, bucket: str = "month") -> DataFrame:
+def discovery_quality(sweeps: DataFrame, bucket: str = "hour") -> DataFrame:
     """Sweeps (platform, ts, n) with `quality` and the running `highest`.
 
     The running maximum is taken within (platform, bucket of time) and completed with the maximum
