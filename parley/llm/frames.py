@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Let Arrow batches end at ``most`` bytes as well as by rows, unless the job has set a smaller bound."""
     if int(spark.conf.get(BATCH_BYTES).rstrip("bB")) > most:
         spark.conf.set(BATCH_BYTES, str(most))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+                most: int = 4 << 20) -> DataFrame:
     """``fn`` on every Arrow batch; batches stay bounded whatever the length of the texts."""
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,6 +34,7 @@ SURE, SURE_SMALL, SMALL = 0.68, 0.5, 64
 #: Members of a bucket compared in one task; larger buckets are compared block by block.
 BLOCK = 1024
 PARTNERS = 64
+SALTS = 8
 _CHUNK = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(75))
 _FACTOR = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -311,7 +312,10 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = cut_lineage(features(docs))
     known = rows.select("doc_id", "key1", "key2", "n").where("doc_id is not null and n > 0")
     same = known.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("node"))
-    of = cut_lineage(known.join(same, ["key1", "key2", "n"]).select("doc_id", "node", "key1"))
+    # A set that very many documents have is one key: the documents are dealt over `SALTS`, the sets once for each.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of = cut_lineage(known.withColumn("salt", salt).join(same, ["key1", "key2", "n", "salt"]).select("doc_id", "node", "key1"))
     # The first document of every set stands for its copies.
     first = of.where("doc_id = node").select("doc_id", "key1").distinct()
     nodes = cut_lineage(rows.join(first, ["doc_id", "key1"], "left_semi").select(

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WINDOW = 1 << 21
+WINDOW = 1 << 19
 SHINGLE = 5
 
 _SPACE = np.zeros(256, dtype=bool)
