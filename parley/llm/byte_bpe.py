@@ -9,7 +9,7 @@ tokenizers library itself.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -26,10 +26,9 @@ def _byte_letters() -> dict[str, int]:
 
 class ByteBpe:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         model, split, letters = spec["model"], spec.get("pre_tokenizer") or {}, _byte_letters()
         vocab = {k: v for k, v in model["vocab"].items() if k not in self.added}
@@ -42,7 +41,13 @@ class ByteBpe:
             import tiktoken
             ranks = {bytes(letters[c] for c in piece): i for piece, i in vocab.items()}
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        self.size = 1 + max([*model["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))], default=0)
+
+    @cached_property
+    def library(self):
+        """The tokenizers library's own encoder, loaded when a text needs it: it takes as much memory again."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text as unsigned 32-bit integers, without special tokens."""

@@ -61,7 +61,7 @@ def maximal(prefix: DataFrame) -> DataFrame:
     lengths = prefix.groupBy("conv", "conv_id").agg(F.max("pos").alias("n"))
     rows = prefix.join(lengths.select("conv", "n"), "conv")
     whole = rows.where("pos = n").select("conv", "conv_id", *key)
-    first = whole.groupBy(*key).agg(F.min(F.struct(F.col("conv_id"), F.col("conv"))).alias("of"))
+    first = whole.groupBy(*key).agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), F.col("conv_id"), F.col("conv"))).alias("of"))
     begun = rows.where("pos < n").select(F.col("pos").alias("n"), "h1", "h2").distinct()
     return first.join(begun, key, "left_anti").select("of.conv", "n")
 

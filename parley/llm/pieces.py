@@ -136,7 +136,7 @@ def encode(docs: DataFrame, model: str, end: bool = True) -> DataFrame:
         ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(flats), type=pa.int32()))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return map_batches(ids_and_texts(docs), run, "doc_id long, ids array<int>")
+    return map_batches(ids_and_texts(docs), run, "doc_id long, ids array<int>", BLOCK)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
