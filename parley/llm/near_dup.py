@@ -3,9 +3,11 @@
 A document's set is its distinct word shingles. Documents of equal sets are one node from the start. Every node gets
 
 * `BANDS` band keys of `ROWS` MinHash values each: two sets of similarity 0.75 share none with a chance of 2e-6;
-* an odd sketch: its one-permutation MinHash sample (the least value in each of `BINS` bins), folded into `BITS` parity
-  bits. The ones of two sketches' exclusive or estimate how many sampled values differ, to about 0.02 in similarity at
-  0.75; pairs estimated below `SURE` (four deviations lower) are not looked at further.
+* an odd sketch in `BITS` parity bits. Of sets of up to `WHOLE` shingles it folds every shingle: the exclusive or of two
+  such sketches has at most as many ones as the sets differ in shingles, so no pair of similarity 0.75 has more than a
+  seventh of both sizes, and none is lost. Of larger sets it folds the one-permutation MinHash sample (the least value in
+  each of `BINS` bins): the ones estimate how many sampled values differ, to about 0.02 in similarity at 0.75; pairs
+  estimated below `SURE` are not looked at further. A pair of one set of either kind is not judged by its sketches.
 
 Pairs that pass are confirmed on the full sets, read again from the texts. Candidates come in two kinds, so that no
 bucket lists all its pairs: first every member with its bucket's first document, which is linear and joins most copies;
@@ -29,8 +31,8 @@ from parley.session import cut_lineage, release
 
 BANDS, ROWS = 24, 3
 BINS, BITS = 1024, 2048
-#: Estimates are off by 0.018 (one deviation) from similarity 0.75, of small sets sometimes by more.
-SURE, SURE_SMALL, SMALL = 0.68, 0.5, 64
+#: Sets of up to this many shingles are sketched whole; estimates of larger ones are off by 0.018 (one deviation).
+WHOLE, SURE = 2048, 0.6
 #: Members of a bucket compared in one task; larger buckets are compared block by block.
 BLOCK = 1024
 PARTNERS = 64
@@ -49,8 +51,9 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.bounds(docs, len(texts)), hashes
 
 
-def features_of(edges: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(set keys 1 and 2, band keys, odd sketches, filled bins) of non-empty sets, row by row."""
+def features_of(edges: np.ndarray, hashes: np.ndarray, whole: int = 0) -> tuple[np.ndarray, ...]:
+    """(set keys 1 and 2, band keys, odd sketches, sketched values) of non-empty sets, row by row; sets of up to ``whole``
+    shingles are sketched whole."""
     n, sizes = len(edges) - 1, np.diff(edges)
     at = edges[:-1]
     key1 = words.mixed(np.add.reduceat(words.mixed(hashes ^ _SEED), at) + sizes.astype(np.uint64))
@@ -73,6 +76,7 @@ def features_of(edges: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]
     owner = np.repeat(np.arange(n), sizes)
     first = np.ones(len(spread), dtype=bool)
     first[1:] = (bin_of[1:] != bin_of[:-1]) | (owner[1:] != owner[:-1])
+    first |= np.repeat(sizes <= whole, sizes)
     owner, sample = owner[first], spread[first]
     filled = np.bincount(owner, minlength=n)
     flips = np.bincount(owner * BITS + (words.mixed(sample + _SEED) >> np.uint64(53)).astype(np.int64), minlength=n * BITS)
@@ -93,7 +97,7 @@ def features(docs: DataFrame) -> DataFrame:
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _CHUNK, "right")))
             base = edges[full[lo]]
             cuts = np.append(edges[full[lo:hi]], edges[full[hi - 1] + 1]) - base
-            parts.append(features_of(cuts, hashes[base:base + cuts[-1]]))
+            parts.append(features_of(cuts, hashes[base:base + cuts[-1]], WHOLE))
             lo = hi
         columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(5)]
         where = np.zeros(len(sizes), dtype=np.int64)
@@ -121,9 +125,9 @@ def features(docs: DataFrame) -> DataFrame:
 
 # ---- what an odd sketch says of a pair --------------------------------------------------------------------------
 
-def _needed(size_a, size_b, exp, sure: float):
-    """Common sampled values that a pair of similarity ``sure`` has: that share of the bins either set fills."""
-    return sure * BINS * (1 - exp(-(size_a + size_b) / ((1 + sure) * BINS)))
+def _needed(size_a, size_b, exp):
+    """Common sampled values that a pair of similarity `SURE` has: that share of the bins either set fills."""
+    return SURE * BINS * (1 - exp(-(size_a + size_b) / ((1 + SURE) * BINS)))
 
 
 def passes(a: str, b: str) -> Column:
@@ -132,19 +136,33 @@ def passes(a: str, b: str) -> Column:
     ones = F.aggregate(F.zip_with(x["sketch"], y["sketch"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0),
                        lambda s, v: s + v)
     differ = -BITS / 2 * F.log(1 - 2 * F.least(ones, F.lit(BITS // 2 - 1)) / BITS)
-    sizes = (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * 75)
-    needed = F.when(F.greatest(x["n"], y["n"]) <= SMALL, _needed(x["n"], y["n"], F.exp, SURE_SMALL)).otherwise(
-        _needed(x["n"], y["n"], F.exp, SURE))
-    return sizes & ((x["filled"] + y["filled"] - differ) / 2 >= needed)
+    least, greatest = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
+    sampled = (x["filled"] + y["filled"] - differ) / 2 >= _needed(x["n"], y["n"], F.exp)
+    return (least * 100 >= greatest * 75) & F.when(greatest <= WHOLE, 7 * ones <= x["n"] + y["n"]).when(
+        least <= WHOLE, F.lit(True)).otherwise(sampled)
 
 
-def _common(sketch: np.ndarray, filled: np.ndarray, others: np.ndarray, other_filled: np.ndarray) -> np.ndarray:
-    """Estimated common sampled values, one row of ``sketch`` by one of ``others``."""
-    ones = np.bitwise_count(sketch[:, None, :] ^ others[None, :, :]).sum(axis=2, dtype=np.int64)
+def _ones(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Bits in which sketches differ, one row of ``sketch`` by one of ``others``."""
+    return np.bitwise_count(sketch[:, None, :] ^ others[None, :, :]).sum(axis=2, dtype=np.int64)
+
+
+def _shared(ones: np.ndarray, filled: np.ndarray, other_filled: np.ndarray) -> np.ndarray:
     differ = -BITS / 2 * np.log(1 - 2 * np.minimum(ones, BITS // 2 - 1) / BITS)
     return (filled[:, None] + other_filled[None, :] - differ) / 2
 
 
+def _common(sketch: np.ndarray, filled: np.ndarray, others: np.ndarray, other_filled: np.ndarray) -> np.ndarray:
+    """Estimated common sketched values, one row of ``sketch`` by one of ``others``."""
+    return _shared(_ones(sketch, others), filled, other_filled)
+
+
+def _possible(n_a: np.ndarray, n_b: np.ndarray, ones: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """`passes` of sizes that go together, for numpy arrays."""
+    least, greatest = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    return np.where(greatest <= WHOLE, 7 * ones <= n_a + n_b, (least <= WHOLE) | (common >= _needed(n_a, n_b, np.exp)))
+
+
 # ---- candidate pairs --------------------------------------------------------------------------------------------
 
 def star_pairs(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -173,9 +191,9 @@ def _partners(group: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.n
         allowed &= np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * 75
         if not allowed.any():
             continue
-        common = _common(group["sketch"][rows], group["filled"][rows], group["sketch"][right], group["filled"][right])
-        allowed &= common >= np.where(np.maximum(n_a, n_b) <= SMALL, _needed(n_a, n_b, np.exp, SURE_SMALL),
-                                      _needed(n_a, n_b, np.exp, SURE))
+        ones = _ones(group["sketch"][rows], group["sketch"][right])
+        common = _shared(ones, group["filled"][rows], group["filled"][right])
+        allowed &= _possible(n_a, n_b, ones, common)
         i, j = np.nonzero(allowed)
         if len(i):
             a, b = rows[i], right[j]

@@ -260,6 +260,43 @@ def test_odd_sketches_estimate_high_similarities():
             assert abs(shared / bins - target) < 0.08
 
 
+#: (shingles of the one text, of the other, common ones), at a similarity of 0.75 or just above.
+LEAST_LINKS = [(4, 3, 3), (4, 4, 4), (5, 4, 4), (6, 5, 5), (7, 7, 6), (8, 6, 6), (8, 8, 7), (20, 20, 18), (65, 65, 56),
+               (70, 70, 60), (100, 75, 75), (100, 80, 78), (98, 98, 84), (140, 140, 120), (350, 350, 300)]
+
+
+def test_no_sketch_drops_a_least_link(spark):
+    rng, groups = np.random.default_rng(12), []
+    for a, b, common in [*LEAST_LINKS, (2048, 2048, 1756), (2200, 2000, 1800), (3500, 3500, 3000)]:
+        times = 400 if a < 1000 else 40
+        pool = rng.integers(0, 1 << 63, (times, a + b - common), dtype=np.uint64)
+        sets = [s for row in pool for s in (np.sort(row[:a]), np.sort(row[a - common:]))]
+        edges = np.cumsum([0] + [len(s) for s in sets])
+        groups.append((np.diff(edges), near_dup.features_of(edges, np.concatenate(sets), near_dup.WHOLE)))
+    rows = []
+    for sizes, (_, _, _, sketch, filled) in groups:
+        for k in range(0, len(sizes), 2):
+            ones = near_dup._ones(sketch[k:k + 1], sketch[k + 1:k + 2])
+            shared = near_dup._shared(ones, filled[k:k + 1], filled[k + 1:k + 2])
+            assert near_dup._possible(sizes[k:k + 1][:, None], sizes[k + 1:k + 2][None, :], ones, shared).all()
+        rows += [tuple({"n": int(sizes[j]), "sketch": sketch[j].view(np.int64).tolist(), "filled": int(filled[j])}
+                       for j in (k, k + 1)) for k in range(0, 80, 2)]
+    kind = "struct<n: long, sketch: array<long>, filled: int>"
+    pairs = spark.createDataFrame(rows, f"a {kind}, b {kind}")
+    assert pairs.where(near_dup.passes("a", "b")).count() == len(rows)
+
+
+def test_least_links_are_found(spark):
+    rows, want = [], {}
+    for g, (a, b, common) in enumerate(LEAST_LINKS * 30):
+        one = [f"g{g}w{k}" for k in range(a + 4)]
+        for text in (one, one[:common + 4] + [f"g{g}x{k}" for k in range(b - common)]):
+            want[len(rows)] = (len(text) - 4, 2 * g)
+            rows.append((len(rows), " ".join(text), "en", "s", 0))
+    got = near_dup.classes(frame(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 # ---- chats ------------------------------------------------------------------------------------------------------
 
 def test_chat_snapshots_collapse(spark):
