@@ -27,7 +27,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 #: A string of this many characters at least is weighed, and reported below this many characters a token.
 RANDOM_LENGTH, CHARS_A_TOKEN = 20, 2.0
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}={0,2}" % RANDOM_LENGTH)
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % RANDOM_LENGTH)
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")

@@ -99,6 +99,20 @@ def test_random_strings_are_found_and_known_ones_left():
     assert [s[0] for s in secret_scan.spans_of("d41d8cd98f00b204e9800998ecf8427e", BYTE_BPE)] == ["hex"]
 
 
+@pytest.mark.parametrize("before,size,after", [
+    ("AWS_SECRET_ACCESS_KEY=", 40, ""), ("DB_PASS=", 24, "\nNEXT=1"), ("https://host.example/get?sig=", 26, "&page=2"),
+    ('KEY="', 32, '"'), ("KEY='", 32, "'")])
+def test_random_values_after_an_equals_sign_are_found(before, size, after):
+    rnd = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = 0
+    for _ in range(200):
+        key = "".join(rnd.choice(letters) for _ in range(size))
+        spans = secret_scan.spans_of(before + key + after, BYTE_BPE)
+        found += spans == [("random", len(before), len(before) + size)]
+    assert found >= 190
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_scan_and_redaction(spark, extra):
     docs = frame(spark, hard_documents(), extra)
