@@ -2,7 +2,9 @@
 
 A byte-pair vocabulary learnt from text spends about one token on three or four characters of words, and one on less
 than two of random strings. A long unbroken string with few characters a token is therefore reported as ``random``,
-after digests of known lengths and identifiers (words, numbers, UUIDs, paths and names made of words) are set aside.
+after digests of known lengths and identifiers (words, numbers, UUIDs, paths and names made of words) are set aside. A
+part counts as a word only if it has many characters a token itself. Where a string passes as a whole, each stretch of
+its parts that are neither words nor numbers is weighed by itself.
 """
 
 from __future__ import annotations
@@ -32,16 +34,44 @@ _LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % RANDOM_LE
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_PARTS = re.compile(r"[+/_=-]+")
+_PART = re.compile(r"[^+/_=-]+")
+_CAPITALS = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2,}(?![A-Za-z0-9])")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|([A-Z][a-z]{2,})+|[A-Za-z][a-z]+([A-Z][a-z]+)+|[a-z]+[0-9]{1,4}|v?[0-9]{1,4}")
 
 
+def is_random(text: str, vocabulary: str) -> bool:
+    # The vocabulary knows few words in capitals: parts of capitals alone are weighed in small letters.
+    text = _CAPITALS.sub(lambda m: m[0].lower(), text)
+    return len(text) < CHARS_A_TOKEN * len(tokenizer(vocabulary).encode(text))
+
+
+def is_known(part: str, vocabulary: str) -> bool:
+    """Words and numbers. Letters alone may have any form of a word, so they are weighed, but for a single one."""
+    return bool(_WORD.fullmatch(part)) and (len(part) == 1 or not part.isalpha() or not is_random(part, vocabulary))
+
+
 @lru_cache(maxsize=1 << 16)
-def is_known(text: str) -> bool:
-    """Digests of known lengths, UUIDs, and names whose parts are all words or numbers."""
-    if _HEX_ONLY.fullmatch(text) and len(text) in DIGEST_LENGTHS or _UUID.fullmatch(text):
-        return True
-    return all(_WORD.fullmatch(part) for part in _PARTS.split(text) if part)
+def random_spans(text: str, vocabulary: str) -> tuple[tuple[int, int], ...]:
+    """(start, end) of what is random in a long string: all of it, or stretches of parts that are not known."""
+    if len(text) < RANDOM_LENGTH or _HEX_ONLY.fullmatch(text) and len(text) in DIGEST_LENGTHS or _UUID.fullmatch(text):
+        return ()
+    stretches: list[tuple[int, int]] = []
+    joined = False
+    for m in _PART.finditer(text):
+        if is_known(m[0], vocabulary):
+            joined = False
+            continue
+        start = stretches.pop()[0] if joined else m.start()
+        stretches.append((start, m.end()))
+        joined = True
+    if not stretches:
+        return ()
+    if is_random(text, vocabulary):
+        return ((0, len(text)),)
+    found = [(a, b) for a, b in stretches if b - a < len(text) and random_spans(text[a:b], vocabulary) == ((0, b - a),)]
+    # What is left between them is a string of its own, as it is after redaction.
+    rest = zip([0, *(b for _, b in found)], [*(a for a, _ in found), len(text)]) if found else ()
+    return tuple(sorted([*found, *((a + s, a + e) for a, b in rest for s, e in random_spans(text[a:b], vocabulary))]))
 
 
 def spans_of(text: str, vocabulary: str) -> list[tuple[str, int, int]]:
@@ -55,10 +85,8 @@ def spans_of(text: str, vocabulary: str) -> list[tuple[str, int, int]]:
     base = list(found)
     for m in _LONG.finditer(text):
         start, end = m.span()
-        if is_known(m[0]) or any(s < end and start < e for _, s, e in base):
-            continue
-        if (end - start) < CHARS_A_TOKEN * len(tokenizer(vocabulary).encode(m[0])):
-            found.append(("random", start, end))
+        if not any(s < end and start < e for _, s, e in base):
+            found += [("random", start + s, start + e) for s, e in random_spans(m[0], vocabulary)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -113,6 +113,33 @@ def test_random_values_after_an_equals_sign_are_found(before, size, after):
     assert found >= 190
 
 
+def test_letters_of_one_case_are_weighed():
+    rnd = random.Random(9)
+    assert [s[0] for s in secret_scan.spans_of("key = qzxvkjwpqtrbnmlkjhgfdszxwq", BYTE_BPE)] == ["random"]
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for form in ("{}", "{}-{}-{}", "{}_{}_{}/{}"):
+            found = 0
+            for _ in range(200):
+                parts = ["".join(rnd.choice(letters) for _ in range(40 // form.count("{}"))) for _ in range(form.count("{}"))]
+                found += any(s[0] == "random" for s in secret_scan.spans_of(f"the key {form.format(*parts)} is out", BYTE_BPE))
+            assert found >= 185
+    for known in ("internationalization", "com/organizations/settings/integrations/webhooks", "GOOGLE_CHALLENGE_COOLDOWN_MS",
+                  "MERGE_DOM_IMAGE_PAGE_LIMIT",
+                  "a-b-c-d-e-f-g-h-i-j-k-l", "Donaudampfschifffahrtsgesellschaft", "is-it-ok-to-go-up-or-to-do-it"):
+        assert not secret_scan.spans_of(known, BYTE_BPE)
+
+
+def test_random_part_of_a_path_is_found():
+    rnd = random.Random(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    path, found = "com/organizations/settings/integrations/webhooks/incoming/notifications/", 0
+    for _ in range(200):
+        key = "".join(rnd.choice(letters) for _ in range(24))
+        (kind, start, end), = secret_scan.spans_of(path + key + "/overview", BYTE_BPE) or [("", 0, 0)]
+        found += kind == "random" and start <= len(path) and end >= len(path) + 24
+    assert found >= 190
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_scan_and_redaction(spark, extra):
     docs = frame(spark, hard_documents(), extra)
