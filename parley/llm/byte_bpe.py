@@ -2,8 +2,9 @@
 
 The merges run in tiktoken, built from the same JSON file, since it gives the same ids several times faster: that holds
 where the file's vocabulary numbers the bytes first and then the merges in order, and where the text is split by the
-usual byte-level pattern. Any other file, and any text that holds one of the file's added tokens, goes through the
-tokenizers library itself.
+usual byte-level pattern. Any other file, and any text that holds one of the file's added tokens or that tiktoken gives
+up (its pattern runs out of stack on about a million white-space characters in a row), goes through the tokenizers
+library itself.
 """
 
 from __future__ import annotations
@@ -51,9 +52,12 @@ class ByteBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text as unsigned 32-bit integers, without special tokens."""
-        if self.fast is None or any(t in text for t in self.added):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        if self.fast is not None and not any(t in text for t in self.added):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 @lru_cache(maxsize=4)

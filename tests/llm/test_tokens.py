@@ -58,6 +58,12 @@ def test_byte_bpe_matches_the_library_on_odd_texts():
         assert tokenizer(BYTE_BPE).encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \t\n"])
+def test_a_million_spaces_match_the_library(space):
+    text = "before" + space * (1_050_000 // len(space)) + "after"
+    assert tokenizer(BYTE_BPE).encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n,top", [(0, 1), (1, 0), (5, 3), (1000, 10), (1000, 10**6), (700, 2**60), (513, 0)])
 def test_elias_fano(n, top):
     values = np.sort(np.random.default_rng(n).integers(-top, top + 1, n))
