@@ -149,23 +149,25 @@ def fractional_patterns(demand: dict[int, int], size: int, gap: float = 2e-4,
 
 
 def fill_largest_first(left: dict[int, int], size: int) -> Counter:
-    """What remains, one sequence at a time, each taking the largest length that still fits: {lengths: how often}."""
+    """What remains, each sequence taking the largest length that still fits: {lengths: how often}. A filled pattern is
+    used as often as its lengths last, so the steps grow with the distinct lengths, not with the sequences."""
     made: Counter = Counter()
     left = {k: n for k, n in left.items() if n}
     keys = sorted(left)
     while keys:
-        room, lengths = size, []
+        room, takes = size, {}
         at = bisect_right(keys, room) - 1
         while at >= 0:
             k = keys[at]
-            take = min(left[k], room // k)
-            lengths += [k] * take
-            room -= take * k
-            left[k] -= take
+            takes[k] = min(left[k], room // k)
+            room -= takes[k] * k
+            at = min(at, bisect_right(keys, room)) - 1
+        times = min(left[k] // take for k, take in takes.items())
+        for k, take in takes.items():
+            left[k] -= take * times
             if not left[k]:
-                keys.pop(at)
-            at = bisect_right(keys, room) - 1
-        made[tuple(lengths)] += 1
+                keys.pop(bisect_right(keys, k) - 1)
+        made[tuple(k for k, take in takes.items() for _ in range(take))] += times
     return made
 
 

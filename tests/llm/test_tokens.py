@@ -148,6 +148,46 @@ def test_plan_uses_every_rank_once_with_little_padding(seed, n):
     assert sequences <= least * 1.004 + 1
 
 
+def fill_one_by_one(left, size):
+    made, left = Counter(), dict(left)
+    while any(left.values()):
+        room, lengths = size, []
+        for k in sorted(left, reverse=True):
+            take = min(left[k], room // k)
+            lengths += [k] * take
+            room, left[k] = room - take * k, left[k] - take
+        made[tuple(lengths)] += 1
+    return made
+
+
+def test_largest_first_fills_as_one_by_one():
+    rnd = random.Random(13)
+    for _ in range(300):
+        size = rnd.randrange(5, 80)
+        demand = {rnd.randrange(1, size + 1): rnd.randrange(0, 60) for _ in range(rnd.randrange(8))}
+        made = packing.fill_largest_first(demand, size)
+        assert list(made.items()) == list(fill_one_by_one(demand, size).items())
+
+
+def test_largest_first_is_bounded_by_the_lengths(monkeypatch):
+    steps, search = [0], packing.bisect_right
+
+    def counted(*args):
+        steps[0] += 1
+        assert steps[0] <= 200_000
+        return search(*args)
+
+    monkeypatch.setattr(packing, "bisect_right", counted)
+    demand = {k: 10**9 + 7919 * k for k in range(1, 1024)}
+    made = packing.fill_largest_first(demand, 1024)
+    used = Counter()
+    for lengths, n in made.items():
+        assert sum(lengths) <= 1024
+        for k in lengths:
+            used[k] += n
+    assert used == demand
+
+
 def test_fractional_patterns_cover_the_demand():
     demand = {3: 40, 5: 33, 7: 21, 11: 9}
     solved = packing.fractional_patterns(demand, 20)
