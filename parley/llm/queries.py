@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chat, exact_topk, graph_ann, near_dup, packing, pieces, resample, secret_scan, token_files, toxicity
+from parley.llm import chat, collocations, exact_topk, graph_ann, near_dup, packing, pieces, resample, secret_scan, token_files, toxicity
 from parley.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,39 @@ FROM p JOIN m ON p.conv_id IS NOT DISTINCT FROM m.conv_id GROUP BY ALL
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All maximal conversations, rendered."""
     return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+_WORD_GRAMS = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS s(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+"""
+
+
+@query("op11_collocations", _WORD_GRAMS + """
+c AS MATERIALIZED (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 30),
+cut AS (SELECT c.lang, c.phrase, c.a, j, array_to_string(w[:j], ' ') AS first, array_to_string(w[j + 1:], ' ') AS rest
+        FROM c, (VALUES (1), (2), (3)) AS s(j) WHERE j < k),
+s AS (SELECT cut.lang, cut.phrase, j, x.a AS l, y.a AS r,
+             CAST((CAST(2000000 AS HUGEINT) * cut.a) // (x.a + y.a) AS BIGINT) AS score
+      FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = cut.first
+               JOIN f AS y ON y.lang = cut.lang AND y.phrase = cut.rest),
+low AS (SELECT lang, phrase, arg_min(l, (score, j)) AS l, arg_min(r, (score, j)) AS r, min(score) AS score
+        FROM s GROUP BY lang, phrase),
+dropped AS (SELECT DISTINCT c.lang, c.phrase
+            FROM (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS part
+                  FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) AS s(m) WHERE m < k)) AS x
+            JOIN c ON c.lang = x.lang AND c.phrase = x.part AND 100 * x.a >= 80 * c.a),
+ranked AS (SELECT c.lang, c.phrase, c.a, l, r, score,
+                  row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, c.a DESC, c.phrase) AS rank
+           FROM c JOIN low USING (lang, phrase) ANTI JOIN dropped USING (lang, phrase))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language."""
+    return collocations.mine(table(spark, sf_dir, "documents"), least=30, most=2000)

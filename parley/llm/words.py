@@ -114,6 +114,39 @@ def _hashed_words(texts: pa.Array, gaps: np.ndarray, prefixes: tuple[int, ...]):
         yield first + np.searchsorted(offs - lo, starts, "right") - 1, made
 
 
+def located_words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray, breaks: np.ndarray | None = None,
+                  ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, piece, start, end, hash) of every word of the texts in ``data``; bytes of ``gaps`` part words, and those
+    of ``breaks``, which are gaps too, part pieces. Words of one text and piece may stand next to each other."""
+    out: list[tuple[np.ndarray, ...]] = []
+    passed = 0
+    for first, offs in windows(data, offsets):
+        lo, hi = int(offs[0]), int(offs[-1])
+        if hi == lo:
+            continue
+        part = data[lo:hi]
+        word = ~gaps[part]
+        edge = np.zeros(hi - lo + 1, dtype=bool)
+        edge[offs - lo] = True
+        begin = word.copy()
+        begin[1:] &= ~word[:-1] | edge[1:-1]
+        end = word.copy()
+        end[:-1] &= ~word[1:] | edge[1:-1]
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        broken = np.flatnonzero(breaks[part]) if breaks is not None else np.zeros(0, dtype=np.int64)
+        if len(starts):
+            total = np.zeros(hi - lo + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[part] * _power(_BASE, hi - lo), out=total[1:])
+            value = (total[ends] - total[starts]) * _power(_BACK, hi - lo)[starts] + (ends - starts).astype(np.uint64)
+            out.append((first + np.searchsorted(offs - lo, starts, "right") - 1, passed + np.searchsorted(broken, starts),
+                        starts + lo, ends + lo, mixed(value)))
+        passed += len(broken)
+    if not out:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none, np.zeros(0, dtype=np.uint64)
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(5))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text index, hash) of every word of every text, in order."""
     done = list(_hashed_words(texts, _SPACE, ()))
