@@ -40,7 +40,7 @@ SCALE = 2_000_000
 COVERS = 80
 #: The pair whose score is a language's first threshold, as a multiple of the phrases asked for; each wave goes deeper.
 AHEAD, DEEPER = 2, 4
-CELLS = 1 << 22
+CELLS = 1 << 21
 LANG_CELLS = 1 << 16
 #: Distinct phrases that a task adds up before it hands them on, and positions it looks at together.
 _HELD, _STEP = 1 << 20, 1 << 19
@@ -375,10 +375,8 @@ def mine(docs: DataFrame, least: int = 30, most: int = 2000) -> DataFrame:
     tables: dict[int, DataFrame] = {1: every.where(F.col("a") >= least)}
     cells = {1: cells_of(tables[1].withColumn("score", F.lit(-1)), 1)}
     held = spark.sparkContext.broadcast(Known(least, cells, None))
-    counted = cut_lineage(phrase_counts(texts, 2, least, held))
+    tables[2] = cut_lineage(scored(phrase_counts(texts, 2, least, held), 2, tables))
     held.unpersist()
-    tables[2] = cut_lineage(scored(counted, 2, tables))
-    release(counted)
     cells[2] = cells_of(tables[2], 2)
     open_ = cut_lineage(tables[2].select("lk").distinct())
     best: DataFrame | None = None
@@ -388,20 +386,18 @@ def mine(docs: DataFrame, least: int = 30, most: int = 2000) -> DataFrame:
         low = _threshold_cells(thresholds)
         for size in (3, 4):
             held = spark.sparkContext.broadcast(Known(least, {k: v for k, v in cells.items() if k < size}, low))
-            counted = cut_lineage(phrase_counts(texts, size, least, held))
+            tables[size] = cut_lineage(scored(phrase_counts(texts, size, least, held), size, tables))
             held.unpersist()
-            tables[size] = cut_lineage(scored(counted, size, tables))
-            release(counted)
             if size == 3:
                 cells[3] = cells_of(tables[3], 3)
         found = cut_lineage(survivors(tables, thresholds))
         enough = found.groupBy("lk").agg(F.count(F.lit(1)).alias("m"))
         settled = cut_lineage(thresholds.join(enough, "lk", "left").where(f"threshold = 0 or m >= {most}").select("lk"))
-        best_now = cut_lineage(found.join(settled, "lk", "left_semi"))
-        made.append(best_now)
-        best = best_now if best is None else best.unionByName(best_now)
+        now = found.join(settled, "lk", "left_semi")
+        best = now if best is None else best.unionByName(now)
         left = cut_lineage(open_.join(settled, "lk", "left_anti"))
-        for table in (found, thresholds, settled, open_, tables[3], tables[4]):
+        made += [found, settled]
+        for table in (thresholds, open_, tables[3], tables[4]):
             release(table)
         open_, rank = left, rank * DEEPER
     release(open_)
