@@ -43,7 +43,7 @@ AHEAD, DEEPER = 2, 4
 CELLS = 1 << 21
 LANG_CELLS = 1 << 16
 #: Distinct phrases that a task adds up before it hands them on, and positions it looks at together.
-_HELD, _STEP = 1 << 20, 1 << 19
+_HELD, _STEP = 1 << 19, 1 << 17
 
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -62,8 +62,8 @@ def key_of(lang: np.ndarray, *grams: np.ndarray) -> np.ndarray:
     return words.mixed(value)
 
 
-def _cell(key: np.ndarray) -> np.ndarray:
-    return (key & np.uint64(CELLS - 1)).astype(np.int64)
+def _cell(key: np.ndarray, cells: int) -> np.ndarray:
+    return (key & np.uint64(cells - 1)).astype(np.int64)
 
 
 # ---- counting ---------------------------------------------------------------------------------------------------
@@ -200,18 +200,18 @@ def _above(x: np.ndarray) -> np.ndarray:
 def cells_of(table: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(least count, greatest count, greatest score) by cell of the phrases in ``table`` (lk, w1 …, a, score); 0 where a cell
     is empty, -1 for its score. At most `CELLS` rows come to the driver, whatever the corpus."""
-    names = WORDS[:size]
+    names, cells = WORDS[:size], CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_numpy().view(np.uint64) for c in ("lk", *names)]
-            yield pa.RecordBatch.from_arrays([pa.array(_cell(key_of(*columns)).astype(np.int32)), batch.column("a"),
+            yield pa.RecordBatch.from_arrays([pa.array(_cell(key_of(*columns), cells).astype(np.int32)), batch.column("a"),
                                               batch.column("score")], ["cell", "a", "score"])
 
     found = (table.select("lk", *names, "a", F.coalesce("score", F.lit(-1)).cast("long").alias("score"))
              .mapInArrow(run, "cell int, a long, score long").groupBy("cell")
              .agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.max("score").alias("score"))).toArrow()
-    lo, hi, top = np.zeros(CELLS, np.float32), np.zeros(CELLS, np.float32), np.full(CELLS, -1, np.float32)
+    lo, hi, top = np.zeros(cells, np.float32), np.zeros(cells, np.float32), np.full(cells, -1, np.float32)
     at = found.column("cell").to_numpy()
     lo[at], hi[at] = _below(found.column("lo").to_numpy()), _above(found.column("hi").to_numpy())
     top[at] = _above(found.column("score").to_numpy())
@@ -225,8 +225,8 @@ class Known:
         self.least, self.cells, self.threshold = least, cells, threshold
 
     def _looked_up(self, lang: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cell = _cell(key_of(lang, *grams))
         lo, hi, top = self.cells[len(grams)]
+        cell = _cell(key_of(lang, *grams), len(lo))
         return lo[cell].astype(np.float64), hi[cell].astype(np.float64), top[cell]
 
     def _frequent(self, lang: np.ndarray, grams: list[np.ndarray], at: np.ndarray) -> np.ndarray:
@@ -234,7 +234,7 @@ class Known:
         return at[self._looked_up(lang[at], [g[at] for g in grams])[1] >= self.least] if len(at) else at
 
     def _threshold(self, lang: np.ndarray) -> np.ndarray:
-        return self.threshold[(words.mixed(lang) & np.uint64(LANG_CELLS - 1)).astype(np.int64)]
+        return self.threshold[_cell(words.mixed(lang), len(self.threshold))]
 
     def open_languages(self, lang: np.ndarray) -> np.ndarray:
         return np.ones(len(lang), dtype=bool) if self.threshold is None else np.isfinite(self._threshold(lang))
@@ -347,11 +347,12 @@ def _thresholds(pairs: DataFrame, open_: DataFrame, rank: int) -> DataFrame:
 
 def _threshold_cells(thresholds: DataFrame) -> np.ndarray:
     """The least threshold of the languages of a cell; none is opened in an empty one."""
-    cells = np.full(LANG_CELLS, np.inf)
+    count = LANG_CELLS
+    cells = np.full(count, np.inf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = words.mixed(batch.column("lk").to_numpy().view(np.uint64)) & np.uint64(LANG_CELLS - 1)
+            cell = _cell(words.mixed(batch.column("lk").to_numpy().view(np.uint64)), count)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("threshold")], ["cell", "low"])
 
     rows = (thresholds.select("lk", F.col("threshold").cast("long").alias("threshold")).mapInArrow(run, "cell int, low long")

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chat, collocations, exact_topk, graph_ann, near_dup, packing, pieces, resample, secret_scan, token_files, toxicity
+from parley.llm import (chat, collocations, decontaminate, exact_topk, graph_ann, near_dup, packing, pieces, product_codes, resample,
+                        secret_scan, token_files, toxicity)
 from parley.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +172,58 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best collocations of every language."""
     return collocations.mine(table(spark, sf_dir, "documents"), least=30, most=2000)
+
+
+_WORDS_OF = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w"""
+
+
+@query("op12_decontaminate", f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_WORDS_OF} FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_OF} FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS win
+       FROM (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+hit AS MATERIALIZED (SELECT DISTINCT row, i, m, item
+       FROM (SELECT row, i, m, array_to_string(w[i:i + m - 1], ' ') AS win
+             FROM (SELECT row, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM win) AS s))
+       JOIN win USING (m, win)),
+n AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + m)) AS place FROM hit) GROUP BY row),
+t AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT row, item FROM hit) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (row) LEFT JOIN t USING (row)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
+_NEAREST = """(SELECT p.row, p.part, p.x, min((list_sum(list_transform(range(1, len(p.x) + 1), lambda i:
+             (p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))), entry)) AS best FROM p JOIN c{r} AS c USING (part) GROUP BY p.row, p.part, p.x)"""
+_ROUND = """s{r} AS (SELECT part, best[2] AS entry, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n
+  FROM {nearest}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS i) AS k WHERE i <= len(x) GROUP BY ALL),
+m{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY part, entry),
+c{next} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c{r} AS c LEFT JOIN m{r} AS m USING (part, entry)),
+"""
+
+
+@query("op13_product_codes", """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, label,
+       list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS MATERIALIZED (SELECT row, vec_id, part, e[part * len(e) // 8 + 1:(part + 1) * len(e) // 8] AS x
+                   FROM v, (SELECT unnest(range(8)) AS part) AS k),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p
+                    QUALIFY entry < 16),
+""" + "".join(_ROUND.format(r=r, next=r + 1, nearest=_NEAREST.format(r=r)) for r in range(6)) + f"""
+a AS MATERIALIZED (SELECT row, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+                   FROM {_NEAREST.format(r=6)} GROUP BY row),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c6)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN a USING (row), books
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors."""
+    return product_codes.compress(table(spark, sf_dir, "embeddings"), scale=4096.0)
