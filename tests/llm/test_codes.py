@@ -52,7 +52,7 @@ def coded_by_force(rows):
     for _, _, e, lab, _ in out:
         if e is not None:
             sums[lab] = sums.get(lab, 0) + e
-    return sorted(((i, c, e, sums.get(lab), s) for i, c, e, lab, s in out), key=repr)
+    return sorted(((i, c, e, min(sums[lab], (1 << 63) - 1) if lab in sums else None, s) for i, c, e, lab, s in out), key=repr)
 
 
 def some_vectors(n=200, dim=24, seed=2):
