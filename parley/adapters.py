@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.payloads import PARSERS
+from parley.operators.payloads import BUNDLE, SHAPES, Shape, bundles_of, payload_of
 
 # The addresses each built-in adapter accepts.
 MATCHERS = {
@@ -21,30 +21,29 @@ MATCHERS = {
 
 @dataclass
 class AdapterRegistry:
-    adapters: dict[str, tuple[Callable[[Column], Column], Callable[[DataFrame], DataFrame]]] = field(default_factory=dict)
+    adapters: dict[str, tuple[Callable[[Column], Column], Shape]] = field(default_factory=dict)
 
-    def register(self, platform: str, matches: Callable[[Column], Column], parse: Callable[[DataFrame], DataFrame]) -> None:
-        """``matches``: url column to boolean column; ``parse``: payload rows to bundle rows."""
-        self.adapters[platform] = (matches, parse)
+    def register(self, platform: str, matches: Callable[[Column], Column], shape: Shape) -> None:
+        """``matches``: url column to boolean column; ``shape``: the columns of a payload row to a struct of `BUNDLE`."""
+        self.adapters[platform] = (matches, shape)
 
     def platform_of(self, url: Column) -> Column:
         """The first registered platform whose matcher accepts the address."""
         return F.coalesce(*[F.when(matches(url), name) for name, (matches, _) in self.adapters.items()])
 
     def parse(self, payloads: DataFrame) -> DataFrame:
-        """Bundles of all payloads whose address some adapter owns; each parser reads its rows only."""
-        owned = payloads.withColumn("platform", self.platform_of(F.col("url")))
-        out = None
-        for name, (_, parse) in self.adapters.items():
-            part = parse(owned.where(F.col("platform") == name))
-            out = part if out is None else out.unionByName(part)
-        if out is None:
+        """Bundles of all payloads whose address some adapter owns: one scan, and each row goes through its own shape."""
+        if not self.adapters:
             raise ValueError("no adapter registered")
-        return out
+        owned = payloads.withColumn("platform", self.platform_of(F.col("url"))).where(F.col("platform").isNotNull())
+        row, bundle = payload_of(owned), F.lit(None).cast(BUNDLE)
+        for name, (_, shape) in reversed(self.adapters.items()):
+            bundle = F.when(F.col("platform") == name, shape(row)).otherwise(bundle)
+        return bundles_of(owned, bundle)
 
 
 def default_registry() -> AdapterRegistry:
     registry = AdapterRegistry()
-    for name, parse in PARSERS.items():
-        registry.register(name, lambda url, pattern=MATCHERS[name]: url.rlike(pattern), parse)
+    for name, shape in SHAPES.items():
+        registry.register(name, lambda url, pattern=MATCHERS[name]: url.rlike(pattern), shape)
     return registry

@@ -1,176 +1,163 @@
-"""Searching undeclared, positional JSON at any depth.
+"""Searching undeclared, positional JSON at any depth, in native expressions over variants.
 
-Spark has no recursive descent over JSON, so these three small walks run as Arrow-batched UDFs
-beside the native expressions that do everything else. Each sees one payload of one row.
+`descend` walks a document level by level: the arrays of one level are a column, the next level is made of their members,
+and a node carries the path of positions that leads to it, so that what is found can be put in reading order at the end.
+One `aggregate` runs over the levels, as many as the document has brackets at most; a level without nodes costs nothing.
 """
 
 from __future__ import annotations
 
-import json
-import math
-import re
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from parley.functions.text import js_trim, let
 
 # What tells uploaded images and linked documents apart inside a turn.
-IMAGE_HOST = re.compile(r"^https://lh3\.googleusercontent\.com/gg/")
-IMAGE_NAME = re.compile(r"\.(png|jpe?g|webp|gif|bmp)\Z", re.I)
-DOCUMENT_NAME = re.compile(r"\.(pdf|docx?|xlsx?|pptx?|txt|csv|tsv|md)\Z", re.I)
-DOCUMENT_TYPE = re.compile(r"^(application|text)/", re.I)
-ANY_URL = re.compile(r"^https?://", re.I)
+IMAGE_HOST = r"^https://lh3\.googleusercontent\.com/gg/"
+IMAGE_NAME = r"(?i)\.(?:png|jpe?g|webp|gif|bmp)\z"
+IMAGE_TYPE = r"(?i)^image/"
+DOCUMENT_NAME = r"(?i)\.(?:pdf|docx?|xlsx?|pptx?|txt|csv|tsv|md)\z"
+DOCUMENT_TYPE = r"(?i)^(?:application|text)/"
+ANY_URL = r"(?i)^https?://"
 SECONDS_RANGE = (1_000_000_000, 20_000_000_000)
 
-TEXTS = T.ArrayType(T.StringType())
-
-
-def _records(*names: str) -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*\z"
+NODE = "array<struct<path:array<int>,v:variant,kids:array<variant>,list:boolean,hit:boolean>>"
+Test = Callable[[Column], Column]
 
 
-ATTACHMENTS = T.ArrayType(_records("url", "name", "mime"))
-FILES = T.ArrayType(T.StructType([T.StructField("drive_ids", TEXTS), T.StructField("inline", _records("mime", "payload"))]))
+def members(v: Column) -> Column:
+    """The members of an array, NULL for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _load(text: str | None) -> Any:
-    try:
-        return json.loads(text) if text is not None else None
-    except (ValueError, RecursionError):  # not JSON, or nested deeper than the parser goes: no payload
-        return None
+def is_text(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
 
 
-def _arrays(node: Any, stop: Callable[[list], bool] = lambda _: False, through_objects: bool = False) -> Iterator[list]:
-    """Arrays of a document in reading order; below one that ``stop`` accepts the search ends.
-
-    An explicit stack. A payload nested deeper than the JSON parser goes counts as none (see `_load`).
-    """
-    stack = [node]
-    while stack:
-        at = stack.pop()
-        if isinstance(at, list):
-            yield at
-            if not stop(at):
-                stack.extend(reversed(at))
-        elif through_objects and isinstance(at, dict):
-            stack.extend(reversed(at.values()))
+def texts_of(kids: Column) -> Column:
+    """The strings among the members, in order."""
+    return F.transform(F.filter(kids, is_text), lambda x: x.cast("string"))
 
 
-def _texts(node: list) -> list[str]:
-    return [x for x in node if isinstance(x, str)]
+def _node(v: Column, path: Column, test: Test, through_objects: bool) -> Column:
+    """The node of an array, or of an object if those are entered; NULL for a scalar."""
+    def made(kids: Column, listed: Column) -> Column:
+        return F.struct(path.alias("path"), v.alias("v"), kids.alias("kids"), listed.alias("list"),
+                        (listed & F.coalesce(test(kids), F.lit(False))).alias("hit"))
 
+    found = let(members(v), lambda kids: F.when(kids.isNotNull(), made(kids, F.lit(True))))
+    if not through_objects:
+        return found
+    held = F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.coalesce(found, let(held, lambda kids: F.when(kids.isNotNull(), made(kids, F.lit(False)))))
 
-def _first(texts: list[str], *patterns: re.Pattern) -> str | None:
-    return next((x for x in texts if any(p.search(x) for p in patterns)), None)
 
+def descend(v: Column, test: Test, stop: bool = False, through_objects: bool = False) -> Column:
+    """The arrays of a variant, itself included, whose members pass ``test``, in reading order: array<struct<path, v, kids,
+    …>>. With ``stop`` nothing is looked for below one that passed. Members of an object come by their names' order."""
+    def nodes(found: Column) -> Column:
+        return F.filter(found, lambda n: n.isNotNull()).cast(NODE)
 
-def _attachments(node: Any, kind: str) -> list[tuple]:
-    def wanted(arr: list) -> bool:
-        texts = _texts(arr)
-        if kind == "image":
-            return _first(texts, IMAGE_HOST) is not None
-        return _first(texts, ANY_URL) is not None and _first(texts, DOCUMENT_NAME, DOCUMENT_TYPE) is not None
-
-    found: dict[tuple, tuple] = {}
-    for arr in _arrays(node, wanted):
-        if not wanted(arr):
-            continue
-        texts = _texts(arr)
-        if kind == "image":
-            hit = (_first(texts, IMAGE_HOST), _first(texts, IMAGE_NAME), _first(texts, re.compile("^image/", re.I)))
-        else:
-            hit = (_first(texts, ANY_URL), _first(texts, DOCUMENT_NAME), _first(texts, DOCUMENT_TYPE))
-        found[(hit[1] or "", hit[0])] = hit
-    return [h for h in found.values() if kind == "image" or not IMAGE_HOST.search(h[0])]
+    def below(front: Column) -> Column:
+        open_ = F.filter(front, lambda n: ~n["hit"]) if stop else front
+        return F.flatten(F.transform(open_, lambda n: nodes(F.transform(n["kids"], lambda x, i: _node(
+            x, F.concat(n["path"], F.array(i)), test, through_objects)))))
 
+    def level(state: Column, _: Column) -> Column:
+        further = F.struct(F.concat(state["found"], F.filter(state["front"], lambda n: n["hit"])).alias("found"),
+                           below(state["front"]).alias("front"))
+        return F.when(F.size(state["front"]) == 0, state).otherwise(further)
 
-def _per_turn(fn: Callable[[Any], Any]) -> Callable[[pd.Series], pd.Series]:
-    return lambda rows: rows.map(lambda turns: None if turns is None else [fn(_load(t)) for t in turns])
+    first = F.struct(F.array().cast(NODE).alias("found"),
+                     nodes(F.array(_node(v, F.array().cast("array<int>"), test, through_objects))).alias("front"))
+    levels = F.regexp_count(F.to_json(v), F.lit(r"[\[{]"))
+    found = F.aggregate(F.sequence(F.lit(0), levels), first, level)["found"]
+    return F.array_sort(F.coalesce(found, F.array().cast(NODE)), lambda a, b: F.when(a["path"] < b["path"], -1).when(
+        a["path"] > b["path"], 1).otherwise(0))
 
 
-_images = F.pandas_udf(_per_turn(lambda t: _attachments(t, "image")), ATTACHMENTS)
-_documents = F.pandas_udf(_per_turn(lambda t: _attachments(t, "document")), ATTACHMENTS)
+def _first(texts: Column, *patterns: str) -> Column:
+    hits = F.filter(texts, lambda x: x.rlike("|".join(f"(?:{p})" for p in patterns)))
+    return F.get(hits, 0)
 
 
-def collect_nested(turns: Column, kind: str) -> Column:
-    """For each JSON text of an array column: its attachments of ``kind`` (image / document).
+def collect_nested(v: Column, kind: str) -> Column:
+    """The attachments of ``kind`` (image / document) in a variant: array<struct<url, name, mime>>.
 
     The search stops below a match; of equal (name, url) the last wins, at the first's place.
     """
     if kind not in ("image", "document"):
         raise ValueError(f"unknown kind {kind!r}")
-    return (_images if kind == "image" else _documents)(turns)
 
+    def wanted(kids: Column) -> Column:
+        texts = texts_of(kids)
+        if kind == "image":
+            return _first(texts, IMAGE_HOST).isNotNull()
+        return let(texts, lambda t: _first(t, ANY_URL).isNotNull() & _first(t, DOCUMENT_NAME, DOCUMENT_TYPE).isNotNull())
+
+    url, name, mime = (IMAGE_HOST, IMAGE_NAME, IMAGE_TYPE) if kind == "image" else (ANY_URL, DOCUMENT_NAME, DOCUMENT_TYPE)
+
+    def shown(node: Column) -> Column:
+        return let(texts_of(node["kids"]), lambda t: F.struct(
+            _first(t, url).alias("url"), _first(t, name).alias("name"), _first(t, mime).alias("mime")))
 
-def _role_turns(payload: Any) -> list[str]:
-    found = [a for a in _arrays(payload, through_objects=True) if len(a) > 8 and a[8] in ("user", "model")]
-    return [json.dumps(a, ensure_ascii=False) for a in found]
+    def key(a: Column) -> Column:
+        return F.struct(F.coalesce(a["name"], F.lit("")), a["url"])
 
+    def merged(hits: Column) -> Column:
+        keys = F.array_distinct(F.transform(hits, key))
+        return F.transform(keys, lambda k: F.element_at(F.filter(hits, lambda h: key(h) == k), -1))
 
-@F.pandas_udf(TEXTS)
-def find_role_turns(payload: pd.Series) -> pd.Series:
-    """JSON texts of the arrays, at any depth, whose ninth member is a role."""
-    return payload.map(lambda p: _role_turns(_load(p)))
+    found = let(F.transform(descend(v, wanted, stop=True), shown), merged)
+    return found if kind == "image" else F.filter(found, lambda a: ~a["url"].rlike(IMAGE_HOST))
 
 
-def _number(x: Any) -> float:
-    try:
-        return float(x) if isinstance(x, (int, float, str)) and not isinstance(x, bool) else math.nan
-    except ValueError:
-        return math.nan
+def find_role_turns(v: Column) -> Column:
+    """The arrays of a variant, at any depth, whose ninth member is a role, as variants."""
+    def has_role(kids: Column) -> Column:
+        return let(F.get(kids, 8), lambda r: is_text(r) & r.cast("string").isin("user", "model"))
+    return F.transform(descend(v, has_role, through_objects=True), lambda n: n["v"])
 
 
-def _latest_pair(turn: Any) -> float | None:
-    stamps = []
-    for arr in _arrays(turn):
-        if len(arr) >= 2 and SECONDS_RANGE[0] < _number(arr[0]) < SECONDS_RANGE[1]:
-            nanos = _number(arr[1])
-            stamps.append(math.floor(_number(arr[0]) * 1000) + (math.floor(nanos / 1e6) if math.isfinite(nanos) else 0))
-    return max(stamps, default=None)
+def _number(v: Column) -> Column:
+    """A number or a text that is one, as double; NULL for anything else."""
+    kind = F.schema_of_variant(v)
+    text = F.when(kind.rlike("^(?:STRING|BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"), v.cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def turn_timestamp_ms(turns: pd.Series) -> pd.Series:
-    """Latest [seconds, nanos] pair inside each turn, in epoch milliseconds."""
-    return turns.map(lambda ts: None if ts is None else [_latest_pair(_load(t)) for t in ts])
+def turn_timestamp_ms(v: Column) -> Column:
+    """Latest [seconds, nanos] pair inside a turn, in epoch milliseconds."""
+    def seconds(kids: Column) -> Column:
+        return _number(F.get(kids, 0))
 
+    def in_range(kids: Column) -> Column:
+        return (F.size(kids) >= 2) & let(seconds(kids), lambda s: (s > SECONDS_RANGE[0]) & (s < SECONDS_RANGE[1]))
 
-def _text_arrays(node: Any) -> list[list]:
-    def full(arr: list) -> bool:
-        return bool(arr) and all(isinstance(x, str) for x in arr)
-    return [a for a in _arrays(node, full) if full(a)]
+    def stamp(node: Column) -> Column:
+        return let(_number(F.get(node["kids"], 1)), lambda n: (
+            F.floor(seconds(node["kids"]) * 1000)
+            + F.coalesce(F.when(F.abs(n) < 1e18, F.floor(n / 1e6)), F.lit(0))).cast("bigint"))
 
+    return F.array_max(F.transform(descend(v, in_range), stamp))
 
-def _turn_files(turn: Any) -> tuple:
-    turn = turn if isinstance(turn, list) else []
-    slots = {i: turn[i] for i in (1, 3, 12, 23) if i < len(turn)}
-    ids = [x for i in (1, 3) for arr in _text_arrays(slots.get(i)) for x in arr if x.strip()]
-    inline: dict[tuple, tuple] = {}
-    for node in (slots.get(12), slots.get(23), turn):
-        for arr in _text_arrays(node):
-            if len(arr) > 1 and re.match(r"(image|text)/", arr[0], re.I):
-                inline[(arr[0], arr[1])] = (arr[0], arr[1])
-    return list(dict.fromkeys(ids)), list(inline.values())
 
+def _text_arrays(v: Column) -> Column:
+    """The arrays of strings in a variant, as arrays of texts."""
+    found = descend(v, lambda kids: (F.size(kids) > 0) & F.forall(kids, is_text), stop=True)
+    return F.transform(found, lambda n: texts_of(n["kids"]))
 
-@F.pandas_udf(FILES)
-def turn_files(turns: pd.Series) -> pd.Series:
-    """Drive ids and inline files of each turn."""
-    return turns.map(lambda ts: None if ts is None else [_turn_files(_load(t)) for t in ts])
 
+def turn_files(v: Column) -> Column:
+    """Drive ids and inline files of a turn: struct<drive_ids, inline: array<struct<mime, payload>>>."""
+    def slot(i: int) -> Column:
+        return _text_arrays(F.try_variant_get(v, f"$[{i}]", "variant"))
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def branch_positions(ids: pd.Series, parents: pd.Series, head: pd.Series) -> pd.Series:
-    """For each node of one payload's tree: its place on the way from the root to the head, -1 off it."""
-    def walk(names, above, at):
-        up = dict(zip(names, above)) if names is not None else {}
-        path: dict[str, int] = {}
-        while at and at not in path:
-            path[at] = len(path)
-            at = up.get(at)
-        last = len(path) - 1
-        return [last - path[n] if n in path else -1 for n in up]
-    return pd.Series([walk(*row) for row in zip(ids, parents, head)])
+    ids = F.filter(F.flatten(F.concat(slot(1), slot(3))), lambda x: js_trim(x) != "")
+    arrays = F.filter(F.concat(slot(12), slot(23), _text_arrays(v)),
+                      lambda a: (F.size(a) > 1) & F.get(a, 0).rlike(r"(?i)^(?:image|text)/"))
+    inline = F.array_distinct(F.transform(arrays, lambda a: F.struct(F.get(a, 0).alias("mime"), F.get(a, 1).alias("payload"))))
+    return F.struct(F.array_distinct(ids).alias("drive_ids"), inline.alias("inline"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions.times import epoch_ms, relative_label_to_ms
@@ -110,11 +111,43 @@ def sort_queue(queue: DataFrame, index: DataFrame, latest: DataFrame, key: str,
     return rows.orderBy(*order).select(*queue.columns)
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int = 100) -> DataFrame:
-    """Page ``number`` (from 1), clamped to the last one."""
-    pages = max(1, -(-df.count() // size))
-    at = min(max(1, number), pages)
-    return df.orderBy(*order).offset((at - 1) * size).limit(size)
+def _before(a: Column, b: Column, order: list[tuple[str, bool]]) -> Column:
+    """Whether struct ``a`` comes before ``b``; NULL is the least value of a column."""
+    out, same = F.lit(False), F.lit(True)
+    for name, ascending in order:
+        x, y = (a[name], b[name]) if ascending else (b[name], a[name])
+        out = out | (same & F.coalesce(x < y, x.isNull() & y.isNotNull()))
+        same = same & x.eqNullSafe(y)
+    return out
+
+
+def page(df: DataFrame, order: list[tuple[str, bool]], number: int, size: int = 100, ranges: int = 64) -> DataFrame:
+    """Page ``number`` (from 1), clamped to the last one; ``order``: (column, ascending) pairs, the last of them unique.
+
+    Rows are counted in ranges of the order, whose bounds come from a sample of at most 16 * ``ranges`` rows; the counts
+    tell which one or two ranges hold the page, and only those are sorted. Bounds and counts are scalar subqueries, so
+    nothing runs while the plan is made, and no task sorts the whole table.
+    """
+    names = [name for name, _ in order]
+    rows = df.withColumn("_key", F.struct(*names))
+    sample = rows.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(16 * ranges).agg(F.collect_list("_key").alias("keys"))
+    in_order = F.array_sort("keys", lambda a, b: F.when(_before(a, b, order), -1).when(_before(b, a, order), 1).otherwise(0))
+    bounds = sample.select(F.filter(in_order, lambda _, i: i % 16 == 0)).scalar()
+    placed = rows.withColumn("_bounds", bounds).withColumn(
+        "_range", F.size(F.filter("_bounds", lambda b: ~_before(F.col("_key"), b, order)))).drop("_bounds")
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(W.partitionBy())
+    # The table of ranges has ``ranges`` + 1 rows at most.
+    last = F.greatest(F.lit(1), F.ceil(total / size))
+    start = (F.least(F.lit(max(1, number)).cast("bigint"), last) - 1) * size
+    counts = counts.select("_range", before.alias("_from"), "_n", start.alias("_start"))
+    hit = counts.where((F.col("_from") < F.col("_start") + size) & (F.col("_from") + F.col("_n") > F.col("_start")))
+    keys = [F.col(name).asc() if ascending else F.col(name).desc() for name, ascending in order]
+    near = placed.join(F.broadcast(hit), "_range").withColumn(
+        "_at", F.row_number().over(W.partitionBy("_range").orderBy(*keys)) + F.col("_from") - 1)
+    found = near.where((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + size))
+    return found.orderBy(*keys).select(*df.columns)
 
 
 def filter_logs(logs: DataFrame, levels: Iterable[str], scope: str = "all", platform: str = "all", code: str = "all",
@@ -155,14 +188,19 @@ def log_facets(logs: DataFrame) -> DataFrame:
 def related_logs(logs: DataFrame, target: DataFrame) -> DataFrame:
     """Logs that share the target's source, else its trace, else its worker, else the target alone.
 
-    ``target`` holds one row of ``logs``. Its context is read first, so the selection is a plain filter.
+    ``target`` holds one row of ``logs``; what it shares is a scalar subquery, so the selection is a plain filter.
     """
-    one = log_context(target).select("id", "source_id", "trace_id", "worker_id").first()
-    if one is None:
-        return logs.limit(0)
-    shared = next((n for n in ("source_id", "trace_id", "worker_id") if one[n]), "id")
-    rows = log_context(logs.withColumn("_row", F.struct(*logs.columns)))
-    return rows.where(F.col(shared) == one[shared]).select("_row.*").orderBy("timestamp", "id")
+    def shared() -> Column:
+        keys = [F.when(F.coalesce(n, F.lit("")) != "", F.concat(F.lit(f"{n}:"), n)) for n in ("source_id", "trace_id", "worker_id")]
+        return F.coalesce(*keys, F.concat(F.lit("id:"), "id"))
+
+    one = log_context(target).select(shared().alias("k")).agg(F.first("k")).scalar()
+    rows = log_context(logs.withColumn("_row", F.struct(*logs.columns))).withColumn("_want", one)
+    kind = F.substring_index("_want", ":", 1)
+    same = F.lit(False)
+    for n in ("source_id", "trace_id", "worker_id", "id"):
+        same = same | ((kind == n) & F.coalesce(F.concat(F.lit(f"{n}:"), n) == F.col("_want"), F.lit(False)))
+    return rows.where(same).select("_row.*").orderBy("timestamp", "id")
 
 
 def index_map(index: DataFrame, platform: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.identity import conversation_key, decode_cursor, encode_cursor
 from parley.functions.text import storage_segment
-from parley.operators import KEY
+from parley.operators import KEY, search
 
 REV = [*KEY, "revision"]
 MAX_PAGE = 100
@@ -44,12 +44,17 @@ def ingest(batch: DataFrame, conversations: DataFrame, revisions: DataFrame) ->
         "files": archive_paths(c("platform"), c("source_id"), c("revision"), raw)})
 
 
-def append_revisions(revisions: DataFrame, new: DataFrame, now: str) -> DataFrame:
-    """Insert or ignore: of several arrivals of a new revision the first is kept."""
+def new_revisions(revisions: DataFrame, new: DataFrame, now: str) -> DataFrame:
+    """The revisions that ``revisions`` lacks: of several arrivals of one the first is kept."""
     rest = ["extracted_at", "source_updated_at"]
     first = new.groupBy(*REV).agg(F.min_by(F.struct(*rest), "seq").alias("_row")).select(*REV, "_row.*")
     fresh = first.join(revisions.select(*REV), REV, "left_anti").withColumn("created_at", F.lit(now))
-    return revisions.unionByName(fresh.select(*revisions.columns))
+    return fresh.select(*revisions.columns)
+
+
+def append_revisions(revisions: DataFrame, new: DataFrame, now: str) -> DataFrame:
+    """Insert or ignore."""
+    return revisions.unionByName(new_revisions(revisions, new, now))
 
 
 def upsert_conversations(conversations: DataFrame, ingested: DataFrame, now: str) -> DataFrame:
@@ -76,15 +81,12 @@ def has_revision(candidates: DataFrame, revisions: DataFrame) -> DataFrame:
     return candidates.join(revisions.select(*REV), REV, "left_semi")
 
 
-def _ascii_lower(x: Column) -> Column:
-    return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def list_conversations(conversations: DataFrame, platform: str | None = None, q: str | None = None,
-                       cursor: str | None = None, limit: int = 20) -> DataFrame:
+                       cursor: str | None = None, limit: int = 20, postings: DataFrame | None = None) -> DataFrame:
     """One page, newest update first. `%` and `_` in ``q`` are wildcards; case folds for ASCII only.
 
-    The keyset predicate carries the bound on updated_at by itself, so file statistics can skip.
+    ``postings``: the archive's trigram index (`parley.operators.search`); the rows are the same without it. The keyset
+    predicate carries the bound on updated_at by itself, so file statistics can skip.
     """
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
@@ -93,10 +95,8 @@ def list_conversations(conversations: DataFrame, platform: str | None = None, q:
     if platform:
         rows = rows.where(c("platform") == platform)
     if q:
-        pattern = "%" + q.translate(str.maketrans({x: x.lower() for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})) + "%"
-        pattern = pattern.replace("\\", "\\\\")
-        rows = rows.where(_ascii_lower(c("source_id")).like(pattern)
-                          | F.coalesce(_ascii_lower(c("title")).like(pattern), F.lit(False)))
+        near = None if postings is None else search.candidates(postings, q)
+        rows = (rows if near is None else rows.join(near, KEY, "left_semi")).where(search.matches(q))
     if cursor:
         at = conversations.sparkSession.range(1).select(decode_cursor(F.lit(cursor)).alias("c")).first()["c"]
         if at is not None:

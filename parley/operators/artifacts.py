@@ -19,7 +19,7 @@ from parley.functions.times import epoch_ms
 from parley.functions.urls import PLATFORMS
 from parley.operators import KEY
 from parley.operators.conversations import with_titles
-from parley.operators.discovery import dedupe_coalesce, upsert_index
+from parley.operators.discovery import EVENT_FIELDS, upsert_index, upserted
 from parley.session import cut_lineage
 
 REV = [*KEY, "revision"]
@@ -202,14 +202,11 @@ def verify_presence(artifacts: DataFrame, files: DataFrame) -> DataFrame:
     listing = _listing(files)
     rows = _with_hit(artifacts, listing, c("markdown_filename"), "_md")
     rows = _with_hit(rows, listing, c("bundle_filename"), "_bundle")
-    needs_md = (F.coalesce("markdown_filename", F.lit("")) != "") | c("markdown_download_id").isNotNull()
-    needs_bundle = (F.coalesce("bundle_filename", F.lit("")) != "") | c("bundle_download_id").isNotNull()
-    present = (needs_md | needs_bundle) & (~needs_md | c("_md")) & (~needs_bundle | c("_bundle"))
-    found = F.when(c("local_status") == "skipped_existing", "skipped_existing").otherwise("present")
-    rows = rows.withColumns({"present": F.when(_live(), present), "was_latest": _flagged()})
+    check = _presence(c("_md"), c("_bundle"))
+    rows = rows.withColumns({"present": check["present"], "was_latest": _flagged(), "_status": check["status"]})
     return rows.withColumns({
-        "local_status": F.when(c("present").isNull(), c("local_status")).when(c("present"), found).otherwise("missing"),
-        "is_latest": F.when(c("present") == F.lit(False), False).otherwise(c("is_latest"))}).drop("_md", "_bundle")
+        "local_status": c("_status"),
+        "is_latest": F.when(c("present") == F.lit(False), False).otherwise(c("is_latest"))}).drop("_md", "_bundle", "_status")
 
 
 def verify_targets(candidates: DataFrame, files: DataFrame, root: str | None, markdown: bool = True,
@@ -249,13 +246,13 @@ def mark_export_pending(index: DataFrame, keys: DataFrame) -> DataFrame:
         "export_state", F.when(F.col("_hit"), "pending").otherwise(F.col("export_state"))).select(*index.columns)
 
 
-def mark_export_result(index: DataFrame, results: DataFrame, now: str) -> DataFrame:
-    """``results``: one row per KEY with title, prompt, url, source_updated_at, revision, export_state, export_version."""
+RESULT_FIELDS = ("title", "prompt", "url", "source_updated_at", "revision", "export_state", "export_version")
+
+
+def _settled_index(rows: DataFrame, columns: list[str], now: Column) -> DataFrame:
+    """Index rows after the export results beside them (`_title`, `_prompt`, …; `_hit` marks a row with one)."""
     c = F.col
-    new = results.select(*KEY, *[c(x).alias(f"_{x}") for x in (
-        "title", "prompt", "url", "source_updated_at", "revision", "export_state", "export_version")],
-        F.lit(True).alias("_hit"))
-    rows = with_titles(index.join(new, KEY, "left"), "title", "_title", "_prompt")
+    rows = with_titles(rows, "title", "_title", "_prompt")
     hit, done = c("_hit"), c("_export_state") == "exported"
 
     def when_hit(value: Column, name: str) -> Column:
@@ -268,7 +265,13 @@ def mark_export_result(index: DataFrame, results: DataFrame, now: str) -> DataFr
         "latest_export_version": F.when(done, F.coalesce("_export_version", "latest_export_version"))
         .otherwise(c("latest_export_version")),
         "export_state": when_hit(c("_export_state"), "export_state"),
-        "last_seen_at": when_hit(F.lit(now), "last_seen_at")}).select(*index.columns)
+        "last_seen_at": when_hit(now, "last_seen_at")}).select(*columns)
+
+
+def mark_export_result(index: DataFrame, results: DataFrame, now: str) -> DataFrame:
+    """``results``: one row per KEY with title, prompt, url, source_updated_at, revision, export_state, export_version."""
+    new = results.select(*KEY, *[F.col(x).alias(f"_{x}") for x in RESULT_FIELDS], F.lit(True).alias("_hit"))
+    return _settled_index(index.join(new, KEY, "left"), index.columns, F.lit(now))
 
 
 def record_manual_export(index: DataFrame, results: DataFrame, now: str) -> DataFrame:
@@ -280,51 +283,127 @@ def record_manual_export(index: DataFrame, results: DataFrame, now: str) -> Data
     return mark_export_result(upsert_index(index, events, "complete", now), results, now)
 
 
+def _on_disk(disk: DataFrame, platforms: Sequence[str]) -> DataFrame:
+    return disk.where(F.col("platform").isin(*platforms)).withColumn(
+        "markdown_filename", F.regexp_replace("file_path", r"(?i)\.bundle\.json\z", ".md"))
+
+
+def _wanted(rows: DataFrame, paths: dict[str, str], file_path: Column) -> DataFrame:
+    """(REV, tag, file_path, _path): the paths that rows wait for, blank ones apart."""
+    each = F.explode(F.array(*[F.struct(F.lit(tag).alias("tag"), F.col(name).alias("path")) for tag, name in paths.items()]))
+    return (rows.select(*REV, file_path.alias("file_path"), each.alias("w"))
+            .select(*REV, "w.tag", "file_path", tx.blank_to_null(comparable_path(F.col("w.path"))).alias("_path"))
+            .where("_path is not null"))
+
+
+def revisions_on_disk(artifacts: DataFrame, disk: DataFrame, files: DataFrame) -> DataFrame:
+    """One row a revision of the artifact table, of the bundle files on disk, or of both.
+
+    All paths waited for meet the listing in one join; then artifacts, bundle files and the paths found are one tagged
+    union with one grouping. Columns: REV, `art` and `file` (structs of the two tables' columns, the last file in path
+    order), `has_markdown`, `has_bundle` (of the artifact), `file_present` (the last file's document is there), `lacks` (some
+    file's is not), and `title`, `at`, `label`: the last that is not NULL with its file's path.
+    """
+    c = F.col
+    wanted = _wanted(artifacts, {"md": "markdown_filename", "bundle": "bundle_filename"}, F.lit(None).cast("string")).unionByName(
+        _wanted(disk, {"file": "markdown_filename"}, c("file_path")))
+    found = wanted.join(_listing(files).select("_path"), "_path", "left_semi").select(*REV, "tag", "file_path")
+    own = [x for x in artifacts.columns if x not in REV]
+    held = [x for x in disk.columns if x not in REV]
+    kinds = {"art": artifacts.select(F.struct(*own)).schema[0].dataType, "file": disk.select(F.struct(*held)).schema[0].dataType}
+    none = {"tag": F.lit(None).cast("string"), "file_path": F.lit(None).cast("string"), **{
+        n: F.lit(None).cast(kind) for n, kind in kinds.items()}}
+
+    def tagged(rows: DataFrame, **given: Column) -> DataFrame:
+        return rows.select(*REV, *[given.get(n, none[n]).alias(n) for n in none])
+
+    rows = (tagged(artifacts, art=F.struct(*own)).unionByName(tagged(disk, file=F.struct(*held)))
+            .unionByName(tagged(found, tag=c("tag"), file_path=c("file_path"))))
+    path = c("file.file_path")
+
+    def last(value: Column) -> Column:
+        return F.max(F.when(value.isNotNull(), F.struct(path.alias("path"), value.alias("value"))))
+
+    rows = with_titles(rows.withColumns({"_t": c("file.title"), "_p": c("file.prompt")}), None, "_t", "_p")
+    made = rows.groupBy(*REV).agg(
+        F.max_by("art", F.when(c("art").isNotNull(), -c("art.pos"))).alias("art"),
+        F.max_by("file", F.when(c("file").isNotNull(), path)).alias("file"),
+        F.coalesce(F.bool_or(c("tag") == "md"), F.lit(False)).alias("has_markdown"),
+        F.coalesce(F.bool_or(c("tag") == "bundle"), F.lit(False)).alias("has_bundle"),
+        F.max(path).eqNullSafe(F.max(F.when(c("tag") == "file", c("file_path")))).alias("file_present"),
+        (F.count("file") > F.count_if(c("tag") == "file")).alias("lacks"),
+        last(F.when(c("file").isNotNull(), c("final_title"))).alias("title"),
+        last(c("file.source_updated_at")).alias("at"), last(c("file.source_updated_label")).alias("label"))
+    return made
+
+
+def _presence(has_markdown: Column, has_bundle: Column) -> dict[str, Column]:
+    """`present` (NULL for rows that are not live) and the status after the check, of the columns of an artifact."""
+    c = F.col
+    needs_md = (F.coalesce("markdown_filename", F.lit("")) != "") | c("markdown_download_id").isNotNull()
+    needs_bundle = (F.coalesce("bundle_filename", F.lit("")) != "") | c("bundle_download_id").isNotNull()
+    present = F.when(_live(), (needs_md | needs_bundle) & (~needs_md | has_markdown) & (~needs_bundle | has_bundle))
+    there = F.when(c("local_status") == "skipped_existing", "skipped_existing").otherwise("present")
+    return {"present": present, "status": F.when(present.isNull(), c("local_status")).when(present, there).otherwise("missing")}
+
+
+def _imported(table: DataFrame, columns: list[str]) -> DataFrame:
+    """Artifact rows (with `imported`) of `revisions_on_disk`, after the check: a file on disk replaces the entry."""
+    c = F.col
+    of_file = c("file").isNotNull()
+    none = F.lit(None).cast("bigint")
+    new = {"markdown_download_id": none, "bundle_download_id": none, "markdown_filename": c("file.markdown_filename"),
+           "bundle_filename": c("file.file_path"), "exported_at": c("file.extracted_at"),
+           "local_status": F.when(c("file_present"), "present").otherwise("missing"), "is_latest": F.lit(True)}
+    old = {**{n: c(f"art.{n}") for n in columns if n not in REV}, "local_status": c("status"),
+           "is_latest": F.when(c("present") == F.lit(False), False).otherwise(c("art.is_latest"))}
+    made = {n: F.when(of_file, new[n]).otherwise(old[n]) if n in new else old[n] for n in old}
+    made["pos"] = F.coalesce("art.pos", -F.abs(F.xxhash64(*REV)) - 1)
+    return table.select(*REV, *[x.alias(n) for n, x in made.items()], c("art").isNull().alias("imported"))
+
+
+def _by_key(table: DataFrame) -> DataFrame:
+    """One row a conversation with files on disk: its last file, and its event with each field's last value."""
+    c = F.col
+    rows = table.where("file is not null").groupBy(*KEY).agg(
+        F.max_by(F.struct("file", "revision", c("file_present").alias("md_present")), c("file.file_path")).alias("last"),
+        *[F.max(n).alias(n) for n in ("title", "at", "label")])
+    fingerprint = ids.discovery_fingerprint(c("platform"), c("source_id"), c("last.file.source_updated_at"))
+    return rows.select(
+        *KEY, "last.md_present", c("last.revision").alias("revision"), c("last.file").alias("file"), c("last.file.url").alias("url"),
+        c("title.value").alias("title"), c("at.value").alias("source_updated_at"), c("label.value").alias("source_updated_label"),
+        fingerprint.alias("revision_fingerprint"))
+
+
+def _index_after(index: DataFrame, by_key: DataFrame) -> DataFrame:
+    """The index after the files on disk: their events and their export results in one join."""
+    c = F.col
+    given = by_key.select(
+        *KEY, *[c(f).alias(f"e_{f}") for f in EVENT_FIELDS], F.lit(True).alias("e_hit"), c("file.extracted_at").alias("_now"),
+        c("file.title").alias("_title"), c("file.prompt").alias("_prompt"), c("file.url").alias("_url"),
+        c("file.source_updated_at").alias("_source_updated_at"), c("revision").alias("_revision"),
+        F.when(c("md_present"), "exported").otherwise("pending").alias("_export_state"),
+        c("file.export_version").alias("_export_version"), F.lit(True).alias("_hit"))
+    rows = upserted(index.join(given, KEY, "full"), index.columns, True, c("_now"))
+    return _settled_index(rows, index.columns, F.coalesce("_now", "last_seen_at"))
+
+
+def _event_rows(by_key: DataFrame) -> DataFrame:
+    return by_key.where("not md_present").select(*KEY, *EVENT_FIELDS)
+
+
 def import_bundles(disk: DataFrame, artifacts: DataFrame, index: DataFrame, files: DataFrame,
                    platforms: Sequence[str] = PLATFORMS) -> dict[str, DataFrame]:
-    """Artifacts and index entries for the bundle files on disk.
+    """Artifacts and index entries for the bundle files on disk; the artifact table has been checked before.
 
     ``disk``: KEY, revision, url, title, prompt, extracted_at, source_updated_at, source_updated_label,
     export_version, file_path. Several files of one conversation apply in path order.
     """
-    c = F.col
-    rows = disk.where(c("platform").isin(*platforms)).withColumn(
-        "markdown_filename", F.regexp_replace("file_path", r"(?i)\.bundle\.json\z", ".md"))
-    rows = _with_hit(rows, _listing(files), c("markdown_filename"), "md_present")
-    rest = [x for x in rows.columns if x not in REV]
-    by_rev = rows.groupBy(*REV).agg(F.max_by(F.struct(*rest), "file_path").alias("_row")).select(*REV, "_row.*")
-    fresh = by_rev.select(
-        *REV, F.lit(None).cast("bigint").alias("markdown_download_id"), F.lit(None).cast("bigint").alias("bundle_download_id"),
-        "markdown_filename", c("file_path").alias("bundle_filename"), c("extracted_at").alias("exported_at"),
-        F.when(c("md_present"), "present").otherwise("missing").alias("local_status"), F.lit(True).alias("is_latest"))
-    # One grouping replaces the known and finds the unknown captures; those go before the table.
-    both = artifacts.withColumn("_disk", F.lit(False)).unionByName(
-        fresh.withColumns({"pos": F.lit(None).cast("bigint"), "_disk": F.lit(True)}).select(*artifacts.columns, "_disk"))
-    rest = [x for x in artifacts.columns if x not in REV and x != "pos"]
-    table = both.groupBy(*REV).agg(F.max_by(F.struct(*rest), "_disk").alias("_row"), F.min("pos").alias("_pos"),
-                                   F.bool_and("_disk").alias("imported")).select(
-        *REV, "_row.*", F.coalesce("_pos", -F.abs(F.xxhash64(*REV)) - 1).alias("pos"), "imported")
-
-    per_key = [x for x in rows.columns if x not in KEY]
-    last = rows.groupBy(*KEY).agg(F.max_by(F.struct(*per_key), "file_path").alias("_row")).select(*KEY, "_row.*")
-    events = with_titles(rows).select(*KEY, c("file_path").alias("seq"), "url", c("final_title").alias("title"), "source_updated_at",
-                         "source_updated_label", ids.discovery_fingerprint(
-                             c("platform"), c("source_id"), c("source_updated_at")).alias("revision_fingerprint"))
-    merged = dedupe_coalesce(events).drop("seq", "first_seq")
-    seen = last.select(*KEY, c("extracted_at").alias("_now"))
-    upserted = upsert_index(index, merged, "complete", seen)
-    results = last.select(*KEY, "title", "prompt", "url", "source_updated_at", "revision",
-                          F.when(c("md_present"), "exported").otherwise("pending").alias("export_state"),
-                          "export_version")
-    settled = mark_export_result(upserted, results, "")
-    settled = (settled.join(seen, KEY, "left").withColumn("last_seen_at", F.coalesce("_now", "last_seen_at"))
-               .select(*index.columns))
-    verdict = last.select(*KEY, "md_present")
-    requeue = (events.join(verdict.where(~c("md_present")), KEY, "left_semi"))
-    requeue = dedupe_coalesce(requeue).drop("seq", "first_seq")
-    return {"artifacts": table, "index": settled, "requeue": requeue,
-            "found": verdict.where("md_present").select(*KEY),
-            "missing": rows.where(~c("md_present")).select(*REV)}
+    rows = revisions_on_disk(artifacts, _on_disk(disk, platforms), files)
+    rows = rows.withColumns({"present": F.lit(None).cast("boolean"), "status": F.col("art.local_status")})
+    by_key = _by_key(rows)
+    return {"artifacts": _imported(rows, artifacts.columns), "index": _index_after(index, by_key), "requeue": _event_rows(by_key),
+            "found": by_key.where("md_present").select(*KEY), "missing": rows.where("lacks").select(*REV)}
 
 
 def recompute_latest(artifacts: DataFrame, platforms: Sequence[str] = PLATFORMS) -> DataFrame:
@@ -346,29 +425,31 @@ def final_requeue(requeue: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 def reconcile(artifacts: DataFrame, index: DataFrame, disk: DataFrame, files: DataFrame,
               platforms: Sequence[str] = PLATFORMS) -> dict[str, DataFrame]:
-    """artifacts, index, requeue and a one-row summary (verified, missing, imported)."""
+    """artifacts, index, requeue and a one-row summary (verified, missing, imported).
+
+    Everything follows from one written table with a row a revision: one shuffle by path and one by revision make it.
+    """
     c = F.col
     scope = c("platform").isin(*platforms)
-    # Both tables feed several results; each is written once and read back.
-    checked = cut_lineage(verify_presence(artifacts.where(scope), files))
-    verified = checked.where(c("present").isNotNull())
-    pending, requeue = missing_latest(verified, index)
-    table = checked.select(*artifacts.columns).unionByName(artifacts.where(~scope))
-    made = import_bundles(disk, table, pending, files, platforms)
-    made["artifacts"] = cut_lineage(made["artifacts"])
+    inside = artifacts.where(scope)
+    rows = revisions_on_disk(inside, _on_disk(disk, platforms), files)
+    fields = [x for x in artifacts.columns if x not in REV]
+    # The check reads an artifact's own columns; they stand beside the structs while it is made.
+    judged = rows.select("*", *[c(f"art.{n}").alias(n) for n in fields])
+    check = _presence(c("has_markdown"), c("has_bundle"))
+    checked = cut_lineage(judged.select(*rows.columns, F.when(c("art").isNotNull(), check["present"]).alias("present"),
+                                        check["status"].alias("status"), _flagged().alias("was_latest")))
+    by_key = cut_lineage(_by_key(checked))
+    pending, requeue = missing_latest(checked.where("present is not null"), index)
+    table = cut_lineage(_imported(checked, artifacts.columns))
+    whole = table.drop("imported").unionByName(artifacts.where(~scope).select(*table.drop("imported").columns))
+    latest = recompute_latest(whole.select(*artifacts.columns), platforms)
     # A bundle on disk decides for its conversation, after the check of the table.
-    on_disk = made["requeue"].select(*KEY).unionByName(made["found"])
-    events = requeue.join(on_disk, KEY, "left_anti").unionByName(made["requeue"].select(*requeue.columns))
-    latest = recompute_latest(made["artifacts"], platforms)
-    gone = verified.where(~c("present")).select(*REV).unionByName(made["missing"]).distinct()
-    zero = F.lit(0).cast("bigint")
-    parts = [verified.agg(F.count(F.lit(1)).alias("verified")).select("verified", zero.alias("missing"), zero.alias("imported")),
-             gone.agg(F.count(F.lit(1)).alias("missing")).select(zero.alias("verified"), "missing", zero.alias("imported")),
-             made["artifacts"].agg(F.count_if("imported").alias("imported")).select(
-                 zero.alias("verified"), zero.alias("missing"), "imported")]
-    summary = parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(
-        *[F.sum(n).alias(n) for n in ("verified", "missing", "imported")])
-    return {"artifacts": latest.select(*artifacts.columns), "index": made["index"],
+    events = requeue.join(by_key.select(*KEY), KEY, "left_anti").unionByName(_event_rows(by_key).select(*requeue.columns))
+    gone = (c("present") == F.lit(False)) | c("lacks")
+    summary = checked.agg(F.count("present").alias("verified"), F.count_if(gone).alias("missing"),
+                          F.count_if(c("art").isNull()).alias("imported"))
+    return {"artifacts": latest.select(*artifacts.columns), "index": _index_after(pending, by_key),
             "requeue": final_requeue(events, latest), "summary": summary}
 
 

@@ -66,7 +66,7 @@ def union_by_priority(buffered: DataFrame, sidebar: DataFrame, api: DataFrame, b
     return made.select(*KEY, "_row.*", "first_seq", "source")
 
 
-def _upserted(rows: DataFrame, columns: list[str], complete: bool, now: Column) -> DataFrame:
+def upserted(rows: DataFrame, columns: list[str], complete: bool, now: Column) -> DataFrame:
     """Rows of index FULL JOIN events (event columns prefixed `e_`, `e_hit` marks a match)."""
     c = F.col
     hit, old = c("e_hit").isNotNull(), c("export_state").isNotNull()
@@ -101,7 +101,7 @@ def upsert_index(index: DataFrame, events: DataFrame, state: str, now: str | Dat
         at = F.col("_now")
     else:
         at = F.lit(now)
-    return _upserted(rows, index.columns, state == "complete", at).select(*index.columns)
+    return upserted(rows, index.columns, state == "complete", at).select(*index.columns)
 
 
 def changed_events(index: DataFrame, events: DataFrame, state: str, now: str,
@@ -117,7 +117,7 @@ def changed_events(index: DataFrame, events: DataFrame, state: str, now: str,
     enqueue = c("e_hit").isNotNull() & (new | (changed & ~degraded) | (c("export_state") != "exported")
                                         | ~c("latest_export_version").eqNullSafe(F.lit(version)))
     judged = _join(index, events).withColumn("enqueue", F.coalesce(enqueue, F.lit(False)))
-    after = _upserted(judged, index.columns, state == "complete", F.lit(now)).withColumn(
+    after = upserted(judged, index.columns, state == "complete", F.lit(now)).withColumn(
         "export_state", F.when(c("enqueue"), "pending").otherwise(c("export_state")))
     queueable = judged.where("enqueue").select(*KEY, *[c(f"e_{f}").alias(f) for f in EVENT_FIELDS])
     counts = judged.agg(F.count("e_hit").alias("total"), F.count_if("enqueue").alias("queued"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.html import COLUMNS, PageBlocks
 from parley.functions.markdown import format_thinking, normalize_prompt_text
-from parley.functions.text import blank_to_null, collapse, js_trim, normalize_title
+from parley.functions.text import blank_to_null, collapse, js_trim, let, normalize_title
 from parley.functions.times import extract_time_label
 from parley.functions.urls import canonical_url, resolve_url
 from parley.operators import KEY, settled
@@ -22,7 +22,7 @@ from parley.operators.ordered import ordered_texts
 c = F.col
 #: Entity names to characters, from the standard library's table.
 ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
-ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>((?:(?!<a\b|</li>).)*+)"
+ANCHOR = r"(?is)<a\b[^>]*>.*?</a>(?:(?!<a\b|</li>).)*+"
 # Fixed value: the entry of the history list that is open.
 ACTIVE = r'(?is)<a\b(?=[^>]*\baria-current="page")(?=[^>]*\bhref="[^"]*/app/)[^>]*>(.*?)</a>'
 # Elements of a page that are controls.
@@ -64,9 +64,12 @@ def page_links(pages: DataFrame, id_pattern: str, origin: str | None = None, coa
     Relative links resolve against ``origin``, by default the page's own. Repeats of an id merge field by
     field, or the last one wins whole.
     """
-    found = [F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(i)) for i in (1, 2, 3)]
-    rows = pages.select("page_id", "url", F.posexplode(F.arrays_zip(
-        *[x.alias(n) for x, n in zip(found, ("tag", "inner", "after"))])).alias("seq", "a"))
+    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("seq", "_link"))
+    # A link's tag ends at its first bracket, the link at its first end tag.
+    sides = F.split("_link", "(?i)</a>", 2)
+    tag = F.substring_index(sides[0], ">", 1)
+    rows = rows.select("page_id", "url", "seq", F.struct(
+        tag.alias("tag"), F.substr(sides[0], F.length(tag) + 2).alias("inner"), sides[1].alias("after")).alias("a"))
     base = F.lit(origin) if origin else F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     href = attribute(c("a.tag"), "href")
     rows = settled(rows.where(href.isNotNull()), "link", canonical_url(resolve_url(href, base)))
@@ -100,11 +103,65 @@ def page_title(pages: DataFrame, suffix: str, heading: str = r"(?is)<h1\b[^>]*>(
         clean(F.regexp_extract("html", heading, 1)), clean(F.regexp_extract("html", ACTIVE, 1)), clean(named), F.substring(F.get(lines, 0), 1, 80)).alias("title"))
 
 
-def strip_page_chrome(html: Column) -> Column:
-    """The page without controls: paired elements that do not nest, inputs, and hidden leaves."""
-    out = F.regexp_replace(html, rf"(?is)<({'|'.join(CONTROLS)})\b[^>]*>.*?</\1\s*>", "")
-    out = F.regexp_replace(out, r"(?is)<input\b[^>]*>", "")
-    return F.regexp_replace(out, r'(?is)<([a-z][a-z0-9-]*)\b[^>]*\baria-hidden="true"[^>]*>[^<]*</\1\s*>', "")
+#: Tokens that a fold takes together, so that texts are joined in two steps and not token by token.
+STRETCH = 128
+# What a page is cut into: elements of raw text as wholes, comments, tags, and the text between.
+TOKENS = (r"(?is)<(?:script|style|textarea)\b[^>]*>.*?</(?:script|style|textarea)\s*>|<!--.*?-->|"
+          r"</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^<]++|<")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+def _tokens(html: Column, controls: tuple[str, ...]) -> Column:
+    """array<struct<text, name, closes, opens>>: ``opens`` tells the tags of controls and hidden elements."""
+    def seen(t: Column) -> Column:
+        tag = t.rlike("^</?[a-zA-Z]")
+        name = F.when(tag, F.lower(F.regexp_extract(t, "^</?([a-zA-Z][a-zA-Z0-9-]*)", 1)))
+        closes = tag & t.startswith("</")
+        hidden = t.contains("aria-hidden") & t.rlike(r"""(?i)\saria-hidden\s*=\s*["']?true\b""")
+        return F.struct(t.alias("text"), name.alias("name"), closes.alias("closes"),
+                        F.coalesce(tag & ~closes & (name.isin(*controls) | hidden), F.lit(False)).alias("opens"))
+
+    return F.transform(F.regexp_extract_all(html, F.lit(TOKENS), F.lit(0)), seen)
+
+
+def strip_page_chrome(html: Column, controls: tuple[str, ...] = (*CONTROLS, "input")) -> Column:
+    """The page without controls and hidden elements, each with all it holds.
+
+    One fold over the tags with the name and the depth of the element that is being left out: only elements of its own
+    name nest, as others may leave out their end tags. An element that is never closed loses its tag only.
+    """
+    def step(s: Column, t: Column) -> Column:
+        inside = s["name"].isNotNull()
+        # An element without content: void by its name, raw as one token, or closed in its own tag.
+        alone = t["name"].isin(*VOID, "script", "style", "textarea") | (t["name"].isin("svg") & t["text"].endswith("/>"))
+        same = F.coalesce(t["name"] == s["name"], F.lit(False)) & ~F.coalesce(alone, F.lit(False))
+        depth = s["depth"] + F.when(same & t["closes"], -1).when(same, 1).otherwise(0)
+        ends = inside & (depth == 0)
+        begins = ~inside & t["opens"] & ~alone
+        return F.struct(
+            F.when(ends, F.lit(None)).when(begins, t["name"]).otherwise(s["name"]).cast("string").alias("name"),
+            F.when(inside, depth).when(begins, F.lit(1)).otherwise(F.lit(0)).cast("int").alias("depth"),
+            F.when(inside | t["opens"], s["kept"]).otherwise(F.concat(s["kept"], t["text"])).alias("kept"),
+            F.when(ends | begins, F.lit("")).when(inside, F.concat(s["held"], t["text"])).otherwise(s["held"]).alias("held"),
+            (s["began"] | begins).alias("began"))
+
+    def stretch(s: Column, part: Column) -> Column:
+        start = F.struct(s["name"].alias("name"), s["depth"].alias("depth"), F.lit("").alias("kept"), F.lit("").alias("held"),
+                         F.lit(False).alias("began"))
+        return let(F.aggregate(part, start, step), lambda e: F.struct(
+            e["name"].alias("name"), e["depth"].alias("depth"), F.concat(s["kept"], F.array(e["kept"])).alias("kept"),
+            # What was left out since the element began, in this stretch or before it.
+            F.when(e["name"].isNull(), F.array().cast("array<string>")).when(e["began"], F.array(e["held"])).otherwise(
+                F.concat(s["held"], F.array(e["held"]))).alias("held")))
+
+    def folded(tokens: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / STRETCH).cast("int")),
+                            lambda k: F.slice(tokens, k * STRETCH + 1, STRETCH))
+        first = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("depth"),
+                         F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("held"))
+        return let(F.aggregate(parts, first, stretch), lambda e: F.concat(F.array_join(e["kept"], ""), F.array_join(e["held"], "")))
+
+    return F.when(html == "", html).otherwise(let(_tokens(html, controls), folded))
 
 
 BLOCKS = ("page_id bigint, pos bigint, kind string, markdown string, turn bigint, turn_id string, role string, "

@@ -1,13 +1,17 @@
 """Platform payloads to conversations and messages.
 
-Every parser is row-local: one payload row becomes one bundle row with a nested `messages` array,
-so nothing is shuffled. `explode_messages` makes the messages table, `split` the rejects.
+A platform's shape is an expression over one payload row that gives a struct of `BUNDLE`; so parsing is row-local, several
+platforms share one scan (see `parley.adapters`), and a payload is read once. `explode_messages` makes the messages
+table, `split` the rejects.
 
 Input: KEY, url, payload (text), title (optional), extracted_at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,17 +71,40 @@ def people_of(messages: Column, platform: Column) -> Column:
         r == "system", "System").otherwise(assistant_name(platform)).alias("name")))
 
 
-def _bundle(rows: DataFrame, title: Column, updated: Column, meta: Column) -> DataFrame:
-    """Bundle columns from rows with `messages`."""
-    rows = settled(rows, "messages", c("messages"))
-    extracted = c("extracted_at") if "extracted_at" in rows.columns else F.lit(None).cast("string")
-    return rows.select(*KEY, "url", title.alias("title"), extracted.alias("extracted_at"),
-                       updated.alias("source_updated_at"), people_of(c("messages"), c("platform")).alias("participants"),
-                       "messages", F.to_json(meta).alias("meta"))
+BUNDLE = f"struct<title:string,source_updated_at:string,messages:{MESSAGE},meta:string>"
+
+
+@dataclass(frozen=True)
+class Payload:
+    """The columns of a payload row that a shape reads."""
+    text: Column
+    url: Column
+    title: Column
+
+
+Shape = Callable[[Payload], Column]
+
+
+def _bundle(title: Column, updated: Column, messages: Column, meta: Column) -> Column:
+    return F.struct(title.alias("title"), updated.alias("source_updated_at"), messages.alias("messages"),
+                    F.to_json(meta).alias("meta")).cast(BUNDLE)
 
 
-def _last_time() -> Column:
-    return F.get(c("messages"), F.size("messages") - 1)["created_at"]
+def payload_of(rows: DataFrame) -> Payload:
+    return Payload(c("payload"), c("url"), c("title") if "title" in rows.columns else F.lit(None).cast("string"))
+
+
+def bundles_of(payloads: DataFrame, bundle: Column) -> DataFrame:
+    """Bundle rows of payload rows; ``bundle`` is a struct of `BUNDLE`."""
+    rows = settled(payloads, "_bundle", bundle)
+    extracted = c("extracted_at") if "extracted_at" in payloads.columns else F.lit(None).cast("string")
+    messages = c("_bundle.messages")
+    return rows.select(*KEY, "url", "_bundle.title", extracted.alias("extracted_at"), "_bundle.source_updated_at",
+                       people_of(messages, c("platform")).alias("participants"), messages.alias("messages"), "_bundle.meta")
+
+
+def _last_time(messages: Column) -> Column:
+    return F.get(messages, F.size(messages) - 1)["created_at"]
 
 
 def explode_messages(bundles: DataFrame) -> DataFrame:
@@ -114,27 +141,43 @@ CHATGPT = ("title string, current_node string, update_time variant, mapping map<
            "message:struct<id:string,author:struct<role:string>,create_time:variant,content:string>>>")
 
 
-def parse_chatgpt(payloads: DataFrame) -> DataFrame:
-    rows = payloads.withColumn("p", F.from_json("payload", CHATGPT)).withColumn("nodes", F.map_entries("p.mapping"))
-    places = nested.branch_positions(F.transform("nodes", lambda n: n["key"]),
-                                     F.transform("nodes", lambda n: n["value"]["parent"]), c("p.current_node"))
-    rows = rows.withColumn("places", places)
-
-    def message(n: Column, place: Column) -> Column:
-        m = n["value"]["message"]
-        return F.struct(place.alias("place"),
-                        F.coalesce(m["id"], n["value"]["id"], F.concat(F.lit("chatgpt-"), n["key"])).alias("id"),
+def branch_of(mapping: Column, head: Column) -> Column:
+    """The ids from the root to ``head``, parent by parent; a repeat ends the walk."""
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        known = F.map_contains_key(mapping, F.coalesce(at, F.lit(""))) & ~F.array_contains(state["path"], F.coalesce(at, F.lit("")))
+        further = F.struct(F.try_element_at(mapping, at)["parent"].alias("at"), F.concat(state["path"], F.array(at)).alias("path"))
+        return F.when(F.coalesce(known & (at != ""), F.lit(False)), further).otherwise(F.struct(
+            F.lit(None).cast("string").alias("at"), state["path"].alias("path")))
+
+    first = F.struct(head.alias("at"), F.array().cast("array<string>").alias("path"))
+    return F.reverse(F.aggregate(F.sequence(F.lit(1), F.size(mapping)), first, step)["path"])
+
+
+def chatgpt_shape(row: Payload) -> Column:
+    """The branch that ends at the current node of a tree payload."""
+    def message(key: Column, n: Column) -> Column:
+        m = n["message"]
+        return F.struct(F.coalesce(m["id"], n["id"], F.concat(F.lit("chatgpt-"), key)).alias("id"),
                         normalize_role(m["author"]["role"], "chatgpt").alias("role"),
                         flatten_parts(m["content"]).alias("markdown"),
                         v_time(m["create_time"], "chatgpt_payload").alias("created_at"))
 
-    pairs = F.filter(F.arrays_zip("nodes", "places"), lambda z: z["places"] >= 0)
-    found = F.transform(pairs, lambda z: message(z["nodes"], z["places"]))
-    usable = F.array_sort(F.filter(found, lambda m: m["role"].isNotNull() & (m["markdown"] != "")))
-    rows = rows.withColumn("messages", F.transform(usable, lambda m: F.struct(*[
-        m[n].alias(n) for n in ("id", "role", "markdown", "created_at")])))
-    meta = F.struct(F.lit("api").alias("source"), F.coalesce(F.size("nodes"), F.lit(0)).alias("rawNodeCount"))
-    return _bundle(rows, c("p.title"), F.coalesce(v_time(c("p.update_time"), "chatgpt_payload"), _last_time()), meta)
+    def shaped(p: Column) -> Column:
+        # A walk has a step for each node, and none in an empty tree.
+        path = F.when(F.size(p["mapping"]) > 0, branch_of(p["mapping"], p["current_node"])).otherwise(F.array().cast("array<string>"))
+        found = F.transform(path, lambda k: let(F.try_element_at(p["mapping"], k), lambda n: message(k, n)))
+        usable = F.filter(found, lambda m: m["role"].isNotNull() & (m["markdown"] != ""))
+        meta = F.struct(F.lit("api").alias("source"), F.greatest(F.coalesce(F.size(p["mapping"]), F.lit(0)), F.lit(0)).alias("rawNodeCount"))
+        return let(usable, lambda messages: _bundle(
+            p["title"], F.coalesce(v_time(p["update_time"], "chatgpt_payload"), _last_time(messages)),
+            F.when(p["mapping"].isNotNull(), messages), meta))
+
+    return let(F.from_json(row.text, CHATGPT), shaped)
+
+
+def parse_chatgpt(payloads: DataFrame) -> DataFrame:
+    return bundles_of(payloads, chatgpt_shape(payload_of(payloads)))
 
 
 # ---------------------------------------------------------------- DeepSeek
@@ -171,10 +214,7 @@ def deepseek_markdown(m: Column) -> Column:
     return blank_to_null(_joined(F.concat(file_blocks(m["files"]), F.array(append_url_attachments(body)))))
 
 
-def parse_deepseek(payloads: DataFrame) -> DataFrame:
-    rows = payloads.withColumn("p", F.from_json("payload", DEEPSEEK)["data"]["biz_data"])
-    raw = c("p.chat_messages")
-
+def deepseek_shape(row: Payload) -> Column:
     def shaped(m: Column, i: Column) -> Column:
         number = F.coalesce(m["message_id"].try_cast("string").try_cast("double"), F.lit(0.0))
         text = F.when(v_is_number(m["message_id"]) | (v_type(m["message_id"]) == "STRING"), m["message_id"].cast("string"))
@@ -182,14 +222,21 @@ def parse_deepseek(payloads: DataFrame) -> DataFrame:
                         normalize_role(m["role"], "deepseek").alias("role"), deepseek_markdown(m).alias("markdown"),
                         v_time(m["inserted_at"], "deepseek_message").alias("created_at"))
 
-    ordered = F.array_sort(F.transform(raw, shaped))
-    named = F.transform(ordered, lambda m, i: F.struct(
-        F.coalesce(m["id"], F.concat(F.lit("deepseek-message-"), i.cast("string"))).alias("id"), m["role"].alias("role"),
-        m["markdown"].alias("markdown"), m["created_at"].alias("created_at")))
-    usable = F.filter(named, lambda m: m["role"].isNotNull() & m["markdown"].isNotNull())
-    rows = rows.withColumn("messages", F.coalesce(usable, F.array().cast(MESSAGE)))
-    meta = F.struct(F.lit("api").alias("source"), F.coalesce(F.size(raw), F.lit(0)).alias("rawMessageCount"))
-    return _bundle(rows, c("p.chat_session.title"), _last_time(), meta)
+    def made(p: Column) -> Column:
+        raw = p["chat_messages"]
+        named = F.transform(F.array_sort(F.transform(raw, shaped)), lambda m, i: F.struct(
+            F.coalesce(m["id"], F.concat(F.lit("deepseek-message-"), i.cast("string"))).alias("id"), m["role"].alias("role"),
+            m["markdown"].alias("markdown"), m["created_at"].alias("created_at")))
+        usable = F.filter(named, lambda m: m["role"].isNotNull() & m["markdown"].isNotNull())
+        meta = F.struct(F.lit("api").alias("source"), F.coalesce(F.size(raw), F.lit(0)).alias("rawMessageCount"))
+        return let(F.coalesce(usable, F.array().cast(MESSAGE)), lambda messages: _bundle(
+            p["chat_session"]["title"], _last_time(messages), messages, meta))
+
+    return let(F.from_json(row.text, DEEPSEEK)["data"]["biz_data"], made)
+
+
+def parse_deepseek(payloads: DataFrame) -> DataFrame:
+    return bundles_of(payloads, deepseek_shape(payload_of(payloads)))
 
 
 # ---------------------------------------------------------------- Gemini
@@ -231,24 +278,25 @@ def _ink(x: Column, default: Column) -> Column:
     return F.coalesce(blank_to_null(js_trim(x)), default)
 
 
-def parse_gemini(payloads: DataFrame, rpc_id: str = "hNvQHb") -> DataFrame:
-    rows = payloads.withColumn("v", F.try_parse_json(decode_rpc_envelope(c("payload"), rpc_id)))
-    rows = rows.withColumn("raw", v_array(c("v"), "$[0]"))
-
-    def stamp(t: Column) -> Column:
-        s, n = v_get(t, "$[4][0]"), v_get(t, "$[4][1]")
-        whole = s.try_cast("string").try_cast("decimal(30,9)") * 1000
-        part = F.floor(n.try_cast("string").try_cast("decimal(30,9)") / 1000000)
-        return F.floor(whole + F.coalesce(part, F.lit(0))).cast("bigint")
-
-    # NULL sorts before every time, ties keep their place: the order of the turns.
-    order = F.array_sort(F.transform("raw", lambda t, i: F.struct(
-        F.coalesce(stamp(t), F.lit(-(1 << 62)).cast("bigint")).alias("at"), i.alias("i"))))
-    rows = rows.withColumn("turns", F.filter(F.transform(order, lambda o: F.get(c("raw"), o["i"])),
-                                             lambda t: v_type(t).startswith("ARRAY")))
-    prompts = F.transform("turns", lambda t: F.to_json(v_get(t, "$[2]")))
-    rows = rows.withColumns({"images": nested.collect_nested(prompts, "image"),
-                             "documents": nested.collect_nested(prompts, "document")})
+def _pair_ms(t: Column) -> Column:
+    """[seconds, nanos] of a turn in epoch milliseconds."""
+    s, n = v_get(t, "$[4][0]"), v_get(t, "$[4][1]")
+    whole = s.try_cast("string").try_cast("decimal(30,9)") * 1000
+    part = F.floor(n.try_cast("string").try_cast("decimal(30,9)") / 1000000)
+    return F.floor(whole + F.coalesce(part, F.lit(0))).cast("bigint")
+
+
+def gemini_shape(row: Payload, rpc_id: str = "hNvQHb") -> Column:
+    def ordered(raw: Column) -> Column:
+        # NULL sorts before every time, ties keep their place: the order of the turns.
+        order = F.array_sort(F.transform(raw, lambda t, i: F.struct(
+            F.coalesce(_pair_ms(t), F.lit(-(1 << 62)).cast("bigint")).alias("at"), i.alias("i"))))
+        return F.filter(F.transform(order, lambda o: F.get(raw, o["i"])), lambda t: nested.members(t).isNotNull())
+
+    def opened(t: Column) -> Column:
+        prompt = v_get(t, "$[2]")
+        return F.struct(t.alias("v"), iso_from_ms(_pair_ms(t)).alias("at"), *[
+            nested.collect_nested(prompt, kind).alias(f"{kind}s") for kind in ("image", "document")])
 
     def image(a: Column, i: Column) -> Column:
         alt = _ink(a["name"], F.concat(F.lit("image-"), (i + 1).cast("string")))
@@ -259,91 +307,103 @@ def parse_gemini(payloads: DataFrame, rpc_id: str = "hNvQHb") -> DataFrame:
         title = _ink(a["name"], F.coalesce(last, F.concat(F.lit("attachment-"), (i + 1).cast("string"))))
         return F.concat(F.lit("> [attachment] ["), title, F.lit("]("), a["url"], F.lit(")"))
 
-    def speak(t: Column, i: Column) -> Column:
-        return let(F.struct(iso_from_ms(stamp(t)).alias("at"), v_get(t, "$[3][0][0]").alias("answer")),
-                   lambda x: voices(t, i, x["at"], x["answer"]))
-
-    def voices(t: Column, i: Column, at: Column, answer: Column) -> Column:
-        new_images = fresh_attachments(F.get(c("images"), i), F.get(c("images"), i - 1))
-        new_documents = fresh_attachments(F.get(c("documents"), i), F.get(c("documents"), i - 1))
-        asked = _joined(F.concat(F.transform(new_images, image), F.transform(new_documents, document),
+    def voices(turns: Column, x: Column, i: Column) -> Column:
+        t, before = x["v"], F.get(turns, i - 1)
+        answer = v_get(t, "$[3][0][0]")
+        added = [fresh_attachments(x[kind], before[kind]) for kind in ("images", "documents")]
+        asked = _joined(F.concat(F.transform(added[0], image), F.transform(added[1], document),
                                  F.array(js_trim(v_text(t, "$[2][0][0]")))))
-        plain = replace_interactive_blocks(blank_to_null(js_trim(v_text(answer, "$[1][0]"))), c("url"))
+        plain = replace_interactive_blocks(blank_to_null(js_trim(v_text(answer, "$[1][0]"))), row.url)
         thoughts = F.transform(v_array(answer, "$[37]"), lambda e: js_trim(F.coalesce(v_text(e, "$[0]"), v_text(e, "$[0][0]"))))
         said = _joined(F.array(format_thinking(blank_to_null(js_trim(_joined(thoughts)))), plain))
         number = (i + 1).cast("string")
         return F.array(
             F.struct(F.concat(F.lit("user-"), number).alias("id"), F.lit("user").alias("role"), asked.alias("markdown"),
-                     at.alias("created_at")),
+                     x["at"].alias("created_at")),
             F.struct(F.coalesce(v_text(answer, "$[0]"), F.concat(F.lit("assistant-"), number)).alias("id"),
-                     F.lit("assistant").alias("role"), said.alias("markdown"), at.alias("created_at")))
+                     F.lit("assistant").alias("role"), said.alias("markdown"), x["at"].alias("created_at")))
 
-    spoken = F.filter(F.flatten(F.transform("turns", speak)), lambda m: m["markdown"] != "")
-    rows = rows.withColumn("messages", spoken)
-    dated = F.filter("messages", lambda m: (m["role"] == "assistant") & m["created_at"].isNotNull())
-    title = c("title") if "title" in payloads.columns else F.lit(None).cast("string")
-    meta = F.struct(F.lit("gemini.google.com").alias("sourceHost"), F.lit("page-world-rpc").alias("source"),
-                    F.size("messages").alias("turnCount"))
-    return _bundle(rows, title, F.get(dated, F.size(dated) - 1)["created_at"], meta)
+    def made(messages: Column) -> Column:
+        dated = F.filter(messages, lambda m: (m["role"] == "assistant") & m["created_at"].isNotNull())
+        meta = F.struct(F.lit("gemini.google.com").alias("sourceHost"), F.lit("page-world-rpc").alias("source"),
+                        F.size(messages).alias("turnCount"))
+        return _bundle(row.title, _last_time(dated), messages, meta)
 
+    def spoken(turns: Column) -> Column:
+        return F.filter(F.flatten(F.transform(turns, lambda x, i: voices(turns, x, i))), lambda m: m["markdown"] != "")
 
-# ---------------------------------------------------------------- AI Studio
+    raw = let(F.try_parse_json(decode_rpc_envelope(row.text, rpc_id)), lambda v: v_array(v, "$[0]"))
+    turns = F.transform(let(raw, ordered), opened)
+    return let(let(turns, spoken), made)
 
-def parse_aistudio(payloads: DataFrame) -> DataFrame:
-    rows = payloads.withColumn("v", F.try_parse_json("payload")).withColumn("turns", nested.find_role_turns(c("payload")))
-    rows = rows.withColumns({"files": nested.turn_files(c("turns")), "stamps": nested.turn_timestamp_ms(c("turns"))})
-    rows = rows.withColumn("parsed", F.transform("turns", F.try_parse_json))
 
+def parse_gemini(payloads: DataFrame, rpc_id: str = "hNvQHb") -> DataFrame:
+    return bundles_of(payloads, gemini_shape(payload_of(payloads), rpc_id))
+
+
+# ---------------------------------------------------------------- AI Studio
+
+def aistudio_shape(row: Payload) -> Column:
     def message(t: Column, i: Column) -> Column:
         role = F.when(v_text(t, "$[8]") == "user", "user").otherwise("assistant")
-        id_ = F.concat(role, F.lit("-"), (i + 1).cast("string"))
+        return let(F.struct(role.alias("role"), F.concat(role, F.lit("-"), (i + 1).cast("string")).alias("id"),
+                            nested.turn_files(t).alias("files")), lambda x: written(t, x))
+
+    def written(t: Column, x: Column) -> Column:
         sections = v_array(t, "$[29]")
         flagged = F.forall(sections, lambda s: F.coalesce(
             v_is_number(v_get(s, "$[12]")) & (F.try_variant_get(s, "$[12]", "double") == 1), F.lit(False)))
         minus = F.coalesce(v_is_number(v_get(t, "$[25]")) & (F.try_variant_get(t, "$[25]", "double") == -1), F.lit(False))
-        thought = (role == "assistant") & (minus | ((F.size(sections) > 0) & flagged))
+        thought = (x["role"] == "assistant") & (minus | ((F.size(sections) > 0) & flagged))
         text = blank_to_null(normalize_prompt_text(v_text(t, "$[0]")))
-        files = F.get(c("files"), i)
 
         def inline(a: Column) -> Column:
             ext = F.coalesce(blank_to_null(F.regexp_replace(F.get(F.split(a["mime"], "/"), 1), "(?i)[^a-z0-9.+-]", "")), F.lit("png"))
-            shown = F.concat(F.lit("!["), id_, F.lit("."), ext, F.lit("](data:"), a["mime"], F.lit(";base64,"), a["payload"], F.lit(")"))
+            shown = F.concat(F.lit("!["), x["id"], F.lit("."), ext, F.lit("](data:"), a["mime"], F.lit(";base64,"), a["payload"], F.lit(")"))
             # A media type in capitals matches the search but gets the bare marker.
             return (F.when(a["mime"].startswith("image/"), shown)
                     .when(a["mime"].startswith("text/"), decode_inline_text(a["mime"], a["payload"]))
                     .otherwise(F.concat(F.lit("> [attachment] "), a["mime"])))
 
-        drive = F.transform(files["drive_ids"], lambda d: F.concat(
+        drive = F.transform(x["files"]["drive_ids"], lambda d: F.concat(
             F.lit("> [attachment] [Google Drive resource "), d, F.lit("](https://drive.google.com/open?id="), d, F.lit(")")))
         body = F.when(thought, format_thinking(text, "aistudio")).otherwise(text)
-        markdown = js_trim(_joined(F.concat(F.transform(files["inline"], inline), drive, F.array(body))))
-        return F.struct(id_.alias("id"), role.alias("role"), markdown.alias("markdown"),
-                        iso_from_ms(F.get(c("stamps"), i)).alias("created_at"), files["drive_ids"].alias("drive_ids"))
-
-    found = F.filter(F.transform("parsed", message), lambda m: m["markdown"] != "")
-    rows = rows.withColumn("found", found).withColumn("messages", F.transform("found", lambda m: F.struct(*[
-        m[n].alias(n) for n in ("id", "role", "markdown", "created_at")])))
-    linked = F.flatten(F.transform("found", lambda m: F.transform(m["drive_ids"], lambda d: F.struct(
-        m["id"].alias("messageId"), F.lit("resource").alias("kind"), F.concat(F.lit("Google Drive resource "), d).alias("title"),
-        F.concat(F.lit("https://drive.google.com/open?id="), d).alias("sourceUrl"), d.alias("resourceId")))))
-
-    def attribute(name: str) -> Column:
-        hits = F.filter(v_array(c("v"), "$[0][4][10]"), lambda e: F.coalesce(v_text(e, "$[0]") == name, F.lit(False)))
-        return v_text(F.get(hits, F.size(hits) - 1), "$[1]")
-
-    def inked(path: str) -> Column:
-        text = v_text(c("v"), path)
-        return F.when(js_trim(text) != "", text)
-
-    meta = F.struct(F.lit("aistudio.google.com").alias("sourceHost"), inked("$[0][3][2]").alias("model"),
-                    attribute("promptType").alias("promptType"),
-                    F.coalesce(attribute("hasImages") == "true", F.lit(False)).alias("hasImages"),
-                    F.size("messages").alias("turnCount"), linked.alias("linkedAttachments"))
-    pair = [v_get(c("v"), f"$[0][4][4][0][{i}]").try_cast("string") for i in (0, 1)]
-    return _bundle(rows, inked("$[0][4][0]"), iso_from_pair(*pair), meta)
-
-
-PARSERS = {"chatgpt": parse_chatgpt, "deepseek": parse_deepseek, "gemini": parse_gemini, "aistudio": parse_aistudio}
+        markdown = js_trim(_joined(F.concat(F.transform(x["files"]["inline"], inline), drive, F.array(body))))
+        return F.struct(x["id"].alias("id"), x["role"].alias("role"), markdown.alias("markdown"),
+                        iso_from_ms(nested.turn_timestamp_ms(t)).alias("created_at"), x["files"]["drive_ids"].alias("drive_ids"))
+
+    def made(v: Column, found: Column) -> Column:
+        linked = F.flatten(F.transform(found, lambda m: F.transform(m["drive_ids"], lambda d: F.struct(
+            m["id"].alias("messageId"), F.lit("resource").alias("kind"), F.concat(F.lit("Google Drive resource "), d).alias("title"),
+            F.concat(F.lit("https://drive.google.com/open?id="), d).alias("sourceUrl"), d.alias("resourceId")))))
+
+        def attribute(name: str) -> Column:
+            hits = F.filter(v_array(v, "$[0][4][10]"), lambda e: F.coalesce(v_text(e, "$[0]") == name, F.lit(False)))
+            return let(hits, lambda h: v_text(F.get(h, F.size(h) - 1), "$[1]"))
+
+        def inked(path: str) -> Column:
+            return let(v_text(v, path), lambda text: F.when(js_trim(text) != "", text))
+
+        meta = F.struct(F.lit("aistudio.google.com").alias("sourceHost"), inked("$[0][3][2]").alias("model"),
+                        attribute("promptType").alias("promptType"),
+                        F.coalesce(attribute("hasImages") == "true", F.lit(False)).alias("hasImages"),
+                        F.size(found).alias("turnCount"), linked.alias("linkedAttachments"))
+        pair = [v_get(v, f"$[0][4][4][0][{i}]").try_cast("string") for i in (0, 1)]
+        messages = F.transform(found, lambda m: F.struct(*[m[n].alias(n) for n in ("id", "role", "markdown", "created_at")]))
+        return _bundle(inked("$[0][4][0]"), iso_from_pair(*pair), messages, meta)
+
+    def shaped(v: Column) -> Column:
+        found = F.filter(F.transform(nested.find_role_turns(v), message), lambda m: m["markdown"] != "")
+        return let(found, lambda f: made(v, f))
+
+    return let(F.try_parse_json(row.text), shaped)
+
+
+def parse_aistudio(payloads: DataFrame) -> DataFrame:
+    return bundles_of(payloads, aistudio_shape(payload_of(payloads)))
+
+
+SHAPES: dict[str, Shape] = {"chatgpt": chatgpt_shape, "deepseek": deepseek_shape, "gemini": gemini_shape, "aistudio": aistudio_shape}
 
 
 # ---------------------------------------------------------------- lists

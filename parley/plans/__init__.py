@@ -3,4 +3,4 @@
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from parley.plans import documents, extraction, scalar, tables  # noqa: F401
+    from parley.plans import documents, extraction, roundtrips, scalar, tables  # noqa: F401

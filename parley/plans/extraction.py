@@ -147,10 +147,10 @@ def collect_nested(v):
     sid = c("id").cast("string")
     text = F.concat(F.lit('[["x",[1,[["photo-'), sid, F.lit('.png","https://lh3.googleusercontent.com/gg/'), sid, F.lit('","image/png",["deep.pdf","https://no"]]]],'
                     '["https://f/'), sid, F.lit('","r'), sid, F.lit('.pdf"],["https://f/'), sid, F.lit('","r'), sid, F.lit('.pdf"]]]'))
-    rows = v.urls_v.withColumn("texts", F.array(text))
+    rows = v.urls_v.withColumn("v", F.try_parse_json(text))
     out = None
     for kind in ("image", "document"):
-        part = rows.select("id", F.explode(F.get(nested.collect_nested(c("texts"), kind), 0)).alias("a"), F.lit(kind).alias("kind"))
+        part = rows.select("id", F.explode(nested.collect_nested(c("v"), kind)).alias("a"), F.lit(kind).alias("kind"))
         out = part if out is None else out.unionByName(part)
     return out.select("id", "a.name", "a.url", "a.mime", "kind")
 
@@ -186,7 +186,7 @@ def parse_aistudio(v):
     SELECT id, (1700000000 + id) * 1000 + 5 AS at FROM {times_v}""", heavy=True)
 def turn_timestamp(v):
     text = F.concat(F.lit('["t",[[1600000000,1],["'), c("pair_s"), F.lit('",5000000],[99999999999,1]],{"x":[1900000000,0]}]'))
-    return v.times_v.select("id", F.get(nested.turn_timestamp_ms(F.array(text)), 0).alias("at"))
+    return v.times_v.select("id", nested.turn_timestamp_ms(F.try_parse_json(text)).alias("at"))
 
 
 @query("parse_with_adapters", """
@@ -237,6 +237,16 @@ def read_history_pages(v):
     return files.history_pages(v.discovery_v.select(c("seq").alias("page"), body.alias("payload")), "deepseek")[1]
 
 
+@query("read_history_stop", "SELECT seq AS page, platform, source_id FROM {discovery_v} WHERE seq <= 50")
+def read_history_stop(v):
+    """A walk whose cursors come round after fifty pages: the first page with a cursor seen before is the last one read."""
+    body = F.concat(F.lit('{"data":{"biz_data":{"has_more":true,"chat_sessions":[{"id":"'), "source_id", F.lit('","updated_at":17'),
+                    (c("seq") % 50 + 100000000).cast("string"), F.lit("}]}}}"))
+    pages_ = v.discovery_v.select(c("seq").alias("page"), body.alias("payload"))
+    found = files.history_pages(pages_, "deepseek")[0].select("page", "source_id")
+    return found.join(v.discovery_v.select(c("seq").alias("page"), "platform"), "page").select("page", "platform", "source_id")
+
+
 _BAD = "CASE CAST(seq % 6 AS INT) WHEN 1 THEN 'bundle.platform' WHEN 2 THEN 'bundle.participants' WHEN 3 THEN 'bundle.extractedAt' WHEN 4 THEN 'client' END"
 
 
@@ -322,6 +332,17 @@ def strip_page_chrome(v):
     return v.pages.select("page_id", pages.strip_page_chrome(c("html")).alias("html"))
 
 
+_NESTED = ('<div aria-hidden="true">a<div>b<br></div>c<span aria-hidden="false">d</span></div>kept <button class="x">e<svg><g/></svg>'
+           '<button>f</button>g</button><svg width="1"/>too <select><option>h</select><p aria-hidden=true>i</p><i aria-hidden="true">never closed')
+
+
+@query("strip_nested_chrome", f"SELECT page_id, 'kept too ' || {_chrome('html')} || 'never closed' AS html FROM {{pages}}", heavy=True)
+def strip_nested_chrome(v):
+    """Controls within controls and hidden subtrees around each page's own."""
+    front, back = _NESTED.rsplit("<i ", 1)
+    return v.pages.select("page_id", pages.strip_page_chrome(F.concat(F.lit(front), c("html"), F.lit("<i " + back))).alias("html"))
+
+
 @query("pages_to_blocks", heavy=True)
 def pages_to_blocks(v):
     return pages.pages_to_blocks(v.pages)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.operators import KEY, analytics, archive, artifacts, branches, discovery, queue
+from parley.operators import KEY, analytics, archive, artifacts, branches, discovery, queue, search
 from parley.plans import duck as d
 from parley.plans.catalog import query
 from parley.plans.views import NOW
+from parley.sources.changes import last_of
+from parley.streaming import tables as streams
 
 c = F.col
 _EV = "platform, source_id, url, title, source_updated_at, source_updated_label, revision_fingerprint"
@@ -99,6 +101,14 @@ def dedupe_then_apply(v):
     return discovery.dedupe_then_apply(v.index_v, v.discovery_v, NOW)["index"]
 
 
+@query("logged_index", _after("partial", "CASE WHEN enqueue THEN 'pending' ELSE export_state END"), JUDGED)
+def logged_index(v):
+    """The index after a micro-batch, by the changes that the stream logs of it."""
+    changed, _ = streams.index_changes(v.discovery_v, v.index_v, NOW)
+    both = v.index_v.withColumn("n", F.lit(-1)).unionByName(changed.withColumn("n", F.lit(0)))
+    return last_of(both, KEY, "n").drop("n").select(*v.index_v.columns)
+
+
 @query("sweep_apply", _after("complete", "CASE WHEN enqueue THEN 'pending' ELSE export_state END"), JUDGED)
 def sweep_apply(v):
     return discovery.dedupe_then_apply(v.index_v, v.discovery_v, NOW, sweep=True)["index"]
@@ -429,15 +439,18 @@ def ingest(v):
     return _ingested(v).select("seq", *KEY, "revision", "status", "conversation_key", c("files.bundle_json").alias("bundle_json"))
 
 
-@query("append_revisions", f"""
+_REVISIONS_AFTER = f"""
     SELECT platform, source_id, revision, extracted_at, source_updated_at, created_at FROM {{revisions_v}}
     UNION ALL SELECT platform, source_id, revision, extracted_at, source_updated_at, '{NOW}' FROM {{ingested_v}}
-    WHERE status <> 'duplicate'""", INGEST)
+    WHERE status <> 'duplicate'"""
+
+
+@query("append_revisions", _REVISIONS_AFTER, INGEST)
 def append_revisions(v):
     return archive.append_revisions(v.revisions_v, v.ingest_v, NOW)
 
 
-@query("upsert_conversations", f"""
+_CONVERSATIONS_AFTER = f"""
     SELECT coalesce(n.platform, a.platform) AS platform, coalesce(n.source_id, a.source_id) AS source_id,
            CASE WHEN n.seq IS NULL THEN a.title ELSE n.title END AS title, coalesce(n.url, a.url) AS url,
            coalesce(n.revision, a.latest_revision) AS latest_revision,
@@ -449,11 +462,38 @@ def append_revisions(v):
            CASE WHEN n.seq IS NULL THEN a.file_raw_capture WHEN n.has_raw THEN n.p || '/raw-capture.json' END AS file_raw_capture
     FROM {{held_v}} AS a FULL JOIN (SELECT *, {_PATH} AS p FROM (SELECT *, row_number() OVER (PARTITION BY platform, source_id
         ORDER BY seq DESC) AS r FROM {{ingested_v}} WHERE status <> 'duplicate') AS x WHERE r = 1) AS n
-    ON a.platform = n.platform AND a.source_id = n.source_id""", INGEST)
+    ON a.platform = n.platform AND a.source_id = n.source_id"""
+
+
+@query("upsert_conversations", _CONVERSATIONS_AFTER, INGEST)
 def upsert_conversations(v):
     return archive.upsert_conversations(_held(v), _ingested(v), NOW)
 
 
+def _logged(v, name: str):
+    """A table of the archive after two micro-batches of the captures, by the changes that the stream logs of them."""
+    parts = {"conversations": _held(v).withColumn("n", F.lit(-1).cast("bigint")),
+             "revisions": v.revisions_v.withColumn("n", F.lit(-1).cast("bigint"))}
+    keys = {"conversations": KEY, "revisions": archive.REV}
+    middle = v.ingest_v.agg(F.expr("percentile_approx(seq, 0.5)")).scalar()
+    for n, batch in enumerate((v.ingest_v.where(c("seq") <= middle), v.ingest_v.where(c("seq") > middle))):
+        known = {k: last_of(rows, keys[k], "n").drop("n") for k, rows in parts.items()}
+        _, conversations, revisions = streams.ingest_changes(batch, known["conversations"], known["revisions"], NOW)
+        for k, rows in (("conversations", conversations), ("revisions", revisions)):
+            parts[k] = parts[k].unionByName(rows.withColumn("n", F.lit(n).cast("bigint")))
+    return last_of(parts[name], keys[name], "n").drop("n")
+
+
+@query("logged_conversations", _CONVERSATIONS_AFTER, INGEST)
+def logged_conversations(v):
+    return _logged(v, "conversations")
+
+
+@query("logged_revisions", _REVISIONS_AFTER, INGEST)
+def logged_revisions(v):
+    return _logged(v, "revisions").select("platform", "source_id", "revision", "extracted_at", "source_updated_at", "created_at")
+
+
 @query("get_conversation", "SELECT platform, source_id, title, latest_revision FROM {archive_v} WHERE platform = 'chatgpt' AND source_id = 'user-8'")
 def get_conversation(v):
     return archive.get_conversation(v.archive_v, "chatgpt", "user-8").select(*KEY, "title", "latest_revision")
@@ -475,6 +515,20 @@ def list_conversations(v):
     return archive.list_conversations(v.archive_v, q="1_", limit=10).select(*KEY, "title", "updated_at")
 
 
+@query("search_indexed", f"""
+    SELECT q, platform, source_id, title FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY updated_at DESC, platform, source_id) AS rk
+      FROM {{archive_v}}, (VALUES ('ITLE 1%4'), ('user-2'), ('r-9'), ('1_'), ('no such title')) AS s(q)
+      WHERE lower(source_id) LIKE '%' || lower(q) || '%' OR lower(title) LIKE '%' || lower(q) || '%') AS x WHERE rk <= 20""")
+def search_indexed(v):
+    """Searches by the trigram index: with a wildcard, with several grams, with one, without any, and without a match."""
+    table, found = v.archive_v, None
+    index = search.postings(table)
+    for q in ("ITLE 1%4", "user-2", "r-9", "1_", "no such title"):
+        part = archive.list_conversations(table, q=q, postings=index).select(F.lit(q).alias("q"), *KEY, "title")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @query("list_second_page", f"SELECT platform, source_id, title, updated_at FROM {{archive_v}} {_ORDER} LIMIT 10 OFFSET 10")
 def list_second_page(v):
     first = archive.list_conversations(v.archive_v, limit=10)
@@ -701,15 +755,34 @@ def _imported(v):
     return artifacts.import_bundles(v.disk_v, checked, v.artifact_index_v, v.files_v)
 
 
-@query("import_index", """
+# A conversation's files in path order: the last row, and of title, time and label the last value that is not NULL. Every
+# second bundle's own title is a generic one and gives way to the prompt, then to the id.
+_FILE_TITLE = "CASE WHEN title <> 'ChatGPT' THEN title ELSE coalesce(prompt, source_id) END"
+_KEY_ON_DISK = f"""
+    SELECT platform, source_id, arg_max(md, file_path) AS md, arg_max(revision, file_path) AS rev, arg_max(url, file_path) AS url,
+      arg_max(CASE WHEN title <> 'ChatGPT' THEN title END, file_path) AS last_titled, arg_max(title, file_path) AS own,
+      arg_max({_FILE_TITLE}, file_path) AS event_title, first(prompt ORDER BY file_path DESC) AS prompt,
+      first(source_updated_at ORDER BY file_path DESC) AS own_at, arg_max(source_updated_at, file_path) AS last_at,
+      arg_max(source_updated_label, file_path) AS label, arg_max(extracted_at, file_path) AS seen
+    FROM {{disk_seen_v}} GROUP BY 1, 2"""
+_INDEX_AFTER = """
     SELECT coalesce(i.platform, l.platform) AS platform, coalesce(i.source_id, l.source_id) AS source_id,
-           CASE WHEN l.md IS NULL THEN i.export_state WHEN l.md THEN 'exported' ELSE 'pending' END AS export_state,
+           CASE WHEN l.md IS NULL THEN i.title WHEN l.own <> 'ChatGPT' THEN l.own ELSE event_title END AS title,
+           coalesce(l.url, i.url) AS url, coalesce(l.seen, i.last_seen_at) AS last_seen_at,
+           CASE WHEN l.md IS NULL THEN i.latest_discovery_fingerprint
+             ELSE sha256('2026-04-15.2::' || l.platform || '::' || l.source_id || '::' || coalesce(l.own_at, '')) END AS latest_discovery_fingerprint,
+           coalesce(l.own_at, l.last_at, i.latest_source_updated_at) AS latest_source_updated_at,
+           coalesce(l.label, i.latest_source_updated_label) AS latest_source_updated_label,
+           CASE WHEN l.md IS NULL THEN i.discovery_state ELSE 'complete' END AS discovery_state,
+           CASE WHEN l.md IS NULL THEN {0} WHEN l.md THEN 'exported' ELSE 'pending' END AS export_state,
            CASE WHEN l.md THEN l.rev ELSE i.latest_export_revision END AS latest_export_revision,
-           CASE WHEN l.md IS NULL THEN i.discovery_state ELSE 'complete' END AS discovery_state
-    FROM {artifact_index_v} AS i FULL JOIN {last_disk_v} AS l ON i.platform = l.platform AND i.source_id = l.source_id""",
-       {**DISK, "last_disk_v": _LAST_ON_DISK}, heavy=True)
+           CASE WHEN l.md THEN '2026-04-15.2' ELSE i.latest_export_version END AS latest_export_version
+    FROM {{artifact_index_v}} AS i FULL JOIN {{key_disk_v}} AS l ON i.platform = l.platform AND i.source_id = l.source_id"""
+
+
+@query("import_index", _INDEX_AFTER.format("i.export_state"), {**DISK, "key_disk_v": _KEY_ON_DISK}, heavy=True)
 def import_index(v):
-    return _imported(v)["index"].select(*KEY, "export_state", "latest_export_revision", "discovery_state")
+    return _imported(v)["index"]
 
 
 @query("import_requeue", "SELECT platform, source_id FROM {last_disk_v} WHERE NOT md", {**DISK, "last_disk_v": _LAST_ON_DISK}, heavy=True)
@@ -751,6 +824,30 @@ def reconcile(v):
     return out["artifacts"].select(*KEY, "revision", "local_status", "is_latest")
 
 
+_RECONCILED = {**DISK, "key_disk_v": _KEY_ON_DISK, "missing_v": _MISSING}
+
+
+@query("reconcile_index", _INDEX_AFTER.format("CASE WHEN m.source_id IS NOT NULL THEN 'pending' ELSE i.export_state END")
+       + " LEFT JOIN {missing_v} AS m ON i.platform = m.platform AND i.source_id = m.source_id", _RECONCILED, heavy=True)
+def reconcile_index(v):
+    return artifacts.reconcile(v.artifacts_v, v.artifact_index_v, v.disk_v, v.files_v)["index"]
+
+
+@query("reconcile_requeue", """
+    SELECT platform, source_id, url, title, source_updated_at, source_updated_label, revision_fingerprint
+    FROM (SELECT i.platform, i.source_id, i.url, i.title, i.latest_source_updated_at AS source_updated_at,
+            i.latest_source_updated_label AS source_updated_label, i.latest_discovery_fingerprint AS revision_fingerprint
+          FROM {artifact_index_v} AS i JOIN {missing_v} AS m ON i.platform = m.platform AND i.source_id = m.source_id
+          WHERE NOT EXISTS (SELECT 1 FROM {key_disk_v} AS l WHERE l.platform = i.platform AND l.source_id = i.source_id)
+          UNION ALL SELECT platform, source_id, url, event_title, last_at, label,
+            sha256('2026-04-15.2::' || platform || '::' || source_id || '::' || coalesce(own_at, '')) FROM {key_disk_v} WHERE NOT md) AS e
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, row_number() OVER (PARTITION BY platform, source_id
+        ORDER BY exported_at DESC, imported, apos, revision) AS rk FROM {merged_v} WHERE coalesce(local_status, '') NOT IN ('deleted', 'archived')) AS b
+      WHERE rk = 1 AND b.platform = e.platform AND b.source_id = e.source_id AND coalesce(local_status, '') <> 'missing')""", _RECONCILED, heavy=True)
+def reconcile_requeue(v):
+    return artifacts.reconcile(v.artifacts_v, v.artifact_index_v, v.disk_v, v.files_v)["requeue"]
+
+
 def _results(v):
     return v.disk_v.withColumn("export_state", F.when(c("title") == "ChatGPT", "pending").otherwise("exported")).groupBy(*KEY).agg(
         F.max_by(F.struct("title", "prompt", "url", "source_updated_at", "revision", "export_state", "export_version"), "file_path")
@@ -860,7 +957,16 @@ def sort_queue(v):
 
 @query("page", "SELECT pos, key FROM {queue_v} ORDER BY pos DESC LIMIT 100 OFFSET 100")
 def page(v):
-    return analytics.page(v.queue_v, [c("pos").desc()], 2).select("pos", "key")
+    return analytics.page(v.queue_v, [("pos", False)], 2).select("pos", "key")
+
+
+@query("page_deep", """
+    SELECT pos, key FROM (SELECT *, row_number() OVER (ORDER BY worker_id NULLS FIRST, updated_at DESC, pos) - 1 AS place,
+      count(*) OVER () AS n FROM {queue_v}) AS q WHERE place // 100 = (n - 1) // 100""")
+def page_deep(v):
+    """The last page, asked for by a number beyond it; equal and missing workers."""
+    order = [("worker_id", True), ("updated_at", False), ("pos", True)]
+    return analytics.page(v.queue_v, order, 1_000_000_000).select("pos", "key")
 
 
 @query("filter_logs", """

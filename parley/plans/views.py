@@ -285,8 +285,10 @@ class Views:
         self._made: dict[str, DataFrame] = {}
 
     def _spread(self, table: DataFrame) -> DataFrame:
-        """For heavy work per row: rows are dealt out evenly, by AQE in partitions of its advised size."""
-        return table.hint("rebalance") if self.heavy else table
+        """For heavy work per row: a table that is read in fewer tasks than there are cores is dealt over them. What the read
+        splits spread already is not shuffled."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if self.heavy and table.rdd.getNumPartitions() < cores else table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in VIEWS and name not in TABLES):

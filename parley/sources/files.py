@@ -149,10 +149,8 @@ def history_pages(pages: DataFrame, platform: str) -> tuple[DataFrame, DataFrame
     facts = facts.join(first, "next_cursor", "left").select(
         "page", "has_more", "next_cursor", (c("next_cursor").isNull() | ~c("has_more") | (c("_first") < c("page"))).alias("ends"))
     # Later pages are read only up to the first one that ends the walk.
-    stop = facts.where("ends").agg(F.min("page").alias("_stop"))
-    last_page = stop.first()["_stop"]
-    kept = pages if last_page is None else pages.where(c("page") <= last_page)
-    return parse_discovery(kept, platform), facts
+    stop = facts.where("ends").agg(F.min("page")).scalar()
+    return parse_discovery(pages.where(c("page") <= F.coalesce(stop, c("page"))), platform), facts
 
 
 def read_history_pages(spark: SparkSession, root: str, platform: str) -> tuple[DataFrame, DataFrame]:

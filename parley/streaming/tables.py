@@ -1,40 +1,53 @@
-"""Streams into table sets. The micro-batch names its commit, so a retried batch changes nothing."""
+"""Streams into tables. A micro-batch writes what it changes and no more; a retried one overwrites itself."""
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.identity import HASH_VERSION
 from parley.operators import KEY, analytics, archive, discovery
-from parley.sources.tables import TableSet
+from parley.sources.changes import ChangeLog
 
 
 def _start(stream: DataFrame, fn, checkpoint: str, trigger: dict):
-    """``fn(batch, batch_id, token)``; the token belongs to this checkpoint and batch."""
-    name = f"{zlib.crc32(checkpoint.encode()):08x}"
-    return (stream.writeStream.foreachBatch(lambda batch, n: fn(batch, n, f"{name}-{n}"))
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+    return (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def _before(log: ChangeLog, batch: DataFrame, batch_id: int) -> DataFrame:
+    """What ``log`` held of the batch's keys before it: a batch that is tried again does not see its own rows."""
+    known = log.known(batch_id)
+    return known.join(batch.select(*KEY).distinct(), KEY, "left_semi")
+
 
+def ingest_changes(batch: DataFrame, known: DataFrame, history: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(captures with their status, changed conversations, new revisions) of one batch, from the rows of its keys."""
+    done = archive.ingest(batch, known, history)
+    touched = done.where(F.col("status") != "duplicate").select(*KEY).distinct()
+    changed = archive.upsert_conversations(known, done, now).join(touched, KEY, "left_semi")
+    return done, changed, archive.new_revisions(history, batch, now)
 
-def stream_ingest(stream: DataFrame, tables: TableSet, now: str, checkpoint: str, sink=None, **trigger):
-    """Captures with `seq` into the archive, continuously. Redelivered captures come out as duplicates.
 
-    Status, revisions and conversations come from the batch operators, so a hot conversation is as
-    spread as there. ``sink(rows, batch_id)`` receives the captures with their status, before the commit; a batch that
-    is retried after its commit does not reach it again.
+def index_changes(batch: DataFrame, known: DataFrame, now: str, version: str = HASH_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(changed index rows, queueable events) of one batch of discovery events, from the index rows of its keys."""
+    out = discovery.dedupe_then_apply(known, batch, now, version=version)
+    return out["index"].join(batch.select(*KEY).distinct(), KEY, "left_semi"), out["queueable"]
+
+
+def stream_ingest(stream: DataFrame, logs: dict[str, ChangeLog], now: str, checkpoint: str, sink=None, **trigger):
+    """Captures with `seq` into the archive's logs, continuously. Redelivered captures come out as duplicates.
+
+    Status, revisions and conversations come from the batch operators, so a hot conversation is as spread as there.
+    ``sink(rows, batch_id)`` receives the captures with their status; a batch that is tried again reaches it again.
     """
-    def apply(batch: DataFrame, batch_id: int, token: str) -> None:
-        if tables.holds(token):
-            return
-        known, history = tables.read("conversations"), tables.read("revisions")
-        done = archive.ingest(batch, known, history)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        known, history = (_before(logs[name], batch, batch_id) for name in ("conversations", "revisions"))
+        done, conversations, revisions = ingest_changes(batch, known, history, now)
         if sink is not None:
             sink(done, batch_id)
-        tables.write({"conversations": archive.upsert_conversations(known, done, now),
-                      "revisions": archive.append_revisions(history, batch, now)}, token)
+        logs["revisions"].append(revisions, batch_id)
+        logs["conversations"].append(conversations, batch_id)
 
     return _start(stream, apply, checkpoint, trigger)
 
@@ -44,19 +57,17 @@ def stream_dedupe(events: DataFrame, within: str, time: str = "at", keys: list[s
     return events.withWatermark(time, within).dropDuplicatesWithinWatermark(keys or [*KEY, "revision_fingerprint"])
 
 
-def stream_index(events: DataFrame, tables: TableSet, now: str, checkpoint: str, on_queueable=None,
+def stream_index(events: DataFrame, log: ChangeLog, now: str, checkpoint: str, on_queueable=None,
                  version: str = HASH_VERSION, **trigger):
-    """The passive path per micro-batch: dedupe, change detection, the next version of table `index`.
+    """The passive path per micro-batch: dedupe, change detection, and the changed rows into the index's log.
 
-    ``on_queueable(rows, batch_id)`` is called before the commit, and not again for a batch that is in already.
+    ``on_queueable(rows, batch_id)`` is called before the log is written; a batch that is tried again calls it again.
     """
-    def apply(batch: DataFrame, batch_id: int, token: str) -> None:
-        if tables.holds(token):
-            return
-        out = discovery.dedupe_then_apply(tables.read("index"), batch, now, version=version)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        rows, queueable = index_changes(batch, _before(log, batch, batch_id), now, version)
         if on_queueable is not None:
-            on_queueable(out["queueable"], batch_id)
-        tables.write({"index": out["index"]}, token)
+            on_queueable(queueable, batch_id)
+        log.append(rows, batch_id)
 
     return _start(events, apply, checkpoint, trigger)
 
@@ -68,12 +79,7 @@ def platform_windows(rows: DataFrame, size: str, time: str = "at", watermark: st
         "platform", F.col("window.start").alias("window_start"), "status", "n")
 
 
-def stream_log_tail(logs: DataFrame, tables: TableSet, n: int, checkpoint: str, **trigger):
-    """The newest ``n`` logs as table `logs`; each micro-batch is cut to n before it meets the tail."""
-    def apply(batch: DataFrame, batch_id: int, token: str) -> None:
-        if tables.holds(token):
-            return
-        newest = analytics.retain_logs(batch, n)
-        tables.write({"logs": analytics.retain_logs(tables.read("logs").unionByName(newest), n)}, token)
-
-    return _start(logs, apply, checkpoint, trigger)
+def stream_log_tail(logs: DataFrame, tail: ChangeLog, n: int, checkpoint: str, **trigger):
+    """Logs into the log ``tail``, each micro-batch cut to its newest ``n``; `analytics.retain_logs` of its rows is the
+    tail, and a compaction of that keeps the log short."""
+    return _start(logs, lambda batch, batch_id: tail.append(analytics.retain_logs(batch, n), batch_id), checkpoint, trigger)

@@ -217,7 +217,7 @@ def test_queue_views_and_logs(spark):
         return [r.source_id for r in analytics.sort_queue(q, index, q, key, way, lit(NOW)).collect()]
     assert order("website_time", "desc") == ["conv-2", "conv-1"]
     assert order("title", "asc") == ["conv-2", "conv-1"]
-    assert analytics.page(q, [c("pos")], 9, 1).first().pos == 1
+    assert analytics.page(q, [("pos", True)], 9, 1).first().pos == 1
 
 
 def test_sync_due_and_paging(spark):
