@@ -50,9 +50,21 @@ def is_known(part: str, vocabulary: str) -> bool:
     return bool(_WORD.fullmatch(part)) and (len(part) == 1 or not part.isalpha() or not is_random(part, vocabulary))
 
 
-@lru_cache(maxsize=1 << 16)
+#: Strings of up to this many characters are remembered with their spans, which bounds the memory of that.
+REMEMBERED = 256
+
+
 def random_spans(text: str, vocabulary: str) -> tuple[tuple[int, int], ...]:
     """(start, end) of what is random in a long string: all of it, or stretches of parts that are not known."""
+    return _remembered(text, vocabulary) if len(text) <= REMEMBERED else _random_spans(text, vocabulary)
+
+
+@lru_cache(maxsize=1 << 15)
+def _remembered(text: str, vocabulary: str) -> tuple[tuple[int, int], ...]:
+    return _random_spans(text, vocabulary)
+
+
+def _random_spans(text: str, vocabulary: str) -> tuple[tuple[int, int], ...]:
     if len(text) < RANDOM_LENGTH or _HEX_ONLY.fullmatch(text) and len(text) in DIGEST_LENGTHS or _UUID.fullmatch(text):
         return ()
     stretches: list[tuple[int, int]] = []
@@ -82,10 +94,14 @@ def spans_of(text: str, vocabulary: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LENGTH]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = list(found)
+    # Both lists are walked once: ``reach`` is the farthest end of the base spans that begin before a string ends.
+    base, at, reach = sorted(span[1:] for span in found), 0, -1
     for m in _LONG.finditer(text):
         start, end = m.span()
-        if not any(s < end and start < e for _, s, e in base):
+        while at < len(base) and base[at][0] < end:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= start:
             found += [("random", start + s, start + e) for s, e in random_spans(m[0], vocabulary)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
