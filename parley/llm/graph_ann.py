@@ -150,12 +150,15 @@ def _back(x: np.ndarray, norm: np.ndarray, edges: np.ndarray, batch: np.ndarray,
 
 
 def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
-    """(v, ids): every distinct vector that takes part, with the ``k`` smallest of its ids: more cannot be among the k
-    nearest of any query. Counted per task before the shuffle, so that copies of one vector do not meet."""
+    """(v, ids): every distinct vector that takes part, with the ``k`` smallest of its ids, each as often as it stands but no
+    more than ``k`` times: more cannot be among the k nearest of any query. Counted per task before the shuffle, so that
+    copies of one vector do not meet."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where(usable(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull())
+    rows = rows.groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("n"))
     ranked = rows.withColumn("at", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("at") <= k)
-    return ranked.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    repeated = F.array_repeat(F.col("vec_id"), F.least("n", F.lit(k)).cast("int"))
+    return ranked.groupBy("v").agg(F.array_sort(F.flatten(F.collect_list(repeated))).alias("ids"))
 
 
 def build_index(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
@@ -231,6 +234,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Vectors that are null, empty, zero or hold a null or a non-finite component take no part, nor do rows without an
     id; vectors meet vectors of their own length only. Equal vectors of several ids are one point of the graph and come
-    back with their ids in order. Other columns are ignored; an empty table gives an empty one.
+    back with their ids in order, an id that stands several times as often. Other columns are ignored; an empty table gives
+    an empty one.
     """
     return search(build_index(vectors, k + 1), queries, k)

@@ -99,6 +99,13 @@ def test_graph_search_of_hard_vectors(spark, extra):
     assert graph_ann.nearest(empty, empty, 3).collect() == []
 
 
+def test_graph_search_of_many_repeats(spark):
+    rows = [(100, [1.0, 0.0, 0.0], 0)] * 50 + [(101, [1.0, 0.0, 0.0], 0), (102, [0.5, 0.0, 0.0], 0)] + [(103, [0.0, 3.0, 0.0], 0)] * 50
+    vectors = frame(spark, rows, False, SCHEMA)
+    got = graph_ann.nearest(vectors, vectors.where("vec_id = 100"), 5).orderBy("rank").collect()
+    assert [(r["vec_id"], round(r["score"], 3)) for r in got] == [(101, 0.0), (102, 0.5), (103, 3.162), (103, 3.162), (103, 3.162)]
+
+
 def test_graph_recall_in_shards(spark, monkeypatch):
     monkeypatch.setattr(graph_ann, "SHARD", 700)
     rng = np.random.default_rng(4)
