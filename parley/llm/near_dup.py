@@ -3,11 +3,11 @@
 A document's set is its distinct word shingles. Documents of equal sets are one node from the start. Every node gets
 
 * `BANDS` band keys of `ROWS` MinHash values each: two sets of similarity 0.75 share none with a chance of 2e-6;
-* an odd sketch in `BITS` parity bits. Of sets of up to `WHOLE` shingles it folds every shingle: the exclusive or of two
-  such sketches has at most as many ones as the sets differ in shingles, so no pair of similarity 0.75 has more than a
-  seventh of both sizes, and none is lost. Of larger sets it folds the one-permutation MinHash sample (the least value in
-  each of `BINS` bins): the ones estimate how many sampled values differ, to about 0.02 in similarity at 0.75; pairs
-  estimated below `SURE` are not looked at further. A pair of one set of either kind is not judged by its sketches.
+* an odd sketch in `BITS` parity bits of its one-permutation MinHash sample (the least value in each of `BINS` bins). The
+  ones of the exclusive or of two sketches estimate how many sampled values differ, which ranks a document's partners.
+  They also bound it: a shingle of one set only changes the sample of its bin, by two values at most, so the ones are at
+  most twice the shingles that differ, and two sets of similarity 0.75 differ in at most a seventh of both sizes. Pairs
+  beyond that bound, or of sizes too unlike, are out at every size, and no link is lost.
 
 Pairs that pass are confirmed on the full sets, read again from the texts. Candidates come in two kinds, so that no
 bucket lists all its pairs: first every member with its bucket's first document, which is linear and joins most copies;
@@ -31,8 +31,6 @@ from parley.session import cut_lineage, release
 
 BANDS, ROWS = 24, 3
 BINS, BITS = 1024, 2048
-#: Sets of up to this many shingles are sketched whole; estimates of larger ones are off by 0.018 (one deviation).
-WHOLE, SURE = 2048, 0.6
 #: Members of a bucket compared in one task; larger buckets are compared block by block.
 BLOCK = 1024
 PARTNERS = 64
@@ -51,9 +49,8 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.bounds(docs, len(texts)), hashes
 
 
-def features_of(edges: np.ndarray, hashes: np.ndarray, whole: int = 0) -> tuple[np.ndarray, ...]:
-    """(set keys 1 and 2, band keys, odd sketches, sketched values) of non-empty sets, row by row; sets of up to ``whole``
-    shingles are sketched whole."""
+def features_of(edges: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(set keys 1 and 2, band keys, odd sketches, sampled values) of non-empty sets, row by row."""
     n, sizes = len(edges) - 1, np.diff(edges)
     at = edges[:-1]
     key1 = words.mixed(np.add.reduceat(words.mixed(hashes ^ _SEED), at) + sizes.astype(np.uint64))
@@ -76,7 +73,6 @@ def features_of(edges: np.ndarray, hashes: np.ndarray, whole: int = 0) -> tuple[
     owner = np.repeat(np.arange(n), sizes)
     first = np.ones(len(spread), dtype=bool)
     first[1:] = (bin_of[1:] != bin_of[:-1]) | (owner[1:] != owner[:-1])
-    first |= np.repeat(sizes <= whole, sizes)
     owner, sample = owner[first], spread[first]
     filled = np.bincount(owner, minlength=n)
     flips = np.bincount(owner * BITS + (words.mixed(sample + _SEED) >> np.uint64(53)).astype(np.int64), minlength=n * BITS)
@@ -97,7 +93,7 @@ def features(docs: DataFrame) -> DataFrame:
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _CHUNK, "right")))
             base = edges[full[lo]]
             cuts = np.append(edges[full[lo:hi]], edges[full[hi - 1] + 1]) - base
-            parts.append(features_of(cuts, hashes[base:base + cuts[-1]], WHOLE))
+            parts.append(features_of(cuts, hashes[base:base + cuts[-1]]))
             lo = hi
         columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(5)]
         where = np.zeros(len(sizes), dtype=np.int64)
@@ -125,21 +121,13 @@ def features(docs: DataFrame) -> DataFrame:
 
 # ---- what an odd sketch says of a pair --------------------------------------------------------------------------
 
-def _needed(size_a, size_b, exp):
-    """Common sampled values that a pair of similarity `SURE` has: that share of the bins either set fills."""
-    return SURE * BINS * (1 - exp(-(size_a + size_b) / ((1 + SURE) * BINS)))
-
-
 def passes(a: str, b: str) -> Column:
     """Whether the sketches and sizes of two rows (struct columns ``a`` and ``b``) leave a link possible."""
     x, y = F.col(a), F.col(b)
     ones = F.aggregate(F.zip_with(x["sketch"], y["sketch"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0),
                        lambda s, v: s + v)
-    differ = -BITS / 2 * F.log(1 - 2 * F.least(ones, F.lit(BITS // 2 - 1)) / BITS)
     least, greatest = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
-    sampled = (x["filled"] + y["filled"] - differ) / 2 >= _needed(x["n"], y["n"], F.exp)
-    return (least * 100 >= greatest * 75) & F.when(greatest <= WHOLE, 7 * ones <= x["n"] + y["n"]).when(
-        least <= WHOLE, F.lit(True)).otherwise(sampled)
+    return (least * 100 >= greatest * 75) & (7 * ones <= 2 * (x["n"] + y["n"]))
 
 
 def _ones(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -157,10 +145,9 @@ def _common(sketch: np.ndarray, filled: np.ndarray, others: np.ndarray, other_fi
     return _shared(_ones(sketch, others), filled, other_filled)
 
 
-def _possible(n_a: np.ndarray, n_b: np.ndarray, ones: np.ndarray, common: np.ndarray) -> np.ndarray:
+def _possible(n_a: np.ndarray, n_b: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """`passes` of sizes that go together, for numpy arrays."""
-    least, greatest = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-    return np.where(greatest <= WHOLE, 7 * ones <= n_a + n_b, (least <= WHOLE) | (common >= _needed(n_a, n_b, np.exp)))
+    return 7 * ones <= 2 * (n_a + n_b)
 
 
 # ---- candidate pairs --------------------------------------------------------------------------------------------
@@ -172,7 +159,7 @@ def star_pairs(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
     seen = nodes.select("node", F.struct("n", "sketch", "filled").alias("f"))
     both = (pairs.join(seen.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
             .join(seen.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a"))
-    return both.where(passes("fa", "fb")).select("a", "b")
+    return both.where(passes("fa", "fb")).select("a", "b").distinct()
 
 
 def _partners(group: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +180,7 @@ def _partners(group: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.n
             continue
         ones = _ones(group["sketch"][rows], group["sketch"][right])
         common = _shared(ones, group["filled"][rows], group["filled"][right])
-        allowed &= _possible(n_a, n_b, ones, common)
+        allowed &= _possible(n_a, n_b, ones)
         i, j = np.nonzero(allowed)
         if len(i):
             a, b = rows[i], right[j]
@@ -284,12 +271,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["node", "set"])
 
     texts = ids_and_texts(docs).join(wanted, "doc_id", "left_semi")
-    sets = cut_lineage(map_batches(texts, run, "node long, set array<long>"))
+    # A row that stands several times gives one set.
+    sets = cut_lineage(map_batches(texts, run, "node long, set array<long>").withColumn("key", F.xxhash64("set"))
+                       .dropDuplicates(["node", "key"]).drop("key"))
     both = (pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     found = cut_lineage(both.withColumn("common", common).where(
-        100 * F.col("common") >= 75 * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b"))
+        100 * F.col("common") >= 75 * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b").distinct())
     release(sets)
     return found
 
@@ -335,9 +324,11 @@ def classes(docs: DataFrame) -> DataFrame:
     same = same.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     of = cut_lineage(known.withColumn("salt", salt).join(same, ["key1", "key2", "n", "salt"]).select("doc_id", "node", "key1"))
     # The first document of every set stands for its copies.
-    first = of.where("doc_id = node").select("doc_id", "key1").distinct()
-    nodes = cut_lineage(rows.join(first, ["doc_id", "key1"], "left_semi").select(
-        F.col("doc_id").alias("node"), "n", "bands", "sketch", "filled"))
+    first = of.where("doc_id = node").groupBy("doc_id", "key1").count()
+    # A row that stands several times is one node; only such rows are shuffled for it.
+    found = [rows.join(first.where(f"count {sign} 1"), ["doc_id", "key1"], "left_semi").select(
+        F.col("doc_id").alias("node"), "key1", "n", "bands", "sketch", "filled") for sign in ("=", ">")]
+    nodes = cut_lineage(found[0].unionByName(found[1].dropDuplicates(["node", "key1"])).drop("key1"))
     sizes = cut_lineage(rows.select("doc_id", F.col("n").alias("n_shingles")))
     release(rows)
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))

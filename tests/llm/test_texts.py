@@ -85,6 +85,36 @@ def test_base_spans_match_brute_force():
         assert base == spans_by_force(text)
 
 
+def all_spans_by_force(text):
+    """Every long string against every base span, nothing remembered."""
+    found = spans_by_force(text)
+    for m in secret_scan._LONG.finditer(text):
+        if not any(s < m.end() and m.start() < e for _, s, e in found if _ != "random"):
+            found += [("random", m.start() + a, m.start() + b) for a, b in secret_scan._random_spans(m[0], BYTE_BPE)]
+    return sorted(found, key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
+
+
+def test_all_spans_match_brute_force():
+    rnd = random.Random(13)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for _ in range(300):
+        parts = []
+        for _ in range(rnd.randrange(12)):
+            key = "".join(rnd.choice(letters) for _ in range(rnd.choice([8, 20, 24, 40, 300])))
+            parts.append(rnd.choice([key, f"token={key}", f"a/{key}/b-{key}", f"AKIA{key.upper()}", "0123456789abcdef" * 3, "plain words",
+                                     f"path/to/{key}", "internationalization_of_names", f"{key}=", "secret: abc"]))
+        text = rnd.choice([" ", "\n", ", "]).join(parts)
+        assert secret_scan.spans_of(text, BYTE_BPE) == all_spans_by_force(text)
+
+
+def test_a_long_list_of_checksums_takes_time_in_proportion():
+    import time
+    text = "".join(f"{k:064x}  lib/module-{k}.tar.gz\n" for k in range(100_000))
+    start = time.perf_counter()
+    spans = secret_scan.spans_of(text, BYTE_BPE)
+    assert time.perf_counter() - start < 30 and sum(s[0] == "hex" for s in spans) == 100_000
+
+
 def test_random_strings_are_found_and_known_ones_left():
     rnd = random.Random(6)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -288,6 +318,28 @@ def test_rows_of_one_id_are_one_document(spark):
     assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(5, 5), (7, 5), (9, 5)}
 
 
+def test_many_repeats_of_a_row_are_one_document(spark, monkeypatch):
+    """Fifty repeats of two texts make one pair and one link, and hard rows fifty times the same classes as once."""
+    made = []
+    confirmed = near_dup.confirmed
+
+    def counted(pairs, docs):
+        links = confirmed(pairs, docs)
+        made.append((pairs.count(), links.count()))
+        return links
+
+    monkeypatch.setattr(near_dup, "confirmed", counted)
+    words_of = [f"w{k}" for k in range(60)]
+    rows = [(3, " ".join(words_of), "en", "s", 0), (8, " ".join([*words_of[:-1], "other"]), "en", "s", 0)]
+    got = near_dup.classes(frame(spark, rows * 50)).collect()
+    assert len(got) == 100 and {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(3, 3, True), (8, 3, False)}
+    assert max(p for p, _ in made) <= 1 and sum(n for _, n in made) == 1
+    hard = hard_documents()
+    once = {tuple(r) for r in near_dup.classes(frame(spark, hard)).collect()}
+    often = near_dup.classes(frame(spark, hard * 50)).collect()
+    assert len(often) == 50 * len(hard) and {tuple(r) for r in often} == once
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(2)
     for size in (150, 1000, 8000):
@@ -313,13 +365,12 @@ def test_no_sketch_drops_a_least_link(spark):
         pool = rng.integers(0, 1 << 63, (times, a + b - common), dtype=np.uint64)
         sets = [s for row in pool for s in (np.sort(row[:a]), np.sort(row[a - common:]))]
         edges = np.cumsum([0] + [len(s) for s in sets])
-        groups.append((np.diff(edges), near_dup.features_of(edges, np.concatenate(sets), near_dup.WHOLE)))
+        groups.append((np.diff(edges), near_dup.features_of(edges, np.concatenate(sets))))
     rows = []
     for sizes, (_, _, _, sketch, filled) in groups:
         for k in range(0, len(sizes), 2):
             ones = near_dup._ones(sketch[k:k + 1], sketch[k + 1:k + 2])
-            shared = near_dup._shared(ones, filled[k:k + 1], filled[k + 1:k + 2])
-            assert near_dup._possible(sizes[k:k + 1][:, None], sizes[k + 1:k + 2][None, :], ones, shared).all()
+            assert near_dup._possible(sizes[k:k + 1][:, None], sizes[k + 1:k + 2][None, :], ones).all()
         rows += [tuple({"n": int(sizes[j]), "sketch": sketch[j].view(np.int64).tolist(), "filled": int(filled[j])}
                        for j in (k, k + 1)) for k in range(0, 80, 2)]
     kind = "struct<n: long, sketch: array<long>, filled: int>"
