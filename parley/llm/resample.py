@@ -151,7 +151,7 @@ def draw(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ratio = fit(docs, sample)
     weights = cut_lineage(weigh(docs, ratio).withColumn("sort_key", F.col("weight") * SHARPNESS + gumbel(F.col("doc_id"))))
     held = weights.join(F.broadcast(sample.where("not target and (fold = 0 or quality = 0)")), "doc_id")
-    known = held.select("quality", "weight").toArrow()
+    known = held.select("doc_id", "quality", "weight").distinct().toArrow()
     quality, weight = known.column("quality").to_numpy(), known.column("weight").to_numpy()
     cut = best_cut(weight[quality == 1], weight[quality == 0])
     size = weights.where(F.col("weight") >= F.lit(cut)).count()

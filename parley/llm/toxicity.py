@@ -108,7 +108,8 @@ def in_training(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = TERMS) -> Machine:
-    """Fit on labelled rows of the training part; rows without a label, id or text are not learnt from.
+    """Fit on labelled rows of the training part; rows without a label, id or text are not learnt from. Of several labels
+    of one id the greatest counts, and repeated rows count once.
 
     ``labels`` has doc_id and toxic. With no row of both labels the machine gives the share of label 1 (one half with
     none at all). What comes to the driver is bounded: ``max_terms`` terms, and their places in ``sample_rows`` texts.
@@ -119,8 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     if total > sample_rows:
         share = F.lit(sample_rows / total)
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) < share * F.lit(float(1 << 40)))
-    # Broadcast: about `sample_rows` rows of two numbers.
-    rows = cut_lineage(ids_and_texts(docs).join(F.broadcast(known), "doc_id"))
+    # Broadcast: about `sample_rows` rows of two numbers. A document that stands several times is learnt from once.
+    rows = cut_lineage(ids_and_texts(docs).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id", "text"]))
     bounded_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
