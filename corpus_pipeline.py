@@ -27,12 +27,15 @@ def draw_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class; of rows that repeat an id, one."""
+    """The first document of each class; of rows that repeat an id, the one whose text has the least hash."""
     left = without(docs, near_dup.classes(docs).where(~F.col("kept")))
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = [c for c in left.columns if c != "doc_id"]
+    first = F.min_by(F.struct(*rest), F.struct(F.xxhash64("text"), F.xxhash64(*rest)))
+    once = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("_row")).select(
+        "doc_id", "_row.*").select(*left.columns)
     return left.join(repeated, "doc_id", "left_anti").unionByName(once)
 
 
