@@ -113,6 +113,9 @@ def sort_queue(queue: DataFrame, index: DataFrame, latest: DataFrame, key: str,
 
 def _before(a: Column, b: Column, order: list[tuple[str, bool]]) -> Column:
     """Whether struct ``a`` comes before ``b``; NULL is the least value of a column."""
+    ways = {ascending for _, ascending in order}
+    if len(ways) == 1:  # structs compare in the order of their fields
+        return a < b if True in ways else b < a
     out, same = F.lit(False), F.lit(True)
     for name, ascending in order:
         x, y = (a[name], b[name]) if ascending else (b[name], a[name])
@@ -121,20 +124,33 @@ def _before(a: Column, b: Column, order: list[tuple[str, bool]]) -> Column:
     return out
 
 
-def page(df: DataFrame, order: list[tuple[str, bool]], number: int, size: int = 100, ranges: int = 64) -> DataFrame:
+#: Ranges of a page's order: coarse ones, each of so many fine ones.
+COARSE, FINE = 8, 8
+
+
+def page(df: DataFrame, order: list[tuple[str, bool]], number: int, size: int = 100) -> DataFrame:
     """Page ``number`` (from 1), clamped to the last one; ``order``: (column, ascending) pairs, the last of them unique.
 
-    Rows are counted in ranges of the order, whose bounds come from a sample of at most 16 * ``ranges`` rows; the counts
-    tell which one or two ranges hold the page, and only those are sorted. Bounds and counts are scalar subqueries, so
-    nothing runs while the plan is made, and no task sorts the whole table.
+    Rows are counted in ranges of the order, whose bounds come from a sample of at most 1,024 rows; the counts tell which
+    one or two ranges hold the page, and only those are sorted. Bounds and counts are scalar subqueries, so nothing runs
+    while the plan is made, and no task sorts the whole table.
     """
-    names = [name for name, _ in order]
+    names, ranges = [name for name, _ in order], COARSE * FINE
     rows = df.withColumn("_key", F.struct(*names))
     sample = rows.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(16 * ranges).agg(F.collect_list("_key").alias("keys"))
     in_order = F.array_sort("keys", lambda a, b: F.when(_before(a, b, order), -1).when(_before(b, a, order), 1).otherwise(0))
-    bounds = sample.select(F.filter(in_order, lambda _, i: i % 16 == 0)).scalar()
-    placed = rows.withColumn("_bounds", bounds).withColumn(
-        "_range", F.size(F.filter("_bounds", lambda b: ~_before(F.col("_key"), b, order)))).drop("_bounds")
+    step = F.greatest(F.ceil(F.size("keys") / ranges).cast("int"), F.lit(1))
+    bounds = sample.select(F.filter(in_order, lambda _, i: i % step == 0).alias("fine"))
+    bounds = bounds.select(F.struct("fine", F.filter("fine", lambda _, i: i % FINE == 0).alias("coarse"))).scalar()
+
+    def passed(some: Column) -> Column:
+        return F.size(F.filter(some, lambda b: ~_before(F.col("_key"), b, order)))
+
+    # The coarse bound first, then the fine ones behind it.
+    placed = rows.withColumn("_bounds", bounds)
+    placed = placed.withColumn("_first", F.greatest(passed(F.col("_bounds.coarse")) - 1, F.lit(0)) * FINE)
+    fine = passed(F.slice(F.col("_bounds.fine"), F.col("_first") + 1, FINE))
+    placed = placed.withColumn("_range", F.col("_first") + fine).drop("_bounds", "_first")
     counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("_n").over(W.partitionBy())

@@ -17,6 +17,7 @@ from parley.functions.text import (
 from parley.operators import KEY
 from parley.operators.conversations import resolve_titles
 from parley.operators.ordered import index_in_order, ordered_texts
+from parley.session import cut_lineage
 
 c = F.col
 IMAGE = rf'!\[([^\]]*)\]\(((?:(?!{SPACE})[^)])+(?:{SPACE}+"[^"]*")?)\)'
@@ -25,6 +26,8 @@ RESOURCE = rf"(?m)> \[attachment\]{SPACE}+([^\n\r]+?):{SPACE}+((?:(?!{SPACE}).)+
 PLAIN = rf"(?m)> \[attachment\]{SPACE}+([^\n\r]+?)(?:{SPACE}+\(([^)]+)\))?{SPACE}*$"
 DATA_URI = r"(?is)^data:(image/[a-z0-9.+-]+);base64,(.+)\z"
 ROWS_PER_BUCKET = 10_000
+#: Entries of a list that one group holds.
+LISTED = 10_000
 
 
 def image_target(raw: Column) -> Column:
@@ -182,29 +185,39 @@ def prepare_bundles(bundles: DataFrame, messages: DataFrame, exporter_version: s
                     path_prefix: str = "assets", version: str = ids.HASH_VERSION) -> dict[str, DataFrame]:
     """bundles (final title, enriched meta), messages (asset paths), embedded_assets, linked_attachments.
 
-    ``bundles`` carries `revision` and `meta`. The meta lists all of a conversation's files, as the child tables do;
-    attachments it lists already are kept.
+    ``bundles`` carries `revision` and `meta`; attachments that the meta lists already are kept. Its lists are made in
+    stretches of `LISTED` entries, so that no group holds more: the meta has the first stretch, which is all but for
+    very long conversations, and `lists` (KEY, name, part, parts, items) has every stretch as JSON text.
     """
-    assets = embedded_assets(messages, path_prefix)
-    rewritten = rewrite_asset_links(messages, assets)
-    attachments = linked_attachments(rewritten, stored_attachments(bundles))
+    # Each feeds several results, and the link patterns are dear: written once and read back.
+    assets = cut_lineage(embedded_assets(messages, path_prefix))
+    rewritten = cut_lineage(rewrite_asset_links(messages, assets))
+    attachments = cut_lineage(linked_attachments(rewritten, stored_attachments(bundles)))
     titled = resolve_titles(bundles, rewritten, preferred)
 
-    def listed(table: DataFrame, order: str, body: Column, name: str) -> DataFrame:
-        return table.groupBy(*KEY).agg(F.array_join(ordered_texts(c(order), F.to_json(body)), ",").alias(name))
+    def listed(table: DataFrame, body: Column, name: str) -> DataFrame:
+        """Stretches of a list; ``no`` numbers its entries from 1."""
+        rows = table.withColumn("part", F.floor((c("no") - 1) / LISTED))
+        made = rows.groupBy(*KEY, "part").agg(F.array_join(ordered_texts(c("no"), F.to_json(body)), ",").alias("items"))
+        count = table.groupBy(*KEY).agg(F.ceil(F.count(F.lit(1)) / LISTED).alias("parts"))
+        return made.join(count, KEY).select(*KEY, F.lit(name).alias("name"), "part", "parts",
+                                            F.concat(F.lit("["), "items", F.lit("]")).alias("items"))
 
     asset = F.struct(c("path"), c("mime_type").alias("mimeType"), c("source_url").alias("sourceUrl"))
     link = F.struct(c("message_id").alias("messageId"), "kind", "title", c("mime_type").alias("mimeType"),
                     c("source_url").alias("sourceUrl"), c("resource_id").alias("resourceId"))
-    rows = (titled.join(listed(assets, "asset_no", asset, "_assets"), KEY, "left")
-            .join(listed(attachments, "seq", link, "_links"), KEY, "left"))
+    numbered = index_in_order(attachments, KEY, ["seq"], F.coalesce(F.floor(c("seq.pos") / ROWS_PER_BUCKET), F.lit(-1)), "no")
+    stretches = {"_assets": listed(assets.withColumn("no", c("asset_no")), asset, "embeddedAssets"),
+                 "_links": listed(numbered, link, "linkedAttachments")}
+    rows = titled
+    for name, table in stretches.items():
+        rows = rows.join(table.where("part = 0").select(*KEY, c("items").alias(name)), KEY, "left")
     label = [c("source_updated_label")] if "source_updated_label" in bundles.columns else []
     added = {
         "sourceUpdatedLabel": F.coalesce(*label, F.get_json_object("meta", "$.sourceUpdatedLabel")),
         "exporterVersion": F.lit(exporter_version), "exportCompatibilityVersion": F.lit(version),
         "exportSchemaVersion": F.lit(version), "revision": c("revision")}
-    lists = {n: F.parse_json(F.concat(F.lit("["), F.coalesce(x, F.lit("")), F.lit("]")))
-             for n, x in (("embeddedAssets", "_assets"), ("linkedAttachments", "_links"))}
+    lists = {n: F.parse_json(F.coalesce(x, F.lit("[]"))) for n, x in (("embeddedAssets", "_assets"), ("linkedAttachments", "_links"))}
     fresh = F.map_from_entries(F.filter(F.array(*[
         F.struct(F.lit(n).alias("key"), x.alias("value"))
         for n, x in added.items()]), lambda m: m["value"].isNotNull()))
@@ -215,4 +228,5 @@ def prepare_bundles(bundles: DataFrame, messages: DataFrame, exporter_version: s
     listing = F.create_map(*[x for n, v in lists.items() for x in (F.lit(n), v)])
     meta = F.to_json(F.map_concat(own, fresh, listing))
     return {"bundles": rows.withColumn("meta", meta).drop("_assets", "_links"), "messages": rewritten,
-            "embedded_assets": assets, "linked_attachments": attachments}
+            "embedded_assets": assets, "linked_attachments": attachments,
+            "lists": stretches["_assets"].unionByName(stretches["_links"])}

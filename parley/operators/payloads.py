@@ -76,22 +76,37 @@ BUNDLE = f"struct<title:string,source_updated_at:string,messages:{MESSAGE},meta:
 
 @dataclass(frozen=True)
 class Payload:
-    """The columns of a payload row that a shape reads."""
-    text: Column
-    url: Column
-    title: Column
+    """The columns of a payload row that a shape reads: payload, url and, if the rows have one, title."""
+    titled: bool = True
+
+    text = property(lambda self: c("payload"))
+    url = property(lambda self: c("url"))
+    title = property(lambda self: c("title") if self.titled else F.lit(None).cast("string"))
 
 
 Shape = Callable[[Payload], Column]
 
 
+def made_once(shape: Shape) -> Shape:
+    """``shape`` with its expressions kept: they name columns only, and to build one takes thousands of calls to the JVM."""
+    made: dict[tuple, Column] = {}
+
+    def kept(row: Payload, *options) -> Column:
+        key = (row.titled, *options)
+        if key not in made:
+            made[key] = shape(row, *options)
+        return made[key]
+
+    return kept
+
+
 def _bundle(title: Column, updated: Column, messages: Column, meta: Column) -> Column:
     return F.struct(title.alias("title"), updated.alias("source_updated_at"), messages.alias("messages"),
                     F.to_json(meta).alias("meta")).cast(BUNDLE)
 
 
 def payload_of(rows: DataFrame) -> Payload:
-    return Payload(c("payload"), c("url"), c("title") if "title" in rows.columns else F.lit(None).cast("string"))
+    return Payload("title" in rows.columns)
 
 
 def bundles_of(payloads: DataFrame, bundle: Column) -> DataFrame:
@@ -154,6 +169,7 @@ def branch_of(mapping: Column, head: Column) -> Column:
     return F.reverse(F.aggregate(F.sequence(F.lit(1), F.size(mapping)), first, step)["path"])
 
 
+@made_once
 def chatgpt_shape(row: Payload) -> Column:
     """The branch that ends at the current node of a tree payload."""
     def message(key: Column, n: Column) -> Column:
@@ -214,6 +230,7 @@ def deepseek_markdown(m: Column) -> Column:
     return blank_to_null(_joined(F.concat(file_blocks(m["files"]), F.array(append_url_attachments(body)))))
 
 
+@made_once
 def deepseek_shape(row: Payload) -> Column:
     def shaped(m: Column, i: Column) -> Column:
         number = F.coalesce(m["message_id"].try_cast("string").try_cast("double"), F.lit(0.0))
@@ -286,6 +303,7 @@ def _pair_ms(t: Column) -> Column:
     return F.floor(whole + F.coalesce(part, F.lit(0))).cast("bigint")
 
 
+@made_once
 def gemini_shape(row: Payload, rpc_id: str = "hNvQHb") -> Column:
     def ordered(raw: Column) -> Column:
         # NULL sorts before every time, ties keep their place: the order of the turns.
@@ -343,6 +361,7 @@ def parse_gemini(payloads: DataFrame, rpc_id: str = "hNvQHb") -> DataFrame:
 
 # ---------------------------------------------------------------- AI Studio
 
+@made_once
 def aistudio_shape(row: Payload) -> Column:
     def message(t: Column, i: Column) -> Column:
         role = F.when(v_text(t, "$[8]") == "user", "user").otherwise("assistant")

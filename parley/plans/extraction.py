@@ -505,6 +505,18 @@ def prepare_bundles(v):
         F.array_join(links, ",").alias("links"), F.get(c("m.embeddedAssets"), 0)["path"].alias("first_path"))
 
 
+@query("file_lists", """
+    SELECT platform, source_id, 'embeddedAssets' AS name, CAST(0 AS BIGINT) AS part, count(*) AS entries FROM {paths_of_v} GROUP BY 1, 2
+    UNION ALL SELECT platform, source_id, 'linkedAttachments', 0, count(*) FROM (SELECT DISTINCT l.platform, l.source_id, l.pos, a.path
+      FROM {links_v} AS l JOIN {paths_of_v} AS a ON a.platform = l.platform AND a.source_id = l.source_id AND a.phase = 1 AND a.target = l.target
+      WHERE l.phase = 1) AS f GROUP BY 1, 2""", {**ASSETS, "rewritten_v": _REWRITTEN}, heavy=True)
+def file_lists(v):
+    """The stretches of all file lists."""
+    rows = v.bundles_v.withColumn("revision", F.concat(F.lit("r-"), "source_id")).withColumn("meta", F.lit("{}"))
+    lists = assets.prepare_bundles(rows, v.messages_v, "1.0")["lists"]
+    return lists.select(*KEY, "name", "part", F.json_array_length("items").cast("bigint").alias("entries"))
+
+
 @query("platform_windows", """
     SELECT platform, strftime(date_trunc('day', updated_at::TIMESTAMP), '%Y-%m-%d') AS day, status, count(*) AS n FROM {queue_v} GROUP BY 1, 2, 3""")
 def platform_windows(v):

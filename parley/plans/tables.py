@@ -233,7 +233,51 @@ def merge_queue(v):
         "pos", "kind", "error_code", "skip_reason", "result_revision")])
 
 
-@query("fold_queue", heavy=True)
+_COLUMNS = [x.strip() for x in _Q.split(",")]
+
+
+def _row(**values: str) -> str:
+    """A queue row as a struct; what is not given is the row ``x``'s own."""
+    return "struct_pack(" + ", ".join(f"{n} := {values.get(n, 'x.' + n)}" for n in _COLUMNS) + ")"
+
+
+# The state of a conversation is its rows, the foremost first; each step applies its next event to that list.
+_FOLD_RESET = "x.status <> 'processing'"
+_FOLD_DATED = "(e.source_updated_at IS NOT NULL AND x.source_updated_at IS NULL)"
+_FOLD_HIT = _row(
+    key=f"CASE WHEN {_FOLD_DATED} THEN e.ekey ELSE x.key END",
+    revision_fingerprint=f"CASE WHEN {_FOLD_DATED} THEN e.revision_fingerprint ELSE x.revision_fingerprint END",
+    **{n: f"coalesce(e.{n}, x.{n})" for n in ("url", "title", "source_updated_at", "source_updated_label")},
+    kind="'export'", updated_at=f"'{NOW}'", priority=f"CASE WHEN {_FOLD_RESET} THEN 'backfill' ELSE x.priority END",
+    status=f"CASE WHEN {_FOLD_RESET} THEN 'pending' ELSE x.status END",
+    worker_id=f"CASE WHEN {_FOLD_RESET} THEN NULL ELSE x.worker_id END",
+    last_error=f"CASE WHEN {_FOLD_RESET} THEN NULL ELSE x.last_error END")
+_FOLD_NEW = _row(
+    pos="e.front - e.seq", key="e.ekey", kind="'export'", priority="'backfill'", status="'pending'", attempts="CAST(0 AS INT)",
+    discovered_at=f"'{NOW}'", updated_at=f"'{NOW}'",
+    **{n: f"e.{n}" for n in ("platform", "source_id", "url", "title", "source_updated_at", "source_updated_label", "revision_fingerprint")},
+    **{n: "CAST(NULL AS VARCHAR)" for n in ("worker_id", "last_error", "error_code", "skip_reason", "result_revision")})
+
+
+@query("fold_queue", f"""WITH RECURSIVE ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY platform, source_id ORDER BY seq) AS n,
+      platform || ':' || source_id || ':' || revision_fingerprint AS ekey, (SELECT coalesce(min(pos), 0) - 1 FROM {{queue_v}}) AS front FROM {{discovery_v}}),
+    live AS MATERIALIZED (SELECT q.*, q.key IN (SELECT ekey FROM ev) OR q.pos = min(q.pos) OVER (PARTITION BY q.platform, q.source_id) AS involved
+      FROM {{queue_v}} AS q WHERE (q.platform, q.source_id) IN (SELECT (platform, source_id) FROM ev)),
+    st AS (SELECT k.platform, k.source_id, CAST(0 AS BIGINT) AS n, coalesce((SELECT list({_row()} ORDER BY x.pos) FROM live AS x
+        WHERE involved AND x.platform = k.platform AND x.source_id = k.source_id), []) AS state
+      FROM (SELECT DISTINCT platform, source_id FROM ev) AS k
+      UNION ALL
+      SELECT s.platform, s.source_id, s.n + 1, CASE WHEN t IS NULL THEN list_prepend({_FOLD_NEW}, state)
+          ELSE list_transform(state, lambda x, i: CASE WHEN i = t THEN {_FOLD_HIT} ELSE x END) END
+      FROM (SELECT st.*, coalesce(nullif(list_position(list_transform(state, lambda x: x.key), ev.ekey), 0),
+              CASE WHEN len(state) > 0 AND state[1].status <> 'completed' AND (state[1].source_updated_at IS NULL OR ev.source_updated_at IS NULL)
+                THEN 1 END) AS t
+            FROM st JOIN ev ON ev.platform = st.platform AND ev.source_id = st.source_id AND ev.n = st.n + 1) AS s
+      JOIN ev AS e ON e.platform = s.platform AND e.source_id = s.source_id AND e.n = s.n + 1),
+    done AS (SELECT unnest(state) AS x FROM st JOIN (SELECT platform, source_id, max(n) AS n FROM ev GROUP BY 1, 2) AS last USING (platform, source_id, n))
+    SELECT {", ".join("x." + n for n in _COLUMNS)} FROM done
+    UNION ALL SELECT {_Q} FROM live WHERE NOT involved
+    UNION ALL SELECT {_Q} FROM {{queue_v}} WHERE (platform, source_id) NOT IN (SELECT (platform, source_id) FROM ev)""", heavy=True)
 def fold_queue(v):
     return queue.fold_queue(v.queue_v, v.discovery_v, NOW, priority="backfill", force=True)
 

@@ -169,3 +169,72 @@ def test_images_rule_is_idempotent_and_quality_buckets_agree(spark):
     once = v.messages_v.withColumn("markdown", strip_images(F.col("markdown")))
     assert rows(once.withColumn("markdown", strip_images(F.col("markdown")))) == rows(once)
     assert rows(discovery.discovery_quality(v.sweeps_v, "day")) == rows(discovery.discovery_quality(v.sweeps_v, "year"))
+
+
+# ---- search index and pages -------------------------------------------------------------------------------------
+
+def test_searches_by_grams_equal_scans_and_read_less(spark, tmp_path):
+    from parley.operators import archive, search
+    rows = [("p", f"id-{i}", f"Titel über {i * 7919 % 1000} {'xyzzy' if i % 500 == 3 else 'plain'} 100%_\\ done", f"2030-01-{i % 28 + 1:02d}")
+            for i in range(4000)] + [("p", "nul", None, "2030-01-01"), ("p", "", "", "2030-01-02")]
+    table = spark.createDataFrame(rows, "platform string, source_id string, title string, updated_at string")
+    root = str(tmp_path / "grams")
+    spark.conf.set("parquet.block.size", "16384")
+    spark.conf.set("parquet.page.size", "1024")
+    try:
+        search.write_postings(table.where("source_id < 'id-2'"), root)
+        search.write_postings(table.where("source_id >= 'id-2'"), root)
+    finally:
+        spark.conf.unset("parquet.block.size")
+        spark.conf.unset("parquet.page.size")
+    index = spark.read.parquet(root)
+    for q in ("xyzzy", "XYZZY 100", "zzy%do_e", "ÜBER 7", "über 7", "%_\\", "a", "", "%%", "nul", "no such text"):
+        plain = archive.list_conversations(table, q=q, limit=100).collect()
+        assert archive.list_conversations(table, q=q, limit=100, postings=index).collect() == plain, q
+    hits = index.where(F.col("gram").isin(*search.search_grams("xyzzy")))
+    hits.collect()
+    read = _rows_scanned(hits)
+    assert 0 < read < index.count() / 4
+
+
+def _rows_scanned(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_pages_equal_a_sorted_table(spark):
+    from parley.operators import analytics
+    rows = [(i, None if i % 7 == 0 else f"w{i % 5}", (i * 37) % 11) for i in range(1003)]
+    table = spark.createDataFrame(rows, "id int, worker string, n int")
+    order = [("worker", True), ("n", False), ("id", True)]
+    whole = table.orderBy(F.col("worker").asc(), F.col("n").desc(), "id").collect()
+    for number, start in ((1, 0), (0, 0), (2, 90), (7, 540), (12, 990), (99, 990)):
+        assert analytics.page(table, order, number, 90).collect() == whole[start:start + 90]
+    assert analytics.page(table.limit(0), order, 3, 10).collect() == []
+    same = spark.createDataFrame([(i, "w", 1) for i in range(300)], "id int, worker string, n int")
+    assert [r.id for r in analytics.page(same, order, 3, 100).collect()] == list(range(200, 300))
+
+
+def test_file_lists_come_whole_in_stretches(spark, monkeypatch):
+    import json
+
+    from parley.operators import assets
+    monkeypatch.setattr(assets, "LISTED", 7)
+    body = "\n".join(f"> [attachment] [file {i}](https://files.test/{i}.pdf)" for i in range(20))
+    stored = {"linkedAttachments": [{"messageId": "m", "kind": "resource", "title": f"r{i}", "resourceId": str(i)} for i in range(4)]}
+    bundles = spark.createDataFrame([("p", "a", "u", "T", "r", json.dumps(stored)), ("p", "b", "u", "T", "r", "{}")],
+                                    "platform string, source_id string, url string, title string, revision string, meta string")
+    messages = spark.createDataFrame([("p", "a", 0, "m", "user", body), ("p", "b", 0, "m", "user", "plain")],
+                                     "platform string, source_id string, pos long, id string, role string, markdown string")
+    out = assets.prepare_bundles(bundles, messages, "1.0")
+    got = {}
+    for r in out["lists"].orderBy("name", "part").collect():
+        assert r.source_id == "a" and len(json.loads(r.items)) <= 7
+        got.setdefault((r.name, r.parts), []).extend(json.loads(r.items))
+    assert [a["sourceUrl"] for a in got["embeddedAssets", 3]] == [f"https://files.test/{i}.pdf" for i in range(20)]
+    assert [a["title"] for a in got["linkedAttachments", 4]] == [f"r{i}" for i in range(4)] + [f"file {i}" for i in range(20)]
+    metas = {r.source_id: json.loads(r.meta) for r in out["bundles"].collect()}
+    assert len(metas["a"]["embeddedAssets"]) == 7 and metas["b"]["embeddedAssets"] == []

@@ -4,9 +4,9 @@ import json
 from pyspark.sql import functions as F
 
 from parley import schemas
-from parley.operators import archive, discovery
+from parley.operators import KEY, analytics, discovery
 from parley.plans.views import NOW, Views
-from parley.sources.tables import TableSet, archive_tables
+from parley.sources.changes import ChangeLog, archive_logs
 from parley.streaming import buffers, tables
 
 SF = "/root/testdata/sf0.001"
@@ -61,9 +61,9 @@ def test_stream_ingest_equals_batch_and_survives_retry(spark, tmp_path):
         batch.where(F.col("seq") % 3 == i).withColumn("seq", F.col("seq") + i * 10_000).coalesce(1) \
             .write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    store = archive_tables(spark, str(tmp_path / "archive"))
+    logs = archive_logs(spark, str(tmp_path / "archive"))
     seen = []
-    q = tables.stream_ingest(stream, store, NOW, str(tmp_path / "ckpt"), lambda rows, n: seen.append(rows.groupBy("status").count().collect()))
+    q = tables.stream_ingest(stream, logs, NOW, str(tmp_path / "ckpt"), lambda rows, n: seen.append(rows.groupBy("status").count().collect()))
     q.awaitTermination()
     total = {}
     for part in seen:
@@ -72,28 +72,53 @@ def test_stream_ingest_equals_batch_and_survives_retry(spark, tmp_path):
     whole = batch.groupBy("platform", "source_id", "revision").count().count()
     keys = batch.select("platform", "source_id").distinct().count()
     assert total == {"created": keys, "updated": whole - keys, "duplicate": batch.count() - whole}
-    assert store.read("revisions").count() == whole and store.read("conversations").count() == keys
-    before = store.version()
-    # A redelivered batch bears its commit's token and is left alone; new redeliveries are duplicates.
-    token = store._commits()[-1][1]
-    assert store.write({n: store.read(n) for n in store.schemas}, token) == before == store.version()
-    again = archive.ingest(batch, store.read("conversations"), store.read("revisions"))
-    assert [r["status"] for r in again.select("status").distinct().collect()] == ["duplicate"]
+    assert logs["revisions"].known().count() == whole and logs["conversations"].known().count() == keys
+    # A batch that is tried again sees the table before it and overwrites its own rows.
+    third = batch.where(F.col("seq") % 3 == 2).withColumn("seq", F.col("seq") + 20_000)
+    before = {n: sorted(map(tuple, log.known().collect()), key=repr) for n, log in logs.items()}
+    _, conversations, revisions = tables.ingest_changes(third, logs["conversations"].known(2), logs["revisions"].known(2), NOW)
+    logs["conversations"].append(conversations, 2)
+    logs["revisions"].append(revisions, 2)
+    assert {n: sorted(map(tuple, log.known().collect()), key=repr) for n, log in logs.items()} == before
+    # New redeliveries are duplicates, and change nothing.
+    done, conversations, revisions = tables.ingest_changes(batch, logs["conversations"].known(), logs["revisions"].known(), NOW)
+    assert [r["status"] for r in done.select("status").distinct().collect()] == ["duplicate"]
+    assert conversations.isEmpty() and revisions.isEmpty()
+
+
+def test_a_log_grows_by_its_batches_and_compacts_apart(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path / "log"), "platform string, source_id string, title string", KEY)
+    assert log.known().collect() == []
+
+    def rows(*titles):
+        return spark.createDataFrame([("p", str(i), t) for i, t in titles], log.schema)
+
+    log.append(rows(*[(i, f"title {i} " * 20) for i in range(2000)]), 0)
+    log.append(rows((5, "five")), 1)
+    log.append(rows((5, "V"), (2000, "last")), 2)
+    sizes = [sum(f.stat().st_size for f in (tmp_path / "log" / "changes" / f"n={n}").glob("*.parquet")) for n in range(3)]
+    assert sizes[1] * 5 < sizes[0] and sizes[2] * 5 < sizes[0]
+    want = {**{str(i): f"title {i} " * 20 for i in range(2000)}, "5": "V", "2000": "last"}
+    assert {r.source_id: r.title for r in log.known().collect()} == want
+    assert [r.title for r in log.known(2).where("source_id = '5'").collect()] == ["five"]
+    log.compact(1)
+    assert {r.source_id: r.title for r in log.known().collect()} == want and log._compacted() == 1
+    log.compact(2)
+    log.append(rows((7, "seven")), 3)
+    assert {r.source_id: r.title for r in log.known().collect()} == {**want, "7": "seven"}
 
 
 def test_stream_index_equals_batch(spark, tmp_path):
     v = Views(spark, SF)
-    store = TableSet(spark, str(tmp_path / "t"), {"index": schemas.INDEX})
-    store.write({"index": v.index_v})
+    log = ChangeLog(spark, str(tmp_path / "t"), schemas.INDEX, KEY)
+    log.append(v.index_v, -1)
     queued = []
-    q = tables.stream_index(as_stream(spark, v.discovery_v, str(tmp_path / "in")), store, NOW, str(tmp_path / "ckpt"),
+    q = tables.stream_index(as_stream(spark, v.discovery_v, str(tmp_path / "in")), log, NOW, str(tmp_path / "ckpt"),
                             lambda rows, n: queued.append(rows.count()))
     q.awaitTermination()
     want = discovery.dedupe_then_apply(v.index_v, v.discovery_v, NOW)
-    assert sorted(map(tuple, store.read("index").collect()), key=repr) == sorted(map(tuple, want["index"].collect()), key=repr)
+    assert sorted(map(tuple, log.known().collect()), key=repr) == sorted(map(tuple, want["index"].collect()), key=repr)
     assert queued == [want["queueable"].count()]
-    store.drop_before(store.version())
-    assert len(store._commits()) == 1
 
 
 def test_stream_dedupe_windows_and_tail(spark, tmp_path):
@@ -104,10 +129,10 @@ def test_stream_dedupe_windows_and_tail(spark, tmp_path):
     changes = v.queue_v.withColumn("at", F.col("updated_at").try_cast("timestamp"))
     drain(tables.platform_windows(as_stream(spark, changes, str(tmp_path / "q")), "1 day", watermark="2 days"), "win", tmp_path, "complete")
     assert sorted(map(tuple, spark.table("win").collect())) == sorted(map(tuple, tables.platform_windows(changes, "1 day").collect()))
-    store = TableSet(spark, str(tmp_path / "logs"), {"logs": schemas.LOGS}, partition_by="level")
-    tables.stream_log_tail(as_stream(spark, v.logs_v, str(tmp_path / "l"), 3), store, 60, str(tmp_path / "ck")).awaitTermination()
+    tail = ChangeLog(spark, str(tmp_path / "logs"), schemas.LOGS, ["id"])
+    tables.stream_log_tail(as_stream(spark, v.logs_v, str(tmp_path / "l"), 3), tail, 60, str(tmp_path / "ck")).awaitTermination()
     newest = [r.id for r in v.logs_v.orderBy(F.desc("timestamp"), F.desc("id")).limit(60).collect()]
-    assert sorted(r.id for r in store.read("logs").collect()) == sorted(newest)
+    assert sorted(r.id for r in analytics.retain_logs(tail.known(), 60).collect()) == sorted(newest)
 
 
 def test_sessions_and_flush_hook(spark, tmp_path):
