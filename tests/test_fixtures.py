@@ -63,8 +63,8 @@ def test_preferred_titles(spark):
 
 
 @pytest.mark.parametrize("text,want", [
-    ("> [thinking]\n> first line\n> second line\n\nFinal answer",
-     "<details>\n<summary>Thinking</summary>\n\nfirst line\nsecond line\n\n</details>\nFinal answer"),
+    ("> [thinking]\n> weigh the kelp\n> dry it\n\nTwo baskets",
+     "<details>\n<summary>Thinking</summary>\n\nweigh the kelp\ndry it\n\n</details>\nTwo baskets"),
     ("a\r\n> [Thinking]\n\n> x\n>\n>\n>\n> y\n", "a\n<details>\n<summary>Thinking</summary>\n\nx\n\ny\n\n</details>"),
     ("> [thinking]", "<details>\n<summary>Thinking</summary>\n\n</details>"),
     ("> [thinking] label\n\nz", "> [thinking] label\n\nz"),
@@ -107,33 +107,33 @@ def test_markdown_rules(spark):
 
 
 def test_serialized_document(spark):
-    b = spark.createDataFrame([("chatgpt", "conv-1", "Sample Chat", "https://chatgpt.com/c/conv-1", "abc123", "2026-03-18T08:00:00.000Z", None, '{"model":"m"}',
+    b = spark.createDataFrame([("chatgpt", "kelp-8", "Tide tables", "https://host.test/c/kelp-8", "rev77", "2031-07-15T06:30:00.000Z", None, '{"model":"lamp"}',
                                 [("user", "user", "User"), ("assistant", "assistant", "ChatGPT")])],
                               TITLE + ", revision string, extracted_at string, source_updated_at string, meta string, "
                               "participants array<struct<id:string,role:string,name:string>>")
-    m = spark.createDataFrame([("chatgpt", "conv-1", 0, "1", "user", "prose", "not a date"), ("chatgpt", "conv-1", 1, "2", "assistant", "x\n```js\n1\n```", None)], MSG)
+    m = spark.createDataFrame([("chatgpt", "kelp-8", 0, "q", "user", "ebb or flow", "some day"), ("chatgpt", "kelp-8", 1, "r", "assistant", "ebb\n```sh\ntide\n```", None)], MSG)
     row = rendering.serialize_conversations(b, m).first()
-    for part in ("conversation_id: conv-1", "# Sample Chat", 'assistant: "ChatGPT"', "> Source: chatgpt", "Revision: abc123", "## User\n\n> not a date\n\nprose",
+    for part in ("conversation_id: kelp-8", "# Tide tables", 'assistant: "ChatGPT"', "> Source: chatgpt", "Revision: rev77", "## User\n\n> some day\n\nebb or flow",
                  "## Assistant", 'source_updated_at: ""', "message_count: 2"):
         assert part in row.markdown
     assert row.message_count == 2 and row.estimated_tokens == one(spark, tx.estimate_tokens(lit(row.markdown)))
     code = rendering.serialize_conversations(b, m, "code-only").first()
-    assert code.message_count == 1 and "prose" not in code.markdown
+    assert code.message_count == 1 and "ebb or flow" not in code.markdown
     nothing = rendering.serialize_conversations(b, m.limit(0)).first()
     assert nothing.markdown.endswith("_(empty conversation)_\n") and nothing.message_count == 0
 
 
 def test_urls_and_times(spark):
-    gem = [one(spark, ur.source_id_from_url(lit(f"https://gemini.google.com{p}"), "gemini")) for p in ("/app/abc123", "/app", "/app/mystuff")]
-    assert gem == ["abc123", None, None]
+    gem = [one(spark, ur.source_id_from_url(lit(f"https://gemini.google.com{p}"), "gemini")) for p in ("/app/heron7", "/app", "/app/mystuff")]
+    assert gem == ["heron7", None, None]
     assert one(spark, ur.source_id_from_url(lit("https://aistudio.google.com/prompts/new_chat"), "aistudio")) is None
     assert one(spark, ur.canonical_url(lit("HTTPS://A.b/ü x?q=a b&archive_worker=1&&z#f"))) == "https://a.b/%C3%BC%20x?q=a+b&z=#f"
     assert one(spark, ur.is_private_host(lit("fd00::1"))) and not one(spark, ur.is_private_host(lit("fd-shop.example")))
-    assert one(spark, tm.normalize_timestamp(lit("1740334194.343"), "deepseek_list", True)) == "2025-02-23T18:09:54.343Z"
-    assert one(spark, tm.relative_label_to_ts(lit("6 hours ago"), lit(NOW))) == "2026-04-03T06:00:00.000Z"
+    assert one(spark, tm.normalize_timestamp(lit("1900000000.625"), "deepseek_list", True)) == "2030-03-17T17:46:40.625Z"
+    assert one(spark, tm.relative_label_to_ts(lit("7 hours ago"), lit(NOW))) == "2026-04-03T05:00:00.000Z"
     assert one(spark, tm.relative_label_to_ts(lit("Yesterday"), lit(NOW))) == "2026-04-02T12:00:00.000Z"
-    assert one(spark, tm.format_message_timestamp(lit("2026-01-01T00:00:00Z"), "America/New_York")) == "2025-12-31 19:00:00 (UTC-05:00)"
-    assert [one(spark, tx.format_token_count(lit(n))) for n in (999, 1000, 1250, 1450, 2750)] == ["~999", "~1.0K", "~1.3K", "~1.4K", "~2.8K"]
+    assert one(spark, tm.format_message_timestamp(lit("2031-07-15T06:30:00Z"), "America/St_Johns")) == "2031-07-15 04:00:00 (UTC-02:30)"
+    assert [one(spark, tx.format_token_count(lit(n))) for n in (7, 3000, 3250, 3950, 12340)] == ["~7", "~3.0K", "~3.3K", "~4.0K", "~12.3K"]
 
 
 def test_union_by_priority(spark):
