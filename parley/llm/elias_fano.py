@@ -12,6 +12,7 @@ import struct
 import numpy as np
 
 SAMPLE = 256
+_RUN = 1 << 14
 _HEAD = struct.Struct("<qqqqq")
 
 
@@ -33,8 +34,10 @@ class EliasFano:
         bits[ones] = 1
         high = np.packbits(bits, bitorder="little").view("<u8")
         if low_bits:
-            planes = (rest[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
-            packed = np.packbits(planes.astype(np.uint8).ravel(), bitorder="little")
+            # In runs of rows, each of whole bytes: a value a bit takes 64 times the room of the code.
+            places = np.arange(low_bits, dtype=np.uint64)
+            packed = np.concatenate([np.packbits(((rest[lo:lo + _RUN, None] >> places) & np.uint64(1)).astype(np.uint8).ravel(),
+                                                 bitorder="little") for lo in range(0, n, _RUN)])
             low = np.zeros(-(-len(packed) // 8) * 8 + 8, dtype=np.uint8)
             low[:len(packed)] = packed
         else:
