@@ -5,9 +5,10 @@ A document's set is its distinct word shingles. Documents of equal sets are one
 * `BANDS` band keys of `ROWS` MinHash values each: two sets of similarity 0.75 share none with a chance of 2e-6;
 * an odd sketch in `BITS` parity bits of its one-permutation MinHash sample (the least value in each of `BINS` bins). The
   ones of the exclusive or of two sketches estimate how many sampled values differ, which ranks a document's partners.
-  They also bound it: a shingle of one set only changes the sample of its bin, by two values at most, so the ones are at
-  most twice the shingles that differ, and two sets of similarity 0.75 differ in at most a seventh of both sizes. Pairs
-  beyond that bound, or of sizes too unlike, are out at every size, and no link is lost.
+  They also bound it. A value is in one sample only if its shingle is in one set only or hidden in the other set by a lesser one
+  of its bin; and a shingle of one set only changes its bin by two values at most. So the ones are at most the shingles
+  that differ and those hidden, and at most twice those that differ; two sets of similarity 0.75 differ in at most a
+  seventh of both sizes. Pairs beyond that bound, or of sizes too unlike, are out at every size, and no link is lost.
 
 Pairs that pass are confirmed on the full sets, read again from the texts. Candidates come in two kinds, so that no
 bucket lists all its pairs: first every member with its bucket's first document, which is linear and joins most copies;
@@ -30,7 +31,7 @@ from parley.llm.frames import bounded_batches, ids_and_texts, map_batches
 from parley.session import cut_lineage, release
 
 BANDS, ROWS = 24, 3
-BINS, BITS = 1024, 2048
+BINS, BITS = 4096, 2048
 #: Members of a bucket compared in one task; larger buckets are compared block by block.
 BLOCK = 1024
 PARTNERS = 64
@@ -69,7 +70,7 @@ def features_of(edges: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]
     spread = words.mixed(hashes * _SEED)
     for lo, hi in zip(edges[:-1], edges[1:]):
         spread[lo:hi].sort()
-    bin_of = spread >> np.uint64(54)
+    bin_of = spread >> np.uint64(65 - BINS.bit_length())
     owner = np.repeat(np.arange(n), sizes)
     first = np.ones(len(spread), dtype=bool)
     first[1:] = (bin_of[1:] != bin_of[:-1]) | (owner[1:] != owner[:-1])
@@ -127,7 +128,8 @@ def passes(a: str, b: str) -> Column:
     ones = F.aggregate(F.zip_with(x["sketch"], y["sketch"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0),
                        lambda s, v: s + v)
     least, greatest = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
-    return (least * 100 >= greatest * 75) & (7 * ones <= 2 * (x["n"] + y["n"]))
+    both = x["n"] + y["n"]
+    return (least * 100 >= greatest * 75) & (7 * ones <= F.least(2 * both, 8 * both - 7 * (x["filled"] + y["filled"])))
 
 
 def _ones(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -145,9 +147,9 @@ def _common(sketch: np.ndarray, filled: np.ndarray, others: np.ndarray, other_fi
     return _shared(_ones(sketch, others), filled, other_filled)
 
 
-def _possible(n_a: np.ndarray, n_b: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """`passes` of sizes that go together, for numpy arrays."""
-    return 7 * ones <= 2 * (n_a + n_b)
+def _possible(both: np.ndarray, filled: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """`passes` of sizes that go together, for numpy arrays: ``both`` sizes and ``filled`` numbers added up."""
+    return 7 * ones <= np.minimum(2 * both, 8 * both - 7 * filled)
 
 
 # ---- candidate pairs --------------------------------------------------------------------------------------------
@@ -180,7 +182,8 @@ def _partners(group: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.n
             continue
         ones = _ones(group["sketch"][rows], group["sketch"][right])
         common = _shared(ones, group["filled"][rows], group["filled"][right])
-        allowed &= _possible(n_a, n_b, ones)
+        filled = group["filled"][rows][:, None].astype(np.int64) + group["filled"][right][None, :]
+        allowed &= _possible(n_a + n_b, filled, ones)
         i, j = np.nonzero(allowed)
         if len(i):
             a, b = rows[i], right[j]
@@ -302,7 +305,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        edges = cut_lineage(small)
+        before, edges = edges, cut_lineage(small)
+        release(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
@@ -334,17 +338,20 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     tried = cut_lineage(star_pairs(nodes, buckets))
     links = confirmed(tried, docs)
-    most = PARTNERS
-    while True:
+    made, most, more = [of, nodes, tried, links], PARTNERS, True
+    while more:
         offered = cut_lineage(partner_pairs(nodes, buckets, hooked(links), most))
         new = cut_lineage(offered.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        links, tried = links.union(confirmed(new, docs)), tried.union(new)
-        if offered.where("more").isEmpty():
-            break
+        found = confirmed(new, docs)
+        links, tried = links.union(found), tried.union(new)
+        more = not offered.where("more").isEmpty()
+        made += [offered, new, found]
         most *= 8
     # Copies are linked with their first document; so are rows of one id but different texts.
     copies = of.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     comps = components(links.union(copies))
+    for table in made:
+        release(table)
     out = sizes.join(comps.select(F.col("node").alias("doc_id"), F.col("comp")), "doc_id", "left")
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),

@@ -343,7 +343,7 @@ def test_many_repeats_of_a_row_are_one_document(spark, monkeypatch):
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(2)
     for size in (150, 1000, 8000):
-        for target in (0.6, 0.75, 0.9):
+        for target in (0.75, 0.9):
             common = int(round(2 * size * target / (1 + target)))
             pool = rng.integers(0, 1 << 64, 2 * size - common, dtype=np.uint64)
             a, b = np.sort(pool[:size]), np.sort(pool[size - common:])
@@ -370,7 +370,7 @@ def test_no_sketch_drops_a_least_link(spark):
     for sizes, (_, _, _, sketch, filled) in groups:
         for k in range(0, len(sizes), 2):
             ones = near_dup._ones(sketch[k:k + 1], sketch[k + 1:k + 2])
-            assert near_dup._possible(sizes[k:k + 1][:, None], sizes[k + 1:k + 2][None, :], ones).all()
+            assert near_dup._possible(sizes[k] + sizes[k + 1], int(filled[k]) + int(filled[k + 1]), ones).all()
         rows += [tuple({"n": int(sizes[j]), "sketch": sketch[j].view(np.int64).tolist(), "filled": int(filled[j])}
                        for j in (k, k + 1)) for k in range(0, 80, 2)]
     kind = "struct<n: long, sketch: array<long>, filled: int>"
