@@ -1064,3 +1064,12 @@ def retain_logs(v):
 def active_branch(v):
     heads = v.tree_v.groupBy("conv").agg(F.max("node").alias("node"))
     return branches.active_branch(v.tree_v, heads)
+
+
+@query("logged_tail", """
+    SELECT id, timestamp FROM (SELECT *, row_number() OVER (ORDER BY timestamp DESC, id DESC) AS rk FROM {logs_v}) AS x WHERE rk <= 300""")
+def logged_tail(v):
+    """The tail of the logs after three micro-batches, each logged cut to its newest rows."""
+    parts = [analytics.retain_logs(v.logs_v.where(F.pmod(F.xxhash64("id"), F.lit(3)) == i), 300).withColumn("n", F.lit(i)) for i in range(3)]
+    log = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return analytics.retain_logs(last_of(log, ["id"], "n"), 300).select("id", "timestamp")
