@@ -284,8 +284,9 @@ def record_manual_export(index: DataFrame, results: DataFrame, now: str) -> Data
 
 
 def _on_disk(disk: DataFrame, platforms: Sequence[str]) -> DataFrame:
-    return disk.where(F.col("platform").isin(*platforms)).withColumn(
-        "markdown_filename", F.regexp_replace("file_path", r"(?i)\.bundle\.json\z", ".md"))
+    """Bundle files with the path of their document and their `final_title`."""
+    rows = with_titles(disk.where(F.col("platform").isin(*platforms))).drop("used_fallback", "unresolved")
+    return rows.withColumn("markdown_filename", F.regexp_replace("file_path", r"(?i)\.bundle\.json\z", ".md"))
 
 
 def _wanted(rows: DataFrame, paths: dict[str, str], file_path: Column) -> DataFrame:
@@ -324,17 +325,15 @@ def revisions_on_disk(artifacts: DataFrame, disk: DataFrame, files: DataFrame) -
     def last(value: Column) -> Column:
         return F.max(F.when(value.isNotNull(), F.struct(path.alias("path"), value.alias("value"))))
 
-    rows = with_titles(rows.withColumns({"_t": c("file.title"), "_p": c("file.prompt")}), None, "_t", "_p")
-    made = rows.groupBy(*REV).agg(
+    return rows.groupBy(*REV).agg(
         F.max_by("art", F.when(c("art").isNotNull(), -c("art.pos"))).alias("art"),
         F.max_by("file", F.when(c("file").isNotNull(), path)).alias("file"),
         F.coalesce(F.bool_or(c("tag") == "md"), F.lit(False)).alias("has_markdown"),
         F.coalesce(F.bool_or(c("tag") == "bundle"), F.lit(False)).alias("has_bundle"),
         F.max(path).eqNullSafe(F.max(F.when(c("tag") == "file", c("file_path")))).alias("file_present"),
         (F.count("file") > F.count_if(c("tag") == "file")).alias("lacks"),
-        last(F.when(c("file").isNotNull(), c("final_title"))).alias("title"),
-        last(c("file.source_updated_at")).alias("at"), last(c("file.source_updated_label")).alias("label"))
-    return made
+        last(c("file.final_title")).alias("title"), last(c("file.source_updated_at")).alias("at"),
+        last(c("file.source_updated_label")).alias("label"))
 
 
 def _presence(has_markdown: Column, has_bundle: Column) -> dict[str, Column]:
