@@ -1,4 +1,8 @@
-"""From documents to packed sequences: five stages, each written as Parquet and read again before the next one."""
+"""From documents to packed sequences: five stages, each written as Parquet and read again before the next one.
+
+Every stage takes null and empty texts, null ids, repeated rows and extra columns of any name, and passes all columns on but
+for the last one; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -15,19 +19,20 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half."""
+    """Documents that score below one half; a null text scores as an empty one."""
     machine = toxicity.fit(docs, queries.table(spark, sf_dir, "labels"))
     return docs.where(toxicity.probability(F.col("text"), machine, spark) < 0.5)
 
 
 def draw_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the draw by importance weight."""
+    """Documents of the draw by importance weight; rows without an id stay."""
     drawn = resample.draw(docs, queries.table(spark, sf_dir, "labels"))
     return without(docs, drawn.where(~F.col("kept")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class; of rows that repeat an id, the one whose text has the least hash."""
+    """The first document of each class; of rows that repeat an id, the one whose text has the least hash. Rows without an
+    id stay."""
     left = without(docs, near_dup.classes(docs).where(~F.col("kept")))
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
@@ -47,7 +52,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece, as the packing query returns it."""
+    """One row a piece, as the packing query returns it; a null text is packed as an empty one."""
     return queries.packed_pieces(packing.pack(docs, queries.BYTE_BPE, end_id=1, capacity=2048))
 
 
