@@ -406,11 +406,15 @@ def import_bundles(disk: DataFrame, artifacts: DataFrame, index: DataFrame, file
 
 
 def recompute_latest(artifacts: DataFrame, platforms: Sequence[str] = PLATFORMS) -> DataFrame:
-    """Flag the newest live export per KEY (no date counts as the oldest; the first row wins ties)."""
+    """Flag the newest live export per KEY (no date counts as the oldest; the first row wins ties).
+
+    Rows with `imported` set have no place of their own: they come after the others of their time, by revision.
+    """
     scope = F.col("platform").isin(*platforms)
-    rank = F.struct(F.coalesce(epoch_ms(F.col("exported_at")), F.lit(0)).alias("t"),
-                    (F.col("pos") >= 0).alias("known"), -F.col("pos"))
-    best = artifacts.where(scope & _live()).groupBy(*KEY).agg(F.max_by("revision", rank).alias("_best"))
+    new = F.coalesce("imported", F.lit(False)) if "imported" in artifacts.columns else F.lit(False)
+    rank = F.struct((-F.coalesce(epoch_ms(F.col("exported_at")), F.lit(0))).alias("t"), new.alias("new"),
+                    F.when(~new, F.col("pos")).alias("pos"), F.col("revision"))
+    best = artifacts.where(scope & _live()).groupBy(*KEY).agg(F.min_by("revision", rank).alias("_best"))
     flag = F.coalesce(F.col("_best") == F.col("revision"), F.lit(False))
     return artifacts.join(best, KEY, "left").withColumn(
         "is_latest", F.when(scope, flag).otherwise(F.col("is_latest"))).select(*artifacts.columns)
@@ -441,8 +445,8 @@ def reconcile(artifacts: DataFrame, index: DataFrame, disk: DataFrame, files: Da
     by_key = cut_lineage(_by_key(checked))
     pending, requeue = missing_latest(checked.where("present is not null"), index)
     table = cut_lineage(_imported(checked, artifacts.columns))
-    whole = table.drop("imported").unionByName(artifacts.where(~scope).select(*table.drop("imported").columns))
-    latest = recompute_latest(whole.select(*artifacts.columns), platforms)
+    whole = table.unionByName(artifacts.where(~scope).withColumn("imported", F.lit(False)).select(*table.columns))
+    latest = recompute_latest(whole, platforms)
     # A bundle on disk decides for its conversation, after the check of the table.
     events = requeue.join(by_key.select(*KEY), KEY, "left_anti").unionByName(_event_rows(by_key).select(*requeue.columns))
     gone = (c("present") == F.lit(False)) | c("lacks")

@@ -92,6 +92,19 @@ def test_cursor_walk_returns_every_row_once(spark):
     assert len(seen) == len(set(seen)) == v.archive_v.count()
 
 
+def test_imported_files_of_one_time_are_told_apart_by_revision(spark):
+    v = Views(spark, SF)
+    disk = v.disk_v.where("revision like 'disk-%'").withColumns({
+        "source_id": F.lit("one"), "platform": F.lit("gemini"), "extracted_at": F.lit("1996-01-02T00:00:00.000Z")})
+    known = v.artifacts_v.limit(1).withColumns({
+        "source_id": F.lit("two"), "platform": F.lit("gemini"), "local_status": F.lit("present"), "pos": F.lit(-5).cast("bigint"),
+        "exported_at": F.lit("1996-01-02T00:00:00.000Z")})
+    both = disk.limit(1).withColumns({"source_id": F.lit("two"), "revision": F.lit("a")})
+    out = artifacts.reconcile(known, v.artifact_index_v, disk.unionByName(both), v.files_v)["artifacts"].where("is_latest")
+    assert {r.source_id: r.revision for r in out.collect()} == {
+        "one": disk.agg(F.min("revision")).first()[0], "two": known.first().revision}
+
+
 def test_mark_latest_bounds_live_rows(spark):
     v = Views(spark, SF)
     live = artifacts.mark_latest(v.artifacts_v, 2).where("local_status <> 'deleted'").groupBy(*KEY).count()
