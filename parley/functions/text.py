@@ -61,8 +61,7 @@ def is_opaque_id(text: Column) -> Column:
     return js_trim(F.coalesce(text, F.lit(""))).rlike(rf"(?i)^(?:{OPAQUE_ID})?\z")
 
 
-def is_generic_title(title: Column, source_id: Column | None = None) -> Column:
-    t = collapse(F.coalesce(title, F.lit("")))
+def _says_nothing(t: Column, source_id: Column | None) -> Column:
     names = "|".join(GENERIC_TITLES)
     generic = t.rlike(rf"(?i)^(?:{GENERIC_PREFIX}|(?:{names}|{OPAQUE_ID})?\z)")
     if source_id is None:
@@ -71,9 +70,13 @@ def is_generic_title(title: Column, source_id: Column | None = None) -> Column:
     return generic | (F.lower(t) == F.lower(js_trim(F.coalesce(source_id, F.lit("")))))
 
 
+def is_generic_title(title: Column, source_id: Column | None = None) -> Column:
+    return let(collapse(F.coalesce(title, F.lit(""))), lambda t: _says_nothing(t, source_id))
+
+
 def normalize_title(title: Column, source_id: Column | None = None) -> Column:
-    t = collapse(F.coalesce(title, F.lit("")))
-    return F.when(~is_generic_title(t, source_id), t)
+    """The title in one line, NULL for a generic one. A title made from a prompt is costly, so it is computed once."""
+    return let(collapse(F.coalesce(title, F.lit(""))), lambda t: F.when(~_says_nothing(t, source_id), t))
 
 
 def strip_markdown(text: Column) -> Column:

@@ -178,7 +178,7 @@ def prune_archive(files: DataFrame, days: int, now: str) -> DataFrame:
 
 
 def comparable_path(path: Column) -> Column:
-    return F.lower(F.regexp_replace(F.replace(path, F.lit("/"), F.lit("\\")), r"\\+\z", ""))
+    return F.lower(F.rtrim(F.replace(path, F.lit("/"), F.lit("\\")), F.lit("\\")))
 
 
 def _listing(files: DataFrame) -> DataFrame:
@@ -325,7 +325,9 @@ def revisions_on_disk(artifacts: DataFrame, disk: DataFrame, files: DataFrame) -
     def last(value: Column) -> Column:
         return F.max(F.when(value.isNotNull(), F.struct(path.alias("path"), value.alias("value"))))
 
-    return rows.groupBy(*REV).agg(
+    # Hardly a revision has several rows of a kind, so nothing is gained by combining wide rows before the shuffle, which
+    # would sort them once more.
+    return rows.repartition(*REV).groupBy(*REV).agg(
         F.max_by("art", F.when(c("art").isNotNull(), -c("art.pos"))).alias("art"),
         F.max_by("file", F.when(c("file").isNotNull(), path)).alias("file"),
         F.coalesce(F.bool_or(c("tag") == "md"), F.lit(False)).alias("has_markdown"),
@@ -361,11 +363,15 @@ def _imported(table: DataFrame, columns: list[str]) -> DataFrame:
     return table.select(*REV, *[x.alias(n) for n, x in made.items()], c("art").isNull().alias("imported"))
 
 
+LAST_FIELDS = ("url", "title", "prompt", "extracted_at", "source_updated_at", "export_version")
+
+
 def _by_key(table: DataFrame) -> DataFrame:
     """One row a conversation with files on disk: its last file, and its event with each field's last value."""
     c = F.col
     rows = table.where("file is not null").groupBy(*KEY).agg(
-        F.max_by(F.struct("file", "revision", c("file_present").alias("md_present")), c("file.file_path")).alias("last"),
+        F.max_by(F.struct(F.struct(*[f"file.{n}" for n in LAST_FIELDS]).alias("file"), "revision", c("file_present").alias("md_present")),
+                 c("file.file_path")).alias("last"),
         *[F.max(n).alias(n) for n in ("title", "at", "label")])
     fingerprint = ids.discovery_fingerprint(c("platform"), c("source_id"), c("last.file.source_updated_at"))
     return rows.select(
@@ -430,7 +436,8 @@ def reconcile(artifacts: DataFrame, index: DataFrame, disk: DataFrame, files: Da
               platforms: Sequence[str] = PLATFORMS) -> dict[str, DataFrame]:
     """artifacts, index, requeue and a one-row summary (verified, missing, imported).
 
-    Everything follows from one written table with a row a revision: one shuffle by path and one by revision make it.
+    Everything follows from one written table with a row a revision: one shuffle by path and one by revision make it. Nothing else
+    is written, and what is not asked for does not run.
     """
     c = F.col
     scope = c("platform").isin(*platforms)
@@ -442,9 +449,9 @@ def reconcile(artifacts: DataFrame, index: DataFrame, disk: DataFrame, files: Da
     check = _presence(c("has_markdown"), c("has_bundle"))
     checked = cut_lineage(judged.select(*rows.columns, F.when(c("art").isNotNull(), check["present"]).alias("present"),
                                         check["status"].alias("status"), _flagged().alias("was_latest")))
-    by_key = cut_lineage(_by_key(checked))
+    by_key = _by_key(checked)
     pending, requeue = missing_latest(checked.where("present is not null"), index)
-    table = cut_lineage(_imported(checked, artifacts.columns))
+    table = _imported(checked, artifacts.columns)
     whole = table.unionByName(artifacts.where(~scope).withColumn("imported", F.lit(False)).select(*table.columns))
     latest = recompute_latest(whole, platforms)
     # A bundle on disk decides for its conversation, after the check of the table.

@@ -105,6 +105,15 @@ def test_imported_files_of_one_time_are_told_apart_by_revision(spark):
         "one": disk.agg(F.min("revision")).first()[0], "two": known.first().revision}
 
 
+def test_reconciliation_writes_one_table_and_makes_titles_once(spark, monkeypatch):
+    v, written = Views(spark, SF), []
+    monkeypatch.setattr(artifacts, "cut_lineage", lambda df: written.append(df) or df)
+    artifacts.reconcile(v.artifacts_v, v.artifact_index_v, v.disk_v, v.files_v)
+    assert len(written) == 1
+    titled = artifacts._on_disk(v.disk_v, artifacts.PLATFORMS)._jdf.queryExecution().optimizedPlan().toString()
+    assert titled.count("attachment|thinking") == 1
+
+
 def test_mark_latest_bounds_live_rows(spark):
     v = Views(spark, SF)
     live = artifacts.mark_latest(v.artifacts_v, 2).where("local_status <> 'deleted'").groupBy(*KEY).count()
