@@ -197,14 +197,20 @@ def summarize_queue(queue: DataFrame) -> DataFrame:
     return queue.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
 
 
+#: Keys that the rows of one worker are dealt over where they meet its lease.
+SALTS = 16
+
+
 def recover_orphans(queue: DataFrame, leases: DataFrame, now: str) -> DataFrame:
     """Processing rows without a live lease on their platform, at least 30 s old, go back to pending."""
-    live = leases.select("platform", F.col("worker_id").alias("_worker")).distinct().withColumn("_live", F.lit(True))
+    # Only rows that a worker holds meet the leases; a busy worker's rows are dealt over `SALTS` keys.
+    live = (leases.select("platform", "worker_id").distinct()
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_live", F.lit(True)))
     age = epoch_ms(F.lit(now)) - epoch_ms(F.col("updated_at"))
-    # Rows no worker holds get a key of their own, so they do not meet in one task.
-    worker = F.coalesce(F.when(F.col("status") == "processing", F.col("worker_id")),
-                        F.concat(F.lit("\u0000"), F.xxhash64("key").cast("string")))
-    rows = queue.withColumn("_worker", worker).join(live, ["platform", "_worker"], "left")
+    held = F.coalesce(F.col("status") == "processing", F.lit(False)) & F.col("worker_id").isNotNull()
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    rows = (queue.where(held).withColumn("_salt", salt).join(live, ["platform", "worker_id", "_salt"], "left").drop("_salt")
+            .unionByName(queue.where(~held).withColumn("_live", F.lit(None).cast("boolean"))))
     orphan = (F.col("status") == "processing") & F.col("_live").isNull() & F.coalesce(age >= ORPHAN_MS, F.lit(True))
     changes = {"status": F.lit("pending"), "priority": F.lit("retry"), "worker_id": _null(), "last_error": _null(),
                "error_code": _null()}
