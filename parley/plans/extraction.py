@@ -142,7 +142,7 @@ def decode_rpc_envelope(v):
 @query("collect_nested", """
     SELECT id, 'photo-' || id || '.png' AS name, 'https://lh3.googleusercontent.com/gg/' || id AS url, 'image/png' AS mime, 'image' AS kind FROM {urls_v}
     UNION ALL SELECT id, 'deep.pdf', 'https://no', NULL, 'document' FROM {urls_v}
-    UNION ALL SELECT id, 'r' || id || '.pdf', 'https://f/' || id, NULL, 'document' FROM {urls_v}""", heavy=True)
+    UNION ALL SELECT id, 'r' || id || '.pdf', 'https://f/' || id, NULL, 'document' FROM {urls_v}""", heavy=True, shares=8)
 def collect_nested(v):
     sid = c("id").cast("string")
     text = F.concat(F.lit('[["x",[1,[["photo-'), sid, F.lit('.png","https://lh3.googleusercontent.com/gg/'), sid, F.lit('","image/png",["deep.pdf","https://no"]]]],'
@@ -210,7 +210,7 @@ def parse_with_adapters(v):
     UNION ALL SELECT 'aistudio', seq, source_id, 'https://aistudio.google.com/prompts/' || source_id, coalesce(title, 'untold'),
       '2023-11-14T22:13:20.005Z' FROM {discovery_v}
     UNION ALL SELECT 'gemini', seq, source_id, 'https://gemini.google.com/app/' || source_id, coalesce(title, 'untold'), '2023-11-14T22:13:20.005Z'
-      FROM {discovery_v}""", heavy=True)
+      FROM {discovery_v}""", heavy=True, shares=8)
 def parse_discovery(v):
     named = F.coalesce("title", F.lit("untold"))
     item = F.to_json(F.struct(c("source_id").alias("id"), "title", c("source_updated_at").alias("updated_at")))

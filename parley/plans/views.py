@@ -278,16 +278,18 @@ def duck_sql(sql: str) -> str:
 class Views:
     """The base tables and derived views of one scale directory, as lazy DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, heavy: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, heavy: bool = False, shares: int = 1):
         # The texts are compared with a UTC oracle.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.sf_dir, self.heavy = spark, sf_dir, heavy
+        self.spark, self.sf_dir, self.heavy, self.shares = spark, sf_dir, heavy, shares
         self._made: dict[str, DataFrame] = {}
 
     def _spread(self, table: DataFrame) -> DataFrame:
         """For heavy work per row: a table that is read in fewer tasks than there are cores is dealt over them. What the read
-        splits spread already is not shuffled."""
+        splits spread already is not shuffled, unless a read split is to be dealt into several ``shares``."""
         cores = self.spark.sparkContext.defaultParallelism
+        if self.heavy and self.shares > 1:
+            return table.repartition(max(cores, self.shares * table.rdd.getNumPartitions()))
         return table.repartition(cores) if self.heavy and table.rdd.getNumPartitions() < cores else table
 
     def __getattr__(self, name: str) -> DataFrame:
