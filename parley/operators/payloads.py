@@ -509,9 +509,9 @@ def _gemini_list(text: Column) -> Column:
 
 def parse_discovery(payloads: DataFrame, platform: str) -> DataFrame:
     """List payloads (page, payload) to (page, platform, source_id, url, title, source_updated_at, seq), deduped per page."""
-    v = F.try_parse_json("payload")
-    items = {"chatgpt": lambda: _chatgpt_list(v), "deepseek": lambda: _deepseek_list(v),
-             "aistudio": lambda: _aistudio_list(v), "gemini": lambda: _gemini_list(c("payload"))}[platform]()
+    # A payload is parsed once, however many of its paths are read.
+    shapes = {"chatgpt": _chatgpt_list, "deepseek": _deepseek_list, "aistudio": _aistudio_list}
+    items = _gemini_list(c("payload")) if platform == "gemini" else let(F.try_parse_json("payload"), shapes[platform])
     rows = payloads.select("page", F.posexplode(items).alias("seq", "e")).select(
         "page", F.lit(platform).alias("platform"), "e.*", c("seq").cast("bigint").alias("seq"))
     rows = rows.where(F.coalesce("source_id", F.lit("")) != "")

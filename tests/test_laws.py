@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from parley import schemas
 from parley.functions import identity as ids
-from parley.operators import KEY, archive, artifacts, branches, conversations, discovery, ordered, queue, rendering
+from parley.operators import KEY, archive, artifacts, branches, conversations, discovery, ordered, payloads, queue, rendering
+from parley.plans import load_all
+from parley.plans.catalog import QUERIES
 from parley.plans.views import NOW, Views
 
+load_all()
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -114,6 +118,39 @@ def test_reconciliation_writes_one_table_and_makes_titles_once(spark, monkeypatc
     assert titled.count("attachment|thinking") == 1
 
 
+def test_rows_of_one_worker_are_spread_and_others_stay(spark):
+    v = Views(spark, SF)
+    held = v.queue_v.withColumns({"platform": F.lit("gemini"), "worker_id": F.lit("worker-1"), "status": F.lit("processing")})
+    lease = v.leases_v.limit(1).withColumns({"platform": F.lit("gemini"), "worker_id": F.lit("worker-1")})
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, x in changed.items():
+            spark.conf.set(k, x)
+        for worker, want in (("worker-1", "processing"), ("gone", "pending")):
+            got = queue.recover_orphans(held.withColumn("worker_id", F.lit(worker)), lease, "2024-06-01T00:00:00.000Z")
+            got = got.select("status", F.spark_partition_id().alias("at")).distinct().collect()
+            assert {r.status for r in got} == {want} and (worker == "gone" or len(got) > 2)
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
+def test_costly_rows_of_one_read_split_are_dealt_over_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    table = Views(spark, SF, heavy=True, shares=3 * cores).events
+    assert table.rdd.getNumPartitions() == 3 * cores * spark.read.parquet(f"{SF}/events.parquet").rdd.getNumPartitions()
+    for name in ("collect_nested", "parse_discovery"):
+        assert QUERIES[name](spark, SF).rdd.getNumPartitions() > cores
+
+
+def test_a_list_payload_is_parsed_once(spark):
+    rows = spark.createDataFrame([(1, '{"data":{"list":[{"id":"a"}]}}')], "page long, payload string")
+    for platform in ("chatgpt", "deepseek", "aistudio"):
+        plan = payloads.parse_discovery(rows, platform)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1
+
+
 def test_mark_latest_bounds_live_rows(spark):
     v = Views(spark, SF)
     live = artifacts.mark_latest(v.artifacts_v, 2).where("local_status <> 'deleted'").groupBy(*KEY).count()
