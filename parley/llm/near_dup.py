@@ -10,11 +10,12 @@ A document's set is its distinct word shingles. Documents of equal sets are one
   that differ and those hidden, and at most twice those that differ; two sets of similarity 0.75 differ in at most a
   seventh of both sizes. Pairs beyond that bound, or of sizes too unlike, are out at every size, and no link is lost.
 
-Pairs that pass are confirmed on the full sets, read again from the texts. Candidates come in two kinds, so that no
+Pairs that pass are confirmed on the full sets, read again from the texts. Candidates come in three kinds, so that no
 bucket lists all its pairs: first every member with its bucket's first document, which is linear and joins most copies;
-then, bucket by bucket in blocks of bounded size, only members of different components so far, the nearest partners of
-each first. A later round takes eight times as many partners, until no member has one left: nothing is capped for good.
-Components are found by alternating stars on tables in the shared folder.
+then, bucket by bucket in blocks of bounded size, the nearest pairs that join the components so far to a forest, fewer
+than the components that meet in a block; then what of different components is left, the nearest partners of each member
+first. A later round takes eight times as many partners, until no member has one left: nothing is capped for good.
+Components are found anew after every round, by alternating stars on tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BINS, BITS = 4096, 2048
 BLOCK = 1024
 PARTNERS = 64
 SALTS = 8
+#: Words of 64 bits in the marks of wanted ids: a bound for what `wanted_texts` broadcasts.
+MARKS = 1 << 18
 _CHUNK = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(75))
 _FACTOR = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -154,19 +157,51 @@ def _possible(both: np.ndarray, filled: np.ndarray, ones: np.ndarray) -> np.ndar
 
 # ---- candidate pairs --------------------------------------------------------------------------------------------
 
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, first, m): the buckets of several members, with the first of them and their number."""
+    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    first = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    return buckets.join(first, "bucket").select("bucket", "node", "first", "m")
+
+
 def star_pairs(nodes: DataFrame, buckets: DataFrame) -> DataFrame:
     """(a, b), a < b: members with the first node of a bucket of theirs, where the sketches leave a link possible."""
-    first = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pairs = buckets.join(first.select("bucket", "a"), "bucket").where("node > a").select("a", F.col("node").alias("b")).distinct()
+    pairs = buckets.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     seen = nodes.select("node", F.struct("n", "sketch", "filled").alias("f"))
     both = (pairs.join(seen.select(F.col("node").alias("b"), F.col("f").alias("fb")), "b")
             .join(seen.select(F.col("node").alias("a"), F.col("f").alias("fa")), "a"))
     return both.where(passes("fa", "fb")).select("a", "b").distinct()
 
 
+def _forest(a: np.ndarray, b: np.ndarray, near: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) of members make the nearest spanning forest of the components ``comp``, by rounds in which
+    every tree takes the nearest pair that leaves it."""
+    order = np.lexsort((b, a, -near))
+    names, label = np.unique(comp, return_inverse=True)
+    x, y = label[a[order]], label[b[order]]
+    every, none = np.arange(len(names)), len(order)
+    live, stay = np.flatnonzero(x != y), np.zeros(none, dtype=bool)
+    while len(live):
+        best = np.full(len(names), none)
+        np.minimum.at(best, x[live], live)
+        np.minimum.at(best, y[live], live)
+        has = np.flatnonzero(best < none)
+        stay[order[best[has]]] = True
+        to = every.copy()
+        to[has] = x[best[has]] + y[best[has]] - has
+        # Two trees that take one pair point at each other: the lesser is the root.
+        to = np.where((to[to] == every) & (every < to), every, to)
+        while (to != to[to]).any():
+            to = to[to]
+        x, y = to[x], to[y]
+        live = live[x[live] != y[live]]
+    return stay
+
+
 def _partners(group: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, more) of one block group: for each member the ``most`` nearest members of other components that may be
-    linked; ``more`` tells that a member has further ones. A pair of several common buckets counts in the first only."""
+    linked, and with ``most`` 0 a forest of the components; ``more`` tells that a pair was left out. A pair of several
+    common buckets counts in the first only."""
     own = group["left"] != group["right"]
     left, right = np.flatnonzero(group["left"]), np.flatnonzero(group["right"])
     same = not own.any()
@@ -194,6 +229,10 @@ def _partners(group: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.n
     if not found:
         return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=bool),)
     a, b, near = (np.concatenate([f[k] for f in found]) for k in range(3))
+    one, two = group["node"][a], group["node"][b]
+    if not most:
+        stay = _forest(a, b, near, group["comp"])
+        return np.minimum(one, two)[stay], np.maximum(one, two)[stay], np.full(int(stay.sum()), not stay.all())
     # The nearest of either side stay.
     stay, more = np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool)
     for side in (a, b):
@@ -203,16 +242,15 @@ def _partners(group: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.n
         rank = np.arange(len(order)) - start
         stay[order[rank < most]] = True
         more[order[rank >= most]] = True
-    one, two = group["node"][a], group["node"][b]
     return np.minimum(one, two)[stay], np.maximum(one, two)[stay], np.full(int(stay.sum()), bool((more & ~stay).any()))
 
 
 def partner_pairs(nodes: DataFrame, buckets: DataFrame, comps: DataFrame, most: int) -> DataFrame:
     """(a, b, more): members of one bucket but different components, nearest first; see `_partners`."""
-    placed = (buckets.join(comps.select("node", "comp"), "node", "left")
+    placed = (buckets.where("m > 2").select("bucket", "node").join(comps.select("node", "comp"), "node", "left")
               .withColumn("comp", F.coalesce("comp", "node")))
     open_ = (placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("m > 2 and lo <> hi").select("bucket", F.ceil(F.col("m") / BLOCK).alias("blocks")))
+             .where("lo <> hi").select("bucket", F.ceil(F.col("m") / BLOCK).alias("blocks")))
     seen = nodes.select("node", "n", "bands", "sketch", "filled")
     rows = placed.join(open_, "bucket").join(seen, "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn(
@@ -263,6 +301,19 @@ def partner_pairs(nodes: DataFrame, buckets: DataFrame, comps: DataFrame, most:
     return dealt.mapInArrow(run, "a long, b long, more boolean")
 
 
+def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids in ``wanted`` (doc_id), and of few others whose hash falls on the same bit of `MARKS` words:
+    what is broadcast is bounded, and no text is shuffled for its id."""
+
+    def marked(rows: DataFrame) -> DataFrame:
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS * 64))
+        return rows.withColumn("word", F.floor(place / 64)).withColumn("bit", (place % 64).cast("int"))
+
+    marks = marked(wanted).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("marks"))
+    return marked(ids_and_texts(docs)).join(F.broadcast(marks), "word").where(
+        "shiftrightunsigned(marks, bit) & 1L = 1L").select("doc_id", "text")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= 75 * union, as a written table; the sets are made again from
     the texts."""
@@ -273,9 +324,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         sets = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(hashes.view(np.int64)))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["node", "set"])
 
-    texts = ids_and_texts(docs).join(wanted, "doc_id", "left_semi")
     # A row that stands several times gives one set.
-    sets = cut_lineage(map_batches(texts, run, "node long, set array<long>").withColumn("key", F.xxhash64("set"))
+    sets = cut_lineage(map_batches(wanted_texts(docs, wanted), run, "node long, set array<long>").withColumn("key", F.xxhash64("set"))
                        .dropDuplicates(["node", "key"]).drop("key"))
     both = (pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a"))
@@ -286,14 +336,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
-def hooked(links: DataFrame) -> DataFrame:
-    """(node, comp): every linked node with the least node one or two links away. Not yet its component, but enough to
-    tell most pairs that are joined already."""
-    hook = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("first"))
-    jump = hook.select(F.col("node").alias("first"), F.col("first").alias("second"))
-    return hook.join(jump, "first", "left").select("node", F.coalesce("second", "first").alias("comp"))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each linked node's component, by alternating large and small stars."""
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -313,6 +355,11 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def joined(comps: DataFrame) -> DataFrame:
+    """(a, b): components as links of their nodes with the smallest one."""
+    return comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -335,21 +382,23 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = cut_lineage(found[0].unionByName(found[1].dropDuplicates(["node", "key1"])).drop("key1"))
     sizes = cut_lineage(rows.select("doc_id", F.col("n").alias("n_shingles")))
     release(rows)
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = cut_lineage(shared_buckets(nodes))
     tried = cut_lineage(star_pairs(nodes, buckets))
     links = confirmed(tried, docs)
-    made, most, more = [of, nodes, tried, links], PARTNERS, True
+    made, comps, most, more = [of, nodes, buckets, tried, links], components(links), 0, True
     while more:
-        offered = cut_lineage(partner_pairs(nodes, buckets, hooked(links), most))
+        offered = cut_lineage(partner_pairs(nodes, buckets, comps, most))
         new = cut_lineage(offered.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         found = confirmed(new, docs)
-        links, tried = links.union(found), tried.union(new)
+        tried = tried.union(new)
+        if not found.isEmpty():
+            comps = components(joined(comps).union(found))
         more = not offered.where("more").isEmpty()
         made += [offered, new, found]
-        most *= 8
+        most = most * 8 or PARTNERS
     # Copies are linked with their first document; so are rows of one id but different texts.
     copies = of.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    comps = components(links.union(copies))
+    comps = components(joined(comps).union(copies))
     for table in made:
         release(table)
     out = sizes.join(comps.select(F.col("node").alias("doc_id"), F.col("comp")), "doc_id", "left")

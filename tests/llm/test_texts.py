@@ -340,6 +340,68 @@ def test_many_repeats_of_a_row_are_one_document(spark, monkeypatch):
     assert len(often) == 50 * len(hard) and {tuple(r) for r in often} == once
 
 
+def test_near_copies_that_miss_the_first_are_offered_as_a_forest(spark, monkeypatch):
+    """Near copies of one text that no pair with a bucket's first document has joined: few pairs join them."""
+    base, offered = [f"w{k}" for k in range(200)], []
+    partner_pairs = near_dup.partner_pairs
+
+    def counted(*args):
+        pairs = partner_pairs(*args)
+        offered.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dup, "partner_pairs", counted)
+    monkeypatch.setattr(near_dup, "star_pairs", lambda nodes, buckets: spark.createDataFrame([], "a long, b long"))
+    rows = [(0, " ".join(base[:120] + [f"x{k}" for k in range(80)]))]
+    for i in range(1, 81):
+        text = list(base)
+        text[i], text[119 + i] = f"a{i}", f"b{i}"
+        rows.append((i, " ".join(text)))
+    got = near_dup.classes(frame(spark, [(i, t, "en", "s", 0) for i, t in rows])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == classes_by_force(rows)
+    assert 0 < sum(offered) <= 12 * len(rows)
+
+
+def test_nearest_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    for size, pairs in ((2, 1), (30, 20), (200, 900), (60, 1770)):
+        a, b = np.nonzero(np.triu(np.ones((size, size)), 1))
+        pick = rng.permutation(len(a))[:pairs]
+        a, b, near, comp = a[pick], b[pick], rng.integers(0, 5, len(pick)) / 5, rng.integers(0, size // 2 + 1, size) * 7
+        stay = near_dup._forest(a, b, near, comp)
+
+        def joined(use):
+            to = {c: c for c in comp.tolist()}
+            for x, y in zip(comp[a[use]].tolist(), comp[b[use]].tolist()):
+                to = {c: min(to[x], to[y]) if r in (to[x], to[y]) else r for c, r in to.items()}
+            return to
+
+        trees = joined(np.ones(len(a), dtype=bool))
+        assert joined(stay) == trees and stay.sum() == len(trees) - len(set(trees.values()))
+
+
+def test_texts_of_wanted_ids_are_not_shuffled(spark, monkeypatch):
+    """Neither by a join of ids too many to broadcast nor otherwise, and none is lost."""
+    docs = frame(spark, [(i, f"text {i}", "en", "s", 0) for i in range(2000)] + [(None, "none", "en", "s", 0)])
+    wanted = spark.range(0, 2000, 3).toDF("doc_id")
+    taken, made = [], near_dup.map_batches
+
+    def seen(rows, *args):
+        taken.append((rows._jdf.queryExecution().executedPlan().toString(), {r["doc_id"] for r in rows.collect()}))
+        return made(rows, *args)
+
+    monkeypatch.setattr(near_dup, "map_batches", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = wanted.selectExpr("doc_id a", "doc_id + 3 b").where("b < 2000")
+        assert near_dup.confirmed(pairs, docs).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    (plan, ids), = taken
+    assert "SortMergeJoin" not in plan and set(range(0, 2000, 3)) <= ids and len(ids) < 1000
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = np.random.default_rng(2)
     for size in (150, 1000, 8000):
