@@ -519,3 +519,11 @@ def test_pipeline_stages_take_hard_rows(spark, tmp_path, extra):
             before, docs = docs, corpus_pipeline.cut_lineage(fn(spark, docs, str(tmp_path)))
             assert name == "packing" or docs.columns == before.columns
         assert bool(docs.count()) == bool(rows)
+
+
+@pytest.mark.parametrize("labels", [[(3, 0), (4, 1)], [(3, 1), (4, 1)], []])
+def test_toxicity_stage_keeps_all_when_no_term_is_learnt(spark, tmp_path, labels):
+    import corpus_pipeline
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, hard_documents())
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == len(hard_documents())
