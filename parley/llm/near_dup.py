@@ -10,17 +10,18 @@ A document's set is its distinct word shingles. Documents of equal sets are one
   that differ and those hidden, and at most twice those that differ; two sets of similarity 0.75 differ in at most a
   seventh of both sizes. Pairs beyond that bound, or of sizes too unlike, are out at every size, and no link is lost.
 
-Pairs that pass are confirmed on the full sets, read again from the texts. Candidates come in three kinds, so that no
-bucket lists all its pairs: first every member with its bucket's first document, which is linear and joins most copies;
-then, bucket by bucket in blocks of bounded size, the nearest pairs that join the components so far to a forest, fewer
-than the components that meet in a block; then what of different components is left, the nearest partners of each member
-first. A later round takes eight times as many partners, until no member has one left: nothing is capped for good.
-Components are found anew after every round, by alternating stars on tables in the shared folder.
+Pairs that pass are confirmed on the full sets, read again from the texts. No table lists all pairs of a bucket. First
+come the pairs of every member with its bucket's first document, which are linear and join most copies. Then every bucket
+in which components meet is compared in blocks of bounded size, twice: by sketches, which tells the members that may be
+linked with another component, and, with the full sets of those, exactly. Pairs just below the similarity are refused
+within the task; what leaves it are links, fewer than the components that meet in a block. A task checks the nearest
+partners of each member first, then eight times as many, until none of another component is left: nothing is capped.
+Components are found after both, by alternating stars on tables in the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ from parley.session import cut_lineage, release
 
 BANDS, ROWS = 24, 3
 BINS, BITS = 4096, 2048
-#: Members of a bucket compared in one task; larger buckets are compared block by block.
+#: Members of a bucket compared in one task, and shingles of theirs held there; larger buckets are compared block by block.
 BLOCK = 1024
+SHINGLES = 1 << 20
+#: Partners of a member whose sets a task compares at first.
 PARTNERS = 64
 SALTS = 8
 #: Words of 64 bits in the marks of wanted ids: a bound for what `wanted_texts` broadcasts.
@@ -53,11 +56,16 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words.bounds(docs, len(texts)), hashes
 
 
+def first_keys(starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Set key 1 of non-empty sets."""
+    return words.mixed(np.add.reduceat(words.mixed(hashes ^ _SEED), starts) + sizes.astype(np.uint64))
+
+
 def features_of(edges: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
     """(set keys 1 and 2, band keys, odd sketches, sampled values) of non-empty sets, row by row."""
     n, sizes = len(edges) - 1, np.diff(edges)
     at = edges[:-1]
-    key1 = words.mixed(np.add.reduceat(words.mixed(hashes ^ _SEED), at) + sizes.astype(np.uint64))
+    key1 = first_keys(at, sizes, hashes)
     key2 = words.mixed(np.add.reduceat(words.mixed(hashes + _SEED), at))
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.empty((BANDS * ROWS, n), dtype=np.uint64)
@@ -198,10 +206,21 @@ def _forest(a: np.ndarray, b: np.ndarray, near: np.ndarray, comp: np.ndarray) ->
     return stay
 
 
-def _partners(group: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, more) of one block group: for each member the ``most`` nearest members of other components that may be
-    linked, and with ``most`` 0 a forest of the components; ``more`` tells that a pair was left out. A pair of several
-    common buckets counts in the first only."""
+def _merged(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The components ``comp`` of members, those of the pairs (a, b) made one: the least."""
+    while (comp[a] != comp[b]).any():
+        names, at = np.unique(comp, return_inverse=True)
+        to = np.arange(len(names))
+        np.minimum.at(to, np.maximum(at[a], at[b]), np.minimum(at[a], at[b]))
+        while (to != to[to]).any():
+            to = to[to]
+        comp = names[to[at]]
+    return comp
+
+
+def _partners(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, near): the members of one block group that may be linked and are of different components, with an estimate of
+    their similarity. A pair of several common buckets counts in the first only."""
     own = group["left"] != group["right"]
     left, right = np.flatnonzero(group["left"]), np.flatnonzero(group["right"])
     same = not own.any()
@@ -227,39 +246,68 @@ def _partners(group: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.n
             keep = band_a[np.arange(len(a)), first] == group["bucket"][0]
             found.append((a[keep], b[keep], common[i, j][keep] / np.maximum(group["n"][a], group["n"][b])[keep]))
     if not found:
-        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=bool),)
-    a, b, near = (np.concatenate([f[k] for f in found]) for k in range(3))
-    one, two = group["node"][a], group["node"][b]
-    if not most:
-        stay = _forest(a, b, near, group["comp"])
-        return np.minimum(one, two)[stay], np.maximum(one, two)[stay], np.full(int(stay.sum()), not stay.all())
-    # The nearest of either side stay.
-    stay, more = np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool)
-    for side in (a, b):
-        order = np.lexsort((-near, side))
-        new = np.concatenate([[True], side[order][1:] != side[order][:-1]])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        rank = np.arange(len(order)) - start
-        stay[order[rank < most]] = True
-        more[order[rank >= most]] = True
-    return np.minimum(one, two)[stay], np.maximum(one, two)[stay], np.full(int(stay.sum()), bool((more & ~stay).any()))
-
-
-def partner_pairs(nodes: DataFrame, buckets: DataFrame, comps: DataFrame, most: int) -> DataFrame:
-    """(a, b, more): members of one bucket but different components, nearest first; see `_partners`."""
-    placed = (buckets.where("m > 2").select("bucket", "node").join(comps.select("node", "comp"), "node", "left")
-              .withColumn("comp", F.coalesce("comp", "node")))
-    open_ = (placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo <> hi").select("bucket", F.ceil(F.col("m") / BLOCK).alias("blocks")))
-    seen = nodes.select("node", "n", "bands", "sketch", "filled")
-    rows = placed.join(open_, "bucket").join(seen, "node")
+        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
+def _similar(group: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the full sets of members have 100 * intersection >= 75 * union, pair by pair; ``a`` comes sorted."""
+    edges, values = group["edges"], group["values"]
+    sizes, out = np.diff(edges), np.zeros(len(a), dtype=bool)
+    mark = np.zeros(int(values.max()) + 1, dtype=bool)
+    cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        own, others = values[edges[a[lo]]:edges[a[lo] + 1]], b[lo:hi]
+        mark[own] = True
+        ends = np.cumsum(sizes[others])
+        at = np.arange(ends[-1]) + np.repeat(edges[others] - ends + sizes[others], sizes[others])
+        common = np.add.reduceat(mark[values[at]], ends - sizes[others], dtype=np.int64)
+        out[lo:hi] = 100 * common >= 75 * (len(own) + sizes[others] - common)
+        mark[own] = False
+    return out
+
+
+def _links(group: dict[str, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a < b: links that join the components of one block group as all its links do. The ``most`` nearest partners
+    of each member are checked first, then eight times as many of what is left, until nothing is."""
+    a, b, near = _partners(group)
+    if not len(a):
+        return a, b
+    order = np.lexsort((-near, a))
+    a, b, near, comp = a[order], b[order], near[order], group["comp"]
+    group = {**group, "values": np.unique(group["values"], return_inverse=True)[1]}
+    found = []
+    while len(a):
+        take = np.zeros(len(a), dtype=bool)
+        for side in (a, b):
+            order = np.lexsort((-near, side))
+            new = np.concatenate([[True], side[order][1:] != side[order][:-1]])
+            at = np.arange(len(order))
+            take[order[at - np.maximum.accumulate(np.where(new, at, 0)) < most]] = True
+        some = np.flatnonzero(take)
+        some = some[_similar(group, a[some], b[some])]
+        some = some[_forest(a[some], b[some], near[some], comp)]
+        comp = _merged(comp, a[some], b[some])
+        found.append((group["node"][a[some]], group["node"][b[some]]))
+        left = ~take & (comp[a] != comp[b])
+        a, b, near, most = a[left], b[left], near[left], most * 8
+    one, two = (np.concatenate([f[k] for f in found]) for k in range(2))
+    return np.minimum(one, two), np.maximum(one, two)
+
+
+def in_blocks(members: DataFrame, size: Column, seen: DataFrame, fn: Callable[[dict[str, np.ndarray]], tuple], schema: str) -> DataFrame:
+    """``fn`` on the members of every bucket in which components meet, block by block: ``size`` blocks, an aggregate, of
+    each bucket of ``members`` (bucket, node, comp). ``seen`` has what else ``fn`` takes, by node."""
+    open_ = (members.groupBy("bucket").agg(F.ceil(size).alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .where("lo <> hi").select("bucket", "blocks"))
+    rows = members.select("bucket", "node", "comp").join(open_, "bucket").join(seen, "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node",
-                       "comp", "n", "bands", "sketch", "filled")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", *seen.columns)
     rows = rows.withColumn("left", F.col("own") == F.col("i")).withColumn("right", F.col("own") == F.col("j")).drop("own")
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    bounded_batches(nodes.sparkSession)
+    bounded_batches(members.sparkSession)
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -290,15 +338,46 @@ def partner_pairs(nodes: DataFrame, buckets: DataFrame, comps: DataFrame, most:
             lists = table.column(c).combine_chunks()
             flat[c] = lists.flatten().to_numpy().reshape(-1, width)
         flat["sketch"] = flat["sketch"].view(np.uint64)
+        if "set" in table.column_names:
+            lists = table.column("set").combine_chunks()
+            values, edges = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         made = []
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             if hi - lo > 1:
-                made.append(_partners({c: v[lo:hi] for c, v in flat.items()}, most))
-        a, b, more = (np.concatenate([m[k] for m in made]) if made else np.zeros(0) for k in range(3))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more)], ["a", "b", "more"])
+                group = {c: v[lo:hi] for c, v in flat.items()}
+                if "set" in table.column_names:
+                    group |= {"edges": edges[lo:hi + 1] - edges[lo], "values": values[edges[lo]:edges[hi]]}
+                made.append(fn(group))
+        out = [np.concatenate([m[k] for m in made]) if made else np.zeros(0) for k in range(len(names))]
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+
+    return dealt.mapInArrow(run, schema)
 
-    return dealt.mapInArrow(run, "a long, b long, more boolean")
+
+def near_members(nodes: DataFrame, buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(bucket, node, comp, n): members that may be linked with a member of another component, see `_partners`, by the bucket
+    that tells so."""
+    placed = (buckets.where("m > 2").select("bucket", "node").join(comps.select("node", "comp"), "node", "left")
+              .withColumn("comp", F.coalesce("comp", "node")))
+
+    def run(group: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        a, b, _ = _partners(group)
+        at = np.unique(np.concatenate([a, b]))
+        return tuple(group[c][at] for c in ("bucket", "node", "comp", "n"))
+
+    near = in_blocks(placed, F.count(F.lit(1)) / BLOCK, nodes.select("node", "n", "bands", "sketch", "filled"), run,
+                     "bucket long, node long, comp long, n long")
+    return near.groupBy("bucket", "node").agg(F.max("comp").alias("comp"), F.max("n").alias("n"))
+
+
+def partner_pairs(nodes: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: links of ``members`` (`near_members`) that join their components, see `_links`; ``sets`` has the sets
+    of all of them (`shingle_table`)."""
+    most = PARTNERS
+    seen = nodes.join(sets, ["node", "key1"]).select("node", "n", "bands", "sketch", "filled", "set")
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)
+    return in_blocks(members, size, seen, lambda group: _links(group, most), "a long, b long")
 
 
 def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -314,19 +393,27 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         "shiftrightunsigned(marks, bit) & 1L = 1L").select("doc_id", "text")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= 75 * union, as a written table; the sets are made again from
-    the texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, key1, set) of the ids in ``wanted`` (doc_id), and of few others, as a written table: the sets are made again
+    from the texts. A row that stands several times gives one set."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         edges, hashes = shingle_sets(batch.column("text"))
-        sets = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(hashes.view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), sets], ["node", "set"])
+        full = np.flatnonzero(np.diff(edges))
+        if not len(full):
+            return None
+        keys = first_keys(edges[full], np.diff(edges)[full], hashes)
+        sets = pa.ListArray.from_arrays(pa.array(np.append(edges[full], len(hashes)).astype(np.int32)), pa.array(hashes.view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(full)), pa.array(keys.view(np.int64)), sets],
+                                          ["node", "key1", "set"])
+
+    made = map_batches(wanted_texts(docs, wanted), run, "node long, key1 long, set array<long>")
+    return cut_lineage(made.dropDuplicates(["node", "key1"]))
 
-    # A row that stands several times gives one set.
-    sets = cut_lineage(map_batches(wanted_texts(docs, wanted), run, "node long, set array<long>").withColumn("key", F.xxhash64("set"))
-                       .dropDuplicates(["node", "key"]).drop("key"))
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= 75 * union, as a written table."""
+    sets = shingle_table(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     both = (pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a"))
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -379,26 +466,20 @@ def classes(docs: DataFrame) -> DataFrame:
     # A row that stands several times is one node; only such rows are shuffled for it.
     found = [rows.join(first.where(f"count {sign} 1"), ["doc_id", "key1"], "left_semi").select(
         F.col("doc_id").alias("node"), "key1", "n", "bands", "sketch", "filled") for sign in ("=", ">")]
-    nodes = cut_lineage(found[0].unionByName(found[1].dropDuplicates(["node", "key1"])).drop("key1"))
+    nodes = cut_lineage(found[0].unionByName(found[1].dropDuplicates(["node", "key1"])))
     sizes = cut_lineage(rows.select("doc_id", F.col("n").alias("n_shingles")))
     release(rows)
     buckets = cut_lineage(shared_buckets(nodes))
     tried = cut_lineage(star_pairs(nodes, buckets))
     links = confirmed(tried, docs)
-    made, comps, most, more = [of, nodes, buckets, tried, links], components(links), 0, True
-    while more:
-        offered = cut_lineage(partner_pairs(nodes, buckets, comps, most))
-        new = cut_lineage(offered.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        found = confirmed(new, docs)
-        tried = tried.union(new)
-        if not found.isEmpty():
-            comps = components(joined(comps).union(found))
-        more = not offered.where("more").isEmpty()
-        made += [offered, new, found]
-        most = most * 8 or PARTNERS
+    comps = components(links)
+    members = cut_lineage(near_members(nodes, buckets, comps))
+    sets = shingle_table(docs, members.select(F.col("node").alias("doc_id")).distinct())
+    more = cut_lineage(partner_pairs(nodes, members, sets))
+    made = [of, nodes, buckets, tried, links, members, sets, more]
     # Copies are linked with their first document; so are rows of one id but different texts.
     copies = of.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    comps = components(joined(comps).union(copies))
+    comps = components(joined(comps).union(more).union(copies))
     for table in made:
         release(table)
     out = sizes.join(comps.select(F.col("node").alias("doc_id"), F.col("comp")), "doc_id", "left")

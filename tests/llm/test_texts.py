@@ -380,6 +380,60 @@ def test_nearest_forest_joins_what_all_pairs_join():
         assert joined(stay) == trees and stay.sum() == len(trees) - len(set(trees.values()))
 
 
+@pytest.mark.parametrize("shingles", [1 << 20, 9000])
+def test_texts_just_unlike_leave_no_task_as_pairs(spark, monkeypatch, shingles):
+    """Texts of one base that pass the sketches but not the exact check: only links are rows, in one block or in many."""
+    if shingles < 1 << 20:  # absent before blocks were bounded by shingles
+        monkeypatch.setattr(near_dup, "SHINGLES", shingles)
+    partner_pairs, offered = near_dup.partner_pairs, []
+
+    def counted(*args):
+        pairs = partner_pairs(*args)
+        offered.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dup, "partner_pairs", counted)
+    base, rows = [f"w{k}" for k in range(300)], [(0, " ".join(f"z{k}" for k in range(300)))]
+    for x in range(11):
+        for y in range(11):  # five words of each text are its own, at most one of them where another text has one: 0.736
+            text = list(base)
+            for s in range(5):
+                text[60 * s + 5 * ((x + s * y) % 11) + 2] = f"x{x}y{y}s{s}"
+            rows.append((len(rows), " ".join(text)))
+            if x == y:  # and a near copy
+                rows.append((len(rows), " ".join([*text[:-1], f"e{x}"])))
+    got = near_dup.classes(frame(spark, [(i, t, "en", "s", 0) for i, t in rows])).collect()
+    want = classes_by_force(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+    assert sum(kept for _, _, kept in want.values()) == 122
+    assert sum(offered) < len(rows)
+
+
+def test_links_of_a_block_join_what_all_links_join():
+    rng = np.random.default_rng(6)
+    sets = []
+    for g in range(12):
+        pool = rng.integers(0, 1 << 63, 140, dtype=np.uint64)
+        for size in rng.integers(95, 125, 8):
+            sets.append(np.sort(rng.permutation(pool)[:size]))
+    size, sizes = len(sets), np.array([len(s) for s in sets])
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    values = np.concatenate(sets)
+    _, _, bands, sketch, filled = near_dup.features_of(edges, values)
+    bands[:] = 9
+    group = {"bucket": np.full(size, 9, dtype=np.uint64), "node": np.arange(size) * 3, "comp": rng.integers(0, 60, size), "n": sizes,
+             "bands": bands, "sketch": sketch, "filled": filled, "edges": edges, "values": values.view(np.int64)}
+    links = [(i, j) for i in range(size) for j in range(i) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (
+        len(sets[i]) + len(sets[j]) - c)]
+    for left in (np.ones(size, dtype=bool), np.arange(size) % 2 == 0):
+        right = left if left.all() else ~left
+        want = np.array([(i, j) for i, j in links if left[i] and right[j] or left[j] and right[i]])
+        for most in (1, 64):
+            a, b = near_dup._links({**group, "left": left, "right": right}, most)
+            assert (a < b).all() and 0 < len(a) < 60 and {*zip(a // 3, b // 3)} <= {(j, i) for i, j in want.tolist()}
+            assert (near_dup._merged(group["comp"], a // 3, b // 3) == near_dup._merged(group["comp"], *want.T)).all()
+
+
 def test_texts_of_wanted_ids_are_not_shuffled(spark, monkeypatch):
     """Neither by a join of ids too many to broadcast nor otherwise, and none is lost."""
     docs = frame(spark, [(i, f"text {i}", "en", "s", 0) for i in range(2000)] + [(None, "none", "en", "s", 0)])
